@@ -24,8 +24,10 @@ from cairn.plans.storage import materialise
 
 CAPACITY = 1024
 END_ID = 2
-SEARCH_NODES = 400  # nodes of the branch-and-bound; the best packing found so far is returned when they are used up
-FILLINGS = 6  # fillings tried at a node, in order of waste
+SEARCH_NODES = 1500  # nodes of the branch-and-bound; the best packing found so far is returned when they are used up
+FILLINGS = 3  # fillings tried at a node, in order of waste
+FILLING_STEPS = 600  # steps of the enumeration at a node
+BEST_FIT_EVERY = 32  # levels between best-fit incumbents
 CACHE_ENTRIES = 600_000
 
 # ---------------------------------------------------------------- tokens
@@ -172,7 +174,7 @@ def fillings(counts: dict[int, int], capacity: int, limit: int = FILLINGS) -> li
     sizes = sorted((s for s, n in counts.items() if n), reverse=True)
     largest = sizes[0]
     found: list[tuple[int, Filling]] = []
-    budget = [4000]
+    budget = [FILLING_STEPS]
 
     def undominated(chosen: dict[int, int], waste: int) -> bool:
         free = [s for s in sizes if counts[s] > chosen.get(s, 0)]
@@ -204,40 +206,38 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_N
 
     Branch and bound: the incumbent is best-fit decreasing; a node completes the bin of the longest remaining piece in one
     of its undominated ways, as many times as the counts allow, and is cut where its bins and the waste bound of the rest
-    cannot beat the incumbent. Best-fit on what remains at each node gives new incumbents. Stops at the lower bound.
+    cannot beat the incumbent. Best-fit on what remains gives new incumbents on the way down. Stops at the lower bound.
     """
-    start = {s: n for s, n in counts.items() if n}
-    best = best_fit(start, capacity)
+    rest = {s: n for s, n in counts.items() if n}
+    best = best_fit(rest, capacity)
     fewest = sum(n for _, n in best)
-    floor = lower_bound(start, capacity)
-    left = [nodes]
-
-    def branch(rest: dict[int, int], used: int, chosen: list[tuple[Filling, int]]) -> None:
-        nonlocal best, fewest
-        left[0] -= 1
-        tail = best_fit(rest, capacity)
-        total = used + sum(n for _, n in tail)
-        if total < fewest:
-            best, fewest = chosen + tail, total
-        if left[0] < 0 or fewest == floor or not rest or used + lower_bound(rest, capacity) >= fewest:
-            return
-        for filling in fillings(rest, capacity):
-            times = min(rest[s] // k for s, k in filling)
-            lower = dict(rest)
-            for s, k in filling:
-                lower[s] -= k * times
-            branch({s: n for s, n in lower.items() if n}, used + times, [*chosen, (filling, times)])
-            if left[0] < 0 or fewest == floor:
-                return
-
-    # bins filled by one piece alone need no search
-    whole = start.pop(capacity, 0)
-    if start and fewest > floor:
-        fewest -= whole
-        floor -= whole
-        best = [x for x in best if x[0] != ((capacity, 1),)]
-        branch(start, 0, [])
-        best = best + ([(((capacity, 1),), whole)] if whole else [])
+    floor = lower_bound(rest, capacity)
+    # a node on the path: what remains, its bins so far, the filling that led here, the fillings still to try
+    path: list[tuple[dict[int, int], int, tuple[Filling, int] | None, Iterator[Filling]]] = []
+
+    def enter(rest: dict[int, int], used: int, by: tuple[Filling, int] | None) -> None:
+        nonlocal best, fewest, nodes
+        nodes -= 1
+        if not rest or len(path) % BEST_FIT_EVERY == BEST_FIT_EVERY - 1:
+            tail = best_fit(rest, capacity)
+            total = used + sum(n for _, n in tail)
+            if total < fewest:
+                fewest = total
+                best = [x[2] for x in path if x[2]] + ([by] if by else []) + tail
+        bound = used + math.ceil(sum(s * n for s, n in rest.items()) / capacity)
+        path.append((rest, used, by, iter(fillings(rest, capacity) if rest and bound < fewest else ())))
+
+    if fewest > floor:
+        enter(rest, 0, None)
+    while path and nodes > 0 and fewest > floor:
+        rest, used, _, options = path[-1]
+        filling = next(options, None)
+        if filling is None:
+            path.pop()
+            continue
+        times = min(rest[s] // k for s, k in filling)
+        lower = {s: n - times * k for s, n in rest.items() if (k := dict(filling).get(s, 0)) * times < n}
+        enter(lower, used + times, (filling, times))
     return best
 
 

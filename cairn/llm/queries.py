@@ -28,6 +28,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.language import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.packing import pack_documents
 
@@ -37,6 +49,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op5_language_id": op5_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
