@@ -21,6 +21,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontamination import contaminated, find_contamination, items_digest
 
@@ -64,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
