@@ -34,6 +34,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cairn.llm.pii import joined_kinds, replace_entities
+
+    found = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("pii_kinds").cast("long").alias("n_entities"), joined_kinds().alias("kinds"), "text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.language import identify_language
 
@@ -82,6 +91,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
