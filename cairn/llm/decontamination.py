@@ -166,9 +166,12 @@ def find_contamination(
     item_col: str = "item_id",
     window: int = WINDOW,
     pattern_bytes: int = PATTERN_BYTES,
+    keep_columns: bool = False,
 ) -> DataFrame:
     """Hit words and occurring items of every text: id, n_words, n_hit, n_items, items (sorted as strings).
 
+    With ``keep_columns`` the row's own columns come first, in place of the id alone.
+
     A window is ``window`` consecutive words of an item, or all words of a shorter one. A word inside any occurrence is hit.
     The benchmark is measured first: up to ``pattern_bytes`` of text make one set of tables sent to the executors;
     beyond that each block of items has its own pass over the texts and the hits are merged by row, so no set outgrows the bound.
@@ -178,8 +181,8 @@ def find_contamination(
     """
     sc = docs.sparkSession.sparkContext
     sets = [sc.broadcast(build_tables(block, window)) for block in _item_blocks(benchmark, item_col, text_col, pattern_bytes)]
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*docs.columns).alias("_row")] if keep_columns else []))
+    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
 
     def scanner(shared, hits_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +203,15 @@ def find_contamination(
         return run
 
     if len(sets) == 1:
-        out = slim.mapInArrow(scanner(sets[0], False), f"_id {kind}, {_RUNS}")
+        out = slim.mapInArrow(scanner(sets[0], False), f"{held}, {_RUNS}")
     else:
-        keyed = slim.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
-        base = keyed.mapInArrow(scanner(sc.broadcast([]), False), f"_id {kind}, h1 long, h2 int, {_RUNS}").drop("runs", "items")
+        keyed = slim.withColumns({"h1": F.xxhash64("_text"), "h2": F.hash("_text")})
+        base = keyed.mapInArrow(scanner(sc.broadcast([]), False), f"{held}, h1 long, h2 int, {_RUNS}").drop("runs", "items")
+        narrow = keyed.select("_id", "_text", "h1", "h2")
+        kind = keyed.schema["_id"].dataType.simpleString()
         hits = None
         for shared in sets:
-            part = keyed.mapInArrow(scanner(shared, True), f"_id {kind}, h1 long, h2 int, {_RUNS}").distinct()
+            part = narrow.mapInArrow(scanner(shared, True), f"_id {kind}, h1 long, h2 int, {_RUNS}").distinct()
             hits = part if hits is None else hits.unionByName(part)
         hits = hits.groupBy(F.col("_id").alias("_key"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(
             F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
@@ -220,7 +225,8 @@ def find_contamination(
         lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["to"]))).alias("n"), F.greatest(s["to"], r["b"]).alias("to")),
         lambda s: s["n"],
     )
-    return out.select(F.col("_id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    own = [F.col("_row")[c].alias(c) for c in docs.columns] if keep_columns else [F.col("_id").alias(id_col)]
+    return out.select(*own, "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

@@ -340,7 +340,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     contested = compared.filter("key is not null")
     crowds = contested.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("key", F.lit(True).alias("crowd"))
     wanted = contested.join(crowds, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "first", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("wanted"))
-    fetched = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch_bytes(length), "key long, doc long, first long, n long, data binary")
+    # both joins shuffle the texts alike, so that Spark shuffles them once; what they meet grows with the corpus
+    fetched = docs.hint("merge").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch_bytes(length), "key long, doc long, first long, n long, data binary")
     ordered = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_order_buckets(length), "doc long, first long, last long")
     return compared.filter("key is null").select("doc", "first", "last").unionByName(ordered)
 
@@ -371,5 +372,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array([len(t) for t in part], pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "removed", "kept"])
 
-    joined = texts.join(by_doc, F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    joined = texts.hint("merge").join(by_doc, F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, removed array<struct<a:long,b:long>>, kept binary")
