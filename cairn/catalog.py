@@ -308,10 +308,10 @@ def to_3857(spark, sf):
     return moved.select("event_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(f"SELECT event_id, round({_LON}, 6)::DOUBLE AS x, round({_LAT}, 6)::DOUBLE AS y FROM events WHERE {_LON} BETWEEN 114 AND 120 AND {_LAT} BETWEEN 0 AND 60")
+@query("SELECT event_id, round(114 + user_id % 24 * 0.25, 6)::DOUBLE AS x, round(hour(ts) * 2.5 + minute(ts) / 60.0, 6)::DOUBLE AS y FROM events")
 def utm_roundtrip(spark, sf):
-    near = lonlat(spark, sf).filter("x between 114 and 120 and y between 0 and 60")
-    return out(V.transform_points(V.transform_points(near, "EPSG:4326", "EPSG:32650"), "EPSG:32650", "EPSG:4326"), "event_id", "x y")
+    at = table(spark, sf, "events").select("event_id", (114 + F.col("user_id") % 24 * 0.25).cast("double").alias("x"), (F.hour("ts") * 2.5 + F.minute("ts") / 60.0).alias("y"))
+    return out(V.transform_points(V.transform_points(at, "EPSG:4326", "EPSG:32650"), "EPSG:32650", "EPSG:4326"), "event_id", "x y")
 
 
 @query(f"WITH {FX_BOXES} SELECT fid, round(radians(x0) * 6378137.0, 4) + 0.0 AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(y0 / 1000) / 2)), 4) + 0.0 AS y FROM a")
@@ -496,11 +496,11 @@ def _probs(spark, sf):
     px, meta = px_parts(spark, sf)
     tiles, cells = T.tile_raster(px, meta, TILE, STRIDE)
     classes = F.explode(F.array(F.lit(0), F.lit(1)))
-    p = (F.col("v") + F.col("tile_id") % 7 + 3 * F.col("class")) / 64.0
+    p = (F.col("v") + F.col("tile_id") % 7 + 3 * F.col("class")) / 61.0
     return cells.withColumn("class", classes).select("raster_id", "tile_id", "class", F.col("tx").alias("px"), F.col("ty").alias("py"), p.alias("p")), tiles, meta
 
 
-_PROBS = "p AS (SELECT tile_id, class, x, y, x - src_x AS tx, y - src_y AS ty, (v + tile_id % 7 + 3 * class) / 64.0::DOUBLE AS p FROM tiles JOIN px ON x >= src_x AND x < src_x + 16 AND y >= src_y AND y < src_y + 16, (SELECT unnest([0, 1]) AS class) c)"
+_PROBS = "p AS (SELECT tile_id, class, x, y, x - src_x AS tx, y - src_y AS ty, (v + tile_id % 7 + 3 * class) / 61.0::DOUBLE AS p FROM tiles JOIN px ON x >= src_x AND x < src_x + 16 AND y >= src_y AND y < src_y + 16, (SELECT unnest([0, 1]) AS class) c)"
 
 
 def _weights(mode: str) -> str:

@@ -238,10 +238,35 @@ def capsule(a: np.ndarray, b: np.ndarray, radius: float, quad_segs: int = 8) ->
     return np.concatenate([ring, ring[:1]])
 
 
+def convex(ring: Ring) -> bool:
+    """Whether a closed ring turns one way only, once around."""
+    step = np.diff(ring, axis=0)
+    after = np.roll(step, -1, axis=0)
+    turn = np.arctan2(step[:, 0] * after[:, 1] - step[:, 1] * after[:, 0], (step * after).sum(1))
+    return bool((step != 0).any(1).all()) and ((turn > 0).all() or (turn < 0).all()) and abs(abs(turn.sum()) - 2 * np.pi) < 1e-9
+
+
+def around_convex(ring: Ring, distance: float, quad_segs: int) -> Ring:
+    """Outline at a distance from a convex ring: its sides moved out, and an arc at each corner."""
+    core = ring[:-1] if area(ring) > 0 else ring[-1:0:-1]
+    side = np.roll(core, -1, axis=0) - core
+    out = np.arctan2(-side[:, 0], side[:, 1])  # outward direction of the side that leaves each corner
+    parts = []
+    for corner, a, b in zip(core, np.roll(out, 1), out, strict=True):
+        swing = (b - a) % (2 * np.pi)
+        steps = max(1, int(np.ceil(swing / (np.pi / (2 * quad_segs)) - 1e-9)))
+        turn = a + np.linspace(0, swing, steps + 1)
+        parts.append(corner + distance * np.column_stack([np.cos(turn), np.sin(turn)]))
+    outline = np.concatenate(parts)
+    return np.concatenate([outline, outline[:1]])
+
+
 def buffer(kind: str, rings: list[np.ndarray], distance: float, quad_segs: int = 8) -> list[Polygon]:
     """All within ``distance`` of a point, line or polygon; a negative distance shrinks a polygon, 0 repairs it."""
     if kind == "Point":
         return [[circle(rings[0][0], distance, quad_segs)]] if distance > 0 else []
+    if kind == "Polygon" and distance > 0 and len(rings) == 1 and convex(rings[0]):
+        return [[around_convex(rings[0], distance, quad_segs)]]
     around = [[capsule(a, b, abs(distance), quad_segs)] for r in rings for a, b in zip(r[:-1], r[1:], strict=True)] if distance else []
     if kind == "LineString":
         return union(around) if distance > 0 else []

@@ -67,7 +67,7 @@ def knn_self_join(pc: DataFrame, k: int, cell: float | None = None, max_rounds:
     """cloud_id, ord, rank, other, dist: the k nearest points of each, itself among them (fewer, if the cloud has fewer).
 
     Points meet those of the 27 cells around their own. A point is settled when its k-th distance is no more than the distance
-    to the border of that block; the others go on with cells twice as large, against all points. Ties go to the smaller ord.
+    to the border of that block; the others go on with larger cells, against all points. Ties go to the smaller ord.
     Each side of a pair is one point, and rank limits are applied before the shuffle.
     """
     _need(k > 0, "k must be positive")
@@ -75,7 +75,7 @@ def knn_self_join(pc: DataFrame, k: int, cell: float | None = None, max_rounds:
         return pc.select("cloud_id", "ord", F.lit(1).alias("rank"), F.col("ord").alias("other"), F.lit(0.0).alias("dist"))
     points = materialise(pc.select("cloud_id", "ord", *(F.col(c).cast("double").alias(c) for c in "xyz")))
     sizes = points.groupBy("cloud_id").agg(F.count("*").alias("_n"))
-    size = cell or _cell_size(points, k)
+    size, total = cell or _cell_size(points, k), points.count()
     pending, done = points.select("*"), None
     for _ in range(max_rounds):
         own = [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in "xyz"]
@@ -94,7 +94,8 @@ def knn_self_join(pc: DataFrame, k: int, cell: float | None = None, max_rounds:
         pending = materialise(pending.join(settled, ["cloud_id", "ord"], "left_anti"))
         if pending.isEmpty():
             return done
-        size *= 2
+        # few points far from all others are left in the end: larger steps then cost little
+        size *= 2 if 10 * pending.count() > total else 4
     raise RuntimeError(f"neighbours did not settle in {max_rounds} rounds")
 
 
