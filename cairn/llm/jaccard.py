@@ -276,7 +276,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edges = _forest(sides[0], sides[1] if cross else None, percent) if sides[0] and (sides[1] or not cross) else []
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    shipped = known.join(wanted, "id").select("id", "text", "component", "blocks").mapInArrow(ship, "component long, x int, y int, side int, id long, grams binary")
+    # the wanted ids grow with the corpus: never a broadcast
+    shipped = known.hint("merge").join(wanted, "id").select("id", "text", "component", "blocks").mapInArrow(ship, "component long, x int, y int, side int, id long, grams binary")
     links = shipped.groupBy("component", "x", "y").applyInPandas(link, "a long, b long")
     fine = connected_components(links.unionByName(placed.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "a", "b")
     return placed.join(fine.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
