@@ -39,6 +39,17 @@ _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 # letters, then marks that neither continue a word nor start a contraction: two pretokens
 _WORD_MARKS = re.compile(r"([ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]+)")
 
+# what is one pretoken for certain, so that the byte-pair model can have it without the steps before it
+_ONE = re.compile(r"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on in turn."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 _tokenizers: dict[str, "ChunkCache"] = {}
 
 
@@ -51,6 +62,7 @@ class ChunkCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -61,8 +73,13 @@ class ChunkCache(dict):
 
     def _learn(self, chunks: set[str]) -> None:
         parts = {c: (m.groups() if (m := _WORD_MARKS.fullmatch(c)) else (c,)) for c in chunks}
-        new = list({p for ps in parts.values() for p in ps if p not in self.words})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        new = {p for ps in parts.values() for p in ps if p not in self.words}
+        plain = [p for p in new if _ONE.fullmatch(p)]
+        for p in plain:
+            tokens = self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))
+            self.words[p] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        rest = list(new.difference(plain))
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[p] = np.array(e.ids, "<u4").tobytes()
         for c, ps in parts.items():
             self[c] = b"".join([self.words[p] for p in ps])
