@@ -92,7 +92,7 @@ class Trees:
         node = np.zeros((len(x), len(self.leaf)), np.int64)
         for _ in range(depth):
             node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
-        margin = self.start + (self.leaf[trees, node - (2**depth - 1)].sum(1) if self.leaf.size else 0)
+        margin = self.start + (self.leaf[trees, node - (2**depth - 1)].sum(1) if self.leaf.size else np.zeros(len(x)))
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
