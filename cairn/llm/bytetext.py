@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # working arrays stay within a few dozen MB whatever the batch holds
+SLICE_BYTES = 1 << 20  # working arrays stay within a few dozen MB whatever the batch holds
 
 
 def lookup(predicate: Callable[[int], bool]) -> np.ndarray:

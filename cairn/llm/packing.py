@@ -28,7 +28,7 @@ SEARCH_NODES = 1500  # nodes of the branch-and-bound; the best packing found so
 FILLINGS = 3  # fillings tried at a node, in order of waste
 FILLING_STEPS = 600  # steps of the enumeration at a node
 BEST_FIT_EVERY = 32  # levels between best-fit incumbents
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000  # of each of four tables
 
 # ---------------------------------------------------------------- tokens
 
@@ -64,6 +64,8 @@ class ChunkCache(dict):
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> "ChunkCache":
@@ -74,6 +76,9 @@ class ChunkCache(dict):
     def _learn(self, chunks: set[str]) -> None:
         parts = {c: (m.groups() if (m := _WORD_MARKS.fullmatch(c)) else (c,)) for c in chunks}
         new = {p for ps in parts.values() for p in ps if p not in self.words}
+        for p in [p for p in new if p in self.old_words]:
+            self.words[p] = self.old_words[p]
+            new.discard(p)
         plain = [p for p in new if _ONE.fullmatch(p)]
         for p in plain:
             tokens = self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))
@@ -84,12 +89,24 @@ class ChunkCache(dict):
         for c, ps in parts.items():
             self[c] = b"".join([self.words[p] for p in ps])
 
+    def forget(self) -> None:
+        """Give the memory back: Spark keeps idle workers for later tasks, of other stages too."""
+        for table in (self, self.words, self.old, self.old_words):
+            table.clear()
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self) + len(self.words) > CACHE_ENTRIES:
+        # two generations: what was used since the last change survives the next one
+        if len(self) > CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-            self.words.clear()
+        if len(self.words) > CACHE_ENTRIES:
+            self.old_words = self.words
+            self.words = {}
         split = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         unseen = {c for chunks in split if chunks for c in chunks if c not in self}
+        for c in [c for c in unseen if c in self.old]:
+            self[c] = self.old[c]
+            unseen.discard(c)
         if unseen:
             self._learn(unseen)
         for text, chunks in zip(texts, split, strict=True):
@@ -130,6 +147,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                     [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
+        cache.forget()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
