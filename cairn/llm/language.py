@@ -19,6 +19,7 @@ from cairn.llm.quality import held_out
 
 TRAIN_ROWS = 600  # expected training rows a language
 LANDMARKS = 40  # expected landmarks a language
+ALL_ROWS, ALL_LANDMARKS = 24_000, 1_600  # of all languages together; shared out evenly where the numbers a language exceed them
 VOCABULARY = 4095  # n-grams whose presence counts
 ORDERS = (2, 3, 4)
 RIDGE = 1e-2
@@ -132,6 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     counts = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
+    rows, landmarks = (max(1, min(n, total // max(1, len(languages)))) for n, total in ((rows, ALL_ROWS), (landmarks, ALL_LANDMARKS)))
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     without components score 0. Rows that ``whole_vectors`` leaves out take no part. Repeated rows are queries and candidates
     each on their own, but a query id gets one list of k rows. An empty table gives none.
 
-    Query blocks meet data blocks pairwise, a stated query set against all rows; each pair sends at most k rows a query on.
+    Query blocks meet data blocks pairwise, a stated query set against all rows; each task sends at most k rows a query on.
     """
     whole = whole_vectors(vectors, id_col, vector_col, scale)
     data = _blocks(whole, BLOCK_ROWS, True)
@@ -105,15 +105,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     pairs = data.hint("shuffle_replicate_nl").join(asked, F.col("dim") == F.col("q_dim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[int, int]]] = {}  # the k best of each query over all data blocks this task meets
         for batch in batches:
             for row in batch.to_pylist():
                 ids, dim = np.frombuffer(row["ids"], np.int64), row["dim"]
                 query_ids = np.frombuffer(row["q_ids"], np.int64)
                 shape = lambda x, n, kind=np.float64: np.frombuffer(x, kind).reshape(n, -1) if dim else np.zeros((n, 0), kind)
                 cells = shape(row["code"], len(ids), np.uint8), *(np.frombuffer(row[c]).reshape(dim, CELLS) for c in ("low", "high"))
-                out = [(q, v, s) for q, best in search(shape(row["q_exact"], len(query_ids)), query_ids, shape(row["exact"], len(ids)), ids, cells, k) for s, v in best]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                for q, found in search(shape(row["q_exact"], len(query_ids)), query_ids, shape(row["exact"], len(ids)), ids, cells, k):
+                    best[q] = sorted([*best.get(q, []), *((-s, v) for s, v in found)])[:k]
+        out = [(q, v, -s) for q, found in best.items() for s, v in found]
+        for i in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + 50_000], strict=True)], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
