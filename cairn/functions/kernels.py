@@ -165,6 +165,11 @@ def _straightened(ring: Ring) -> Ring:
 
 
 def intersection(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
+    if len(a) == len(b) == len(a[0]) == len(b[0]) == 1 and convex(a[0][0]) and convex(b[0][0]):
+        frame = b[0][0] if area(b[0][0]) > 0 else b[0][0][::-1]
+        both = clip_convex(a[0][0] if area(a[0][0]) > 0 else a[0][0][::-1], frame)
+        size = float(np.ptp(np.concatenate([a[0][0], b[0][0]]), axis=0).max())
+        return [[both]] if len(both) and area(both) > 1e-12 * size * size else []
     return overlay(a, b, np.logical_and)
 
 
@@ -173,6 +178,8 @@ def difference(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
 
 
 def union(region: list[Polygon]) -> list[Polygon]:
+    if len(region) == 1 and len(region[0]) == 1 and convex(region[0][0]):
+        return region
     return overlay(region, [], lambda x, y: x)
 
 
@@ -241,6 +248,8 @@ def capsule(a: np.ndarray, b: np.ndarray, radius: float, quad_segs: int = 8) ->
 def convex(ring: Ring) -> bool:
     """Whether a closed ring turns one way only, once around."""
     step = np.diff(ring, axis=0)
+    if len(step) < 3:
+        return False
     after = np.roll(step, -1, axis=0)
     turn = np.arctan2(step[:, 0] * after[:, 1] - step[:, 1] * after[:, 0], (step * after).sum(1))
     return bool((step != 0).any(1).all()) and ((turn > 0).all() or (turn < 0).all()) and abs(abs(turn.sum()) - 2 * np.pi) < 1e-9

@@ -178,10 +178,19 @@ def boxes_of(fx: DataFrame, key: str = "fid") -> DataFrame:
 
 
 def paired(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """a's columns with b_fid, b_type and b_rings for every pair whose boxes meet."""
+    """a's columns with b_fid, b_type and b_rings for every pair whose boxes meet.
+
+    Pairs are dealt out evenly over all shuffle partitions: the kernels that follow take long for few bytes, which adaptive
+    coalescing would put into few tasks.
+    """
     pairs = box_pairs(boxes_of(a), boxes_of(b)) if pairs is None else pairs
     right = b.select(F.col("fid").alias("b_id"), F.col("geom_type").alias("b_type"), F.col("rings").alias("b_rings"))
-    return a.join(pairs, a["fid"] == pairs["a_id"]).drop("a_id").join(right, "b_id").withColumnRenamed("b_id", "b_fid")
+    met = a.join(pairs, a["fid"] == pairs["a_id"]).drop("a_id").join(right, "b_id").withColumnRenamed("b_id", "b_fid")
+    return met.repartition(shuffle_partitions(a))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut_by(kind: str, rings: list[np.ndarray], polygon: list[np.ndarray]) -> Parts:
@@ -257,7 +266,7 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
         parts = K.union([rings_of(r) for r in table["rings"].to_pylist()])
         return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([values_of(p) for p in parts], RINGS_ARROW)], names=["cx", "cy", "part", "rings"])
 
-    return pieces.groupBy("cx", "cy").applyInArrow(unite, f"cx long, cy long, part int, rings {RINGS}")
+    return pieces.repartition(shuffle_partitions(fx), "cx", "cy").groupBy("cx", "cy").applyInArrow(unite, f"cx long, cy long, part int, rings {RINGS}")
 
 
 def union_area(fx: DataFrame) -> DataFrame:
