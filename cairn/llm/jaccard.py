@@ -240,8 +240,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("id is not null")
     digests = materialise(set_digests(texts, n))
-    # classes of equal sets
-    classes = digests.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    # classes of equal sets; written, so that the join meets its rows by a shuffle of its own, whose skew Spark can split
+    classes = digests.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    classes = materialise(classes.filter(F.col("rows") > 1).drop("rows"))
     placed = materialise(digests.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     # coarse groups
     rows = _sketch_rows(known, percent, n)
