@@ -31,7 +31,7 @@ from cairn.plans.storage import materialise
 
 LENGTH = 100
 ANCHOR = 20
-CROWD = 64  # contexts of an anchor beyond which it is split by window
+CROWD = 2000  # contexts of an anchor beyond which it is split by window
 SLICE = 1 << 18  # bytes whose working arrays stay in the processor's cache
 
 
@@ -83,23 +83,23 @@ def contexts(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     return text, first - at[text], n, lo, roll.of(spot, spot + anchor), mixed(roll.of(first, final + length) ^ shape)
 
 
-def equal_depth_ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order to ``depth`` bytes by prefix doubling: equal numbers for suffixes that agree so far, smaller ones first.
+def depth_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered so that those that agree in ``depth`` bytes stand together, in the order given; and whether each
+    agrees with the one before it.
 
-    Suffixes that reach beyond the end of ``data`` are compared as if it went on with zeros.
+    Which of two different prefixes goes first does not matter to a longest previous factor of ``depth``, so they are ordered
+    by a fingerprint; the common prefix with the neighbour is then checked on the bytes, eight at a time.
     """
-    padded = np.concatenate([data, np.zeros(2 * depth + 8, np.uint8)])
-    rank = np.zeros(len(data) + depth, np.uint64)
-    for i in range(8):
-        rank |= padded[i : i + len(rank)].astype(np.uint64) << np.uint64(8 * (7 - i))
-    have = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while have < depth:
-        step = min(have, depth - have)
-        pair = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
-        rank = np.append(np.unique(pair, return_inverse=True)[1], np.zeros(step, int)).astype(np.uint64)
-        have += step
-    return rank[starts].astype(np.int64)
+    print_of = Rolling(data).of(starts, starts + depth)
+    order = np.argsort(print_of, kind="stable")
+    same = np.append(False, print_of[order[1:]] == print_of[order[:-1]])
+    at = np.flatnonzero(same)
+    words = np.ndarray(max(0, len(data) - 7), "<u8", data.tobytes(), strides=(1,))
+    agree = np.ones(len(at), bool)
+    for i in [*range(0, depth - 8, 8), depth - 8]:
+        agree &= words[starts[order[at]] + i] == words[starts[order[at - 1]] + i]
+    same[at] = agree
+    return order, same
 
 
 def longest_previous_factors(text: bytes) -> list[int]:
@@ -131,20 +131,19 @@ def later_windows(bucketed: list[tuple[int, int, int, bytes]], length: int = LEN
     In suffix order with ties by position, all but the first of a run of equal windows have a previous smaller position
     whose common prefix reaches ``length``; the first of a run has neither a previous nor a next one.
     """
+    bucketed = sorted(bucketed, key=lambda c: (c[0], c[1]))  # contexts of one document do not share windows
     data = np.frombuffer(b"".join(c[3] for c in bucketed), np.uint8)
     sizes = np.array([len(c[3]) for c in bucketed])
     n = np.array([c[2] for c in bucketed])
     owner = np.repeat(np.arange(len(bucketed)), n)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.array([c[0] for c in bucketed], np.int64)[owner]
-    place = np.array([c[1] for c in bucketed], np.int64)[owner] + inner
-    rank = equal_depth_ranks(data, (np.cumsum(sizes) - sizes)[owner] + inner, length)
-    order = np.lexsort((place, doc, rank))
-    same = np.append(False, rank[order[1:]] == rank[order[:-1]])
+    order, same = depth_order(data, (np.cumsum(sizes) - sizes)[owner] + inner, length)
+    doc = np.array([c[0] for c in bucketed], np.int64)[owner[order]]
+    place = np.array([c[1] for c in bucketed], np.int64)[owner[order]] + inner[order]
     # the same window seen twice (a repeated row) is no earlier copy of itself
-    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    later = order[same & ((doc[order] != doc[lead]) | (place[order] != place[lead]))]
-    return _spans(doc[later], place[later], np.ones(len(later), np.int64), length)
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    later = same & ((doc != doc[lead]) | (place != place[lead]))
+    return _spans(doc[later], place[later], np.ones(int(later.sum()), np.int64), length)
 
 
 def _spans(doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -338,7 +337,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     rows = _context_rows(docs, length, anchor)
     compared = materialise(rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "first").mapInArrow(_compare_hashes(length), _FOUND))
     contested = compared.filter("key is not null")
-    crowds = contested.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("key", F.lit(True).alias("crowd"))
+    # written, so that the join shuffles its rows on its own and Spark can split a crowded key, or broadcasts if it measures little
+    crowds = materialise(contested.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("key", F.lit(True).alias("crowd")))
     wanted = contested.join(crowds, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "first", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("wanted"))
     # both joins shuffle the texts alike, so that Spark shuffles them once; what they meet grows with the corpus
     fetched = docs.hint("merge").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch_bytes(length), "key long, doc long, first long, n long, data binary")
