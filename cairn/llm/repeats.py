@@ -355,7 +355,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keeps everything. An empty table gives none; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts.filter("doc is not null"), length, anchor)
+    known = texts.filter("doc is not null")
+    spans = repeated_spans(known, length, anchor)
     by_doc = spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,5 +373,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array([len(t) for t in part], pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "removed", "kept"])
 
-    joined = texts.hint("merge").join(by_doc, F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    joined = known.hint("merge").join(by_doc, F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    joined = joined.unionByName(texts.filter("doc is null").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType)))
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, removed array<struct<a:long,b:long>>, kept binary")
