@@ -590,3 +590,42 @@ def polygons_centre(spark, sf):
     mask, meta = parts_mask(spark, sf)
     shapes = G.segment_to_polygons(mask, meta, 1, "centre", 4.0, 0.5)
     return shapes.select("raster_id", "feature_id", F.round("area", 6).alias("area"), F.round(ring_area(F.col("rings")[0]), 6).alias("outer"))
+
+
+# ---------------------------------------------------------------- further operators on their own
+
+
+@query(f"WITH {PX_ORDERS}, s AS (SELECT band AS b, min(v) AS lo, max(v) AS hi FROM px GROUP BY band) SELECT band, x, y, round((v - lo) / (hi - lo), 6) AS v FROM px JOIN s ON b = band")
+def normalize(spark, sf):
+    return out(R.raster_normalize(px_orders(spark, sf)[0]), "band x y", "v")
+
+
+@query(f"WITH {FX_BOXES} SELECT fid, fid % 3 <> 1 AS usable FROM a")
+def geometry_checks(spark, sf):
+    """A third of the boxes cut down to three points."""
+    fx = fx_boxes(spark, sf).withColumn("rings", F.transform("rings", lambda r: F.when(F.col("fid") % 3 == 1, F.slice(r, 1, 3)).otherwise(r)))
+    return V.to_geometry_checks(fx).select("fid", "usable")
+
+
+@query("SELECT 'boxes' AS layer, count(*) AS n FROM customer")
+def feature_count(spark, sf):
+    return out(SV.feature_count(fx_boxes(spark, sf)), "n", "", "layer")
+
+
+@query(f"WITH {PX_ORDERS} SELECT x, y, round(v, 6) AS v FROM px WHERE band = 1")
+def band_data(spark, sf):
+    return out(SR.band_data(px_orders(spark, sf)[0], 1), "x y", "v")
+
+
+@query(f"WITH {FX_BOXES} SELECT fid, 'Feature' AS kind, 5::BIGINT AS n FROM a")
+def geojson(spark, sf):
+    """Each box as a GeoJSON feature, read again as JSON."""
+    lines = SV.to_geojson(fx_boxes(spark, sf).select("layer", "fid", "geom_type", "rings", "c_mktsegment"))
+    ring = F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<array<double>>>")[0]
+    return lines.select(F.get_json_object("value", "$.id").cast("long").alias("fid"), F.get_json_object("value", "$.type").alias("kind"), F.size(ring).cast("long").alias("n"))
+
+
+@query("SELECT true AS success, count(DISTINCT o_orderpriority) AS succeeded, count(DISTINCT o_orderpriority) AS total FROM orders")
+def overall_report(spark, sf):
+    report = S.batch_segment(*px_multi(spark, sf), lambda x: linear_scorer(x / 10000.0), S.SegmentConfig(tile=64, stride=48, channels=1), polygons=False)[2]
+    return S.overall_report(report).select("success", "succeeded", "total")
