@@ -28,7 +28,7 @@ SEARCH_NODES = 1500  # nodes of the branch-and-bound; the best packing found so
 FILLINGS = 3  # fillings tried at a node, in order of waste
 FILLING_STEPS = 600  # steps of the enumeration at a node
 BEST_FIT_EVERY = 32  # levels between best-fit incumbents
-CACHE_ENTRIES = 150_000  # of each of four tables
+CACHE_ENTRIES = 200_000  # chunks of a generation
 
 # ---------------------------------------------------------------- tokens
 
@@ -54,7 +54,10 @@ _tokenizers: dict[str, "ChunkCache"] = {}
 
 
 class ChunkCache(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks, encoded a batch of unseen ones at a time."""
+    """Token ids (little-endian unsigned 32-bit) of chunks, encoded when first met.
+
+    Two generations bound the memory: when one is full it becomes the old one, and what is met again is taken over from it.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -63,9 +66,7 @@ class ChunkCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> "ChunkCache":
@@ -73,47 +74,35 @@ class ChunkCache(dict):
             _tokenizers[path] = ChunkCache(path)
         return _tokenizers[path]
 
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {c: (m.groups() if (m := _WORD_MARKS.fullmatch(c)) else (c,)) for c in chunks}
-        new = {p for ps in parts.values() for p in ps if p not in self.words}
-        for p in [p for p in new if p in self.old_words]:
-            self.words[p] = self.old_words[p]
-            new.discard(p)
-        plain = [p for p in new if _ONE.fullmatch(p)]
-        for p in plain:
-            tokens = self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))
-            self.words[p] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        rest = list(new.difference(plain))
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[p] = np.array(e.ids, "<u4").tobytes()
-        for c, ps in parts.items():
-            self[c] = b"".join([self.words[p] for p in ps])
-
-    def forget(self) -> None:
-        """Give the memory back: Spark keeps idle workers for later tasks, of other stages too."""
-        for table in (self, self.words, self.old, self.old_words):
-            table.clear()
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if _ONE.fullmatch(chunk):
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))])
+            elif parts := _WORD_MARKS.fullmatch(chunk):
+                ids = self[parts[1]] + self[parts[2]]
+            else:
+                ids = self._encode(chunk)
+        self[chunk] = ids
+        return ids
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        # two generations: what was used since the last change survives the next one
-        if len(self) > CACHE_ENTRIES:
-            self.old = dict(self)
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def settle(self) -> None:
+        """After a task, keep only what was met in both generations: idle workers, which Spark keeps, then hold little."""
+        if self.old:
+            often = {c: ids for c, ids in self.items() if c in self.old}
             self.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.old_words = self.words
-            self.words = {}
-        split = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        unseen = {c for chunks in split if chunks for c in chunks if c not in self}
-        for c in [c for c in unseen if c in self.old]:
-            self[c] = self.old[c]
-            unseen.discard(c)
-        if unseen:
-            self._learn(unseen)
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join(map(self.__getitem__, chunks))
+            self.update(often)
+            self.old = {}
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if len(self) > CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            yield self._encode(text) if _OTHER_SPACE.search(text) else b"".join(map(self.__getitem__, _CHUNK.findall(text)))
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -147,7 +136,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                     [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
-        cache.forget()
+        cache.settle()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
