@@ -22,6 +22,20 @@ IS_DARK = lookup(lambda b: b not in (0x20, 9, 10, 11, 12, 13))
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``limit`` bytes, for work that gains from seeing more rows at once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

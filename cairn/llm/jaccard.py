@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.bytetext import IS_DARK, LOWER, Block, encoded, slices
+from cairn.llm.bytetext import IS_DARK, LOWER, Block, encoded, regrouped, slices
 from cairn.llm.decontamination import word_hashes
 from cairn.plans.components import connected_components
 from cairn.plans.storage import materialise
@@ -166,7 +166,7 @@ def _sketch_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """(id, text) to rows (key, id, with): a part of a sketch (with null), or a chain to another id of the batch with the same part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches):
             ids = _ids(batch)
             texts = encoded(batch.column(1))
             places, keys = [], []

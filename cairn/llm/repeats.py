@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.bytetext import Block, encoded, slices
+from cairn.llm.bytetext import Block, encoded, regrouped, slices
 from cairn.llm.decontamination import _BYTE, _powers, merged
 from cairn.llm.jaccard import mixed
 from cairn.plans.storage import materialise
@@ -168,7 +168,7 @@ def _context_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """(doc, text) to the batch's different contexts; what repeats in the batch comes as spans with null ctx (first, first + n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = encoded(batch.column(1))
             parts = []
