@@ -5,6 +5,12 @@ at most the size of the symmetric difference. Sets that reach the threshold diff
 the sizes; with the n-grams dealt by hash into more than D parts, some part of both sketches is equal (pigeonhole).
 Sizes are banded, so that both sets of a pair use the same number of parts.
 
+Below 90 % parts would hold so few n-grams that any shared passage makes them equal. There the n-grams of a set are put into
+one order, common ones last, and the first of them are its parts: two sets that share at least the threshold of the larger
+one share one of their first n-grams, whatever the order. Common are those that a sample of fixed size meets repeatedly; a
+poor sample costs time and no link. Documents that share such an n-gram are chained only if their parity sketches are near
+enough; where more than CROWD documents share one, all are.
+
 1. Sets that are equal are put into classes by a hash; the smallest id stands for its class.
 2. Documents that agree in a part are chained to the smallest id that has it; the chains' components are coarse groups that
    hold every link. Within a map batch equal parts are chained at once, so that a very common part sends one row a batch.
@@ -34,6 +40,9 @@ NGRAM = 3
 THRESHOLD = 90  # percent
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 200_000
+SAMPLE_DOCS = 20_000
+COMMON_GRAMS = 1_000_000
+CROWD, CROWD_IN_BATCH = 1024, 32
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -145,8 +154,14 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def set_digests(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(id, text) to id, n_shingles and two hashes of the set."""
+def parity_sketch(s: np.ndarray) -> bytes:
+    """A parity sketch of at least as many bits as the set has n-grams, a power of two; bit i is the parity of hashes i modulo that."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def set_digests(docs: DataFrame, n: int = NGRAM, sketched: bool = False) -> DataFrame:
+    """(id, text) to id, n_shingles, two hashes of the set and its sketch (null unless ``sketched``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,14 +171,67 @@ def set_digests(docs: DataFrame, n: int = NGRAM) -> DataFrame:
                 h1 = [int(np.bitwise_xor.reduce(mixed(s))) if len(s) else 0 for s in sets]
                 h2 = [int(np.add.reduce(mixed(s + np.uint64(7)))) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["id", "n", "h1", "h2"]
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)),
+                        pa.array([parity_sketch(s) if sketched else None for s in sets], pa.binary()),
+                    ],
+                    names=["id", "n", "h1", "h2", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch binary")
+
+
+Common = tuple[np.ndarray, np.ndarray]  # sorted n-grams, and how many sampled sets have each
 
 
-def _sketch_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(id, text) to rows (key, id, with): a part of a sketch (with null), or a chain to another id of the batch with the same part."""
+def common_grams(docs: DataFrame, n: int, rows: int) -> Common:
+    """The n-grams that more than one set of a sample of the ``rows`` rows (id, text) has; at most COMMON_GRAMS, the most common ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regrouped(batches):
+            texts = encoded(batch.column(0))
+            for a, b in slices(texts):
+                gram, times = np.unique(np.concatenate(shingle_sets(texts[a:b], n)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))], names=["gram", "times"])
+
+    million = min(1_000_000, SAMPLE_DOCS * 1_000_000 // max(1, rows))
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < million).select("text")
+    counted = materialise(sample.mapInArrow(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).filter("times > 1"))
+    least, held = 2, 0
+    for r in counted.groupBy("times").count().orderBy(F.desc("times")).collect():
+        held += r["count"]
+        if held > COMMON_GRAMS:
+            least = r.times + 1
+            break
+    found = counted.filter(F.col("times") >= least).toArrow()
+    gram = found["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], np.minimum(found["times"].to_numpy(), 1 << 20)[order].astype(np.int64)
+
+
+def first_grams(sets: list[np.ndarray], percent: int, common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, key) for the first n-grams of each set, common ones last: as many as reach one of those of any set over the threshold."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    gram, times = common
+    weight = np.zeros(len(values), np.int64)
+    if len(gram):
+        at = np.minimum(np.searchsorted(gram, values), len(gram) - 1)
+        weight = np.where(gram[at] == values, times[at], 0)
+    order = np.argsort(owner << 21 | weight, kind="stable")  # a set is sorted: ties are in the order of the n-grams
+    rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = rank < (sizes - -(-sizes * percent // 100) + 1)[owner]
+    return owner[taken], values[order][taken]
+
+
+def _sketch_rows(docs: DataFrame, percent: int, n: int, common: Common | None = None) -> DataFrame:
+    """(id, text) to rows (key, id, with): a part of a sketch (with null), or a chain to another id of the batch with the same part.
+
+    With ``common``, the parts are the first n-grams, and only those that many documents of the batch have are chained here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regrouped(batches):
@@ -171,13 +239,17 @@ def _sketch_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
             texts = encoded(batch.column(1))
             places, keys = [], []
             for a, b in slices(texts):
-                p, k = part_keys(shingle_sets(texts[a:b], n), percent)
+                sets = shingle_sets(texts[a:b], n)
+                p, k = part_keys(sets, percent) if common is None else first_grams(sets, percent, common)
                 places.append(ids[p + a])
                 keys.append(k)
             doc, key = np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
             order = np.lexsort((doc, key))
             doc, key = doc[order], key[order]
             fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            if common is not None and len(key):
+                run_of = np.cumsum(fresh) - 1
+                fresh |= (np.bincount(run_of) <= CROWD_IN_BATCH)[run_of]
             lead = doc[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(key) else doc
             chained = np.unique(np.column_stack([doc, lead])[(~fresh) & (doc != lead)], axis=0)
             out_key = np.concatenate([key[fresh].view(np.int64), mixed(chained[:, 0].astype(np.uint64)).view(np.int64)])
@@ -189,6 +261,58 @@ def _sketch_rows(docs: DataFrame, percent: int, n: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, id long, other long")
 
 
+def near_pairs(group: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Of (id, size, sketch), a spanning forest of the pairs whose sizes and sketches allow a link."""
+    every = sorted((n, i, len(b) * 8, int.from_bytes(b, "little")) for i, n, b in group)
+    root = list(range(len(every)))
+    out = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, (n, i, bits, sketch) in enumerate(every):
+        for y in range(x + 1, len(every)):
+            m, j, wide, other = every[y]
+            if m * percent > n * 100:
+                break
+            while wide > bits:  # a sketch of half as many bits is the sum of the halves
+                wide //= 2
+                other = (other & ((1 << wide) - 1)) ^ (other >> wide)
+            if (sketch ^ other).bit_count() <= (n + m) * (100 - percent) // (100 + percent) and find(x) != find(y):
+                root[find(y)] = find(x)
+                if i != j:
+                    out.append((i, j))
+    return out
+
+
+def _near_chains(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Rows of first n-grams to chains (id, other): of near documents where a few share an n-gram, to the smallest id where many do.
+
+    Groups that share several n-grams are compared once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, of = batch.column(0).flatten(), np.diff(batch.column(0).offsets.to_numpy())
+            ids, sizes, marks = (held.field(k).to_pylist() for k in range(3))
+            every, at, out = list(zip(ids, sizes, marks, strict=True)), 0, []
+            for k in of.tolist():
+                out += near_pairs(every[at : at + k], percent)
+                at += k
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["id", "other"])
+
+    whole = Window.partitionBy("key")
+    shared = materialise(rows.select("key", "id", "other", F.count("*").over(whole).alias("docs"), F.min("id").over(whole).alias("lead")).filter("docs > 1 or other is not null"))
+    many = shared.filter(F.col("other").isNotNull() | (F.col("docs") > CROWD)).select("id", F.coalesce("other", "lead").alias("other"))
+    few = shared.filter(F.col("other").isNull() & (F.col("docs") <= CROWD)).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    members = few.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")).join(sketches, "id")
+    groups = members.groupBy("group").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("members")).select("members")
+    return many.unionByName(groups.mapInArrow(run, "id long, other long"))
+
+
 def _forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
     """Links within ``left``, or between ``left`` and ``right``, as stars on the smallest id of what they connect."""
     every = sorted([(i, s, 0) for i, s in left] + [(i, s, 1) for i, s in right or []], key=lambda x: (len(x[1]), x[0]))
@@ -239,15 +363,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("id is not null")
-    digests = materialise(set_digests(texts, n))
+    by_order = percent < THRESHOLD
+    digests = materialise(set_digests(texts, n, by_order))
     # classes of equal sets; written, so that the join meets its rows by a shuffle of its own, whose skew Spark can split
     classes = digests.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     classes = materialise(classes.filter(F.col("rows") > 1).drop("rows"))
     placed = materialise(digests.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     # coarse groups
-    rows = _sketch_rows(known, percent, n)
-    lead = F.min("id").over(Window.partitionBy("key"))
-    chains = rows.withColumn("lead", lead).select("id", F.coalesce("other", "lead").alias("other")).filter("id != other").distinct()
+    common = common_grams(known, n, digests.filter("n > 0").count()) if by_order else None
+    rows = _sketch_rows(known, percent, n, common)
+    if by_order:
+        chains = _near_chains(rows, digests.filter("n > 0 and id is not null").select("id", "n", "sketch"), percent)
+    else:
+        lead = F.min("id").over(Window.partitionBy("key"))
+        chains = rows.withColumn("lead", lead).select("id", F.coalesce("other", "lead").alias("other"))
+    chains = chains.filter("id != other").distinct()
     coarse = connected_components(chains, "id", "other")
     members = coarse.join(placed.filter("id = rep").select(F.col("id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")

@@ -69,6 +69,37 @@ def test_chains_of_near_copies(spark, percent, monkeypatch):
     assert got == brute_components(rows, percent)
 
 
+@pytest.mark.parametrize(("crowd", "sample"), [(1024, 20_000), (1024, 0), (2, 20_000)])
+def test_stage_on_five_words(spark, crowd, sample, monkeypatch):
+    """The pipeline's stage drops copies from 0.8 of five-word shingles on, whatever passages other documents share."""
+    import cairn.llm.jaccard as J
+    from corpus_pipeline import near_duplicates
+
+    monkeypatch.setattr(J, "CROWD", crowd)
+    monkeypatch.setattr(J, "CROWD_IN_BATCH", crowd)
+    monkeypatch.setattr(J, "SAMPLE_DOCS", sample)
+    rng = random.Random(3)
+    fresh = lambda k: [f"c{rng.randrange(10**9)}" for _ in range(k)]
+    base, line = fresh(500), fresh(30)
+    texts = [base, base + fresh(80)]  # 496 / 576 = 0.861 at five words, 498 / 578 < 0.9 at three
+    for n in (100, 104, 105, 300):  # around 0.8
+        one = fresh(n)
+        texts += [one, one[: n - 9], [*one, *fresh(24)], [*one, *fresh(25)]]
+    edited = [w if i % 50 else "edit" for i, w in enumerate(base)]
+    texts += [edited, *([*fresh(rng.randrange(5, 120)), *line, *fresh(10)] for _ in range(20)), fresh(3), [], fresh(4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [(i, {tuple(t[k : k + 5]) for k in range(len(t) - 4)}) for i, t in enumerate(texts)]
+    root = list(range(len(texts)))
+    for i, s in sets:
+        for j, t in sets[:i]:
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert root[1] == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in near_duplicates(spark, docs, "").collect()} == {i for i, r in enumerate(root) if i == r}
+
+
 def test_components_of_odd_rows(spark, empty):
     assert jaccard_components(empty).isEmpty()
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, "A b C d"), (9, None)], "doc_id long, text string")
