@@ -3,15 +3,18 @@
 A surrogate is a keyed permutation of the entity's symbols, each within its own alphabet (digits, lower and upper letters of one
 script, vowels and consonants of a name), so different entities get different surrogates, the same entity the same one
 everywhere, and lengths, separators and case stay. A check over all entities of the corpus finds surrogates that are real
-entities of it, or that coincide; those are drawn again until none is left.
+entities of it, or that coincide; those are drawn again until none is left. Where a format has too few values for that, later draws are
+longer by one keyed symbol a round.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,7 @@ from cairn.llm.bytetext import encoded
 from cairn.plans.storage import materialise
 
 KEY = b"replace this key"  # a real run passes its own
-ATTEMPTS = 12
+ATTEMPTS = 12  # draws of the same length
 
 #: First names by gender (fixed values); a name is replaced by another of its row.
 FEMALE = "Alice Anna Barbara Carmen Charlotte Clara Elena Emily Emma Eva Greta Helen Irene Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa Ursula".split()
@@ -102,15 +105,36 @@ _ALPHABETS = [_span("0", "9"), _span("a", "z"), _span("A", "Z"), _span("ß", "ÿ
 _NAME_ALPHABETS = ["aeiou", "".join(c for c in _span("b", "z") if c not in "aeiou"), "AEIOU", "".join(c for c in _span("B", "Z") if c not in "AEIOU"), *_ALPHABETS[3:]]
 
 
+class _Places(dict[str, tuple[str, int] | None]):
+    """Alphabet and place of every letter and digit, null for other characters.
+
+    Of a script without an alphabet above, it is the characters of the same script and kind within 256 code points, and the
+    ten digits of a kind.
+    """
+
+    def __missing__(self, c: str) -> tuple[str, int] | None:
+        self[c] = None
+        if c.isalnum():
+            kind, script = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+            if kind == "Nd":
+                zero = ord(c) - unicodedata.decimal(c)
+                alphabet = _span(chr(zero), chr(zero + 9))
+            else:
+                window = [x for x in map(chr, range(ord(c) & ~255, (ord(c) | 255) + 1)) if x.isalnum() and unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script]
+                alphabet = "".join(x for x in window if self.get(x) is None)
+            self |= {x: (alphabet, i) for i, x in enumerate(alphabet)}
+        return self[c]
+
+
 @lru_cache(maxsize=4)
-def _places(named: bool) -> dict[str, tuple[str, int]]:
-    return {c: (alphabet, i) for alphabet in (_NAME_ALPHABETS if named else _ALPHABETS) for i, c in enumerate(alphabet)}
+def _places(named: bool) -> _Places:
+    return _Places({c: (alphabet, i) for alphabet in (_NAME_ALPHABETS if named else _ALPHABETS) for i, c in enumerate(alphabet)})
 
 
 def cipher(value: str, key: bytes, tweak: str, named: bool = False) -> str:
     """Permute the letters and digits of a string, each within its alphabet; other characters stay."""
     known = _places(named)
-    at = [i for i, c in enumerate(value) if c in known]
+    at = [i for i, c in enumerate(value) if known[c]]
     moved = permute([known[value[i]][1] for i in at], [len(known[value[i]][0]) for i in at], key, tweak)
     out = list(value)
     for i, s in zip(at, moved, strict=True):
@@ -118,27 +142,37 @@ def cipher(value: str, key: bytes, tweak: str, named: bool = False) -> str:
     return "".join(out)
 
 
+def _longer(drawn: str, width: int, value: str, key: bytes, tweak: str, named: bool = False) -> str:
+    """``drawn`` with ``width`` further keyed symbols of the alphabet of its last letter or digit."""
+    known = _places(named)
+    alphabet = next((known[c][0] for c in reversed(drawn) if known[c]), known["a"][0])
+    stream = hashlib.shake_256(key + f"|{tweak}|longer|{value}".encode()).digest(4 * width)
+    return drawn + "".join(alphabet[int.from_bytes(stream[4 * k : 4 * k + 4], "big") % len(alphabet)] for k in range(width))
+
+
 def _luhn(payload: str) -> int:
     total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(payload))))
     return -total % 10
 
 
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """Canonical surrogate of a canonical value; ``attempt`` draws another one."""
-    tweak = f"{kind}|{attempt}"
+    """Canonical surrogate of a canonical value; ``attempt`` draws another one, from ATTEMPTS on a longer one each time."""
+    tweak, width = f"{kind}|{attempt}", max(0, attempt - ATTEMPTS + 1)
     if kind == "email":
         local, domain = value.rsplit("@", 1)
-        return f"{cipher(local, key, tweak)}@{cipher(domain, key, tweak)}.example"
+        return f"{_longer(cipher(local, key, tweak), width, value, key, tweak)}@{cipher(domain, key, tweak)}.example"
     if kind == "ip":
-        return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, key, tweak)))
+        drawn = permute([int(x) for x in value.split(".")], [256] * 4, key, tweak)
+        return ".".join(map(str, [*drawn, *hashlib.shake_256(key + f"|{tweak}|longer|{value}".encode()).digest(width)]))
     if kind == "phone":
         code, rest = value.split(":")
-        return f"{code}:{cipher(rest, key, tweak + code)}"
+        return f"{code}:{_longer(cipher(rest, key, tweak + code), width, value, key, tweak)}"
     if kind == "card":  # the last digit keeps its distance from the check digit, so valid numbers stay valid
-        payload = cipher(value[:-1], key, tweak)
-        return payload + str((_luhn(payload) + int(value[-1]) - _luhn(value[:-1])) % 10)
+        payload = _longer(cipher(value[:-1], key, tweak), width, value, key, tweak)
+        digits = _places(False)[value[-1]][0]
+        return payload + digits[(_luhn(payload) + int(value[-1]) - _luhn(value[:-1])) % 10]
     if kind == "iban":
-        body = value[:2] + "00" + cipher(value[4:], key, tweak)
+        body = value[:2] + "00" + _longer(cipher(value[4:], key, tweak), width, value, key, tweak)
         check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
         return f"{value[:2]}{check:02d}{body[4:]}"
     if kind == "name":
@@ -149,8 +183,8 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
                 break
         else:
             first = cipher(first, key, tweak, True)
-        return first + gap + cipher(last, key, tweak + "last", True)
-    return cipher(value, key, tweak)
+        return first + gap + _longer(cipher(last, key, tweak + "last", True), width, value, key, tweak, True)
+    return _longer(cipher(value, key, tweak), width, value, key, tweak)
 
 
 def render(said: str, kind: str, replacement: str) -> str:
@@ -160,7 +194,7 @@ def render(said: str, kind: str, replacement: str) -> str:
     if kind in ("ip", "name"):
         return replacement
     symbols = iter(replacement.replace(":", ""))
-    return "".join(next(symbols) if c.isalnum() else c for c in said)
+    return "".join([*(next(symbols) if c.isalnum() else c for c in said), *symbols])
 
 
 def replace(text: str, key: bytes, other: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
@@ -205,11 +239,12 @@ def resolve(entities: DataFrame, key: bytes = KEY, draw: Callable[[DataFrame, by
     """kind, value, attempt for the entities whose first draw cannot stand; materialised.
 
     A draw stands if it is no entity of the corpus, no surrogate that stands already, and, of those that draw it in the same
-    round, the smallest value has it. An entity without a free surrogate after ATTEMPTS draws raises an error.
+    round, the smallest value has it. After ATTEMPTS draws each is longer than the one before, so that all entities find a
+    free one in the end, however many share a format.
     """
     entities = materialise(entities)
     pending, standing, late = entities, None, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         drawn = draw(pending, key, attempt)
         taken = entities.select("kind", F.col("value").alias("drawn"))
         if standing is not None:
@@ -224,7 +259,7 @@ def resolve(entities: DataFrame, key: bytes = KEY, draw: Callable[[DataFrame, by
             if late is None:
                 return fixed.filter(F.lit(False)).select("kind", "value", "attempt")
             return late.select("kind", "value", "attempt")
-    raise RuntimeError(f"some entities have no free surrogate after {ATTEMPTS} draws")
+    raise AssertionError("unreachable")
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, kinds_col: str = "pii_kinds") -> DataFrame:

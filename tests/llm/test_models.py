@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import language, quality
-from cairn.llm.pii import FEMALE, KEY, MALE, detect, permute, replace, replace_entities, resolve, surrogate
+from cairn.llm.pii import FEMALE, KEY, MALE, detect, permute, render, replace, replace_entities, resolve, surrogate
 from cairn.llm.topk import top_k
 
 
@@ -105,6 +105,28 @@ def test_colliding_draws_are_drawn_again(spark):
     assert sorted(late) == [f"00000000{i}" for i in range(1, 6)] and set(late.values()) == {2}
 
 
+@pytest.mark.parametrize("name", ["李明", "محمد", "דוד", "김철수", "Ševčík", "Ёжиков"])
+def test_names_of_any_script_are_replaced(name):
+    new, kinds = replace(f"Then Dr. {name} left room 7, SSN ١٢٣-٤٥-٦٧٨٩.", KEY, {})
+    assert sorted(kinds) == ["name", "ssn"] and name not in new and "٤٥" not in new
+    assert [k for _, _, k, _ in detect(new)] == kinds and len(new) == len(f"Then Dr. {name} left room 7, SSN ١٢٣-٤٥-٦٧٨٩.")
+
+
+def test_full_formats_get_longer_surrogates(spark):
+    """Every name of one consonant and one vowel is an entity of the corpus: none of them is free."""
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    docs = spark.createDataFrame([(i, f"Here Mr. {x} sat, and Dr. 李明.") for i, x in enumerate(names)], "doc_id long, text string").coalesce(2)
+    got = [r.text for r in replace_entities(docs).collect()]
+    new = [t.split("Mr. ")[1].split(" sat")[0] for t in got]
+    assert len(set(new)) == len(names) and not set(new) & set(names) and min(map(len, new)) == 3
+    assert len({t.split("Dr. ")[1] for t in got}) == 1 and "李明" not in got[0]
+    values = {"email": "a@b.cd", "ip": "1.2.3.4", "phone": "1:2345678", "card": "4111111111111111", "iban": "DE89370400440532013000", "ssn": "123456789", "name": "Mary Li"}
+    for kind, value in values.items():
+        assert len({surrogate(kind, value, KEY, k) for k in (0, 12, 13, 20)}) == 4
+        assert len(surrogate(kind, value, KEY, 30)) > len(surrogate(kind, value, KEY, 0))
+    assert sum(c.isdigit() for c in render("123-45-6789", "ssn", surrogate("ssn", "123456789", KEY, 12))) == 10
+
+
 def test_replaced_table(spark, docs, rows, empty):
     extra = spark.createDataFrame([(2000, TEXT), (2000, TEXT), (2001, None), (None, TEXT)], "doc_id long, text string")
     df = docs.select("doc_id", "text", "key", "n").unionByName(extra, allowMissingColumns=True)
