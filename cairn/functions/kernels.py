@@ -206,6 +206,83 @@ def clip_line(line: np.ndarray, region: list[Polygon]) -> list[np.ndarray]:
     return [np.array(x) for x in out]
 
 
+def on_outline(point: np.ndarray, rings: list[np.ndarray]) -> bool:
+    """Whether a point lies on one of the lines, or is one of the points."""
+    for ring in rings:
+        if (np.abs(ring - point).max(1) == 0).any():
+            return True
+        p, d = ring[:-1], np.diff(ring, axis=0)
+        if len(d):
+            w, length = point - p, np.hypot(d[:, 0], d[:, 1])
+            along = (w * d).sum(1)
+            if ((np.abs(d[:, 0] * w[:, 1] - d[:, 1] * w[:, 0]) <= 1e-9 * length * np.maximum(length, 1e-300)) & (along >= 0) & (along <= length**2)).any():
+                return True
+    return False
+
+
+def touches(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(stretches, points) that the lines of a and those of b share; points on a shared stretch are not named again."""
+    p, q = np.concatenate([r[:-1] for r in a]), np.concatenate([r[1:] for r in a])
+    u, v = np.concatenate([r[:-1] for r in b]), np.concatenate([r[1:] for r in b])
+    size = float(max(np.ptp(np.concatenate([p, q, u, v]), axis=0).max(), 1e-12))
+    eps = 1e-9 * size
+    stretches, points = [], []
+    for s, e in zip(p, q, strict=True):
+        d = e - s
+        length = float(np.hypot(*d))
+        if not length:
+            continue
+        w, x = u - s, v - s
+        side, far = (d[0] * w[:, 1] - d[1] * w[:, 0]) / length, (d[0] * x[:, 1] - d[1] * x[:, 0]) / length
+        at, to = w @ d / length, x @ d / length
+        level = (np.abs(side) <= eps) & (np.abs(far) <= eps)
+        low, high = np.maximum(np.minimum(at, to), 0), np.minimum(np.maximum(at, to), length)
+        for k in np.flatnonzero(level & (high - low > eps)):
+            stretches.append(np.array([s + d * low[k] / length, s + d * high[k] / length]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = np.where(level, np.clip(low, 0, length), at + (to - at) * side / (side - far))
+        met = np.where(level, np.abs(high - low) <= eps, (np.minimum(side, far) <= eps) & (np.maximum(side, far) >= -eps) & (cross >= -eps) & (cross <= length + eps))
+        points += [s + d * cross[k] / length for k in np.flatnonzero(met)]
+    merged = _joined(stretches, 4 * eps)
+    kept: list[np.ndarray] = []
+    for x in points:
+        if not any(np.abs(x - y).max() <= 4 * eps for y in kept) and not any(_near(x, line, 4 * eps) for line in merged):
+            kept.append(x)
+    return merged, kept
+
+
+def _near(point: np.ndarray, line: np.ndarray, eps: float) -> bool:
+    d, w = np.diff(line, axis=0), point - line[:-1]
+    along = np.clip((w * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return bool((np.hypot(*(w - along[:, None] * d).T) <= eps).any())
+
+
+def _joined(stretches: list[np.ndarray], eps: float) -> list[np.ndarray]:
+    """Stretches chained end to end into lines, each stretch once."""
+    left = [x for k, x in enumerate(stretches) if not any(np.abs(x - y).max() <= eps or np.abs(x[::-1] - y).max() <= eps for y in stretches[:k])]
+    lines = []
+    while left:
+        line = list(left.pop(0))
+        grown = True
+        while grown:
+            grown = False
+            for k, x in enumerate(left):
+                for end, other in ((x[0], x[1]), (x[1], x[0])):
+                    if np.abs(line[-1] - end).max() <= eps:
+                        line.append(other)
+                    elif np.abs(line[0] - end).max() <= eps:
+                        line.insert(0, other)
+                    else:
+                        continue
+                    left.pop(k)
+                    grown = True
+                    break
+                if grown:
+                    break
+        lines.append(np.array(line))
+    return lines
+
+
 def clip_convex(ring: Ring, corners: Ring) -> Ring:
     """Sutherland and Hodgman: a ring cut by the half-planes left of the edges of a convex counter-clockwise ring."""
     out = ring[:-1]

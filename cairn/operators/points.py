@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.plans.ranks import running_total
 from cairn.plans.storage import materialise
 
 
@@ -36,15 +37,15 @@ def random_downsample(pc: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """Exactly ceil(n * ratio) points (at least one, if there are any) of each cloud, the same for the same seed.
 
     Points are ordered by a hash of seed and ``ord``. A histogram of the hash's leading bits finds the bucket where the
-    count is reached; only that bucket is ranked, so no task holds a cloud. Buckets number about n / 1000.
+    count is reached; only that bucket is ranked, so no task holds a cloud. Buckets number about n / 1000, and no task meets them all.
     """
     _need(0 < ratio <= 1, "ratio must be in (0, 1]")
     total = pc.count()
     bits = max(6, min(40, math.ceil(math.log2(max(total, 1) / 1000 + 1))))
     hashed = pc.withColumn("_h", F.xxhash64(F.lit(seed), F.col("cloud_id"), F.col("ord"))).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
     counts = hashed.groupBy("cloud_id", "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cloud_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_before", before).withColumn("_all", F.sum("_n").over(Window.partitionBy("cloud_id")))
+    totals = counts.groupBy("cloud_id").agg(F.sum("_n").alias("_all"))
+    placed = running_total(counts, ["cloud_id"], "_b", "_n", "_before").join(totals, "cloud_id")
     placed = placed.select("cloud_id", "_b", "_before", (F.greatest(F.lit(1), F.ceil(F.col("_all") * ratio)) - F.col("_before")).alias("_left"), "_n").filter("_left > 0")
     near = hashed.join(placed, ["cloud_id", "_b"])
     whole = near.filter("_left >= _n")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.affine import pixel_to_geo
-from cairn.operators.vector import RINGS_ARROW
+from cairn.functions.geometry import point_in_ring, ring_area
+from cairn.operators.vector import boxes_of, write_rings
 from cairn.plans.components import connected_components
+from cairn.plans.gridjoin import box_pairs
 from cairn.plans.storage import materialise
 
 RINGS = "array<array<struct<x:double,y:double,z:double>>>"
-# east, then on clockwise on an image whose y points down
-_STEPS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+EAST, WEST, NORTH, SOUTH = range(4)
 
 
 def mask_runs(mask: DataFrame, target: int = 1) -> DataFrame:
@@ -60,116 +59,146 @@ def boundary_edges(mask: DataFrame, target: int = 1) -> DataFrame:
 # ---------------------------------------------------------------- rings of one component
 
 
-def _filled(runs: Iterable[tuple[int, int, int]]) -> tuple[np.ndarray, int, int]:
-    """The component as a grid with a border of one, and the place of the grid's corner."""
-    runs = list(runs)
-    x0, y0 = min(r[1] for r in runs) - 1, min(r[0] for r in runs) - 1
-    grid = np.zeros((max(r[0] for r in runs) - y0 + 2, max(r[2] for r in runs) - x0 + 2), bool)
-    for y, a, b in runs:
-        grid[y - y0, a - x0 : b - x0 + 1] = True
-    return grid, x0, y0
-
-
-def walk(grid: np.ndarray, x: int, y: int, heading: int) -> list[tuple[int, int]]:
-    """Moore walk along set pixels with the outside on the left, from (x, y) to the first return there, closed."""
-    path, at = [(x, y)], (x, y)
-    for _ in range(2 * grid.size):
-        for turn in range(6, 14):
-            step = (heading + turn) % 8
-            to = at[0] + _STEPS[step][0], at[1] + _STEPS[step][1]
-            if grid[to[1], to[0]]:
-                at, heading = to, step
-                break
-        else:
-            break
-        path.append(at)
-        if at == (x, y):
-            break
-    if len(path) >= 3 and path[-1] != path[0]:
-        path.append(path[0])
-    return path
+def signed_area(ring: np.ndarray) -> float:
+    x, y = np.asarray(ring, float).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
 
 
-def signed_area(ring: list[tuple[float, float]]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+class Outline:
+    """The outline of a set of pixel runs as directed straight pieces, the pixels on the right as y points down.
 
+    On the line between two rows of pixels, what one row covers and the other does not are the horizontal pieces; the ends of
+    a run are the vertical ones. Work and memory follow the number of runs, never the extent.
 
-def inside(ring: list[tuple[float, float]], x: float, y: float) -> bool:
-    """Non-zero winding."""
-    turns = 0
-    for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
-        side = (bx - ax) * (y - ay) - (x - ax) * (by - ay)
-        if ay <= y < by and side > 0:
-            turns += 1
-        elif by <= y < ay and side < 0:
-            turns -= 1
-    return turns != 0
+    ``start``/``end``: corners of each piece; ``first``/``last``: the pixels along its right side; ``run``: a run beside it.
+    """
+
+    def __init__(self, y: np.ndarray, x0: np.ndarray, x1: np.ndarray):
+        n, of = len(y), np.arange(len(y))
+        line, at = np.concatenate([y, y, y + 1, y + 1]), np.concatenate([x0, x1 + 1] * 2)
+        change = np.zeros((4 * n, 2), np.int64)  # of what the row below the line covers, and of what the row above it does
+        change[:n, 0], change[n : 2 * n, 0], change[2 * n : 3 * n, 1], change[3 * n :, 1] = 1, -1, 1, -1
+        order = np.lexsort((at, line))
+        line, at, change, of = line[order], at[order], change[order], np.tile(of, 4)[order]
+        head = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (at[1:] != at[:-1])))
+        covered = np.cumsum(change, axis=0)[np.append(head[1:], len(at)) - 1]
+        self.line, self.at = line[head], at[head]
+        # the run that was opened last, below and above: where something is covered, it covers it
+        corner = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))
+        holder = np.zeros((len(head), 2), np.int64)
+        for side in (0, 1):
+            opens = change[:, side] == 1
+            opened = np.zeros(len(head), np.int64)
+            opened[corner[opens]] = np.arange(len(of))[opens]
+            holder[:, side] = of[np.maximum.accumulate(opened)]
+        below, above = np.flatnonzero((covered == (1, 0)).all(1)), np.flatnonzero((covered == (0, 1)).all(1))
+        here = self._corner(y, x0), self._corner(y + 1, x0), self._corner(y, x1 + 1), self._corner(y + 1, x1 + 1)
+        pieces = [  # start, end, first and last pixel (x, y), run
+            (below, below + 1, self.at[below], self.line[below], self.at[below + 1] - 1, self.line[below], holder[below, 0]),
+            (above + 1, above, self.at[above + 1] - 1, self.line[above] - 1, self.at[above], self.line[above] - 1, holder[above, 1]),
+            (here[1], here[0], x0, y, x0, y, np.arange(n)),
+            (here[2], here[3], x1, y, x1, y, np.arange(n)),
+        ]
+        self.start, self.end, fx, fy, lx, ly, self.run = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        self.first, self.last = np.column_stack([fx, fy]), np.column_stack([lx, ly])
+        self.kind = np.repeat((EAST, WEST, NORTH, SOUTH), [len(p[0]) for p in pieces])
+
+    def _corner(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        low = min(self.at.min(), at.min())
+        wide = int(max(self.at.max(), at.max()) - low) + 1
+        return np.searchsorted((self.line - self.line.min()) * wide + self.at - low, (line - self.line.min()) * wide + at - low)
+
+    def loops(self, joined: bool) -> list[np.ndarray]:
+        """Closed sequences of pieces. Where two pixels meet at a corner only, ``joined`` says whether the outline passes from one to the other."""
+        leaving = np.full((len(self.at), 4), -1)  # the pieces that leave a corner, by their direction
+        leaving[self.start, self.kind] = np.arange(len(self.start))
+        several = (leaving >= 0).sum(1) > 1
+        turn = np.array([NORTH, SOUTH, WEST, EAST] if joined else [SOUTH, NORTH, EAST, WEST])[self.kind]
+        follow = np.where(several[self.end], leaving[self.end, turn], leaving[self.end].max(1))
+        step, free, out = follow.tolist(), bytearray(b"\1") * len(follow), []
+        for k in range(len(step)):
+            if free[k]:
+                loop = []
+                while free[k]:
+                    free[k] = 0
+                    loop.append(k)
+                    k = step[k]
+                out.append(np.array(loop))
+        return out
+
+
+def _bends(points: np.ndarray) -> np.ndarray:
+    """A closed ring without repeated points and without those it passes straight on."""
+    points = points[(points != np.roll(points, 1, axis=0)).any(1)]
+    while len(points) > 2:
+        ahead, back = np.roll(points, -1, axis=0) - points, points - np.roll(points, 1, axis=0)
+        turns = (back[:, 0] * ahead[:, 1] != back[:, 1] * ahead[:, 0]) | ((back * ahead).sum(1) < 0)
+        if turns.all():
+            break
+        points = points[turns]
+    return np.concatenate([points, points[:1]])
 
 
-def centre_rings(runs: Iterable[tuple[int, int, int]]) -> tuple[list, list]:
-    """(outer rings, holes) through pixel centres. Starts are pixels without a left neighbour, rows from the top.
+def polygons_of(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, mode: str) -> list[list[np.ndarray]]:
+    """Polygons (outer ring, holes) of the pixels of one component.
 
-    A walk ends at its first return to its start, so very thin shapes may be cut short; rings of fewer than four points are
-    dropped. ``edge_rings`` has no such cases.
+    ``edge``: along the sides of the pixels, so that the area is their number; rings touch at corners and never cross, and the
+    parts of a component that hang together by corners only are polygons of their own. ``centre``: the same outline drawn
+    through the middles of its pixels, passing on at such corners; where it encloses nothing, it is no polygon.
+    """
+    outline = Outline(y, x0, x1)
+    rings: list[tuple[float, int, np.ndarray]] = []  # area of the outline itself, part, ring
+    part = _parts(y, x0, x1) if mode == "edge" else np.zeros(len(y), np.int64)
+    for loop in outline.loops(joined=mode == "centre"):
+        corners = outline.start[loop]
+        at = np.column_stack([outline.at[corners], outline.line[corners]])
+        through = at if mode == "edge" else np.stack([outline.first[loop], outline.last[loop]], axis=1).reshape(-1, 2)
+        rings.append((signed_area(np.concatenate([at, at[:1]])), int(part[outline.run[loop[0]]]), _bends(through)))
+    shells = {of: ring for area, of, ring in rings if area > 0}
+    out = {of: [ring] for of, ring in shells.items() if len(ring) >= 4 and signed_area(ring) > 0}
+    for area, of, ring in rings:
+        if area < 0 and of in out and len(ring) >= 4 and signed_area(ring) < 0:
+            out[of].append(ring)
+    return list(out.values())
+
+
+def _parts(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Number of the part (pixels connected by their sides) of each run."""
+    order = np.lexsort((x0, y))
+    low = x0.min() - 1
+    wide = int(x1.max() - low) + 2
+    first, last = (y * wide + x0 - low)[order], (y * wide + x1 - low)[order]
+    # runs of the next row that a run touches: they end at its start or later, and start at its end or before
+    begin, stop = np.searchsorted(last, first + wide), np.searchsorted(first, last + wide, side="right")
+    root = list(range(len(y)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
+        for other in range(a, b):
+            root[find(other)] = find(k)
+    out = np.empty(len(y), np.int64)
+    out[order] = [find(k) for k in range(len(y))]
+    return out
+
+
+def associate_holes(outers: DataFrame, holes: DataFrame) -> DataFrame:
+    """hole, outer: the outer ring each hole belongs to, for loose rings (id, ring: array of points).
+
+    It is the smallest ring around the hole's first point (the deepest one, where rings do not cross), of equal ones that
+    with the smallest id, and null where there is none. Candidates come from the grid join of boxes.
     """
-    grid, x0, y0 = _filled(runs)
-    starts = [(int(x), int(y)) for y, x in np.argwhere(grid & ~np.roll(grid, 1, axis=1))]
-    seen: set[tuple[int, int]] = set()
-    outer, holes = [], []
-    for heading in (0, 4):
-        for x, y in starts:
-            if (x, y) in seen or (heading == 4 and not grid[y, x + 1]):
-                continue
-            ring = walk(grid, x, y, heading)
-            if len(ring) < 4 or (heading == 4 and signed_area(ring) >= 0):
-                continue
-            seen |= set(ring) if heading == 4 else {p for p in ring if not grid[p[1], p[0] - 1]}
-            (outer if signed_area(ring) > 0 else holes).append([(a + x0, b + y0) for a, b in ring])
-    return outer, holes
-
-
-def edge_rings(runs: Iterable[tuple[int, int, int]]) -> tuple[list, list]:
-    """(outer rings, holes) along pixel sides: the enclosed area is the number of pixels. Rings touch at corners, never cross."""
-    grid, x0, y0 = _filled(runs)
-    follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in np.argwhere(grid):
-        for beside, a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
-            if not grid[beside]:
-                follow.setdefault((int(a[0]), int(a[1])), []).append((int(b[0]), int(b[1])))
-    outer, holes = [], []
-    while follow:
-        start = min(follow, key=lambda p: (p[1], p[0]))
-        ring, at, came = [start], start, None
-        while True:
-            choices = follow[at]
-            if len(choices) > 1 and came is not None:  # two ways at a corner: keep to the own pixel
-                right = (-came[1], came[0])
-                choices.sort(key=lambda p: (p[0] - at[0], p[1] - at[1]) != right)
-            to = choices.pop(0)
-            if not choices:
-                del follow[at]
-            came = (to[0] - at[0], to[1] - at[1])
-            at = to
-            if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == came:
-                ring[-1] = at
-            else:
-                ring.append(at)
-            if at == start:
-                break
-        ring = [(a + x0, b + y0) for a, b in ring]
-        (outer if signed_area(ring) > 0 else holes).append(ring)
-    return outer, holes
-
-
-def associate_holes(outer: list, holes: list) -> list[tuple[list, list]]:
-    """Each hole goes to the outer ring that holds its first point and lies deepest among those that do."""
-    depth = [sum(inside(other, *ring[0]) for j, other in enumerate(outer) if j != i) for i, ring in enumerate(outer)]
-    held: list[list] = [[] for _ in outer]
-    for hole in holes:
-        around = [i for i, ring in enumerate(outer) if inside(ring, *hole[0])]
-        if around:
-            held[max(around, key=lambda i: depth[i])].append(hole)
-    return list(zip(outer, held, strict=True))
+    boxes = boxes_of(outers.select(F.col("id").alias("fid"), F.array("ring").alias("rings")))
+    first = holes.select("id", F.col("ring")[0].alias("p")).filter("p is not null")
+    spots = first.select("id", *(F.col(f"p.{c}").alias(f"{m}_{c}") for m in ("min", "max") for c in "xy"))
+    near = box_pairs(spots, boxes).join(first.withColumnRenamed("id", "a_id"), "a_id").join(outers.withColumnRenamed("id", "b_id"), "b_id")
+    around = near.filter(point_in_ring(F.col("ring"), F.col("p.x"), F.col("p.y")))
+    best = around.groupBy("a_id").agg(F.min_by("b_id", F.struct(F.abs(ring_area(F.col("ring"))), "b_id")).alias("outer"))
+    return holes.select(F.col("id").alias("hole")).join(best.withColumnRenamed("a_id", "hole"), "hole", "left")
 
 
 def mask_to_polygons(mask: DataFrame, meta: DataFrame, target: int = 1, mode: str = "centre", min_pixels: int = 0) -> DataFrame:
@@ -180,16 +209,13 @@ def mask_to_polygons(mask: DataFrame, meta: DataFrame, target: int = 1, mode: st
     """
     if mode not in ("centre", "edge"):
         raise ValueError(f"unknown mode {mode}")
-    rings_of = centre_rings if mode == "centre" else edge_rings
     labels = label_components(mask, target)
     if min_pixels > 1:
         labels = labels.join(component_stats(labels).filter(F.col("pixels") >= min_pixels).select("raster_id", "component"), ["raster_id", "component"], "left_semi")
 
     def trace(key, table):
-        outer, holes = rings_of(zip(*(table[c].to_pylist() for c in ("y", "x0", "x1")), strict=True))
-        # a ring with the area of a hole but no outer ring around it is dropped, as thin shapes give
-        rows = [[[{"x": float(x), "y": float(y), "z": 0.0} for x, y in r] for r in [shell, *inner]] for shell, inner in associate_holes(outer, holes)]
-        columns = [pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array([key[1].as_py()] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, RINGS_ARROW)]
+        shapes = polygons_of(*(table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1")), mode)
+        columns = [pa.array([key[0].as_py()] * len(shapes), pa.string()), pa.array([key[1].as_py()] * len(shapes), pa.int64()), pa.array(range(len(shapes)), pa.int32()), write_rings(shapes)]
         return pa.table(columns, names=["raster_id", "component", "part", "rings"])
 
     pixel = labels.groupBy("raster_id", "component").applyInArrow(trace, f"raster_id string, component long, part int, rings {RINGS}")

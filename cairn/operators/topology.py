@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import kernels as K
 from cairn.functions.geometry import bounds, usable
-from cairn.operators.vector import _usable, boxes_of, paired, rings_of, union_area
+from cairn.operators.vector import _usable, boxes_of, paired, read_rings, union_area
 from cairn.plans.gridjoin import box_pairs
 
 ISSUE = ("fid", "other_fid", "issue_type", "area", "description")
@@ -21,7 +21,7 @@ def check_validity(fx: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [K.invalid_reason(k, rings_of(r)) if ok else "geometry could not be converted" for k, r, ok in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            said = [K.invalid_reason(k, r) if ok else "geometry could not be converted" for k, r, ok in zip(batch.column(1).to_pylist(), read_rings(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["fid", "description"])
 
     kind = fx.schema["fid"].dataType.simpleString()
@@ -37,7 +37,7 @@ def check_overlaps(fx: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            areas = [sum(map(K.polygon_area, K.intersection([rings_of(a)], [rings_of(b)]))) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            areas = [sum(map(K.polygon_area, K.intersection([a], [b]))) for a, b in zip(read_rings(batch.column(2)), read_rings(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(areas, pa.float64())], names=["fid", "other_fid", "area"])
 
     kind = fx.schema["fid"].dataType.simpleString()

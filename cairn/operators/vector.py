@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.functions import kernels as K
 from cairn.functions.crs import transform_xy
 from cairn.functions.geometry import RINGS, bounds, box_rings, checked, polygon_area, usable
 from cairn.plans.gridjoin import box_pairs
+from cairn.plans.ranks import numbered
 
 Parts = list[tuple[str, list[np.ndarray]]]
 
@@ -27,15 +27,27 @@ def _need(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def rings_of(value: list | None) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in value or []]
+RINGS_ARROW = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])))
 
 
-def values_of(rings: list[np.ndarray]) -> list:
-    return [[{"x": float(x), "y": float(y), "z": 0.0} for x, y in ring] for ring in rings]
+def read_rings(column: pa.Array) -> list[list[np.ndarray]]:
+    """The rings of each row as arrays of points; null has none. The points are read from Arrow's buffers all at once."""
+    rings = column.flatten()
+    points = rings.flatten()
+    at = np.column_stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]).astype(float)
+    held = np.where(rings.is_null(), 0, rings.value_lengths().fill_null(0)).astype(np.int64)
+    parts = np.split(at, np.cumsum(held)[:-1]) if len(held) else []
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [parts[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-RINGS_ARROW = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])))
+def write_rings(shapes: list[list[np.ndarray]]) -> pa.Array:
+    """What ``read_rings`` reads, with z 0."""
+    rings = [ring for shape in shapes for ring in shape]
+    at = np.concatenate([np.zeros((0, 2)), *(np.asarray(r, float).reshape(-1, 2) for r in rings)])
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (at[:, 0], at[:, 1], np.zeros(len(at)))], fields=list(RINGS_ARROW.value_type.value_type))
+    offsets = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    return pa.ListArray.from_arrays(offsets(map(len, shapes)), pa.ListArray.from_arrays(offsets(map(len, rings)), points, type=RINGS_ARROW.value_type), type=RINGS_ARROW)
 
 
 def schema_of(df: DataFrame) -> str:
@@ -43,20 +55,21 @@ def schema_of(df: DataFrame) -> str:
 
 
 def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Replace each row by one row for each part that the kernel makes of (geom_type, rings, rings of ``others`` ...)."""
+    """Replace each row by one row for each part that the kernel makes of (geom_type, rings, ``others`` ...): types as strings, rings as arrays."""
     at = [fx.columns.index(c) for c in ("geom_type", "rings", *others)]
     kept = [i for i, c in enumerate(fx.columns) if c not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kinds, shapes = [], [], []
-            for i, (kind, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in at), strict=True)):
-                for k, rings in kernel(kind, *(rings_of(v) for v in values)):
+            read = lambda c: c.to_pylist() if pa.types.is_string(c.type) else read_rings(c)
+            for i, (kind, *values) in enumerate(zip(*(read(batch.column(c)) for c in at), strict=True)):
+                for k, rings in kernel(kind, *values):
                     rows.append(i)
                     kinds.append(k)
-                    shapes.append(values_of(rings))
+                    shapes.append(rings)
             out = batch.take(pa.array(rows, pa.int64()))
-            new = {at[0]: pa.array(kinds, pa.string()), at[1]: pa.array(shapes, RINGS_ARROW)}
+            new = {at[0]: pa.array(kinds, pa.string()), at[1]: write_rings(shapes)}
             yield pa.RecordBatch.from_arrays([new.get(i, out.column(i)) for i in kept], names=[batch.schema.names[i] for i in kept])
 
     return fx.mapInArrow(run, schema_of(fx.drop(*drop)))
@@ -139,12 +152,12 @@ def filter_small_polygons(fx: DataFrame, min_area: float = 100.0) -> DataFrame:
 def add_polygon_attributes(fx: DataFrame, meta: DataFrame, class_id: int = 1, source: str = "segmentation") -> DataFrame:
     """class_id, feature_id (0-based by lower edge, then left edge, within the raster), area, area_px and source.
 
-    Input rows carry raster_id. Ranks are taken within one raster's features.
+    Input rows carry raster_id; a raster's features are numbered over many tasks.
     """
     sized = fx.withColumns({"_b": bounds(F.col("rings")), "area": polygon_area(F.col("rings"))})
-    number = F.row_number().over(Window.partitionBy("raster_id").orderBy("_b.min_y", "_b.min_x", "fid")) - 1
+    ranked = numbered(sized.withColumns({"_y": F.col("_b.min_y"), "_x": F.col("_b.min_x")}), ["raster_id"], ["_y", "_x", "fid"], "feature_id")
     pixel = meta.select("raster_id", F.abs(F.col("gt")[1] * F.col("gt")[5]).alias("_p"))
-    return sized.withColumn("feature_id", number).join(pixel, "raster_id").withColumns({"class_id": F.lit(class_id), "area_px": F.col("area") / F.col("_p"), "source": F.lit(source)}).drop("_b", "_p")
+    return ranked.join(pixel, "raster_id").withColumns({"class_id": F.lit(class_id), "area_px": F.col("area") / F.col("_p"), "source": F.lit(source)}).drop("_b", "_y", "_x", "_p")
 
 
 # ---------------------------------------------------------------- coordinates
@@ -194,7 +207,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def cut_by(kind: str, rings: list[np.ndarray], polygon: list[np.ndarray]) -> Parts:
-    """Parts of a geometry inside a polygon, in dimension order."""
+    """Parts of a geometry inside a polygon that have its own dimension."""
     if kind == "Point":
         return [(kind, rings)] if K.inside(rings[0][:1], [polygon])[0] else []
     if kind == "LineString":
@@ -202,16 +215,42 @@ def cut_by(kind: str, rings: list[np.ndarray], polygon: list[np.ndarray]) -> Par
     return [(kind, p) for p in K.intersection([rings], [polygon])]
 
 
+def common(kind: str, rings: list[np.ndarray], other: str, b_rings: list[np.ndarray]) -> Parts:
+    """What two geometries have in common: polygons if they share area, else lines if they share any length, else points."""
+    if "Point" in (kind, other):
+        at, target, of = (rings, other, b_rings) if kind == "Point" else (b_rings, kind, rings)
+        met = K.inside(at[0][:1], [of])[0] if target == "Polygon" else False
+        return [("Point", [at[0][:1]])] if met or K.on_outline(at[0][0], of) else []
+    if kind == other == "Polygon":
+        found: Parts = [("Polygon", p) for p in K.intersection([rings], [b_rings])]
+    elif "Polygon" in (kind, other):
+        line, polygon = (rings[0], b_rings) if kind == "LineString" else (b_rings[0], rings)
+        found = [("LineString", [x]) for x in K.clip_line(line, [polygon])]
+    else:
+        found = []
+    if found:
+        return found
+    lines, points = K.touches(rings, b_rings)
+    return [("LineString", [x]) for x in lines] or [("Point", [x[None, :]]) for x in points]
+
+
 def vector_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The intersection of every pair with area (length, for lines; the point, for points), with the attributes of a and b_fid.
+    """The intersection of every pair of features that meet, one row a part, with the attributes of a and b_fid.
 
-    b's features are polygons; other pairs are taken the other way round or, between lines and points, left out.
+    Points, lines and polygons may meet in any combination. A pair gives the parts of the highest dimension it has: where two
+    polygons share area, a side that they only touch elsewhere is no row of its own; where they share none, the stretches of
+    outline in common are rows of lines, and where they share no length either, the points are.
     """
-    return map_geometries(paired(_usable(a), _usable(b).filter("geom_type = 'Polygon'")), cut_by, "b_rings", drop=("b_rings", "b_type"))
+    return map_geometries(paired(_usable(a), _usable(b)), common, "b_type", "b_rings", drop=("b_rings", "b_type"))
+
+
+def _inside_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The parts of a's features inside each polygon of b, of their own dimension only."""
+    return map_geometries(paired(_usable(a), _usable(b).filter("geom_type = 'Polygon'")), lambda kind, rings, polygon: cut_by(kind, rings, polygon), "b_rings", drop=("b_rings", "b_type"))
 
 
 def semi_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Features of a that some feature of b intersects in the sense of ``vector_intersect``."""
+    """Features of a that meet some feature of b, if only in a point."""
     return a.join(vector_intersect(a, b).select("fid").distinct(), "fid", "left_semi").select(a.columns)
 
 
@@ -249,22 +288,22 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
         for batch in batches:
             cx, cy = batch.column(at["cx"]).to_pylist(), batch.column(at["cy"]).to_pylist()
             rows, shapes = [], []
-            for i, rings in enumerate(map(rings_of, batch.column(at["rings"]).to_pylist())):
+            for i, rings in enumerate(read_rings(batch.column(at["rings"]))):
                 frame = K.box(cx[i] * side, cy[i] * side, (cx[i] + 1) * side, (cy[i] + 1) * side)
                 if len(rings) == 1 and not len(outer := K.clip_convex(rings[0], frame)):
                     continue
                 cut = [outer] if len(rings) == 1 else None
                 for polygon in [cut] if cut else K.intersection([rings], [[frame]]):
                     rows.append(i)
-                    shapes.append(values_of(polygon))
+                    shapes.append(polygon)
             out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(shapes, RINGS_ARROW)], names=["cx", "cy", "rings"])
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), write_rings(shapes)], names=["cx", "cy", "rings"])
 
     pieces = spread(side).mapInArrow(clip, f"cx long, cy long, rings {RINGS}").distinct()
 
     def unite(key, table):
-        parts = K.union([rings_of(r) for r in table["rings"].to_pylist()])
-        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([values_of(p) for p in parts], RINGS_ARROW)], names=["cx", "cy", "part", "rings"])
+        parts = K.union(read_rings(table["rings"].combine_chunks()))
+        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), write_rings(parts)], names=["cx", "cy", "part", "rings"])
 
     return pieces.repartition(shuffle_partitions(fx), "cx", "cy").groupBy("cx", "cy").applyInArrow(unite, f"cx long, cy long, part int, rings {RINGS}")
 
@@ -277,13 +316,13 @@ def union_area(fx: DataFrame) -> DataFrame:
 def vector_clip(target: DataFrame, clipper: DataFrame, overlapping: bool = True) -> DataFrame:
     """Parts of each target inside the clippers taken together, with the target's attributes.
 
-    Clippers that may overlap are dissolved first, so that no ground counts twice; parts then also end at the dissolve's cell
+    Parts have the target's own dimension: a side or corner that it only touches is none. Clippers that may overlap are dissolved first, so that no ground counts twice; parts then also end at the dissolve's cell
     borders. With ``overlapping=False`` the clippers are known to be disjoint and are used as they are.
     """
     if overlapping:
         pieces = dissolve(clipper)
         clipper = pieces.select(F.xxhash64("cx", "cy", "part").alias("fid"), F.lit("Polygon").alias("geom_type"), "rings")
-    return vector_intersect(target, clipper).drop("b_fid")
+    return _inside_of(target, clipper).drop("b_fid")
 
 
 def clip_to_extent(fx: DataFrame, extent: tuple[float, float, float, float]) -> DataFrame:

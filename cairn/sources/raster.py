@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,21 +37,34 @@ def to_pixels(chunks: DataFrame) -> DataFrame:
 def from_pixels(px: DataFrame, meta: DataFrame, size: int = 256) -> DataFrame:
     """Blocks of ``size`` (256, or 512 for the cloud layout) from pixel rows; missing pixels are null in the array.
 
-    A block holds at most size * size values, so no group outgrows its task.
+    A block is one bounded group of at most size * size values, written into one array. Of pixels given twice the largest
+    value stays.
     """
     cell = px.join(meta.select("raster_id", "width", "height"), "raster_id").withColumns({"cx": F.expr(f"x div {size}").cast("int"), "cy": F.expr(f"y div {size}").cast("int")})
     w, h = F.least(F.lit(size), F.col("width") - F.col("cx") * size).cast("int"), F.least(F.lit(size), F.col("height") - F.col("cy") * size).cast("int")
-    cell = cell.withColumns({"w": w, "h": h}).withColumn("_i", (F.col("y") % size) * F.col("w") + F.col("x") % size)
-    grouped = cell.groupBy("raster_id", "band", "cx", "cy", "w", "h").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_i"), F.col("v").cast("float")))).alias("_m"))
-    data = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.element_at("_m", i))
-    return grouped.select("raster_id", "band", "cx", "cy", "w", "h", data.alias("data"), F.lit(size).alias("size"))
+    cell = cell.withColumns({"w": w, "h": h}).select("raster_id", "band", "cx", "cy", "w", "h", ((F.col("y") % size) * F.col("w") + F.col("x") % size).alias("i"), F.col("v").cast("float").alias("v"))
+
+    def block(key, table):
+        at, v = table["i"].to_numpy(), table["v"].to_numpy()
+        order = np.lexsort((np.where(np.isnan(v), -np.inf, v), at))
+        data = np.full(key[4].as_py() * key[5].as_py(), np.nan, np.float32)
+        data[at[order]] = v[order]
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), pa.array([pa.array(data, mask=np.isnan(data))], pa.list_(pa.float32()))], names=["raster_id", "band", "cx", "cy", "w", "h", "data"])
+
+    band = px.schema["band"].dataType.simpleString()
+    grouped = cell.groupBy("raster_id", "band", "cx", "cy", "w", "h").applyInArrow(block, f"raster_id string, band {band}, cx int, cy int, w int, h int, data array<float>")
+    return grouped.withColumn("size", F.lit(size))
 
 
 def write_raster(px: DataFrame, meta: DataFrame, path: str, layout: str = "tiled") -> None:
-    """Blocks by raster and band (256 pixels a side, 512 in the ``cog`` layout) sorted by place, and the meta table beside them."""
+    """Blocks by raster and band (256 pixels a side, 512 in the ``cog`` layout) sorted by place, and the meta table beside them.
+
+    A file holds squares of 16 by 16 blocks, so that a large band is written by many tasks.
+    """
     size = {"tiled": 256, "cog": 512}[layout]
     chunks = from_pixels(px, meta, size)
-    chunks.repartition("raster_id", "band").sortWithinPartitions("cy", "cx").write.partitionBy("raster_id", "band").option("compression", "zstd").parquet(f"{path}/chunks")
+    spread = chunks.repartition("raster_id", "band", F.expr("cy div 16"), F.expr("cx div 16")).sortWithinPartitions("raster_id", "band", "cy", "cx")
+    spread.write.partitionBy("raster_id", "band").option("compression", "zstd").parquet(f"{path}/chunks")
     meta.write.parquet(f"{path}/meta")
 
 

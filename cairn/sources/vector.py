@@ -104,13 +104,19 @@ def write_vector(fx: DataFrame, path: str, kind: str = "geojson") -> None:
 
 
 def read_points(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Points from Parquet or GeoJSON lines; intensity and classification are 0 where absent, ``ord`` keeps the input order."""
+    """Points from Parquet or GeoJSON lines; intensity and classification are 0 where absent; ``ord`` is the one written, or else follows the input order."""
     if kind == "parquet":
         raw = spark.read.parquet(path)
         have = set(raw.columns)
     else:
-        fx = read_vector(spark, path, properties="intensity float, classification short").filter("geom_type = 'Point'")
-        raw = fx.select(F.col("layer").alias("cloud_id"), "rings", "intensity", "classification").select("cloud_id", "rings", F.col("rings")[0][0].alias("p"), "intensity", "classification").select("cloud_id", "p.*", "intensity", "classification")
+        raw = spark.read.text(path).filter(F.get_json_object("value", "$.geometry.type") == "Point")
+        at = _point(F.from_json(F.get_json_object("value", "$.geometry.coordinates"), _POSITIONS))
+        raw = raw.select(
+            F.coalesce(F.get_json_object("value", "$.layer"), F.lit("default")).alias("cloud_id"),
+            F.coalesce(F.get_json_object("value", "$.id").cast("long"), F.monotonically_increasing_id()).alias("ord"),
+            at.alias("p"),
+            *(F.get_json_object("value", f"$.properties.{c}").alias(c) for c in ("intensity", "classification")),
+        ).select("cloud_id", "ord", "p.*", "intensity", "classification")
         have = set(raw.columns)
     default = {"cloud_id": F.lit("cloud"), "ord": F.monotonically_increasing_id(), "intensity": F.lit(0.0), "classification": F.lit(0)}
     for name, value in default.items():

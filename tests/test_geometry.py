@@ -172,3 +172,27 @@ def test_points_round_trip(spark, tmp_path):
         SV.write_points(pc, str(tmp_path / kind), kind)
         r = SV.read_points(spark, str(tmp_path / kind), kind).first()
         assert (r.cloud_id, r.x, r.y, r.z, r.intensity, r.classification) == ("c", 1.0, 2.0, 3.0, 0.5, 4)
+
+
+@pytest.mark.parametrize(
+    "kind,rings,other,b_rings,want",
+    [
+        ("Polygon", [K.box(0, 0, 2, 2)], "Polygon", [K.box(2, 1, 5, 3)], [("LineString", 1.0)]),
+        ("Polygon", [K.box(0, 0, 2, 2)], "Polygon", [K.box(2, 2, 5, 3)], [("Point", 0.0)]),
+        ("Polygon", [K.box(0, 0, 2, 2)], "Polygon", [K.box(3, 2, 5, 3)], []),
+        ("Polygon", [K.box(0, 0, 2, 2)], "LineString", [np.array([[2.0, 2], [4, 4]])], [("Point", 0.0)]),
+        ("LineString", [np.array([[1.0, 1], [4, 1]])], "Polygon", [K.box(0, 0, 2, 2)], [("LineString", 1.0)]),
+        ("LineString", [np.array([[0.0, 0], [2, 2]])], "LineString", [np.array([[0.0, 2], [2, 0], [2, 2], [1, 1]])], [("LineString", 2**0.5)]),
+        ("LineString", [np.array([[0.0, 0], [2, 2]])], "LineString", [np.array([[0.0, 2], [2, 0]])], [("Point", 0.0)]),
+        ("Point", [np.array([[1.0, 2]])], "Polygon", [K.box(0, 0, 2, 2)], [("Point", 0.0)]),
+        ("LineString", [np.array([[0.0, 0], [2, 2]])], "Point", [np.array([[1.0, 1]])], [("Point", 0.0)]),
+        ("Point", [np.array([[1.0, 1]])], "Point", [np.array([[1.0, 1]])], [("Point", 0.0)]),
+        ("Point", [np.array([[1.0, 1]])], "Point", [np.array([[1.0, 1.5]])], []),
+    ],
+)
+def test_common_parts_of_any_two_kinds(kind, rings, other, b_rings, want):
+    from cairn.operators.vector import common
+
+    size = lambda found: [(k, pytest.approx(float(np.hypot(*np.diff(r[0], axis=0).T).sum()))) for k, r in found]
+    assert size(common(kind, rings, other, b_rings)) == want
+    assert size(common(other, b_rings, kind, rings)) == want

@@ -183,7 +183,7 @@ def block(n, holes=()):
 
 @pytest.mark.parametrize(
     "rows,outer,points,holes",
-    [(block(10), 81, 37, []), (block(16, [(4, 12, 4, 12)]), 225, 61, [-79.5]), (block(26, [(4, 8, 4, 8), (15, 19, 15, 19)]), 625, 101, [-23.5, -23.5])],
+    [(block(10), 81, 5, []), (block(16, [(4, 12, 4, 12)]), 225, 5, [-79]), (block(26, [(4, 8, 4, 8), (15, 19, 15, 19)]), 625, 5, [-23, -23]), (["##..", "##..", "..##", "..##"], 2, 11, []), (["#..", "#..", "###"], 0.5, 6, [])],
 )
 def test_centre_rings(spark, rows, outer, points, holes):
     shapes = G.mask_to_polygons(*mask_of(spark, rows)).collect()
