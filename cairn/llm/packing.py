@@ -7,11 +7,13 @@ counts, and deals the pieces of each length out to the places that the chosen fi
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.bytetext import encoded, slices
+from cairn.llm.bytetext import IS_DARK, Block, encoded, slices
 from cairn.plans.storage import materialise
 
 CAPACITY = 1024
 END_ID = 2
-SEARCH_NODES = 1500  # nodes of the branch-and-bound; the best packing found so far is returned when they are used up
-FILLINGS = 3  # fillings tried at a node, in order of waste
-FILLING_STEPS = 600  # steps of the enumeration at a node
+SEARCH_NODES = 1500  # nodes of the branch-and-bound before the best packing found is returned; None: until it is proven or all are seen
+FILLINGS = 3  # fillings tried at a node, in order of waste; None: all undominated ones
+FILLING_STEPS = 600  # steps of the enumeration at a node; None: all
 BEST_FIT_EVERY = 32  # levels between best-fit incumbents
-CACHE_ENTRIES = 200_000  # chunks of a generation
 
 # ---------------------------------------------------------------- tokens
 
-# A piece of white space and the dark run after it. The tokenizer's own pattern never joins a dark character with white
-# space that follows it, so these chunks can be encoded apart; texts with other white space are encoded whole.
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
-# letters, then marks that neither continue a word nor start a contraction: two pretokens
-_WORD_MARKS = re.compile(r"([ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]+)")
-
-# what is one pretoken for certain, so that the byte-pair model can have it without the steps before it
-_ONE = re.compile(r"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
+#: How a byte-level tokenizer with its usual pattern splits texts (fixed value).
+_PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose kind no version of Unicode has changed; texts with others are left to the tokenizer itself.
+_SETTLED = re.compile(r"[\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u044f\u05d0-\u05ea\u0621-\u063a\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+LONG_RUN = 500  # bytes without white space, or of white space alone, beyond which a text is left to the tokenizer itself
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,59 +47,69 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_tokenizers: dict[str, "ChunkCache"] = {}
+_encoders: dict[str, "Encoder"] = {}
 
 
-class ChunkCache(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks, encoded when first met.
+class Encoder:
+    """Token ids (little-endian unsigned 32-bit) of texts, those that ``tokenizers`` gives for the file.
 
-    Two generations bound the memory: when one is full it becomes the old one, and what is met again is taken over from it.
+    Where the file is a byte-level model of the common kind, whose merges are numbered in their order, ``tiktoken`` finds the
+    same ids in less than half the time. Texts with characters that the two may class differently, and those with very long runs, are encoded by
+    ``tokenizers``, and so is everything where the file is of another kind.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.old: dict[str, bytes] = {}
+        self.fast = self._fast(json.loads(Path(path).read_text()))
 
     @staticmethod
-    def of(path: str) -> "ChunkCache":
-        if path not in _tokenizers:
-            _tokenizers[path] = ChunkCache(path)
-        return _tokenizers[path]
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            if _ONE.fullmatch(chunk):
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))])
-            elif parts := _WORD_MARKS.fullmatch(chunk):
-                ids = self[parts[1]] + self[parts[2]]
-            else:
-                ids = self._encode(chunk)
-        self[chunk] = ids
-        return ids
+    def of(path: str) -> "Encoder":
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
 
-    def _encode(self, text: str) -> bytes:
+    @staticmethod
+    def _fast(file: dict):
+        import tiktoken
+
+        model, split, added = file["model"], file["pre_tokenizer"] or {}, file["added_tokens"]
+        vocabulary, merges = model.get("vocab"), [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+        usual = (
+            file["normalizer"] is None
+            and {k: split.get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+            and all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        )
+        if not usual:
+            return None
+        byte_of = {c: b for b, c in _byte_letters().items()}
+        special = {t["content"]: t["id"] for t in added}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=_PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
+
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def settle(self) -> None:
-        """After a task, keep only what was met in both generations: idle workers, which Spark keeps, then hold little."""
-        if self.old:
-            often = {c: ids for c, ids in self.items() if c in self.old}
-            self.clear()
-            self.update(often)
-            self.old = {}
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if len(self) > CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            yield self._encode(text) if _OTHER_SPACE.search(text) else b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        if self.fast is None:
+            yield from (self._whole(t.decode()) for t in texts)
+            return
+        block = Block(texts)
+        begin, stop, first = block.words(IS_DARK)
+        long = np.zeros(len(texts), bool)
+        long[np.searchsorted(block.end, begin[stop - begin > LONG_RUN])] = True
+        gap_from, gap_to = np.append(0, stop), np.append(begin, len(block.data) - 1)
+        for at in np.flatnonzero(gap_to - gap_from > LONG_RUN).tolist():  # a gap may reach over several texts
+            long[np.searchsorted(block.end, gap_from[at]) : np.searchsorted(block.end, gap_to[at]) + 1] = True
+        wide = np.add.reduceat(block.data >= 0xCA, block.at) > 0  # lead bytes from U+0280 on
+        for text, slow, check in zip(map(bytes.decode, texts), long.tolist(), wide.tolist(), strict=True):
+            if slow or (check and not _SETTLED.fullmatch(text)):
+                yield self._whole(text)
+            else:
+                yield self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -126,17 +133,16 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        cache = ChunkCache.of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         for batch in batches:
             texts = encoded(batch.column(1))
             for a, b in slices(texts):
-                rows = [(i, k, *p) for i, ids in enumerate(cache.ids([t.decode() for t in texts[a:b]]), a) for k, p in enumerate(cut(ids + end, capacity))]
+                rows = [(i, k, *p) for i, ids in enumerate(encoder.ids(texts[a:b]), a) for k, p in enumerate(cut(ids + end, capacity))]
                 at, piece, start, length, crc = map(list, zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
-        cache.settle()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -189,8 +195,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for held in groups.values() for x in held]
 
 
-def fillings(counts: dict[int, int], capacity: int, limit: int = FILLINGS) -> list[Filling]:
-    """Undominated fillings around the longest piece, those with least waste first.
+def fillings(counts: dict[int, int], capacity: int, limit: int | None = FILLINGS, steps: int | None = FILLING_STEPS) -> list[Filling]:
+    """Undominated fillings around the longest piece, those with least waste first; all of them where nothing is limited.
 
     Depth-first, longest first. A filling is dominated where a remaining longer piece could take the place of one of its
     pieces, or another piece would still fit; both show as a waste that some step between remaining lengths does not exceed.
@@ -198,7 +204,7 @@ def fillings(counts: dict[int, int], capacity: int, limit: int = FILLINGS) -> li
     sizes = sorted((s for s, n in counts.items() if n), reverse=True)
     largest = sizes[0]
     found: list[tuple[int, Filling]] = []
-    budget = [FILLING_STEPS]
+    left = [math.inf if steps is None else steps]
 
     def undominated(chosen: dict[int, int], waste: int) -> bool:
         free = [s for s in sizes if counts[s] > chosen.get(s, 0)]
@@ -207,8 +213,8 @@ def fillings(counts: dict[int, int], capacity: int, limit: int = FILLINGS) -> li
         return not any(s != largest and any(s < f <= s + waste for f in free) for s in chosen)
 
     def extend(i: int, room: int, chosen: dict[int, int]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0 or (len(found) >= limit and found[0][0] == 0 and found[limit - 1][0] == 0):
+        left[0] -= 1
+        if left[0] < 0 or (limit and len(found) >= limit and found[limit - 1][0] == 0):
             return
         while i < len(sizes) and sizes[i] > room:
             i += 1
@@ -225,23 +231,32 @@ def fillings(counts: dict[int, int], capacity: int, limit: int = FILLINGS) -> li
     return [f for _, f in found[:limit]]
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[Filling, int]]:
+def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = SEARCH_NODES, limit: int | None = FILLINGS, steps: int | None = FILLING_STEPS) -> list[tuple[Filling, int]]:
     """Fillings with the times each is used, in as few bins as the search finds.
 
     Branch and bound: the incumbent is best-fit decreasing; a node completes the bin of the longest remaining piece in one
     of its undominated ways, as many times as the counts allow, and is cut where its bins and the waste bound of the rest
-    cannot beat the incumbent. Best-fit on what remains gives new incumbents on the way down. Stops at the lower bound.
+    cannot beat the incumbent. Best-fit on what remains gives new incumbents on the way down. Stops at the lower bound, and
+    then the packing is the smallest there is. With ``nodes``, ``limit`` and ``steps`` all None every filling is also tried
+    fewer times, so that the end of the search proves the packing too; that is for histograms of a few dozen pieces.
     """
     rest = {s: n for s, n in counts.items() if n}
     best = best_fit(rest, capacity)
     fewest = sum(n for _, n in best)
     floor = lower_bound(rest, capacity)
-    # a node on the path: what remains, its bins so far, the filling that led here, the fillings still to try
-    path: list[tuple[dict[int, int], int, tuple[Filling, int] | None, Iterator[Filling]]] = []
+    whole = nodes is None and limit is None and steps is None
+    left = math.inf if nodes is None else nodes
+    # a node on the path: what remains, its bins so far, the filling that led here, the fillings (and times) still to try
+    path: list[tuple[dict[int, int], int, tuple[Filling, int] | None, Iterator[tuple[Filling, int]]]] = []
+
+    def ways(rest: dict[int, int]) -> Iterator[tuple[Filling, int]]:
+        for filling in fillings(rest, capacity, limit, steps):
+            most = min(rest[s] // k for s, k in filling)
+            yield from ((filling, times) for times in range(most, 0 if whole else most - 1, -1))
 
     def enter(rest: dict[int, int], used: int, by: tuple[Filling, int] | None) -> None:
-        nonlocal best, fewest, nodes
-        nodes -= 1
+        nonlocal best, fewest, left
+        left -= 1
         if not rest or len(path) % BEST_FIT_EVERY == BEST_FIT_EVERY - 1:
             tail = best_fit(rest, capacity)
             total = used + sum(n for _, n in tail)
@@ -249,19 +264,19 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_N
                 fewest = total
                 best = [x[2] for x in path if x[2]] + ([by] if by else []) + tail
         bound = used + math.ceil(sum(s * n for s, n in rest.items()) / capacity)
-        path.append((rest, used, by, iter(fillings(rest, capacity) if rest and bound < fewest else ())))
+        path.append((rest, used, by, ways(rest) if rest and bound < fewest else iter(())))
 
     if fewest > floor:
         enter(rest, 0, None)
-    while path and nodes > 0 and fewest > floor:
+    while path and left > 0 and fewest > floor:
         rest, used, _, options = path[-1]
-        filling = next(options, None)
-        if filling is None:
+        way = next(options, None)
+        if way is None:
             path.pop()
             continue
-        times = min(rest[s] // k for s, k in filling)
+        filling, times = way
         lower = {s: n - times * k for s, n in rest.items() if (k := dict(filling).get(s, 0)) * times < n}
-        enter(lower, used + times, (filling, times))
+        enter(lower, used + times, way)
     return best
 
 
@@ -295,9 +310,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
     order = [F.col(c) for c in (id_col, "piece", "start", "ids_crc32")]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(buckets)))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", before.alias("before"))
-    ranked = dealt.withColumn("within", within).join(offsets, ["length", "bucket"]).select(*pieces.columns, (F.col("before") + F.col("within")).alias("rank"))
+    # pieces of the same length in the buckets before, in two steps: no task meets more than a thousandth of the buckets at once
+    sizes = materialise(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("thousand", F.expr("bucket div 1000")))
+    before = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy("length", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("length", "thousand").agg(F.sum("n").alias("n")).select("length", "thousand", before("thousand").alias("far"))
+    offsets = sizes.withColumn("near", before("thousand", "bucket")).hint("merge").join(groups, ["length", "thousand"]).select("length", "bucket", (F.col("near") + F.col("far")).alias("before"))
+    # the buckets grow with the pieces: never a broadcast
+    ranked = dealt.withColumn("within", within).join(offsets.hint("merge"), ["length", "bucket"]).select(*pieces.columns, (F.col("before") + F.col("within")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
