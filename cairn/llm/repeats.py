@@ -1,18 +1,21 @@
 """Removal of repeated passages with longest-previous-factor arrays over sparse suffixes.
 
 Take the suffixes of all documents in suffix order, ties at the depth of interest broken by position. The longest previous
-factor of a suffix is its common prefix with the nearest suffix in that order, before or after it, that starts at a smaller
-position; where it reaches ``length``, the window of ``length`` bytes there has an earlier copy and is removed.
+factor of a suffix is its longest common prefix with a suffix that starts at a smaller position. It is the longer of two: the
+common prefixes with the nearest suffixes before and after it in that order that have smaller positions. Where it reaches
+``length``, the window of ``length`` bytes there has an earlier copy and is removed.
 
 No machine holds that order for a whole corpus, so suffixes are bucketed by an anchor: of the ``ANCHOR``-byte grams in a window
 the one with the smallest hash, leftmost of equals. Equal windows have equal anchors at the same offset, so each bucket can be
 ordered on its own, and a run of windows with one anchor is kept as one context.
 
-1. A map batch finds the contexts of its documents. Contexts equal to an earlier one of the batch are removed at once; the
-   others go to the bucket of their anchor as hashes.
-2. In a bucket, contexts equal to an earlier one are removed. Where different contexts share an anchor, they are contested.
-3. The bytes of contested contexts are fetched and their windows put in suffix order, bucket by bucket. An anchor with very
-   many contexts is split by the hash of each whole window instead.
+1. A map batch finds the contexts of its documents. A context equal to an earlier one of the batch is removed at once; of the
+   others, hashes go to the bucket of their anchor. What shares its anchor with no other context is done.
+2. The bytes of the other contexts are fetched. In a bucket, a context equal to the one before it is removed as it passes by;
+   the different ones are put into suffix order and their factors found. A bucket with very many different contexts is split by the
+   hash of each window instead.
+
+Hashes only choose what is compared: every removal rests on equal bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ from cairn.plans.storage import materialise
 
 LENGTH = 100
 ANCHOR = 20
-CROWD = 2000  # contexts of an anchor beyond which it is split by window
+CROWD = 2000  # different contexts of an anchor beyond which they are split by window, so that no task orders them all
 SLICE = 1 << 18  # bytes whose working arrays stay in the processor's cache
 
 
@@ -83,67 +87,110 @@ def contexts(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     return text, first - at[text], n, lo, roll.of(spot, spot + anchor), mixed(roll.of(first, final + length) ^ shape)
 
 
-def depth_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered so that those that agree in ``depth`` bytes stand together, in the order given; and whether each
-    agrees with the one before it.
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number, in the order of the bytes."""
+    return np.ndarray(max(0, len(data) - 7), ">u8", data.tobytes(), strides=(1,))
+
+
+def _steps(depth: int) -> list[int]:
+    return [*range(0, depth - 8, 8), depth - 8]
+
+
+def first_equal(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """For each window of ``depth`` (at least 8) bytes the number of the first equal one, in the order given."""
+    fingerprint = Rolling(data).of(starts, starts + depth)
+    order = np.argsort(fingerprint, kind="stable")
+    new = np.append(True, fingerprint[order[1:]] != fingerprint[order[:-1]]) if len(order) else np.zeros(0, bool)
+    first = np.empty(len(starts), np.int64)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    words, others = _words(data), np.flatnonzero(first != np.arange(len(first)))
+    agree = np.ones(len(others), bool)
+    for i in _steps(depth):
+        agree &= words[starts[others] + i] == words[starts[first[others]] + i]
+    seen: dict[bytes, int] = {}
+    for k in others[~agree].tolist():  # equal fingerprints of different bytes
+        first[k] = seen.setdefault(data[starts[k] : starts[k] + depth].tobytes(), k)
+    return first
+
 
-    Which of two different prefixes goes first does not matter to a longest previous factor of ``depth``, so they are ordered
-    by a fingerprint; the common prefix with the neighbour is then checked on the bytes, eight at a time.
+def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` bytes, equal ones in the order given, and the common prefix of each with
+    the one before it, counted up to ``depth``.
+
+    Eight bytes are compared at a time, and only suffixes that agree so far are compared further. Of equal ones a single one is ordered.
+    """
+    words, n = _words(data), len(starts)
+    first = first_equal(data, starts, depth)
+    single = np.flatnonzero(first == np.arange(n))
+    order, common = single.copy(), np.full(len(single), depth, np.int64)
+    if len(single):
+        common[0] = 0
+    open_ = np.arange(len(single))  # places of the order whose suffixes agree with a neighbour's so far, group by group
+    group = np.zeros(len(single), np.int64)
+    for i in _steps(depth):
+        if not len(open_):
+            break
+        key = words[starts[order[open_]] + i].astype(np.uint64)
+        by = np.lexsort((key, group))
+        order[open_], key = order[open_][by], key[by]
+        inner = group[1:] == group[:-1]
+        split = inner & (key[1:] != key[:-1])
+        differ = key[1:][split] ^ key[:-1][split]
+        equal_bytes = 7 - np.floor(np.log2(differ.astype(float))).astype(np.int64).clip(0, 63) // 8
+        # a float may round up to the next power of two: then the byte above is meant, and checked
+        high = (differ >> (np.uint64(56) - np.uint64(8) * equal_bytes.clip(0, 7).astype(np.uint64))) == 0
+        common[open_[1:][split]] = i + equal_bytes + high
+        tied = np.append(False, inner & ~split)
+        keep = tied | np.append(tied[1:], False)
+        group = np.cumsum(~tied)[keep]
+        open_ = open_[keep]
+    # equal suffixes after the one that was ordered
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(len(order))
+    place = place[first]
+    whole = np.lexsort((np.arange(n), place))
+    lead = np.append(True, place[whole][1:] != place[whole][:-1]) if n else np.zeros(0, bool)
+    return whole, np.where(lead, common[place[whole]], depth)
+
+
+def longest_previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, from suffixes in order: their positions, and common prefixes with the one before.
+
+    ``position`` tells which of two suffixes is earlier; equal positions are the same suffix met twice. Each suffix steps to
+    the nearest one before it, then after it, with a smaller position: all step at once, each step as far as the suffix
+    stepped to has come itself, the common prefix shrinking on the way.
     """
-    print_of = Rolling(data).of(starts, starts + depth)
-    order = np.argsort(print_of, kind="stable")
-    same = np.append(False, print_of[order[1:]] == print_of[order[:-1]])
-    at = np.flatnonzero(same)
-    words = np.ndarray(max(0, len(data) - 7), "<u8", data.tobytes(), strides=(1,))
-    agree = np.ones(len(at), bool)
-    for i in [*range(0, depth - 8, 8), depth - 8]:
-        agree &= words[starts[order[at]] + i] == words[starts[order[at - 1]] + i]
-    same[at] = agree
-    return order, same
-
-
-def longest_previous_factors(text: bytes) -> list[int]:
-    """The whole array for one small text: its suffix order, then previous and next smaller positions with a stack."""
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while max(a, b) + k < n and text[a + k] == text[b + k]:
-            k += 1
-        return k
-
-    out = [0] * n
-    for direction in (order, order[::-1]):  # nearest smaller position before, then after, in suffix order
-        stack: list[int] = []
-        for i in direction:
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                out[i] = max(out[i], common(stack[-1], i))
-            stack.append(i)
+    out = np.zeros(len(position), np.int64)
+    for back in (False, True):
+        at = position[::-1] if back else position
+        reach = np.append(0, common[:0:-1] if back else common[1:])[: len(at)]
+        to = np.arange(len(at)) - 1
+        moving = np.flatnonzero(reach > 0)
+        while len(moving := moving[at[to[moving]] >= at[moving]]):
+            via = to[moving]
+            reach[moving] = np.minimum(reach[moving], reach[via])
+            to[moving] = to[via]
+            moving = moving[reach[moving] > 0]
+        out = np.maximum(out, reach[::-1] if back else reach)
     return out
 
 
 def later_windows(bucketed: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Spans (document, from, to) of windows that have an earlier copy among the given contexts (document, first, windows, bytes).
-
-    In suffix order with ties by position, all but the first of a run of equal windows have a previous smaller position
-    whose common prefix reaches ``length``; the first of a run has neither a previous nor a next one.
-    """
+    """Spans (document, from, to) of windows that have an earlier copy among the given contexts (document, first, windows, bytes)."""
     bucketed = sorted(bucketed, key=lambda c: (c[0], c[1]))  # contexts of one document do not share windows
     data = np.frombuffer(b"".join(c[3] for c in bucketed), np.uint8)
     sizes = np.array([len(c[3]) for c in bucketed])
     n = np.array([c[2] for c in bucketed])
     owner = np.repeat(np.arange(len(bucketed)), n)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    order, same = depth_order(data, (np.cumsum(sizes) - sizes)[owner] + inner, length)
-    doc = np.array([c[0] for c in bucketed], np.int64)[owner[order]]
-    place = np.array([c[1] for c in bucketed], np.int64)[owner[order]] + inner[order]
-    # the same window seen twice (a repeated row) is no earlier copy of itself
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    later = same & ((doc != doc[lead]) | (place != place[lead]))
-    return _spans(doc[later], place[later], np.ones(int(later.sum()), np.int64), length)
+    doc, place = np.array([c[0] for c in bucketed], np.int64)[owner], np.array([c[1] for c in bucketed], np.int64)[owner] + inner
+    # the same window seen twice (a repeated row) has one position
+    position = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
+    if len(position) and (np.diff(doc) == 0).any() and (np.diff(place)[np.diff(doc) == 0] <= 0).any():
+        position = np.unique(np.column_stack([doc, place]), axis=0, return_inverse=True)[1].ravel()
+    order, common = suffix_order(data, (np.cumsum(sizes) - sizes)[owner] + inner, length)
+    later = order[longest_previous_factors(position[order], common) >= length]
+    return _spans(doc[later], place[later], np.ones(len(later), np.int64), length)
 
 
 def _spans(doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -161,7 +208,7 @@ def _spans(doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> li
     return list(zip(doc[heads].tolist(), a[heads].tolist(), ends.tolist(), strict=True))
 
 
-_ROW = "key long, ctx long, doc long, first long, n int, lo int"
+_ROW = "key long, ctx long, doc long, first long, n int"
 
 
 def _context_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -174,14 +221,17 @@ def _context_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             parts = []
             for a, b in slices(texts, SLICE):
                 text, first, n, lo, key, ctx = contexts(texts[a:b], length, anchor)
-                parts.append((ids[text + a].astype(np.int64), first, n, lo, key.view(np.int64), ctx.view(np.int64)))
+                parts.append((ids[text + a].astype(np.int64), text + a, first, n, key.view(np.int64), ctx.view(np.int64)))
             if not parts:
                 continue
-            doc, first, n, lo, key, ctx = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, row, first, n, key, ctx = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((first, doc, ctx, key))
-            doc, first, n, lo, key, ctx = (c[order] for c in (doc, first, n, lo, key, ctx))
+            doc, row, first, n, key, ctx = (c[order] for c in (doc, row, first, n, key, ctx))
             new = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])) if len(key) else np.zeros(0, bool)
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
+            for k in np.flatnonzero(~new).tolist():
+                j, size = lead[k], n[k] - 1 + length
+                new[k] = texts[row[k]][first[k] : first[k] + size] != texts[row[j]][first[j] : first[j] + size]
             later = ~new & ((doc != doc[lead]) | (first != first[lead]))
             spans = _spans(doc[later], first[later], n[later], length)
             d, s, e = (np.array(c, np.int64) for c in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
@@ -192,105 +242,89 @@ def _context_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 np.concatenate([doc[new], d]),
                 np.concatenate([first[new], s]),
                 np.concatenate([n[new], e - s]).astype(np.int32),
-                np.concatenate([lo[new], np.zeros(len(d), np.int64)]).astype(np.int32),
             ]
-            out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["key", "ctx", "doc", "first", "n", "lo"])
+            out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["key", "ctx", "doc", "first", "n"])
             for i in range(0, out.num_rows, 100_000):
                 yield out.slice(i, 100_000)
 
     return docs.mapInArrow(run, _ROW)
 
 
-_FOUND = "doc long, first long, last long, key long, n int"
-
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, ctx, doc, first): those whose key another row has too, and spans as they are."""
+    held: pa.RecordBatch | None = None  # the last row with a context, and whether it has gone out
+    gone = False
+    for batch in batches:
+        ready = batch.column(1).is_null()
+        if ready.true_count:
+            yield batch.filter(ready)
+            batch = batch.filter(pc.invert(ready))
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        same = np.append(False, key[1:] == key[:-1])
+        if held is not None and held.column(0)[0].as_py() == key[0]:
+            same[0] = True
+            if not gone:
+                yield held
+        out = same | np.append(same[1:], False)
+        if out.any():
+            yield batch.filter(pa.array(out))
+        held, gone = batch.slice(batch.num_rows - 1), bool(out[-1])
 
-def _compare_hashes(length: int):
-    """Over rows sorted by (key, ctx, doc, first): spans with an earlier equal context, and contested contexts (with their key)."""
 
-    def emit(doc, first, last, key, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(last), key, pa.array(n.astype(np.int32))], names=["doc", "first", "last", "key", "n"])
+def _fetch_bytes(length: int):
+    """(doc, text, wanted contexts) to bucket rows; crowded contexts come apart into windows, of equal ones in a slice of texts the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last context that leads its run, not known to be contested or not
-        crowded = False  # whether another context with its key went before
         for batch in batches:
-            ready = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            key, doc, first, n = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
-            ctx = batch.column(1).fill_null(0).to_numpy()
-            if ready.any():
-                yield emit(doc[ready], first[ready], first[ready] + n[ready], pa.nulls(int(ready.sum()), pa.int64()), n[ready])
-            key, ctx, doc, first, n = (c[~ready] for c in (key, ctx, doc, first, n.astype(np.int64)))
-            if held is not None:
-                key, ctx, doc, first, n = (np.append(h, c) for h, c in zip(held, (key, ctx, doc, first, n), strict=True))
-            if not len(key):
-                continue
-            new = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))
-            heads = np.flatnonzero(new)
-            lead = heads[np.cumsum(new) - 1]
-            later = ~new & ((doc != doc[lead]) | (first != first[lead]))
-            if later.any():
-                yield emit(doc[later], first[later], first[later] + n[later] - 1 + length, pa.nulls(int(later.sum()), pa.int64()), n[later])
-            before = np.append(crowded, key[heads[1:]] == key[heads[:-1]])
-            fought = before.copy()
-            fought[:-1] |= before[1:]
-            held, crowded = tuple(c[heads[-1] : heads[-1] + 1] for c in (key, ctx, doc, first, n)), bool(before[-1])
-            out = heads[:-1][fought[:-1]]
-            if len(out):
-                yield emit(doc[out], first[out], first[out] + n[out] - 1 + length, pa.array(key[out]), n[out])
-        if held is not None and crowded:
-            key, _, doc, first, n = held
-            yield emit(doc, first, first + n - 1 + length, pa.array(key), n)
+            docs, texts, wanted = batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                rows: list[tuple] = []
+                crowded: list[tuple[int, int, int, bytes]] = []
+                for doc, text, contexts_of in zip(docs[a:b], texts[a:b], wanted[a:b], strict=True):
+                    for w in contexts_of:
+                        part = text[w["first"] : w["first"] + w["n"] - 1 + length]
+                        if w["crowd"]:
+                            crowded.append((doc, w["first"], w["n"], part))
+                        else:
+                            rows.append((w["key"], w["ctx"], doc, w["first"], w["n"], part))
+                if crowded:
+                    rows += _single_windows(sorted(crowded), length)
+                for i in range(0, len(rows), 20_000):
+                    yield _bucket_batch(rows[i : i + 20_000])
 
     return run
 
 
-def _fetch_bytes(length: int):
-    """(doc, text, wanted contexts) to bucket rows; windows of crowded anchors are bucketed by their own hash, first in the batch only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            seen: dict[int, list] = {}
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                for w in wanted:
-                    a, n = w["first"], w["n"]
-                    part = text[a : a + n - 1 + length]
-                    if not w["crowd"]:
-                        rows.append((w["key"], doc, a, n, part))
-                        continue
-                    at = np.arange(n)
-                    for j, h in zip(at.tolist(), Rolling(data[a : a + len(part)]).of(at, at + length).tolist(), strict=True):
-                        best = seen.setdefault(h, [(doc, a + j), []])
-                        if (doc, a + j) < best[0]:
-                            best[1].append(best[0])
-                            best[0] = (doc, a + j)
-                        elif (doc, a + j) > best[0]:
-                            best[1].append((doc, a + j))
-                    if len(rows) > 20_000:
-                        yield _bucket_batch(rows)
-                        rows = []
-            texts = dict(zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True)) if seen else {}
-            flat = []
-            for h, ((doc, a), others) in seen.items():
-                rows.append((int(np.uint64(h).view(np.int64)), doc, a, 1, texts[doc][a : a + length]))
-                flat += others
-            if flat:
-                d, a = (np.array(c, np.int64) for c in zip(*set(flat), strict=True))
-                rows += [(int(mixed(np.array([x], np.int64).view(np.uint64)).view(np.int64)[0]), x, s, e - s, None) for x, s, e in _spans(d, a, np.ones(len(d), np.int64), length)]
-            for i in range(0, len(rows), 20_000):
-                yield _bucket_batch(rows[i : i + 20_000])
-
-    return run
+def _single_windows(crowded: list[tuple[int, int, int, bytes]], length: int) -> list[tuple]:
+    """Bucket rows for the first of each different window of sorted contexts, and spans for the others."""
+    data = np.frombuffer(b"".join(c[3] for c in crowded), np.uint8)
+    n, sizes = np.array([c[2] for c in crowded]), np.array([len(c[3]) for c in crowded])
+    owner = np.repeat(np.arange(len(crowded)), n)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    starts = (np.cumsum(sizes) - sizes)[owner] + inner
+    doc, place = np.array([c[0] for c in crowded], np.int64)[owner], np.array([c[1] for c in crowded], np.int64)[owner] + inner
+    first = first_equal(data, starts, length)
+    single = np.flatnonzero(first == np.arange(len(first)))
+    key = Rolling(data).of(starts[single], starts[single] + length).view(np.int64)
+    whole = data.tobytes()
+    rows = [(k, k, d, p, 1, whole[s : s + length]) for k, d, p, s in zip(key.tolist(), doc[single].tolist(), place[single].tolist(), starts[single].tolist(), strict=True)]
+    later = np.flatnonzero((doc != doc[first]) | (place != place[first]))
+    spans = _spans(doc[later], place[later], np.ones(len(later), np.int64), length)
+    return rows + [(mixed(np.array([d], np.int64).view(np.uint64)).view(np.int64)[0].item(), None, d, s, e - s, None) for d, s, e in spans]
 
 
 def _bucket_batch(rows: list[tuple]) -> pa.RecordBatch:
-    key, doc, first, n, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["key", "doc", "first", "n", "data"])
+    key, ctx, doc, first, n, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, ctx, doc, first, n)), pa.array(data, pa.binary())], names=["key", "ctx", "doc", "first", "n", "data"])
 
 
 def _order_buckets(length: int):
-    """Over rows sorted by key: spans of windows with an earlier copy in their bucket. Rows without bytes are spans already."""
+    """Over rows sorted by (key, ctx, doc, first): spans of windows with an earlier copy in their bucket. Rows without bytes are spans already.
+
+    A context with the bytes of the last different one is removed as it passes by; only different ones are held, bucket by bucket.
+    """
 
     def emit(spans) -> pa.RecordBatch:
         doc, a, b = zip(*spans, strict=True)
@@ -299,16 +333,21 @@ def _order_buckets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
-            done = [(d, a, a + n) for _, d, a, n, x in rows if x is None]
-            held += [r for r in rows if r[4] is not None]
-            if held:
-                cut = len(held)
-                while cut and held[cut - 1][0] == held[-1][0]:
-                    cut -= 1
-                for part in _by_size(held[:cut]):
-                    done += later_windows([r[1:] for r in part], length)
-                held = held[cut:]
+            done = []
+            for key, _, doc, first, n, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if data is None:
+                    done.append((doc, first, first + n))
+                elif held and held[-1][4] == data and held[-1][0] == key:
+                    if (doc, first) != held[-1][1:3]:
+                        done.append((doc, first, first + n - 1 + length))
+                else:
+                    held.append((key, doc, first, n, data))
+            cut = len(held)
+            while cut and held[cut - 1][0] == held[-1][0]:
+                cut -= 1
+            for part in _by_size(held[:cut]):
+                done += later_windows([r[1:] for r in part], length)
+            held = held[cut:]
             if done:
                 yield emit(done)
         done = [s for part in _by_size(held) for s in later_windows([r[1:] for r in part], length)]
@@ -335,15 +374,16 @@ def _by_size(rows: list[tuple], limit: int = 1 << 20) -> Iterator[list[tuple]]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc long, text) to spans (doc, first, last) of bytes, not merged, whose windows have an earlier copy."""
     rows = _context_rows(docs, length, anchor)
-    compared = materialise(rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "first").mapInArrow(_compare_hashes(length), _FOUND))
-    contested = compared.filter("key is not null")
+    compared = materialise(rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "first").mapInArrow(_shared_anchors, _ROW))
+    shared = compared.filter("ctx is not null")
     # written, so that the join shuffles its rows on its own and Spark can split a crowded key, or broadcasts if it measures little
-    crowds = materialise(contested.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("key", F.lit(True).alias("crowd")))
-    wanted = contested.join(crowds, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "first", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("wanted"))
+    crowds = shared.select("key", "ctx").distinct().groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD)
+    crowds = materialise(crowds.select("key", F.lit(True).alias("crowd")))
+    wanted = shared.join(crowds, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "first", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("wanted"))
     # both joins shuffle the texts alike, so that Spark shuffles them once; what they meet grows with the corpus
-    fetched = docs.hint("merge").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch_bytes(length), "key long, doc long, first long, n long, data binary")
-    ordered = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_order_buckets(length), "doc long, first long, last long")
-    return compared.filter("key is null").select("doc", "first", "last").unionByName(ordered)
+    fetched = docs.hint("merge").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch_bytes(length), "key long, ctx long, doc long, first long, n long, data binary")
+    ordered = fetched.repartition("key").sortWithinPartitions("key", "ctx", "doc", "first").mapInArrow(_order_buckets(length), "doc long, first long, last long")
+    return compared.filter("ctx is null").select("doc", "first", (F.col("first") + F.col("n")).alias("last")).unionByName(ordered)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -13,9 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.llm.jaccard import Bands, jaccard_components, part_keys
-from cairn.llm.packing import best_fit, cut, lower_bound, pack, pack_documents, places
+from cairn.llm.packing import Encoder, best_fit, cut, lower_bound, pack, pack_documents, places
 from cairn.llm.queries import tokenizer_path
-from cairn.llm.repeats import longest_previous_factors, remove_repeats
+from cairn.llm.repeats import longest_previous_factors, remove_repeats, suffix_order
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -176,12 +176,29 @@ def test_repeats_of_odd_rows(spark, empty):
     assert got == [("1", first[0] - first[1]), ("1", first[0] - first[1]), ("2", 0), ("None", len(long))]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text("ab", max_size=30))
-def test_longest_previous_factors(text):
-    data = text.encode()
-    for i, n in enumerate(longest_previous_factors(data)):
-        assert n == max((k for j in range(i) for k in range(len(data) - i + 1) if data[j : j + k] == data[i : i + k]), default=0)
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab", min_size=1, max_size=60) | st.text("ab\xff", min_size=1, max_size=40), st.integers(8, 12))
+def test_longest_previous_factors(text, depth):
+    """Against every pair of suffixes, up to the depth; the text is padded so that each suffix is so long."""
+    data = text.encode() + bytes(range(200, 200 + depth))
+    starts = np.arange(len(data) - depth + 1)
+    order, common = suffix_order(np.frombuffer(data, np.uint8), starts, depth)
+    prefix = [data[i : i + depth] for i in range(len(starts))]
+    assert order.tolist() == sorted(range(len(starts)), key=lambda i: (prefix[i], i))
+    match = lambda x, y: next((k for k in range(depth) if x[k] != y[k]), depth)
+    assert common.tolist() == [0, *(match(prefix[a], prefix[b]) for a, b in zip(order, order[1:], strict=False))]
+    factors = dict(zip(order.tolist(), longest_previous_factors(order, common).tolist(), strict=True))
+    assert all(factors[i] == max((match(prefix[j], prefix[i]) for j in range(i)), default=0) for i in range(len(starts)))
+
+
+def test_factors_of_equal_fingerprints(monkeypatch):
+    """Hashes that say nothing: what is removed rests on the bytes."""
+    import cairn.llm.repeats as R
+
+    monkeypatch.setattr(R.Rolling, "of", lambda self, begin, end: np.zeros(len(begin), np.uint64))
+    data = np.frombuffer(b"abcdefghijabcdefghijXbcdefghij", np.uint8)
+    first = R.first_equal(data, np.array([0, 10, 20, 1, 11, 21]), 9)
+    assert first.tolist() == [0, 0, 2, 3, 3, 3]
 
 
 # ---------------------------------------------------------------- packing
@@ -206,6 +223,50 @@ def test_search_beats_best_fit():
     assert sum(n for _, n in pack(counts, 10)) == 8
 
 
+def fewest_bins(pieces, capacity):
+    """By trying every way: each piece into an open bin or a new one."""
+    best = len(pieces)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values():
+            put(i + 1, rooms[:k] + [rooms[k] - pieces[i]] + rooms[k + 1 :])
+        put(i + 1, [*rooms, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_unlimited_search_is_exhaustive(pieces):
+    bins = sum(n for _, n in pack(Counter(pieces), 20, None, None, None))
+    assert bins == fewest_bins(sorted(pieces, reverse=True), 20)
+    assert bins <= sum(n for _, n in pack(Counter(pieces), 20)) <= bins + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab C\t\n'sd.,!|9é\xa0\x85’中ሴ😀<|endoftext>", max_size=20) | st.sampled_from(["<|endoftext|>", "  ", " the", "\n\n", "'ll"]), max_size=8).map("".join))
+def test_ids_are_those_of_the_tokenizer(text):
+    encoder = Encoder.of(tokenizer_path("byte_bpe_50k.json"))
+    texts = [text, "x", text * 3, "", text[::-1]]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.fast is not None and list(encoder.ids([t.encode() for t in texts])) == want
+
+
+def test_ids_of_long_runs_and_added_tokens():
+    encoder = Encoder.of(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a", " " * 3000, "b", "x" * 200_000, "\n " * 400 + "é" * 251, "q" * 500, "a <|endoftext|> b<|endoftext|>"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids([t.encode() for t in texts])] == want
+    assert want[-1].count(50256) == 2
+
+
 def test_places_are_gapless():
     ranks = places([(((5, 2), (3, 1)), 2), (((5, 1),), 1)])
     assert ranks == {5: [(0, 2, 0, 0), (4, 1, 2, 0)], 3: [(0, 1, 0, 10)]}
@@ -222,7 +283,7 @@ def test_packed_documents(spark, docs, rows, empty):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    odd = ["a  b\n\n c\t", "don't I'll <x>", " \xa0 y", "½ Ⅷ 12a 日本 語", "a\x0bb ", "  ", "a \n b  "]
+    odd = ["a <|endoftext|> b", "a  b\n\n c\t", "don't I'll <x>", " \xa0 y", "½ Ⅷ 12a 日本 語", "a\x0bb ", "  ", "a \n b  "]
     texts = dict(rows) | {1000 + i: t for i, t in enumerate(odd)}
     got = pack_documents(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(k, texts[k]) for k in texts if k >= 1000], "doc_id long, text string")), path, 64).collect()
     for doc, text in texts.items():
