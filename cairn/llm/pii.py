@@ -2,9 +2,10 @@
 
 A surrogate is a keyed permutation of the entity's symbols, each within its own alphabet (digits, lower and upper letters of one
 script, vowels and consonants of a name), so different entities get different surrogates, the same entity the same one
-everywhere, and lengths, separators and case stay. A check over all entities of the corpus finds surrogates that are real
-entities of it, or that coincide; those are drawn again until none is left. Where a format has too few values for that, later draws are
-longer by one keyed symbol a round.
+everywhere, and lengths, separators and case stay; only an e-mail address grows, by a top-level domain that is reserved. A listed
+first name becomes another of its gender; one that is not listed keeps its last letter, which tells the gender in many languages. A
+check over all entities of the corpus finds surrogates that are real entities of it, or that coincide; those are drawn again until none
+is left. Where a format has too few values for that, later draws are longer by one keyed symbol a round.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bytetext import encoded
-from cairn.plans.storage import materialise
+from cairn.plans.storage import discard, materialise
 
-KEY = b"replace this key"  # a real run passes its own
+KEY = b"replace this key"  # a real run passes its own, see session_key
 ATTEMPTS = 12  # draws of the same length
 
 #: First names by gender (fixed values); a name is replaced by another of its row.
@@ -31,17 +33,21 @@ FEMALE = "Alice Anna Barbara Carmen Charlotte Clara Elena Emily Emma Eva Greta H
 MALE = "Adam Albert Andrew Anton Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry Jack James John Jorge Karl Louis Lukas Marc Martin Michael Miguel Oscar Paul Peter Robert Thomas William".split()
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra"
 
-_LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-_DIGITAL = re.compile(
-    r"(?P<email>[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    rf"|(?P<iban>{_LEFT}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT})"
-    rf"|(?P<ip>(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[A-Za-z0-9]))"
-    rf"|(?P<phone>{_LEFT}\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_RIGHT}|{_LEFT}\(\d{{3}}\) ?\d{{3}}-\d{{4}}{_RIGHT}|{_LEFT}\d{{3}}[-.]\d{{3}}[-.]\d{{4}}{_RIGHT})"
-    rf"|(?P<ssn>{_LEFT}\d{{3}}-\d{{2}}-\d{{4}}{_RIGHT})"
-    rf"|(?P<card>{_LEFT}\d(?:[ -]?\d){{12,18}}{_RIGHT})"
+_RIGHT = r"(?![A-Za-z0-9])"
+_NUMBERS = re.compile(
+    r"(?<![A-Za-z0-9])(?:"
+    rf"(?P<iban>[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT})"
+    r"|(?P<ip>(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[A-Za-z0-9]))"
+    rf"|(?P<phone>\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_RIGHT}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}{_RIGHT}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}{_RIGHT})"
+    rf"|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}}{_RIGHT})"
+    rf"|(?P<card>\d(?:[ -]?\d){{12,18}}{_RIGHT})"
+    r")"
 )
+# an address is sought from its @, so that long words without one cost nothing
+_MAILBOX = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _NAMED = re.compile(rf"\b(?:(?:{_TITLES})\.? )((?:[^\W\d_a-z][^\W\d_]*[ -])?[^\W\d_a-z][^\W\d_]*[^\W\d_A-Z])\b|\b((?:{'|'.join(FEMALE + MALE)}) [^\W\d_a-z][^\W\d_]*[^\W\d_A-Z])\b")
-_MAYBE_DIGITAL = re.compile(r"[0-9@]")
+_MAYBE_NUMBERS = re.compile(r"\d\d|\d[.)]")
 _MAYBE_NAMED = re.compile(rf"\b(?:{_TITLES}|{'|'.join(FEMALE + MALE)})\b")
 
 Entity = tuple[int, int, str, str]  # start, end, kind, canonical value
@@ -51,32 +57,51 @@ def _iban_valid(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Places of e-mail addresses: the longest mailbox that ends at an @, and the domain after it."""
+    turned, last = "", 0
+    at = text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            turned = turned or text[::-1]
+            mailbox = _MAILBOX.match(turned, len(text) - at, len(text) - last)
+            if mailbox:
+                yield at - len(mailbox[0]), domain.end()
+                last = domain.end()
+        at = text.find("@", at + 1)
+
+
+def _canonical(kind: str, said: str) -> str | None:
+    """The same value for every way of writing an entity; null if it is none after all."""
+    if kind == "iban":
+        value = said.replace(" ", "")
+        return value if _iban_valid(value) else None
+    if kind == "phone":
+        digits = re.sub(r"\D", "", said)
+        code = re.match(r"\+(\d{1,3})(?=\D)", said)
+        return f"{code[1]}:{digits[len(code[1]) :]}" if code else f":{digits}"
+    return said if kind == "ip" else re.sub(r"\D", "", said)
+
+
 def detect(text: str) -> list[Entity]:
-    """Entities of a text, not overlapping, in order; the canonical value is the same for every way of writing an entity."""
-    found: list[Entity] = []
-    if _MAYBE_DIGITAL.search(text):
-        for m in _DIGITAL.finditer(text):
-            kind, said = m.lastgroup, m[0]
-            if kind == "email":
-                value = said.lower()
-            elif kind == "iban":
-                value = said.replace(" ", "")
-                if not _iban_valid(value):
-                    continue
-            elif kind == "ip":
-                value = said
-            elif kind == "phone":
-                digits = re.sub(r"\D", "", said)
-                code = re.match(r"\+(\d{1,3})(?=\D)", said)
-                value = f"{code[1]}:{digits[len(code[1]) :]}" if code else f":{digits}"
-            else:
-                value = re.sub(r"\D", "", said)
-            found.append((m.start(), m.end(), kind, value))
+    """Entities of a text, not overlapping, in order; where two kinds overlap, addresses go before numbers and those before names."""
+    found: list[Entity] = [(a, b, "email", text[a:b].lower()) for a, b in addresses(text)] if "@" in text else []
+
+    def free(a: int, b: int, taken: list[Entity]) -> bool:
+        k = bisect_left(taken, (b,))
+        return not k or taken[k - 1][1] <= a
+
+    if _MAYBE_NUMBERS.search(text):
+        taken = list(found)
+        for m in _NUMBERS.finditer(text):
+            if free(*m.span(), taken) and (value := _canonical(m.lastgroup, m[0])) is not None:
+                found.append((m.start(), m.end(), m.lastgroup, value))
     if _MAYBE_NAMED.search(text):
-        taken = [(a, b) for a, b, _, _ in found]
+        taken = sorted(found)
         for m in _NAMED.finditer(text):
             a, b = m.span(1 if m[1] else 2)
-            if not any(x < b and a < y for x, y in taken):
+            if free(a, b, taken):
                 found.append((a, b, "name", text[a:b]))
     return sorted(found)
 
@@ -182,7 +207,7 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
                 first = row[permute([row.index(first)], [len(row)], key, tweak)[0]]
                 break
         else:
-            first = cipher(first, key, tweak, True)
+            first = cipher(first[:-1], key, tweak + first[-1:], True) + first[-1] if len(first) > 1 else cipher(first, key, tweak, True)
         return first + gap + _longer(cipher(last, key, tweak + "last", True), width, value, key, tweak, True)
     return _longer(cipher(value, key, tweak), width, value, key, tweak)
 
@@ -249,12 +274,15 @@ def resolve(entities: DataFrame, key: bytes = KEY, draw: Callable[[DataFrame, by
         taken = entities.select("kind", F.col("value").alias("drawn"))
         if standing is not None:
             taken = taken.unionByName(standing.select("kind", "drawn"))
-        first = drawn.join(taken, ["kind", "drawn"], "left_anti").groupBy("kind", "drawn").agg(F.min("value").alias("value"))
+        # all of these grow with the corpus: never a broadcast
+        first = drawn.join(taken.hint("merge"), ["kind", "drawn"], "left_anti").groupBy("kind", "drawn").agg(F.min("value").alias("value"))
         fixed = materialise(first.withColumn("attempt", F.lit(attempt)))
         standing = fixed if standing is None else standing.unionByName(fixed)
         if attempt:
             late = fixed if late is None else late.unionByName(fixed)
-        pending = materialise(pending.join(fixed, ["kind", "value"], "left_anti").select("kind", "value"))
+        before, pending = pending, materialise(pending.join(fixed.hint("merge"), ["kind", "value"], "left_anti").select("kind", "value"))
+        if attempt:
+            discard(before)
         if pending.isEmpty():
             if late is None:
                 return fixed.filter(F.lit(False)).select("kind", "value", "attempt")
@@ -266,32 +294,38 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every row with its text's entities replaced and ``kinds_col``, the kinds replaced in order; all other columns as they are.
 
     A text without entities, null included, is unchanged. Repeated rows get the same replacement; an empty table gives
-    none. The first draw is made where the text is; only entities that had to be drawn again are joined in by id, by a
-    broadcast where Spark finds them small enough and by a shuffle where not.
+    none; columns may have any names. The first draw is made where the text is; only entities that had to be drawn again are
+    joined in by id.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     mentions = materialise(_mentions(slim, kind))
     late = resolve(mentions.select("kind", "value").distinct(), key)
-    extra = materialise(mentions.join(late, ["kind", "value"]).distinct().groupBy(F.col("_id").alias("_of")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_late")))
-    joined = docs.join(extra, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
-    place = docs.columns.index(text_col)
+    extra = materialise(mentions.hint("merge").join(late, ["kind", "value"]).distinct().groupBy(F.col("_id").alias("of")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("late")))
+    discard(mentions)
+    # by place, not by name: whatever the columns are called, nothing clashes
+    place, own = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+    joined = docs.toDF(*own).join(extra, F.col(own[docs.columns.index(id_col)]).eqNullSafe(F.col("of")), "left").drop("of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late = batch.column(len(batch.schema.names) - 1).to_pylist()
             column = batch.column(place)
             texts, kinds = [], []
-            for text, redrawn in zip(column.to_pylist(), late, strict=True):
+            for text, redrawn in zip(column.to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
                 new, found = (None, []) if text is None else replace(text, key, {(x["kind"], x["value"]): x["attempt"] for x in redrawn or []})
                 texts.append(new)
                 kinds.append(found)
             columns = [*batch.columns[:-1]]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], kinds_col])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*own, "kinds"])
+
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema, strict=True))
+    return joined.mapInArrow(run, f"{schema}, kinds array<string>").toDF(*docs.columns, kinds_col)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{schema}, `{kinds_col}` array<string>")
+def session_key(spark: SparkSession) -> bytes:
+    """The key set as ``spark.cairn.pii.key``; without one a fixed key, for tests only."""
+    return spark.conf.get("spark.cairn.pii.key", KEY.decode()).encode()
 
 
 def joined_kinds(kinds_col: str = "pii_kinds") -> Column:

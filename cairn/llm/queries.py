@@ -41,9 +41,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from cairn.llm.pii import joined_kinds, replace_entities
+    from cairn.llm.pii import joined_kinds, replace_entities, session_key
 
-    found = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark))
     return found.select("doc_id", F.size("pii_kinds").cast("long").alias("n_entities"), joined_kinds().alias("kinds"), "text")
 
 
