@@ -54,30 +54,52 @@ FREEDOM = {
 UNKNOWN_FREEDOM = 0.25
 EXCEPTION_GAIN = 0.2  # a "with" exception lifts some of a licence's conditions
 
-_EXPRESSION = re.compile(r"[ \t:=\"']*([()A-Za-z0-9.+\-_ \t]{1,2000})")
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-_]+")
+#: First parts of the identifiers that an expression may name (fixed values); what starts with none of them is prose.
+FAMILIES = frozenset(
+    "0bsd aal afl agpl apache apsl artistic beerware blueoak boost bsd bsl bzip2 cal cc cc0 cddl cdla cecill cpl curl dco documentref ecl edl efl epl etalab eudatagrid eupl"
+    " fsfap ftl gfdl gpl hpnd icu ijg imagemagick intel ipl isc json lgpl libpng libtiff licenseref lppl mit mpl ms mulanpsl ncsa netcdf nist ntp oclc odbl odc ofl ogl oldap openssl osl"
+    " pddl php postgresql psf qpl ruby sgi sissl sleepycat sspl tcl unicode unlicense upl vim w3c watcom wtfpl x11 xfree86 zlib zpl".split()
+)
+_EXCEPTION = re.compile(r"(?i).*(?:exception|-note|-linking).*|additionref-.+|shl-[\d.]+")
+
+_BEFORE = re.compile(r"[ \t:=\"']*")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+\-_]+)")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
+def is_licence(token: str) -> bool:
+    return re.split(r"[-+.]", token.lower(), maxsplit=1)[0] in FAMILIES
+
+
+def tokens(expression: str) -> Iterator[str]:
+    """Tokens up to the first character that no expression holds, made as they are asked for."""
+    at = 0
+    while m := _TOKEN.match(expression, at):
+        yield m[1] if m[1] in "()" else m[1].rstrip(".") or "."
+        at = m.end()
+
+
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting-yard: the licence expression in postfix order, operators in lower case; None if it is malformed.
 
-    ``with`` binds closest, then ``and``, then ``or``; all associate to the left.
-    An expression ends before the first token that cannot follow (prose after the tag).
+    ``with`` binds closest, then ``and``, then ``or``; all associate to the left. An expression ends before the first token
+    that cannot follow. Where an operator is followed by neither a licence (an exception, for ``with``) nor a bracket, it and what
+    follows are prose, and the expression ends before it. The right side of ``with`` is one exception, never a bracket.
     """
     output: list[str] = []
     waiting: list[str] = []
     operand_next = True
-    for token in _TOKEN.findall(expression):
+    for token in tokens(expression):
         low = token.lower()
         if operand_next:
-            if token == "(":
+            after_with = bool(waiting) and waiting[-1] == "with"
+            if token == "(" and not after_with:
                 waiting.append(token)
-            elif token == ")" or low in _PRECEDENCE:
-                return None
-            else:
+            elif token not in "()" and low not in _PRECEDENCE and (_EXCEPTION.fullmatch(token) if after_with else is_licence(token)):
                 output.append(token)
                 operand_next = False
+            else:
+                break
         elif token == ")":
             while waiting and waiting[-1] != "(":
                 output.append(waiting.pop())
@@ -91,6 +113,9 @@ def to_postfix(expression: str) -> list[str] | None:
             operand_next = True
         else:
             break
+    if operand_next and waiting and waiting[-1] in _PRECEDENCE:  # an operator that leads to nothing
+        waiting.pop()
+        operand_next = False
     if operand_next or "(" in waiting:
         return None
     return output + waiting[::-1]
@@ -174,8 +199,10 @@ class LicenceMatcher:
                 hit["freedom"].append(freedom_of(self.notices[phrase]))
             if phrase == self.tag:
                 after = int(stop[k + self.tag.count(" ")])
-                said = _EXPRESSION.match(block.data[after : min(after + 4000, int(block.end[doc]))].tobytes().decode("utf-8", "ignore"))
-                postfix = to_postfix(said[1]) if said else None
+                text, begins = texts[doc], after - int(block.at[doc])
+                ends = text.find(b"\n", begins)
+                said = text[begins : ends if ends >= 0 else len(text)].decode("utf-8", "replace")
+                postfix = to_postfix(said[_BEFORE.match(said).end() :])
                 if postfix:
                     labels, freedom = evaluate(postfix)
                     hit["labels"] |= labels
@@ -194,7 +221,7 @@ def scan_licences(
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased, numbered from 0. ``n_base`` counts every
     place of a base phrase, ``first_word``/``last_word`` are the smallest and largest start (null without one).
     ``labels`` are the base labels, those of the other notice phrases, and the licences named in the expression after an
-    ``SPDX-License-Identifier`` tag. ``score`` is the freedom left by the strictest statement, 0 without any.
+    ``SPDX-License-Identifier`` tag, which may be as long as its line. ``score`` is the freedom left by the strictest statement, 0 without any.
 
     A null or empty text has no words, no labels and score 0. Repeated rows each give their row. Other columns are ignored,
     so clashing names do no harm. A narrow job: nothing is shuffled, and a long text is scanned whole.
