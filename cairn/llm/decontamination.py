@@ -3,13 +3,18 @@
 Windows of benchmark words are the patterns and words the symbols. A cursor stands on the last word of a possible
 occurrence. The hash of the block of words that ends there looks up how far the cursor may move without missing one; where
 that is 0, the block hash selects a bucket of windows and the words themselves are compared.
+
+The tables that every task holds have a fixed size: the shifts, and a bit for each block hash that ends a window. The buckets
+are rows of a table, as many as the benchmark has windows; what the cursors stop at is joined with them by block hash and
+compared there. So nothing but the fixed tables passes through the driver, however large the benchmark is; one that fills them
+makes the cursors stop more often, and changes no result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -18,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bytetext import LOWER, Block, encoded, slices
+from cairn.plans.storage import materialise
 
 WINDOW = 13  # words
 BLOCK = 3  # words of a shift block
 STRIDE = 256  # cursor positions scanned by one cursor
-TABLE_BITS = 20
-PATTERN_BYTES = 1 << 20  # benchmark text held by one set of tables; more text makes more sets
+TABLE_BITS = 20  # slots of the shifts of one window length; 2^(TABLE_BITS + 3) bits mark the block hashes that end a window
 
 
 @cache
@@ -55,84 +60,149 @@ def block_hash(hashes: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+@dataclass
 class ShiftTables:
-    """Tables for all windows of one length."""
-
-    def __init__(self, length: int, windows: dict[bytes, tuple[str, ...]]):
-        self.length, self.block = length, min(BLOCK, length)
-        texts = list(windows)
-        block = Block(texts)
-        begin, stop, first = block.words()
-        hashes = word_hashes(block.data, begin, stop)
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.uint8)
-        for end in range(self.block - 1, length):  # the last place wins, having the smallest shift
-            at = block_hash(hashes, first[:-1] + end, self.block)
-            self.shift[at & np.uint64((1 << TABLE_BITS) - 1)] = length - 1 - end
-        self.buckets: dict[int, list[tuple[bytes, tuple[str, ...]]]] = defaultdict(list)
-        for key, text in zip(block_hash(hashes, first[1:] - 1, self.block).tolist(), texts, strict=True):
-            self.buckets[key].append((text, windows[text]))
-        self.suffixes = np.sort(np.fromiter(self.buckets, np.uint64, len(self.buckets)))
-
-    def occurrences(self, lowered: np.ndarray, begin, stop, first, hashes) -> Iterator[tuple[int, tuple[str, ...]]]:
-        """Number of the last word, and the items, of each window that occurs."""
+    """Tables of fixed size for all windows of one length."""
+
+    length: int
+    bits: int
+    shift: np.ndarray
+    ends: np.ndarray  # bits, 64 a number
+
+    @property
+    def block(self) -> int:
+        return min(BLOCK, self.length)
+
+    def stops(self, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the last word, and block hash, wherever a window may end."""
         counts = np.diff(first)
         starts = [np.arange(a + self.length - 1, a + n, STRIDE) for a, n in zip(first[:-1].tolist(), counts.tolist(), strict=True) if n >= self.length]
-        if not starts:
-            return
-        cursor = np.concatenate(starts)
-        limit = np.minimum(cursor + STRIDE, first[np.searchsorted(first, cursor, side="right")])
-        mask = np.uint64((1 << TABLE_BITS) - 1)
-        found = []
-        while len(cursor):
-            key = block_hash(hashes, cursor, self.block)
-            jump = self.shift[key & mask].astype(np.int64)
-            stand = jump == 0
-            if stand.any():
-                keys, at = key[stand], cursor[stand]
-                near = np.minimum(np.searchsorted(self.suffixes, keys), len(self.suffixes) - 1)
-                same = self.suffixes[near] == keys
-                found.append((at[same], keys[same]))
-            cursor = cursor + np.maximum(jump, 1)
-            live = cursor < limit
-            cursor, limit = cursor[live], limit[live]
-        raw = lowered.tobytes()
-        for at, keys in found:
-            for last, key in zip(at.tolist(), keys.tolist(), strict=True):
-                span = slice(last - self.length + 1, last + 1)
-                said = b" ".join([raw[a:b] for a, b in zip(begin[span].tolist(), stop[span].tolist(), strict=True)])
-                for text, items in self.buckets[key]:
-                    if text == said:
-                        yield last, items
-
-
-def build_tables(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[ShiftTables]:
-    """Tables by window length, from (item id, text); an item with fewer words than ``window``, but some, is one window."""
-    by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        block = Block([text])
-        begin, stop, _ = block.words()
-        raw = LOWER[block.data].tobytes()
-        words = [raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            by_length[size][b" ".join(words[i : i + size])].add(item)
-    return [ShiftTables(n, {w: tuple(sorted(ids)) for w, ids in found.items()}) for n, found in sorted(by_length.items())]
-
-
-def scan(tables: list[ShiftTables], texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: words, merged runs of hit words [from, to), items with occurring windows."""
-    block = Block(texts)
-    begin, stop, first = block.words()
-    lowered = LOWER[block.data]
-    hashes = word_hashes(lowered, begin, stop)
-    hit: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[str]] = defaultdict(set)
-    for table in tables:
-        for last, named in table.occurrences(lowered, begin, stop, first, hashes):
-            doc = int(np.searchsorted(first, last, side="right")) - 1
-            hit[doc].append((last - table.length + 1 - int(first[doc]), last + 1 - int(first[doc])))
-            items[doc].update(named)
-    return [(int(n), merged(hit.get(i, [])), items.get(i, set())) for i, n in enumerate(np.diff(first))]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        if starts:
+            cursor = np.concatenate(starts)
+            limit = np.minimum(cursor + STRIDE, first[np.searchsorted(first, cursor, side="right")])
+            while len(cursor):
+                key = block_hash(hashes, cursor, self.block)
+                jump = self.shift[slot_of(key, self.bits)].astype(np.int64)
+                stand = np.flatnonzero(jump == 0)
+                if len(stand):
+                    word, bit = end_bit(key[stand], self.bits)
+                    stand = stand[self.ends[word] >> bit & np.uint64(1) > 0]
+                    found.append((cursor[stand], key[stand]))
+                cursor = cursor + np.maximum(jump, 1)
+                live = cursor < limit
+                cursor, limit = cursor[live], limit[live]
+        at, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+        return at, keys
+
+
+def slot_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def end_bit(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number and bit that mark a block hash, from other bits of it than its slot."""
+    high = key >> np.uint64(64 - bits - 3)
+    return (high >> np.uint64(6)).astype(np.int64), high & np.uint64(63)
+
+
+def _windows(window: int):
+    """(item, text) to its different windows: length, block hash at the end, the words with single spaces, item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(0).to_pylist()
+            for item, text in zip(items, encoded(batch.column(1)), strict=True):
+                block = Block([text])
+                begin, stop, _ = block.words()
+                if not len(begin):
+                    continue
+                lowered = LOWER[block.data]
+                hashes, raw = word_hashes(lowered, begin, stop), lowered.tobytes()
+                words = [raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+                size = min(window, len(words))
+                last = np.arange(size - 1, len(words))
+                said = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+                key = block_hash(hashes, last, min(BLOCK, size)).view(np.int64)
+                for i in range(0, len(said), 50_000):
+                    n = len(said[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, size, np.int32)), pa.array(key[i : i + n]), pa.array(said[i : i + n], pa.binary()), pa.array([item] * n, pa.string())], names=["size", "key", "said", "item"]
+                    )
+
+    return run
+
+
+def _table_rows(table_bits: int):
+    """(size, said) to rows of the tables: shifts (size, slot, shift) and marked bits (size, number, bits), the other columns null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, texts = batch.column(0).to_numpy(), encoded(batch.column(1))
+            for size in np.unique(sizes).tolist():
+                block = Block([texts[i] for i in np.flatnonzero(sizes == size).tolist()])
+                begin, stop, first = block.words()
+                hashes = word_hashes(block.data, begin, stop)
+                width = min(BLOCK, size)
+                slots, shifts = [], []
+                for end in range(width - 1, size):
+                    key = block_hash(hashes, first[:-1] + end, width)
+                    slots.append(slot_of(key, table_bits))
+                    shifts.append(np.full(len(key), size - 1 - end, np.int32))
+                slot, shift = np.concatenate(slots), np.concatenate(shifts)
+                order = np.lexsort((shift, slot))
+                lead = order[np.append(True, np.diff(slot[order]) != 0)]
+                word, bit = end_bit(key, table_bits)
+                number, inverse = np.unique(word, return_inverse=True)
+                bits = np.zeros(len(number), np.uint64)
+                np.bitwise_or.at(bits, inverse, np.uint64(1) << bit)
+                for place, shift_of, marked in ((slot[lead], pa.array(shift[lead]), pa.nulls(len(lead), pa.int64())), (number, pa.nulls(len(number), pa.int32()), pa.array(bits.view(np.int64)))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), size, np.int32)), pa.array(place.astype(np.int64)), shift_of, marked], names=["size", "place", "shift", "bits"])
+
+    return run
+
+
+def build_tables(windows: DataFrame, bits_of_slots: int = TABLE_BITS) -> list[ShiftTables]:
+    """Tables by window length from the rows of ``_windows``; at most a row for each slot and each number of bits comes to the driver."""
+    rows = windows.select("size", "said").distinct().mapInArrow(_table_rows(bits_of_slots), "size int, place long, shift int, bits long")
+    found = rows.groupBy("size", "place", F.col("shift").isNull().alias("marks")).agg(F.min("shift").alias("shift"), F.bit_or("bits").alias("bits")).toArrow()
+    size, place, marks = (found[c].to_numpy() for c in ("size", "place", "marks"))
+    shift, bits = found["shift"].fill_null(0).to_numpy(), found["bits"].fill_null(0).to_numpy().view(np.uint64)
+    out = []
+    for n in np.unique(size).tolist():
+        table = ShiftTables(n, bits_of_slots, np.full(1 << bits_of_slots, n - min(BLOCK, n) + 1, np.uint8), np.zeros(1 << max(0, bits_of_slots - 3), np.uint64))
+        mine = (size == n) & ~marks
+        table.shift[place[mine]] = shift[mine]
+        table.ends[place[(size == n) & marks]] = bits[(size == n) & marks]
+        out.append(table)
+    return out
+
+
+def _stops(shared):
+    """(id, text) to id, words, and for each place where a window may end its length, block hash, words and number of the last word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        for batch in batches:
+            texts = encoded(batch.column(1))
+            for a, b in slices(texts):
+                block = Block(texts[a:b])
+                begin, stop, first = block.words()
+                lowered = LOWER[block.data]
+                hashes, raw = word_hashes(lowered, begin, stop), lowered.tobytes()
+                spots: list[list[dict]] = [[] for _ in range(b - a)]
+                for table in tables:
+                    at, keys = table.stops(first, hashes)
+                    for last, key, doc in zip(at.tolist(), keys.view(np.int64).tolist(), (np.searchsorted(first, at, side="right") - 1).tolist(), strict=True):
+                        span = slice(last - table.length + 1, last + 1)
+                        said = b" ".join([raw[x:y] for x, y in zip(begin[span].tolist(), stop[span].tolist(), strict=True)])
+                        spots[doc].append({"size": table.length, "key": key, "said": said, "last": last - int(first[doc])})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(spots, _SPOTS)], names=["id", "n_words", "spots"])
+
+    return run
+
+
+_SPOTS = pa.list_(pa.struct([("size", pa.int32()), ("key", pa.int64()), ("said", pa.binary()), ("last", pa.int64())]))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,88 +215,55 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of about ``limit`` bytes of text, each brought to the driver on its own."""
-    slim = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
-    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / limit))
-    for k in range(blocks):
-        part = slim.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else slim
-        yield [(r.item, r.text.encode()) for r in part.collect()]
+def _searched(keyed: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, table_bits: int = TABLE_BITS) -> DataFrame:
+    """(id, text) to one row each: id, n_words, n_hit, n_items, items."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    windows = materialise(items.mapInArrow(_windows(window), "size int, key long, said binary, item string").distinct())
+    tables = keyed.sparkSession.sparkContext.broadcast(build_tables(windows, table_bits))
+    kind = keyed.schema["id"].dataType.simpleString()
+    spotted = keyed.mapInArrow(_stops(tables), f"id {kind}, n_words long, spots array<struct<size:int,key:long,said:binary,last:long>>")
+    spotted = materialise(spotted.withColumn("row", F.monotonically_increasing_id()))
+    at = spotted.select("row", F.explode("spots").alias("s")).select("row", "s.*")
+    met = at.join(windows, ["size", "key", "said"])
+    run = F.struct((F.col("last") - F.col("size") + 1).alias("a"), (F.col("last") + 1).alias("b"))
+    hits = met.groupBy("row").agg(F.array_sort(F.collect_set(run)).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+    # runs are sorted by start: add up what each adds beyond the furthest end so far
+    covered = F.aggregate(
+        "runs",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
+        lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["to"]))).alias("n"), F.greatest(s["to"], r["b"]).alias("to")),
+        lambda s: s["n"],
+    )
+    named = hits.select("row", covered.alias("n_hit"), "items")
+    out = spotted.select("row", "id", "n_words").join(named, "row", "left")
+    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-_RUNS = "n_words long, runs array<struct<a:long,b:long>>, items array<string>"
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, table_bits: int = TABLE_BITS) -> DataFrame:
+    """Hit words and occurring items of every text: id, n_words, n_hit, n_items, items (sorted as strings).
 
+    A window is ``window`` consecutive words of an item, or all words of a shorter one. A word inside any occurrence is hit.
 
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    window: int = WINDOW,
-    pattern_bytes: int = PATTERN_BYTES,
-    keep_columns: bool = False,
-) -> DataFrame:
-    """Hit words and occurring items of every text: id, n_words, n_hit, n_items, items (sorted as strings).
+    A null or empty text has no words and no hits; an empty benchmark and items without words hit nothing; the windows of an
+    item without an id hit, but name nothing. Repeated rows each give their row, and equal item texts count as separate
+    items. Further columns are ignored.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _searched(keyed, benchmark, item_col, "text", window, table_bits).withColumnRenamed("id", id_col)
 
-    With ``keep_columns`` the row's own columns come first, in place of the id alone.
 
-    A window is ``window`` consecutive words of an item, or all words of a shorter one. A word inside any occurrence is hit.
-    The benchmark is measured first: up to ``pattern_bytes`` of text make one set of tables sent to the executors;
-    beyond that each block of items has its own pass over the texts and the hits are merged by row, so no set outgrows the bound.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that ``contaminated`` names; rows without id or text are judged alike.
 
-    A null or empty text has no words and no hits; an empty benchmark, null item ids and items without words hit nothing.
-    Repeated rows each give their row, and equal item texts count as separate items. Further columns are ignored.
+    What is dropped is joined by id and two hashes of the text, whatever the other columns are called.
     """
-    sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(build_tables(block, window)) for block in _item_blocks(benchmark, item_col, text_col, pattern_bytes)]
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*docs.columns).alias("_row")] if keep_columns else []))
-    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-
-    def scanner(shared, hits_only: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = shared.value
-            for batch in batches:
-                texts = encoded(batch.column(1))
-                for a, b in slices(texts):
-                    out = scan(tables, texts[a:b])
-                    keep = [i for i, x in enumerate(out) if x[1] or not hits_only]
-                    columns = [c.slice(a, b - a).take(pa.array(keep, pa.int64())) for j, c in enumerate(batch.columns) if j != 1]
-                    columns += [
-                        pa.array([out[i][0] for i in keep], pa.int64()),
-                        pa.array([[{"a": x, "b": y} for x, y in out[i][1]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                        pa.array([sorted(out[i][2]) for i in keep], pa.list_(pa.string())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*(n for j, n in enumerate(batch.schema.names) if j != 1), "n_words", "runs", "items"])
-
-        return run
-
-    if len(sets) == 1:
-        out = slim.mapInArrow(scanner(sets[0], False), f"{held}, {_RUNS}")
-    else:
-        keyed = slim.withColumns({"h1": F.xxhash64("_text"), "h2": F.hash("_text")})
-        base = keyed.mapInArrow(scanner(sc.broadcast([]), False), f"{held}, h1 long, h2 int, {_RUNS}").drop("runs", "items")
-        narrow = keyed.select("_id", "_text", "h1", "h2")
-        kind = keyed.schema["_id"].dataType.simpleString()
-        hits = None
-        for shared in sets:
-            part = narrow.mapInArrow(scanner(shared, True), f"_id {kind}, h1 long, h2 int, {_RUNS}").distinct()
-            hits = part if hits is None else hits.unionByName(part)
-        hits = hits.groupBy(F.col("_id").alias("_key"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(
-            F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        same = F.col("_id").eqNullSafe(F.col("_key")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-        out = base.join(hits, same, "left").withColumns({"runs": F.coalesce("runs", F.array()), "items": F.coalesce("items", F.array())})
-    # runs are sorted by start: add up what each adds beyond the furthest end so far
-    covered = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["to"]))).alias("n"), F.greatest(s["to"], r["b"]).alias("to")),
-        lambda s: s["n"],
-    )
-    own = [F.col("_row")[c].alias(c) for c in docs.columns] if keep_columns else [F.col("_id").alias(id_col)]
-    return out.select(*own, "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    texts = docs.toDF(*own)
+    mark = F.struct(F.col(own[docs.columns.index(id_col)]).alias("of"), *(f(F.col(own[docs.columns.index(text_col)]).cast("string")).alias(n) for n, f in (("h1", F.xxhash64), ("h2", F.hash))))
+    keyed = texts.select(mark.alias("id"), F.col(own[docs.columns.index(text_col)]).cast("string").alias("text"))
+    bad = _searched(keyed, benchmark, item_col, "text", window).filter(contaminated()).select("id.*").distinct()
+    same = mark["of"].eqNullSafe(F.col("of")) & (mark["h1"] == F.col("h1")) & (mark["h2"] == F.col("h2"))
+    return texts.join(bad, same, "left_anti").toDF(*docs.columns)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):
@@ -236,5 +273,3 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
 
 def items_digest(items="items"):
     return F.sha2(F.concat_ws(",", items), 256)
-
-
