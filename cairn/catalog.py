@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import polygon_area, ring_area
+from cairn.operators import chunks as B
 from cairn.operators import points as P
 from cairn.operators import polygonize as G
 from cairn.operators import raster as R
@@ -236,6 +237,52 @@ def raster_files(spark, sf):
     return px.select(*(F.col(c).cast("long").alias(c) for c in ("band", "x", "y")), F.round("v", 2).alias("v"))
 
 
+def _blocks(spark, sf, fixture=px_orders):
+    """The raster as blocks of 16, and its meta."""
+    px, meta = fixture(spark, sf)
+    return SR.from_pixels(px, meta, 16), meta
+
+
+def _apart(chunks: DataFrame) -> DataFrame:
+    """Pixels of blocks, those beyond the raster's data left out, with coarse rounding as blocks are in single precision."""
+    return SR.to_pixels(chunks).select(*(F.col(c).cast("long").alias(c) for c in ("band", "x", "y")), (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query(f"WITH {PX_PARTS} SELECT x, y, CASE WHEN v <> 1 AND v >= 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM px")
+def blocks_threshold(spark, sf):
+    return _apart(B.threshold(*_blocks(spark, sf, px_parts), 25.0)).drop("band")
+
+
+@query(f"WITH {PX_PARTS} SELECT x, y, CASE WHEN v <> 1 AND v BETWEEN 1 AND 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM px")
+def blocks_threshold_range(spark, sf):
+    return _apart(B.threshold_range(*_blocks(spark, sf, px_parts), 1.0, 20.0)).drop("band")
+
+
+@query(f"WITH {PX_ORDERS} SELECT band, x, y, CASE WHEN v IS NOT NULL THEN round(((least(greatest(v::FLOAT::DOUBLE, 100.0), 250000.0) - 100.0) / 249900.0)::FLOAT::DOUBLE, 4) + 0.0 END AS v FROM px")
+def blocks_normalize_range(spark, sf):
+    return _apart(B.normalize_range(_blocks(spark, sf)[0], 100.0, 250000.0))
+
+
+@query(f"WITH {PX_ORDERS}, s AS (SELECT band AS b, min(v::FLOAT::DOUBLE) AS lo, max(v::FLOAT::DOUBLE) AS hi FROM px GROUP BY band) SELECT band, x, y, round(((v::FLOAT::DOUBLE - lo) / (hi - lo))::FLOAT::DOUBLE, 4) + 0.0 AS v FROM px JOIN s ON b = band")
+def blocks_normalize(spark, sf):
+    return _apart(B.normalize(_blocks(spark, sf)[0]))
+
+
+@query(f"WITH {PX_ORDERS} SELECT band, x, y, CASE WHEN v IS NOT NULL THEN least(greatest(round(v::FLOAT::DOUBLE), 0), 65535) END::DOUBLE AS v FROM px")
+def blocks_cast(spark, sf):
+    return _apart(B.cast(_blocks(spark, sf)[0], "UInt16"))
+
+
+@query(f"WITH {PX_ORDERS} SELECT band::BIGINT AS band, count(v) AS n, round(min(v::FLOAT::DOUBLE), 6) AS min, round(max(v::FLOAT::DOUBLE), 6) AS max, round(avg(v::FLOAT::DOUBLE), 6) AS mean, round(stddev_pop(v::FLOAT::DOUBLE), 6) AS std FROM px GROUP BY band")
+def blocks_stats(spark, sf):
+    return out(B.band_stats(_blocks(spark, sf)[0]), "band n", "min max mean std")
+
+
+@query(f"WITH {PX_PARTS} SELECT CASE WHEN v <> 1 AND v >= 25 THEN 1 ELSE 0 END::BIGINT AS class, count(*) AS n FROM px GROUP BY ALL")
+def blocks_class_counts(spark, sf):
+    return out(B.class_counts(B.threshold(*_blocks(spark, sf, px_parts), 25.0)), "class n")
+
+
 _ENDINGS = ("tif", "TIFF", "cog", "shp", "GeoJSON", "json", "gpkg", "las", "LAZ", "txt")
 
 

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.raster import SAME
 
+#: Channel means and deviations that the usual image models are fed with (fixed values).
 IMAGENET_MEAN, IMAGENET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
@@ -75,36 +78,48 @@ def to_tensors(
 
     The nearest source pixel is min(size - 1, int(i * size / target)) in single precision. Missing values become 0 before
     normalising; channels beyond the bands are 0. ``minmax`` and ``zscore`` use the statistics of the tile's own band.
-    A tensor has channels * height * width values, so a tile is one bounded group.
+    A tensor has channels * height * width values and a tile as many pixels, so a tile is one bounded group, filled as one array.
     """
     if mode not in NORMALIZE:
         raise ValueError(f"unknown mode {mode}")
     keys = ["raster_id", "tile_id"]
-    nearest = lambda i, size, target: F.least(size - 1, F.floor(i.cast("float") * (size.cast("float") / F.lit(float(target)).cast("float"))).cast("int"))
-    cells = tiles.select(*keys, "src_w", "src_h", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    cells = cells.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
-    cells = cells.select(*keys, "band", "i", "j", nearest(F.col("j"), F.col("src_w"), width).alias("tx"), nearest(F.col("i"), F.col("src_h"), height).alias("ty"))
-    met = cells.join(tile_px, [*keys, "band", "tx", "ty"], "left")
-    value = F.coalesce(F.col("v").cast("double"), F.lit(0.0))
-    has_band = F.lit(True)
-    if mode in ("minmax", "zscore"):
-        stats = tile_px.groupBy(*keys, "band").agg(F.min("v").alias("_min"), F.max("v").alias("_max"), F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_std"))
-        met = met.join(stats, [*keys, "band"], "left")
-        has_band = F.col("_min").isNotNull()
-        spread = F.col("_max") - F.col("_min")
-        scaled = (value - F.col("_min")) / spread if mode == "minmax" else (value - F.col("_mean")) / F.when(F.col("_std") <= 1e-6, 1.0).otherwise(F.col("_std"))
-        value = F.when(spread <= 1e-6, 0.0).otherwise(scaled) if mode == "minmax" else scaled
-    elif mode in ("imagenet", "custom"):
-        bands = tile_px.select("raster_id", "tile_id", "band").distinct().withColumn("_has", F.lit(True))
-        met = met.join(bands, [*keys, "band"], "left")
-        has_band = F.col("_has").isNotNull()
-        plain = value / 255.0 if bytes_in else value
-        pick = lambda xs: F.get(F.array(*(F.lit(float(x)) for x in xs)), F.col("band"))
-        value = F.when(F.col("band") < 3, (plain - pick(mean)) / pick(std)).otherwise(plain)
-    place = (F.col("band") * height + F.col("i")) * width + F.col("j")
-    cell = F.struct(place.alias("p"), F.when(has_band, value).otherwise(0.0).cast("float").alias("v"))
-    tensor = F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"])
-    return met.groupBy(*keys).agg(tensor.alias("tensor")).withColumn("shape", F.array(*(F.lit(n).cast("long") for n in (1, channels, height, width))))
+
+    def nearest(size: int, target: int) -> np.ndarray:
+        step = np.float32(size) / np.float32(target)
+        return np.minimum(size - 1, np.floor(np.arange(target, dtype=np.float32) * step).astype(np.int64))
+
+    def build(key, tile, cells):
+        if not tile.num_rows:
+            return pa.table([pa.nulls(0, pa.string()), pa.nulls(0, pa.int64()), pa.nulls(0, pa.list_(pa.float32()))], names=[*keys, "tensor"])
+        w, h = tile["src_w"][0].as_py(), tile["src_h"][0].as_py()
+        band, tx, ty = (cells[c].to_numpy().astype(np.int64) for c in ("band", "tx", "ty"))
+        v = cells["v"].fill_null(np.nan).to_numpy().astype(float)
+        out = np.zeros((channels, height, width), np.float32)
+        rows, columns = nearest(h, height), nearest(w, width)
+        for k in np.unique(band[(band >= 0) & (band < channels)]).tolist():
+            here = (band == k) & (tx >= 0) & (tx < w) & (ty >= 0) & (ty < h)
+            grid = np.zeros((h, w))
+            grid[ty[here], tx[here]] = np.nan_to_num(v[here])
+            value = grid[rows[:, None], columns[None, :]]
+            there = v[(band == k) & ~np.isnan(v)]
+            if mode in ("minmax", "zscore"):
+                if not len(there):
+                    continue
+                spread = there.max() - there.min()
+                if mode == "minmax":
+                    value = (value - there.min()) / spread if spread > 1e-6 else np.zeros_like(value)
+                else:
+                    value = (value - there.mean()) / (there.std() if there.std() > 1e-6 else 1.0)
+            elif mode in ("imagenet", "custom"):
+                value = value / 255.0 if bytes_in else value
+                value = (value - mean[k]) / std[k] if k < 3 else value
+            out[k] = value
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64()), pa.array([out.ravel()], pa.list_(pa.float32()))], names=[*keys, "tensor"])
+
+    sides = tiles.select("raster_id", F.col("tile_id").cast("long").alias("tile_id"), "src_w", "src_h")
+    cells = tile_px.select("raster_id", F.col("tile_id").cast("long").alias("tile_id"), "band", "tx", "ty", F.col("v").cast("double").alias("v"))
+    made = sides.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(build, "raster_id string, tile_id long, tensor array<float>")
+    return made.withColumn("shape", F.array(*(F.lit(n).cast("long") for n in (1, channels, height, width))))
 
 
 def band_to_tensor(px: DataFrame, meta: DataFrame, band: int, width: int = 512, height: int = 512) -> DataFrame:
