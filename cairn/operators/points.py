@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.plans.ranks import running_total
-from cairn.plans.storage import materialise
+from cairn.plans.storage import discard, materialise
 
 
 def _need(condition: bool, message: str) -> None:
@@ -57,47 +57,62 @@ def random_downsample(pc: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def _cell_size(pc: DataFrame, k: int) -> float:
-    """Side of a cell that holds about k points, over the axes that vary."""
-    row = pc.agg(F.count("*").alias("n"), *(F.max(c).alias(f"b{c}") for c in "xyz"), *(F.min(c).alias(f"a{c}") for c in "xyz")).first()
-    sides = [row[f"b{c}"] - row[f"a{c}"] for c in "xyz" if row["n"] and row[f"b{c}"] > row[f"a{c}"]]
-    return (math.prod(sides) * k / row["n"]) ** (1 / len(sides)) if sides else 1.0
+CROWD = 16  # times k: points of a cell beyond which the cells of a cloud are made smaller
 
 
-def knn_self_join(pc: DataFrame, k: int, cell: float | None = None, max_rounds: int = 40) -> DataFrame:
+def _cell_sizes(points: DataFrame, k: int) -> DataFrame:
+    """cloud_id, size: the side of each cloud's cells, halved from one that holds about k points while the fullest cell is crowded and thins out."""
+    sides = F.array(*(F.max(c) - F.min(c) for c in "xyz"))
+    box = points.groupBy("cloud_id").agg(F.count("*").alias("n"), F.filter(sides, lambda s: s > 0).alias("sides"))
+    even = F.pow(F.aggregate("sides", F.lit(1.0), lambda a, s: a * s) * k / F.col("n"), 1.0 / F.size("sides"))
+    sizes = materialise(box.select("cloud_id", F.when(F.size("sides") > 0, even).otherwise(1.0).alias("size"), F.lit(None).cast("long").alias("most"), F.lit(True).alias("going")))
+    while not sizes.filter("going").isEmpty():
+        half = points.join(sizes.filter("going"), "cloud_id")
+        full = half.groupBy("cloud_id", *(F.floor(F.col(c) / F.col("size")) for c in "xyz")).agg(F.count("*").alias("n")).groupBy("cloud_id").agg(F.max("n").alias("now"))
+        going = F.coalesce((F.col("now") > CROWD * k) & (F.col("most").isNull() | (F.col("now") < 0.7 * F.col("most"))), F.lit(False))
+        before, sizes = sizes, materialise(sizes.join(full, "cloud_id", "left").select("cloud_id", F.when(going, F.col("size") / 2).otherwise(F.col("size")).alias("size"), F.coalesce("now", "most").alias("most"), going.alias("going")))
+        discard(before)
+    return sizes.select("cloud_id", "size")
+
+
+def knn_self_join(pc: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """cloud_id, ord, rank, other, dist: the k nearest points of each, itself among them (fewer, if the cloud has fewer).
 
     Points meet those of the 27 cells around their own. A point is settled when its k-th distance is no more than the distance
-    to the border of that block; the others go on with larger cells, against all points. Ties go to the smaller ord.
-    Each side of a pair is one point, and rank limits are applied before the shuffle.
+    to the border of that block; the others go on with larger cells, until a block holds their whole cloud. Ties go to the
+    smaller ord, so of points in one place only the k smallest can be anyone's neighbours, and only those are met. Each cloud
+    has cells as large as its densest part wants. Rank limits are applied before the shuffle.
     """
     _need(k > 0, "k must be positive")
     if pc.isEmpty():
         return pc.select("cloud_id", "ord", F.lit(1).alias("rank"), F.col("ord").alias("other"), F.lit(0.0).alias("dist"))
     points = materialise(pc.select("cloud_id", "ord", *(F.col(c).cast("double").alias(c) for c in "xyz")))
-    sizes = points.groupBy("cloud_id").agg(F.count("*").alias("_n"))
-    size, total = cell or _cell_size(points, k), points.count()
-    pending, done = points.select("*"), None
-    for _ in range(max_rounds):
+    here = F.row_number().over(Window.partitionBy("cloud_id", "x", "y", "z").orderBy("ord"))
+    targets = points.withColumn("_r", here).filter(F.col("_r") <= k).drop("_r")
+    counts = targets.groupBy("cloud_id").agg(F.count("*").alias("_n"))
+    sizes = points.select("cloud_id").distinct().withColumn("size", F.lit(float(cell))) if cell else _cell_sizes(targets, k)
+    targets = materialise(targets.join(sizes, "cloud_id"))
+    pending, done, grown, total = materialise(points.join(sizes, "cloud_id")), None, 1.0, points.count()
+    steps = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(t, "abc", strict=True))) for t in [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
+    while True:
+        size = F.col("size") * grown
         own = [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in "xyz"]
-        base = points.select("cloud_id", F.col("ord").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *own)
-        steps = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(t, "abc", strict=True))) for t in [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
-        asked = pending.select("*", *own, F.explode(steps).alias("s")).select("cloud_id", "ord", "x", "y", "z", *((F.col(f"c{c}") + F.col(f"s.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)))
-        dist = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
-        met = asked.join(base, ["cloud_id", "cx", "cy", "cz"]).select("cloud_id", "ord", "x", "y", "z", "other", dist.alias("dist"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id", "ord").orderBy("dist", "other"))).filter(F.col("rank") <= k)
+        base = targets.select("cloud_id", F.col("ord").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *own)
         border = F.least(*(F.least(F.col(c) - (F.floor(F.col(c) / size) - 1) * size, (F.floor(F.col(c) / size) + 2) * size - F.col(c)) for c in "xyz"))
-        ranked = materialise(ranked.withColumn("border", border))
-        summary = ranked.groupBy("cloud_id", "ord").agg(F.max("dist").alias("_far"), F.count("*").alias("_found"), F.first("border").alias("_border")).join(sizes, "cloud_id")
+        asked = pending.select("*", *own, border.alias("border"), F.explode(steps).alias("s")).select("cloud_id", "ord", "x", "y", "z", "border", *((F.col(f"c{c}") + F.col(f"s.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)))
+        dist = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
+        met = asked.join(base, ["cloud_id", "cx", "cy", "cz"]).select("cloud_id", "ord", "border", "other", dist.alias("dist"))
+        ranked = materialise(met.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id", "ord").orderBy("dist", "other"))).filter(F.col("rank") <= k))
+        summary = ranked.groupBy("cloud_id", "ord").agg(F.max("dist").alias("_far"), F.count("*").alias("_found"), F.first("border").alias("_border")).join(counts, "cloud_id")
         settled = summary.filter(((F.col("_found") == k) & (F.col("_far") <= F.col("_border"))) | (F.col("_found") == F.col("_n"))).select("cloud_id", "ord")
         part = ranked.join(settled, ["cloud_id", "ord"], "left_semi").select("cloud_id", "ord", "rank", "other", "dist")
         done = part if done is None else done.unionByName(part)
-        pending = materialise(pending.join(settled, ["cloud_id", "ord"], "left_anti"))
+        before, pending = pending, materialise(pending.join(settled, ["cloud_id", "ord"], "left_anti"))
+        discard(before)
         if pending.isEmpty():
             return done
         # few points far from all others are left in the end: larger steps then cost little
-        size *= 2 if 10 * pending.count() > total else 4
-    raise RuntimeError(f"neighbours did not settle in {max_rounds} rounds")
+        grown *= 2 if 10 * pending.count() > total else 4
 
 
 def mean_neighbour_distance(pc: DataFrame, k: int = 50) -> DataFrame:

@@ -18,6 +18,7 @@ from cairn.functions.crs import transform_xy
 from cairn.functions.geometry import RINGS, bounds, box_rings, checked, polygon_area, usable
 from cairn.plans.gridjoin import box_pairs
 from cairn.plans.ranks import numbered
+from cairn.plans.storage import discard, materialise
 
 Parts = list[tuple[str, list[np.ndarray]]]
 
@@ -263,7 +264,8 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
 
     Polygons are clipped to the cells they cover and each cell is united on its own, so nothing is gathered beyond a cell.
     Without ``cell`` the side starts at twice the mean extent and is halved while a cell holds more than ``crowd`` different
-    pieces and halving still thins it out. Equal pieces are united before they meet.
+    pieces and halving still thins it out; what crowds a cell then is united as a tree of bounded groups. Equal pieces are
+    united before they meet.
     """
     solid = _usable(fx).filter("geom_type = 'Polygon'")
     b = bounds(F.col("rings"))
@@ -299,13 +301,29 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
             out = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), write_rings(shapes)], names=["cx", "cy", "rings"])
 
-    pieces = spread(side).mapInArrow(clip, f"cx long, cy long, rings {RINGS}").distinct()
+    pieces = materialise(spread(side).mapInArrow(clip, f"cx long, cy long, rings {RINGS}").distinct())
 
     def unite(key, table):
         parts = K.union(read_rings(table["rings"].combine_chunks()))
         return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), write_rings(parts)], names=["cx", "cy", "part", "rings"])
 
-    return pieces.repartition(shuffle_partitions(fx), "cx", "cy").groupBy("cx", "cy").applyInArrow(unite, f"cx long, cy long, part int, rings {RINGS}")
+    united = f"cx long, cy long, part int, rings {RINGS}"
+    # what still crowds a cell is united in groups of at most about ``crowd``, round by round, while that leaves fewer pieces
+    last = None
+    while True:
+        sizes = pieces.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if not most:
+            break
+        full = pieces.join(sizes, ["cx", "cy"]).withColumn("salt", F.pmod(F.xxhash64("rings"), F.ceil(F.col("n") / crowd)).cast("int"))
+        joined = full.repartition(shuffle_partitions(fx), "cx", "cy", "salt").groupBy("cx", "cy", "salt").applyInArrow(unite, united).drop("part")
+        rest = pieces.join(sizes.select("cx", "cy"), ["cx", "cy"], "left_anti")
+        before, pieces = pieces, materialise(rest.unionByName(joined).distinct())
+        discard(before)
+        if total > 0.8 * (last or math.inf):  # what lies apart is not thinned out by uniting it
+            break
+        last = total
+    return pieces.repartition(shuffle_partitions(fx), "cx", "cy").groupBy("cx", "cy").applyInArrow(unite, united)
 
 
 def union_area(fx: DataFrame) -> DataFrame:

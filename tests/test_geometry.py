@@ -196,3 +196,13 @@ def test_common_parts_of_any_two_kinds(kind, rings, other, b_rings, want):
     size = lambda found: [(k, pytest.approx(float(np.hypot(*np.diff(r[0], axis=0).T).sum()))) for k, r in found]
     assert size(common(kind, rings, other, b_rings)) == want
     assert size(common(other, b_rings, kind, rings)) == want
+
+
+def test_union_of_a_crowded_spot(spark):
+    """Nested and jittered boxes over one place, far more than a cell holds, beside a few apart."""
+    rows = [(0.0 - i % 40 / 100, 0.0 - i // 40 / 100, 1.0 + i % 7 / 10, 1.0 + i % 5 / 10) for i in range(600)] + [(10.0 + 3 * i, 0.0, 11.0 + 3 * i, 1.0) for i in range(5)]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], "fid long, a double, b double, c double, d double")
+    fx = V.boxes(df, *(F.col(c) for c in ("fid", "a", "b", "c", "d")))
+    cells = {(i, j) for a, b, c, d in rows for i in range(round(a * 100), round(c * 100)) for j in range(round(b * 100), round(d * 100))}
+    parts = V.dissolve(fx, crowd=16)
+    assert parts.agg(F.sum(polygon_area(F.col("rings")))).first()[0] == pytest.approx(len(cells) / 10_000, rel=1e-6)

@@ -241,3 +241,19 @@ def test_known_coordinates(spark):
         assert [(r.x, r.y) for r in back] == [(pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9)) for a, b in [(117.0, 0.0), (120.5, 36.2)]]
     with pytest.raises(ValueError):
         code_of("EPSG:9999")
+
+
+def test_neighbours_in_dense_and_lonely_places(spark):
+    """Two clouds of different scale: a crowd, many points in one place, and some far away."""
+    rng = random.Random(3)
+    at = [(rng.gauss(0, 0.01), rng.gauss(0, 0.01), 0.0) for _ in range(150)] + [(5.0, 5.0, 0.0)] * 40 + [(rng.uniform(-900, 900), rng.uniform(-900, 900), 0.0) for _ in range(20)]
+    rows = [("a", i, *p) for i, p in enumerate(at)] + [("b", i, 1e6 * p[0], 1e6 * p[1], 0.0) for i, p in enumerate(at[:30])] + [("c", 0, 1.0, 1.0, 1.0), ("c", 1, 1.0, 1.0, 1.0)]
+    pc = spark.createDataFrame(rows, "cloud_id string, ord long, x double, y double, z double")
+    got = {}
+    for r in P.knn_self_join(pc, 5).collect():
+        got.setdefault((r.cloud_id, r.ord), {})[r["rank"]] = (round(r.dist, 9), r.other)
+    for cloud in "abc":
+        points = [(o, (x, y, z)) for c, o, x, y, z in rows if c == cloud]
+        for o, p in points:
+            want = sorted((round(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) ** 0.5, 9), other) for other, q in points)[:5]
+            assert [got[cloud, o][k] for k in sorted(got[cloud, o])] == want
