@@ -12,24 +12,28 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.storage import discard, materialise
+
 #: Fixed patterns; the matches of the first are kept where the captured value has MIN_VALUE characters.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
-#: Strings the models judge: 16 or more such characters with a letter and a digit among them.
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+#: Strings the models judge: whole runs of 16 or more such characters, with a letter and a digit among them.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 TRAIN_DOCS = 2_000  # texts of the labelled sample, in expectation
 THRESHOLD = 0.5  # mean log-likelihood ratio a transition
 SMOOTHING = 0.5
+BLOCK_MATCHES = 256
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points; ``keep`` decides by the matched string.
 
-    The text between matches and the matches themselves, laid end to end, give the places.
+    The text between matches and the matches themselves, laid end to end, give the places. Matches are gone through in blocks,
+    whose spans are moved to their place afterwards: the work stays in proportion to the text, however many there are.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
@@ -41,17 +45,32 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         wanted = pair["hit"].isNotNull() & (keep(pair["hit"]) if keep else F.lit(True))
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(wanted, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+
+    def all_of(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK_MATCHES).cast("int")), lambda k: F.aggregate(F.slice(held, k * BLOCK_MATCHES + 1, F.lit(BLOCK_MATCHES)), start, step))
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("parts"))
+        return F.flatten(F.aggregate(blocks, begin, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["parts"], F.array(moved(b["spans"], s["at"]))).alias("parts")), lambda s: s["parts"]))
+
+    return F.transform(F.array(pairs), all_of)[0]  # as an argument, so that the pairs are made once
 
 
 def _when(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(F.array().cast(_SPAN))
 
 
+def _neighbours(string: Column, f) -> Column:
+    """f of each character and the next one."""
+    symbols = F.split(string, "")
+    n = F.greatest(F.length(string) - 1, F.lit(0))
+    return F.zip_with(F.slice(symbols, F.lit(1), n), F.slice(symbols, F.lit(2), n), f)
+
+
 def _transitions(strings: DataFrame, kind: str) -> DataFrame:
     """Counts of character pairs over distinct strings with their weights, as codes below 128."""
-    pairs = strings.groupBy("s").agg(F.count("*").alias("n")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("two"))
-    return pairs.groupBy(F.ascii(F.substr("two", F.lit(1), F.lit(1))).alias("a"), F.ascii(F.substr("two", F.lit(2), F.lit(1))).alias("b")).agg(F.sum("n").alias("n")).withColumn("kind", F.lit(kind))
+    pairs = strings.groupBy("s").agg(F.count("*").alias("n")).select("n", F.explode(_neighbours(F.col("s"), lambda a, b: F.struct(F.ascii(a).alias("a"), F.ascii(b).alias("b")))).alias("two"))
+    return pairs.groupBy("two.a", "two.b").agg(F.sum("n").alias("n")).withColumn("kind", F.lit(kind))
 
 
 def train_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = TRAIN_DOCS) -> list[float]:
@@ -63,12 +82,13 @@ def train_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.count()
     share = min(1.0, sample_docs / total) if total else 1.0
     hashed = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    sample = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), hashed.alias("h")).filter(F.col("h") < int(share * (1 << 30)) + (share == 1.0))
+    sample = materialise(docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), hashed.alias("h")).filter(F.coalesce(F.col("h") < int(share * (1 << 30)) + (share == 1.0), F.lit(False))))
     values = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))).alias("s"))
     drawn = sample.select(F.explode(F.array(*(F.base64(F.unhex(F.sha2(F.concat_ws("-", F.coalesce("id", F.lit("")), F.lit(i)), 256))) for i in range(4)))).alias("s"))
     plain = sample.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", ASSIGN, " "), F.lit(r"[A-Za-z0-9_-]{4,}"), F.lit(0))).alias("s"))
     random = values.unionByName(drawn).filter(F.length("s") >= 2)
     rows = _transitions(random, "random").unionByName(_transitions(plain, "plain")).filter("a < 128 and b < 128").collect()
+    discard(sample)
     counts = {k: {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == k} for k in ("random", "plain")}
     used = sorted({x for c in counts.values() for pair in c for x in pair})
     ratios = [0.0] * (128 * 128)
@@ -81,9 +101,8 @@ def train_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _mean_ratio(string: Column, table: Column) -> Column:
-    code = lambda i: F.ascii(F.substr(string, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, code(i) * 128 + code(i + 1) + 1))
-    return total / (F.length(string) - 1)
+    each = _neighbours(string, lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / (F.length(string) - 1)
 
 
 def _joined(spans: Column) -> Column:
@@ -105,7 +124,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "_assign": _when((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= MIN_VALUE)),
         "_access": _when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), _spans(text, ACCESS, 1)),
         "_hex": _when(text.rlike(HEX), _spans(text, HEX, 2)),
-        "_other": _when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3, lambda m: _mean_ratio(m, table) > threshold)),
+        "_other": _when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (_mean_ratio(m, table) > threshold))),
     })
     base = found.select(id_col, F.concat("_assign", "_access", "_hex").alias("base"), "_other")
     free = F.filter("_other", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
