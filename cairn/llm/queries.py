@@ -107,13 +107,13 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_top_k": """
         WITH whole AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+            SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
         ), scored AS (
-            SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
-            FROM whole q JOIN whole d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0
+            SELECT q.own AS own, q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+            FROM whole q JOIN whole d ON q.own <> d.own AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0
         )
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
-        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+        SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) <= 20""",
 }

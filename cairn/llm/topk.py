@@ -1,12 +1,14 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Rows are laid out in blocks. A block keeps, beside its exact vectors, the quantised cell of each component and the cells'
-bounds. A query first scans the cells: they bound each score from above and below. Only vectors whose upper bound reaches
-the k-th best lower bound are read exactly, best bound first, until the k-th score found is certain.
+Rows are laid out in blocks. A block keeps the cell of each component, one byte, in a grid of equal cells between its own
+extremes. The score of a cell's middle is wrong by no more than half a cell a component, so one product of a query with the cells
+bounds all scores of a block from above and below. The scan over the cells keeps what may still be among the k best; over
+all blocks, only rows whose upper bound reaches the k-th best lower bound are left, and only of those are exact vectors read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,70 +17,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CELLS = 16  # cells of a component
-BLOCK_ROWS = 2048
-QUERY_ROWS = 256
+from cairn.plans.storage import materialise
+
+CELLS = 256  # cells of a component: one byte
+BLOCK_ROWS = 4096
+SCAN_ROWS = 64  # queries scored at once
+GROUP_ROWS, GROUP_QUERIES = 1 << 18, 1 << 15  # rows and queries that meet in one task, at most
 
 
 def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell of each component, and the smallest and largest value in each cell (components by cells)."""
-    edges = np.quantile(vectors, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0)
-    code = np.zeros(vectors.shape, np.uint8)
-    for e in edges:
-        code += vectors > e
-    low, high = np.zeros((vectors.shape[1], CELLS)), np.zeros((vectors.shape[1], CELLS))
-    for c in range(CELLS):
-        here = code == c
-        low[:, c] = np.where(here.any(0), np.where(here, vectors, np.inf).min(0), 0)
-        high[:, c] = np.where(here.any(0), np.where(here, vectors, -np.inf).max(0), 0)
-    return code, low, high
-
-
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, cells: tuple, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """For each query its k best (score, id) in the block, the query's own id left out; ties go to the smaller id."""
-    code, low, high = cells
-    at = np.arange(vectors.shape[1])
-    lows, highs = low[at, code], high[at, code]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    upper = up @ highs.T + down @ lows.T
-    lower = up @ lows.T + down @ highs.T
-    for i, (query, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
-        others = np.flatnonzero(ids != own)
-        if not len(others):
-            continue
-        take = min(k, len(others))
-        bound = np.partition(lower[i, others], len(others) - take)[len(others) - take]
-        near = others[upper[i, others] >= bound]
-        near = near[np.argsort(-upper[i, near], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for step in range(0, len(near), 4 * k):
-            if len(best) == take and upper[i, near[step]] < -best[-1][0]:
-                break
-            part = near[step : step + 4 * k]
-            best = sorted([*best, *zip((-(vectors[part] @ query).astype(np.int64)).tolist(), ids[part].tolist(), strict=True)])[:take]
-        yield own, [(-s, v) for s, v in best]
-
-
-def _blocks(vectors: DataFrame, rows: int, with_cells: bool) -> DataFrame:
-    """Vectors of each partition and dimension in blocks of at most ``rows``, as bytes."""
+    """Cell of each component, and the lower edge and width of the cells of each component."""
+    low = vectors.min(0)
+    width = (vectors.max(0) - low) / CELLS
+    code = np.floor((vectors - low) / np.where(width > 0, width, 1)).clip(0, CELLS - 1).astype(np.uint8)
+    return code, low, width
+
+
+def bounds(queries: np.ndarray, code: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(middle, slack): each score lies within the slack of its query from the middle."""
+    middle = (queries * width).astype(np.float32) @ code.T.astype(np.float32) + (queries @ (low + width / 2)).astype(np.float32)[:, None]
+    size = np.abs(queries) @ (np.abs(low) + CELLS * width)
+    # half a cell a component, and what single precision may add up to
+    return middle, np.abs(queries) @ (width / 2) + size * (code.shape[1] + 4) * 2.0**-22
+
+
+def near(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, blocks: list[tuple], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, row, lower, upper) of all rows whose upper bound reaches the k-th best lower bound here; a query is no row of its own.
+
+    ``own`` and ``rows`` are numbers of rows, ``blocks`` the cells with their edges and widths, in the order of ``rows``.
+    """
+    place = np.argsort(rows)
+    for i in range(0, len(queries), SCAN_ROWS):
+        asked, mine = queries[i : i + SCAN_ROWS], own[i : i + SCAN_ROWS]
+        parts = [bounds(asked, *b) for b in blocks]
+        middle = np.concatenate([m for m, _ in parts], axis=1)
+        slack = np.repeat(np.column_stack([s for _, s in parts]), [len(b[0]) for b in blocks], axis=1).astype(np.float32)
+        lower, upper = middle - slack, middle + slack
+        at = np.minimum(np.searchsorted(rows, mine, sorter=place), len(rows) - 1)
+        self_ = np.flatnonzero(rows[place[at]] == mine)
+        lower[self_, place[at[self_]]] = upper[self_, place[at[self_]]] = -np.inf
+        least = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(asked), -np.inf, np.float32)
+        q, r = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
+        yield mine[q], rows[r], lower[q, r].astype(float), upper[q, r].astype(float)
+
+
+def _blocks(vectors: DataFrame, with_cells: bool) -> DataFrame:
+    """(row, v) in blocks of one dimension, as bytes: cells with their edges and widths, or the vectors themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0).to_pylist(), np.int64)
+            rows = batch.column(0).to_numpy()
             flat, offsets = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
             width = np.diff(offsets)
             for dim in np.unique(width).tolist():
                 here = np.flatnonzero(width == dim)
-                for i in range(0, len(here), rows):
-                    part = here[i : i + rows]
-                    exact = flat[offsets[part][:, None] + np.arange(dim)[None, :] - offsets[0]].reshape(len(part), dim)
-                    code, low, high = cells_of(exact) if with_cells else (np.zeros((0, 0), np.uint8),) * 3
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[part], exact.astype(np.float64), code, low.astype(float), high.astype(float)))],
-                        names=["dim", "ids", "exact", "code", "low", "high"],
-                    )
+                for i in range(0, len(here), BLOCK_ROWS):
+                    part = here[i : i + BLOCK_ROWS]
+                    exact = flat[offsets[part][:, None] + np.arange(dim)[None, :] - offsets[0]].reshape(len(part), dim).astype(float)
+                    code, low, wide = cells_of(exact) if with_cells else (exact, np.zeros(0), np.zeros(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows[part], code, low, wide))], names=["dim", "rows", "data", "low", "width"])
 
-    return vectors.mapInArrow(run, "dim long, ids binary, exact binary, code binary, low binary, high binary")
+    return vectors.mapInArrow(run, "dim long, rows binary, data binary, low binary, width binary")
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -88,36 +87,53 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int)
     return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), parts.alias("v"))
 
 
+def _dealt(blocks: DataFrame, groups: int, others: int, mine: str, theirs: str) -> DataFrame:
+    """Each block in one group, to meet every group of the other side."""
+    group = F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int")
+    return blocks.withColumn(mine, group).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` best candidates of each query: query_id, rank (from 1), vec_id, score.
 
-    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own id. Scores are integer
-    inner products (exact below 2^53); vectors of another dimension than the query's are no candidates for it, and vectors
-    without components score 0. Rows that ``whole_vectors`` leaves out take no part. Repeated rows are queries and candidates
-    each on their own, but a query id gets one list of k rows. An empty table gives none.
+    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query itself; ties go to the smaller
+    id. Scores are integer inner products (exact below 2^53); vectors of another dimension than the query's are no candidates
+    for it, and vectors without components score 0. Rows that ``whole_vectors`` leaves out take no part. Rows that repeat an
+    id are rows of their own: each is a query with a list of its own, and candidates for one another. An empty table gives none.
 
-    Query blocks meet data blocks pairwise, a stated query set against all rows; each task sends at most k rows a query on.
+    Groups of queries meet groups of rows, a stated query set against all rows; only cells travel there. What the scan leaves,
+    about k rows a query and group, is thinned out over all groups before exact vectors are fetched by row.
     """
-    whole = whole_vectors(vectors, id_col, vector_col, scale)
-    data = _blocks(whole, BLOCK_ROWS, True)
-    asked = whole.filter(F.col("id") % every == 0).dropDuplicates(["id"])
-    asked = _blocks(asked, QUERY_ROWS, False).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
-    pairs = data.hint("shuffle_replicate_nl").join(asked, F.col("dim") == F.col("q_dim"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}  # the k best of each query over all data blocks this task meets
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, dim = np.frombuffer(row["ids"], np.int64), row["dim"]
-                query_ids = np.frombuffer(row["q_ids"], np.int64)
-                shape = lambda x, n, kind=np.float64: np.frombuffer(x, kind).reshape(n, -1) if dim else np.zeros((n, 0), kind)
-                cells = shape(row["code"], len(ids), np.uint8), *(np.frombuffer(row[c]).reshape(dim, CELLS) for c in ("low", "high"))
-                for q, found in search(shape(row["q_exact"], len(query_ids)), query_ids, shape(row["exact"], len(ids)), ids, cells, k):
-                    best[q] = sorted([*best.get(q, []), *((-s, v) for s, v in found)])[:k]
-        out = [(q, v, -s) for q, found in best.items() for s, v in found]
-        for i in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + 50_000], strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    whole = materialise(whole_vectors(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
+    asked = whole.filter(F.col("id") % every == 0)
+    n, m = whole.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    least = math.ceil(math.sqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    r, q = max(least, math.ceil(n / GROUP_ROWS)), max(least, math.ceil(m / GROUP_QUERIES))
+    data = _dealt(_blocks(whole.select("row", "v"), True), r, q, "i", "j")
+    queries = _dealt(_blocks(asked.select("row", "v"), False), q, r, "j", "i")
+
+    def scan(key, left, right):
+        names = ["q", "row", "lower", "upper"]
+        dim = key[0].as_py()
+        shape = lambda x, kind: np.frombuffer(x, kind).reshape(-1, dim) if dim else None
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        if left.num_rows and right.num_rows:
+            held = [np.frombuffer(x, np.int64) for x in left["rows"].to_pylist()]
+            asked = [np.frombuffer(x, np.int64) for x in right["rows"].to_pylist()]
+            codes = [shape(x, np.uint8) if dim else np.zeros((len(h), 0), np.uint8) for x, h in zip(left["data"].to_pylist(), held, strict=True)]
+            blocks = [(c, np.frombuffer(a), np.frombuffer(b)) for c, a, b in zip(codes, left["low"].to_pylist(), left["width"].to_pylist(), strict=True)]
+            exact = np.concatenate([shape(x, float) if dim else np.zeros((len(h), 0)) for x, h in zip(right["data"].to_pylist(), asked, strict=True)])
+            found += near(exact, np.concatenate(asked), np.concatenate(held), blocks, k)
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+
+    by = ("dim", "i", "j")
+    seen = materialise(data.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(scan, "q long, row long, lower double, upper double"))
+    # the k-th best lower bound of each query over all groups
+    best = F.slice(F.sort_array(F.collect_list("lower"), asc=False), 1, k)
+    limits = seen.groupBy("q").agg(best.alias("best")).select("q", F.when(F.size("best") == k, F.element_at("best", -1)).otherwise(float("-inf")).alias("least"))
+    left = seen.join(limits.hint("merge"), "q").filter("upper >= least").select("q", "row")
+    exact = left.join(whole.hint("merge").select("row", F.col("id").alias("vec_id"), "v"), "row").join(asked.hint("merge").select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w")), "q")
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).cast("long")
+    scored = exact.select("q", "query_id", "vec_id", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
