@@ -146,7 +146,8 @@ def held_out(id_col: str, folds: int = 5, fold: int = 0) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents outside the held-out fold, those with the smallest hash of their id.
 
-    Null labels are left out; an id with two different labels counts with each. Only features come to the driver.
+    Null labels are left out; an id with two different labels counts with each, and rows that repeat an id count among the
+    ``rows`` too. Only features come to the driver.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").distinct()
     chosen = known.filter(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(list(features(texts[a:b])))], names=["_id", "_y", "x"])
 
-    found = sample.select("_id", "_text", "_y").mapInArrow(run, f"_id {sample.schema['_id'].dataType.simpleString()}, _y int, x array<double>").toPandas()
+    found = sample.select("_id", "_text", "_y").mapInArrow(run, f"_id {sample.schema['_id'].dataType.simpleString()}, _y int, x array<double>").orderBy(F.xxhash64("_id"), "_id", "_y", "x").limit(rows).toPandas()
     found = found.sort_values("_id", kind="stable")
     return fit(np.array(found["x"].tolist()).reshape(-1, len(FEATURES)), found["_y"].to_numpy(float))
 
