@@ -1,14 +1,15 @@
 """Classifiers, personal data and top-k search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import language, quality
-from cairn.llm.pii import FEMALE, KEY, MALE, detect, permute, render, replace, replace_entities, resolve, surrogate
-from cairn.llm.topk import top_k
+from cairn.llm.pii import FEMALE, KEY, MALE, detect, permute, render, replace, replace_entities, resolve, session_key, surrogate
+from cairn.llm.topk import bounds, cells_of, near, top_k
 
 
 def good(rng):
@@ -46,6 +47,32 @@ def test_flat_trees_agree_with_walking():
 SYLLABLES = {"aa": "ka to mi re shu".split(), "bb": "schen ung ver ein ß".split(), "cc": "ción ñar los que el".split()}
 
 
+def test_kernel_matches_sets_of_grams():
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "ABab", "a1b2", "ñandú ñandú", "x" * 3000] + ["".join(rng.choice("abc dé9") for _ in range(rng.randrange(80))) for _ in range(40)]
+
+    def spectrum(text):
+        data = bytes(language._FOLD[list(f" {text} ".encode())])
+        return {data[i : i + n] for n in (2, 3, 4) for i in range(len(data) - n + 1)}
+
+    raw = [t.encode() for t in texts]
+    sets = [language.present([t])[1] for t in raw]
+    model = language.KernelClassifier.untrained(["p", "q"], sets[:20])
+    want = np.array([[len(spectrum(t) & spectrum(m)) / np.sqrt(max(1, len(spectrum(t))) * max(1, len(spectrum(m)))) for m in texts[:20]] for t in texts])
+    assert [len(x) for x in sets] == [len(spectrum(t)) for t in texts]
+    assert np.allclose(model.kernel(raw), want)
+    model.settle(np.random.default_rng(1).normal(size=(20, 2)))
+    assert np.allclose(model.margins(raw), want @ model.weights)
+
+
+def test_crowded_slots_keep_every_gram(monkeypatch):
+    monkeypatch.setattr(language.Vocabulary, "_slot", lambda self, values, step: (values % np.uint64(3)).astype(np.int64) + step)
+    known = np.arange(5, 200, 3, dtype=np.uint64) + np.uint64(2 << 32)
+    vocabulary = language.Vocabulary(known)
+    assert vocabulary.number(known).tolist() == list(range(1, len(known) + 1))
+    assert not vocabulary.number(known + np.uint64(1)).any()
+
+
 def test_language_held_out(spark, empty):
     rng = random.Random(3)
     text = lambda lang: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(40))
@@ -127,6 +154,61 @@ def test_full_formats_get_longer_surrogates(spark):
     assert sum(c.isdigit() for c in render("123-45-6789", "ssn", surrogate("ssn", "123456789", KEY, 12))) == 10
 
 
+def mapping(rows, got):
+    """Value to surrogate of every mention, entity by entity in order."""
+    out = {}
+    for doc, text in rows:
+        before, after = detect(text), detect(got[doc])
+        assert [k for _, _, k, _ in before] == [k for _, _, k, _ in after]
+        for (_, _, kind, value), (_, _, _, new) in zip(before, after, strict=True):
+            out.setdefault((kind, value), set()).add(new)
+    return out
+
+
+def test_surrogates_of_a_corpus_are_apart(spark):
+    """Over many entities, some in several ways of writing: one surrogate each, no two alike, none an entity of the corpus."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = [
+        lambda: f"{rng.choice('abc')}{rng.choice('xyz')}@{rng.choice('mn')}.org",
+        lambda: f"+1 {digits(3)} 555 {digits(4)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"10.{digits(1)}.{digits(1)}.{digits(1)}",
+        lambda: f"Mr {rng.choice('BDF')}{rng.choice('ae')}",
+        lambda: f"{rng.choice(FEMALE[:4] + MALE[:4])} {rng.choice('BDFG')}{rng.choice('aeiou')}n",
+        lambda: f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}",
+    ]
+    rows = [(i, ". So ".join(rng.choice(make)() for _ in range(6)) + ".") for i in range(250)]
+    rows += [(1000 + i, t.upper() if "@" in t and "M" not in t and not any(n in t for n in FEMALE + MALE) else t) for i, t in rows[:60]]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), key=b"k").collect()}
+    new = mapping(rows, got)
+    assert len(new) > 500 and all(len(x) == 1 for x in new.values())
+    drawn = [(kind, *x) for (kind, _), x in new.items()]
+    assert len(set(drawn)) == len(drawn) and not set(drawn) & set(new)
+
+
+def test_long_unbroken_words_end_soon():
+    began = time.time()
+    for text in ("a" * 10**6, "a." * 500_000, "a@" * 400_000, "Dr " + "A" * 10**6, "1" * 10**6, "A1" * 500_000, "x.y@" + "a." * 300_000):
+        assert detect(text) == []
+    assert time.time() - began < 30
+
+
+def test_session_key(spark):
+    assert session_key(spark) == KEY
+    spark.conf.set("spark.cairn.pii.key", "other")
+    try:
+        assert session_key(spark) == b"other"
+    finally:
+        spark.conf.unset("spark.cairn.pii.key")
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, TEXT, 7, "x", 3, "y", 9)], "doc_id long, text string, _late int, _of string, c0 int, kinds string, late int")
+    row = replace_entities(df).first()
+    assert (row["_late"], row["_of"], row.c0, row.kinds, row.late) == (7, "x", 3, "y", 9) and row.text != TEXT and len(row.pii_kinds) == 8
+
+
 def test_replaced_table(spark, docs, rows, empty):
     extra = spark.createDataFrame([(2000, TEXT), (2000, TEXT), (2001, None), (None, TEXT)], "doc_id long, text string")
     df = docs.select("doc_id", "text", "key", "n").unionByName(extra, allowMissingColumns=True)
@@ -158,3 +240,24 @@ def test_top_k_matches_brute_force(spark, n):
     for r in top_k(df).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
     assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: w for q, w in want.items() if w}
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 1.0]), (40, [])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df).collect())
+    assert got == [(20, 1, 1, 8192), (20, 1, 1, 8192), (20, 2, 20, 4096), (20, 2, 20, 4096)]
+
+
+def test_cells_bound_the_scores():
+    rng = np.random.default_rng(2)
+    x, queries = np.floor(64 * rng.normal(size=(500, 12))), np.floor(64 * rng.normal(size=(30, 12)))
+    x[:, 3] = 7
+    middle, slack = bounds(queries, *cells_of(x))
+    assert (np.abs(queries @ x.T - middle) <= slack[:, None]).all()
+    rows = rng.permutation(500)
+    blocks = [cells_of(x[:200]), cells_of(x[200:])]
+    found = [np.concatenate(c) for c in zip(*near(queries, np.arange(30) + 490, rows, blocks, 20), strict=True)]
+    for i, q in enumerate(queries):
+        best = sorted(((s, r) for s, r in zip((x @ q).tolist(), rows.tolist(), strict=True) if r != i + 490), reverse=True)
+        held = set(found[1][found[0] == i + 490].tolist())
+        assert {r for s, r in best if s >= best[19][0]} <= held and i + 490 not in held and len(held) < 60

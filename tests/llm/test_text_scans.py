@@ -1,12 +1,14 @@
 """Licences, contamination and secrets against plain recomputation."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm.decontamination import contaminated, find_contamination, items_digest
+from cairn.llm.decontamination import contaminated, drop_contaminated, find_contamination, items_digest
 from cairn.llm.licences import BASE_PHRASES, evaluate, scan_licences, to_postfix
 from cairn.llm.secrets import count_kind, joined_spans, scan_secrets, train_ratios
 
@@ -42,14 +44,30 @@ def test_licence_places_match_plain_search(spark):
 
 def test_shunting_yard():
     assert to_postfix("MIT or Apache-2.0 and BSD") == ["MIT", "Apache-2.0", "BSD", "and", "or"]
-    assert to_postfix("(MIT OR ISC) AND X WITH E") == ["MIT", "ISC", "or", "X", "E", "with", "and"]
-    assert to_postfix("MIT and prose follows") == ["MIT", "prose", "and"]
-    for bad in ("", "AND MIT", "(MIT", "MIT OR"):
+    assert to_postfix("(MIT OR ISC) AND GPL-2.0+ WITH LLVM-exception") == ["MIT", "ISC", "or", "GPL-2.0+", "LLVM-exception", "with", "and"]
+    assert to_postfix("MIT and prose follows") == to_postfix("MIT OR") == to_postfix("MIT, and ISC") == to_postfix("MIT.") == ["MIT"]
+    assert to_postfix("GPL-2.0 WITH (A OR B)") == to_postfix("GPL-2.0 with love") == ["GPL-2.0"]
+    assert to_postfix("MIT OR ISC and this file") == ["MIT", "ISC", "or"]
+    for bad in ("", "AND MIT", "(MIT", "this file", "(MIT OR", "WITH x"):
         assert to_postfix(bad) is None
     assert evaluate(to_postfix("GPL-3.0-only OR MIT"))[1] == 1.0
     assert evaluate(to_postfix("GPL-3.0-only AND MIT"))[1] < 0.5
 
 
+def test_licence_expressions_in_texts(spark):
+    long = " OR ".join(["MIT"] * 40_000 + ["ISC"])
+    texts = [f"# SPDX-License-Identifier: {x}\nnext line MPL-2.0" for x in ("MIT and this file", "GPL-2.0-only WITH (A OR B)", long, "(MIT OR " * 3, "ISC\r", "Nothing here", "GPL-3.0-or-later WITH GCC-exception-3.1 OR BSD-3-Clause")]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(7)] == ["mit", "gpl-2", "isc,mit", "", "isc", "", "bsd,gpl-3"]
+    assert got[6].score == 1.0 and got[5].score == 0.0
+
+
+def test_licences_of_odd_tables(spark, empty):
+    assert scan_licences(empty).isEmpty()
+    df = spark.createDataFrame([(1, "under the mit license"), (1, "under the mit license"), (None, "x " * 10**6 + "cc by nc")], "doc_id long, text string").withColumns({"labels": F.lit("y"), "n_words": F.lit(0)})
+    assert sorted((str(r.doc_id), r.n_words, r.first_word, r.labels) for r in scan_licences(df).collect()) == [("1", 4, 0, "mit")] * 2 + [("None", 10**6 + 3, 10**6, "cc-by-nc")]
+
+
 def brute_contamination(text, items, size=13):
     w = words(text)
     hit, named = set(), set()
@@ -64,11 +82,12 @@ def brute_contamination(text, items, size=13):
     return len(w), len(hit), named
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 200])
-def test_contamination_matches_brute_force(spark, docs, rows, limit):
+@pytest.mark.parametrize("bits", [20, 3])
+def test_contamination_matches_brute_force(spark, docs, rows, bits):
+    """Also with tables so small that they are full."""
     items = [(i, t) for i, t in [(1, rows[2][1][20:400]), (2, rows[5][1]), (30, "Two, WORDS!"), (4, None), (5, "..."), (6, rows[2][1][20:400]), (7, "w1"), (8, " ".join(rows[7][1].split()[5:17]))]]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    found = find_contamination(docs, bench, pattern_bytes=limit)
+    found = find_contamination(docs, bench, table_bits=bits)
     got = found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("d"), contaminated().alias("c")).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -82,8 +101,20 @@ def test_contamination_of_nothing(spark, docs, empty, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(docs, none).filter("n_hit > 0").isEmpty()
     assert find_contamination(empty, none).isEmpty()
-    kept = find_contamination(docs, none, keep_columns=True)
-    assert kept.columns[: len(docs.columns)] == docs.columns and kept.count() == len(rows)
+    assert drop_contaminated(docs, none).columns == docs.columns and drop_contaminated(docs, none).count() == len(rows)
+
+
+def test_contaminated_rows_are_dropped(spark):
+    """Whatever the other columns are called, and whether or not a row has an id; equal ids with other texts stay."""
+    item = " ".join(f"b{i}" for i in range(20))
+    near = " ".join(f"c{i}" for i in range(380))
+    rows = [(1, item, 5), (1, "clean", 5), (None, f"x {item}", 6), (None, None, 7), (2, f"{near} {item}", 8), (3, f"{near} {near} {item}", 9), (4, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int").withColumns({"n_hit": F.lit("y"), "items": F.lit(3), "of": F.lit(1), "h1": F.lit(2), "c0": F.lit(4)})
+    bench = spark.createDataFrame([(None, item), (9, "")], "item_id long, text string")
+    kept = drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.n_words) for r in kept.collect()) == [("1", 5), ("3", 9), ("4", 1), ("None", 7)]
+    assert [r.n_items for r in find_contamination(df.filter("n_words = 8"), bench).collect()] == [0]
 
 
 SECRETS = [
@@ -115,6 +146,17 @@ def test_secret_spans_match_patterns(spark, docs, rows):
     assert by_id[7] == "markov:4:28"  # random letters and digits that no pattern names
 
 
+def test_secrets_in_long_texts(spark):
+    """Very long runs and very many matches take no more than their share of time."""
+    rng = random.Random(6)
+    texts = ["x" * 10**6, "ab1" * 400_000, "a" * 15 + " " + "9" * 10**6, "token=" + "q7" * 300_000, "secret: " + " " * 10**6, " ".join(f"token=v{i:06d}" for i in range(60_000)), " ".join("%024x" % rng.getrandbits(96) for _ in range(20_000))]
+    began = time.time()
+    found = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "base").collect()
+    assert time.time() - began < 120
+    for r in found:
+        assert [(s.start, s.kind, s.end) for s in sorted(r.base)] == plain_spans(texts[r.doc_id])
+
+
 def test_secret_training(spark, docs, empty):
     assert set(train_ratios(empty)) == {0.0}
     ratios = train_ratios(docs)
