@@ -844,7 +844,7 @@ def vector_files(spark, sf):
 
 
 @query(f"""WITH r AS ({RASTERS}), top AS (SELECT o_orderpriority AS raster_id, max(o_totalprice::FLOAT) / 10000::FLOAT > {_TOO_BRIGHT} AS bad FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)
-    SELECT count_if(bad) = 0 AS success, count(*) - count_if(bad) AS succeeded, count(*) AS total, coalesce(string_agg(CASE WHEN bad THEN raster_id || ': too bright' END, '; ' ORDER BY raster_id), '') AS error FROM r LEFT JOIN top USING (raster_id)""")
+    SELECT count_if(bad) = 0 AS success, (count(*) - count_if(bad))::BIGINT AS succeeded, count(*) AS total, coalesce(string_agg(CASE WHEN bad THEN raster_id || ': too bright' END, '; ' ORDER BY raster_id), '') AS error FROM r LEFT JOIN top USING (raster_id)""")
 def overall_report(spark, sf):
     """The model refuses tiles with a very bright pixel, so some rasters fail and the others go on."""
     report = S.batch_segment(*px_multi(spark, sf), strict_scorer, S.SegmentConfig(tile=64, stride=48, channels=1, batch_size=1), polygons=False)[2]
