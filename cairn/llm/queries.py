@@ -104,7 +104,40 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": rf"""
+        WITH RECURSIVE lowered AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT DISTINCT doc_id, list_slice(w, i + 1, i + 3) AS s FROM lowered, LATERAL (SELECT unnest(range(greatest(1, len(w) - 2))) AS i) k WHERE len(w) > 0),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sets a JOIN sets b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+        reach(root, id) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT root, b FROM reach JOIN links ON a = id AND b > root)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM lowered
+        LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(root) AS component_id FROM reach GROUP BY id) USING (doc_id)""",
+    "op3_decontamination": rf"""
+        WITH lowered AS (SELECT row_number() OVER () AS own, doc_id, {_WORDS} AS w FROM documents),
+        items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, list_slice(w, i + 1, i + least(13, len(w))) AS said FROM items, LATERAL (SELECT unnest(range(len(w) - least(13, len(w)) + 1)) AS i) k WHERE len(w) > 0),
+        spots AS (SELECT own, size, i, list_slice(w, i + 1, i + size) AS said FROM lowered, (SELECT DISTINCT size FROM windows) s, LATERAL (SELECT unnest(range(len(w) - size + 1)) AS i) k WHERE len(w) >= size),
+        met AS (SELECT own, i, size, item_id FROM spots JOIN windows USING (size, said)),
+        hit AS (SELECT own, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT own, i, size FROM met), LATERAL (SELECT unnest(range(i, i + size)) AS p) k GROUP BY own),
+        named AS (SELECT own, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM met WHERE item_id IS NOT NULL GROUP BY own)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM lowered LEFT JOIN hit USING (own) LEFT JOIN named USING (own)""",
+    "op9_suffix_array_dedup": """
+        WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (SELECT doc_id, w.i AS i, w.s AS s FROM (SELECT doc_id, unnest(list_transform(range(length(h) // 2 - 99), lambda i: {'i': i, 's': md5_number(substr(h, 2 * i + 1, 200))})) AS w FROM bytes WHERE length(h) >= 200)),
+        later AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+        edges AS (SELECT doc_id, i, i > lag(i) OVER w + 100 OR lag(i) OVER w IS NULL AS fresh FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS MATERIALIZED (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY ALL),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS since, lead(a) OVER w IS NULL AS last FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+        kept AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || max(CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END) AS rest
+            FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)""",
     "op8_exact_top_k": """
         WITH whole AS (
             SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
