@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.geometry import polygon_area, ring_area
+from cairn.functions.geometry import polygon_area
 from cairn.operators import chunks as B
 from cairn.operators import points as P
 from cairn.operators import polygonize as G
@@ -675,7 +675,9 @@ _PROBS = "p AS (SELECT tile_id, class, x, y, x - src_x AS tx, y - src_y AS ty, (
 
 
 def _weights(mode: str) -> str:
-    return "wt AS (SELECT unnest(range(16)) AS i, unnest([" + ", ".join(f"{w!r}::DOUBLE" for w in T.blend_weights(TILE, TILE - STRIDE, mode)) + "]) AS w)"
+    """Weights along a side of 16 with an overlap of 4, by the distance to the nearer end."""
+    ramp = {"none": "1.0", "linear": "(d + 1) / 5.0", "gaussian": "1 - exp(-((4 - d) ** 2) / 8.0)"}[mode]
+    return f"wt AS (SELECT i, CASE WHEN d < 4 THEN {ramp} ELSE 1.0 END::DOUBLE AS w FROM (SELECT i, least(i, 15 - i) AS d FROM (SELECT unnest(range(16)) AS i)))"
 
 
 for _name in ("none", "linear", "gaussian"):
