@@ -101,15 +101,19 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     for it, and vectors without components score 0. Rows that ``whole_vectors`` leaves out take no part. Rows that repeat an
     id are rows of their own: each is a query with a list of its own, and candidates for one another. An empty table gives none.
 
-    Groups of queries meet groups of rows, a stated query set against all rows; only cells travel there. What the scan leaves,
+    Groups of queries meet groups of rows, a stated query set against all rows; only cells travel there. Of more than k + 1
+    equal vectors the others could only come after those with smaller ids, so they are left out of the scan, not of the queries. What the scan leaves,
     about k rows a query and group, is thinned out over all groups before exact vectors are fetched by row.
     """
     whole = materialise(whole_vectors(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
     asked = whole.filter(F.col("id") % every == 0)
-    n, m = whole.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    # of equal vectors only those with the smallest ids can be among the best of any query
+    alike = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("id", "row"))
+    targets = materialise(whole.withColumn("alike", alike).filter(F.col("alike") <= k + 1).drop("alike"))
+    n, m = targets.count(), asked.count()
     least = math.ceil(math.sqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     r, q = max(least, math.ceil(n / GROUP_ROWS)), max(least, math.ceil(m / GROUP_QUERIES))
-    data = _dealt(_blocks(whole.select("row", "v"), True), r, q, "i", "j")
+    data = _dealt(_blocks(targets.select("row", "v"), True), r, q, "i", "j")
     queries = _dealt(_blocks(asked.select("row", "v"), False), q, r, "j", "i")
 
     def scan(key, left, right):
@@ -132,7 +136,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     best = F.slice(F.sort_array(F.collect_list("lower"), asc=False), 1, k)
     limits = seen.groupBy("q").agg(best.alias("best")).select("q", F.when(F.size("best") == k, F.element_at("best", -1)).otherwise(float("-inf")).alias("least"))
     left = seen.join(limits.hint("merge"), "q").filter("upper >= least").select("q", "row")
-    exact = left.join(whole.hint("merge").select("row", F.col("id").alias("vec_id"), "v"), "row").join(asked.hint("merge").select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w")), "q")
+    exact = left.join(targets.hint("merge").select("row", F.col("id").alias("vec_id"), "v"), "row").join(asked.hint("merge").select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w")), "q")
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).cast("long")
     scored = exact.select("q", "query_id", "vec_id", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))

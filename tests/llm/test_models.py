@@ -248,6 +248,17 @@ def test_repeated_rows_are_candidates_of_each_other(spark):
     assert got == [(20, 1, 1, 8192), (20, 1, 1, 8192), (20, 2, 20, 4096), (20, 2, 20, 4096)]
 
 
+def test_very_common_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 else rng.normal(size=3).tolist()) for i in range(600)]
+    whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)) for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in top_k(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
+    assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:20] for q in whole if q % 20 == 0}
+
+
 def test_cells_bound_the_scores():
     rng = np.random.default_rng(2)
     x, queries = np.floor(64 * rng.normal(size=(500, 12))), np.floor(64 * rng.normal(size=(30, 12)))
