@@ -8,12 +8,13 @@ Sizes are banded, so that both sets of a pair use the same number of parts.
 Below 90 % parts would hold so few n-grams that any shared passage makes them equal. There the n-grams of a set are put into
 one order, common ones last, and the first of them are its parts: two sets that share at least the threshold of the larger
 one share one of their first n-grams, whatever the order. Common are those that a sample of fixed size meets repeatedly; a
-poor sample costs time and no link. Documents that share such an n-gram are chained only if their parity sketches are near
-enough; where more than CROWD documents share one, all are.
+poor sample costs time and no link.
 
 1. Sets that are equal are put into classes by a hash; the smallest id stands for its class.
-2. Documents that agree in a part are chained to the smallest id that has it; the chains' components are coarse groups that
-   hold every link. Within a map batch equal parts are chained at once, so that a very common part sends one row a batch.
+2. Documents that agree in a part are chained if their sketches, kept beside the sets' sizes, are near enough for a link; where
+   more than CROWD documents agree in one, all are chained to the smallest id that has it. The chains' components are coarse
+   groups that hold every link. Parts that many documents of a map batch have are chained at once, so that a very common part sends
+   one row a batch.
 3. A coarse group is compared block by block: sketches first, then the sets themselves. Only a spanning forest of the links
    leaves a task, and groups of any size are spread over tasks of bounded size.
 4. Components of classes and forests are the result.
@@ -40,6 +41,7 @@ NGRAM = 3
 THRESHOLD = 90  # percent
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 200_000
+SHIP_BYTES = 8 << 20
 SAMPLE_DOCS = 20_000
 COMMON_GRAMS = 1_000_000
 CROWD, CROWD_IN_BATCH = 1024, 32
@@ -87,10 +89,10 @@ class Bands:
 
     SPARE = 1
 
-    def __init__(self, percent: int, top: int = 1 << 26):
+    def __init__(self, percent: int, top: int = 1 << 31):
         self.percent = percent
         self.starts = [1]
-        while self.starts[-1] <= top:
+        while self.starts[-1] <= top:  # no text has more words
             self.starts.append(100 * self.starts[-1] // percent + 1)
         self.starts = np.array(self.starts, np.int64)
         largest = np.append(self.starts[2:], [1 << 40, 1 << 40]) - 1
@@ -160,8 +162,8 @@ def parity_sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def set_digests(docs: DataFrame, n: int = NGRAM, sketched: bool = False) -> DataFrame:
-    """(id, text) to id, n_shingles, two hashes of the set and its sketch (null unless ``sketched``)."""
+def set_digests(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(id, text) to id, n_shingles, two hashes of the set and its parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +177,7 @@ def set_digests(docs: DataFrame, n: int = NGRAM, sketched: bool = False) -> Data
                         batch.column(0).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)),
-                        pa.array([parity_sketch(s) if sketched else None for s in sets], pa.binary()),
+                        pa.array(list(map(parity_sketch, sets)), pa.binary()),
                     ],
                     names=["id", "n", "h1", "h2", "sketch"],
                 )
@@ -230,7 +232,7 @@ def first_grams(sets: list[np.ndarray], percent: int, common: Common) -> tuple[n
 def _sketch_rows(docs: DataFrame, percent: int, n: int, common: Common | None = None) -> DataFrame:
     """(id, text) to rows (key, id, with): a part of a sketch (with null), or a chain to another id of the batch with the same part.
 
-    With ``common``, the parts are the first n-grams, and only those that many documents of the batch have are chained here.
+    With ``common``, the parts are the first n-grams. Only parts that many documents of the batch have are chained here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,7 @@ def _sketch_rows(docs: DataFrame, percent: int, n: int, common: Common | None =
             order = np.lexsort((doc, key))
             doc, key = doc[order], key[order]
             fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-            if common is not None and len(key):
+            if len(key):
                 run_of = np.cumsum(fresh) - 1
                 fresh |= (np.bincount(run_of) <= CROWD_IN_BATCH)[run_of]
             lead = doc[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(key) else doc
@@ -289,9 +291,10 @@ def near_pairs(group: list[tuple[int, int, bytes]], percent: int) -> list[tuple[
 
 
 def _near_chains(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Rows of first n-grams to chains (id, other): of near documents where a few share an n-gram, to the smallest id where many do.
+    """Rows of parts to chains (id, other): of near documents where a few share a part, to the smallest id where many do.
 
-    Groups that share several n-grams are compared once.
+    Groups that share several parts are compared once. A batch sends a part that many of its documents have as one row, so the
+    window over a part, however common, meets a few rows a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +311,7 @@ def _near_chains(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     shared = materialise(rows.select("key", "id", "other", F.count("*").over(whole).alias("docs"), F.min("id").over(whole).alias("lead")).filter("docs > 1 or other is not null"))
     many = shared.filter(F.col("other").isNotNull() | (F.col("docs") > CROWD)).select("id", F.coalesce("other", "lead").alias("other"))
     few = shared.filter(F.col("other").isNull() & (F.col("docs") <= CROWD)).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    members = few.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")).join(sketches, "id")
+    members = few.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")).join(sketches.hint("merge"), "id")
     groups = members.groupBy("group").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("members")).select("members")
     return many.unionByName(groups.mapInArrow(run, "id long, other long"))
 
@@ -364,39 +367,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("id is not null")
     by_order = percent < THRESHOLD
-    digests = materialise(set_digests(texts, n, by_order))
+    digests = materialise(set_digests(texts, n))
     # classes of equal sets; written, so that the join meets its rows by a shuffle of its own, whose skew Spark can split
     classes = digests.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     classes = materialise(classes.filter(F.col("rows") > 1).drop("rows"))
-    placed = materialise(digests.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    placed = materialise(digests.join(classes.hint("merge"), ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     # coarse groups
     common = common_grams(known, n, digests.filter("n > 0").count()) if by_order else None
     rows = _sketch_rows(known, percent, n, common)
-    if by_order:
-        chains = _near_chains(rows, digests.filter("n > 0 and id is not null").select("id", "n", "sketch"), percent)
-    else:
-        lead = F.min("id").over(Window.partitionBy("key"))
-        chains = rows.withColumn("lead", lead).select("id", F.coalesce("other", "lead").alias("other"))
-    chains = chains.filter("id != other").distinct()
+    chains = _near_chains(rows, digests.filter("n > 0 and id is not null").select("id", "n", "sketch"), percent).filter("id != other").distinct()
     coarse = connected_components(chains, "id", "other")
-    members = coarse.join(placed.filter("id = rep").select(F.col("id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
-    sizes = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")
+    members = coarse.hint("merge").join(placed.filter("id = rep").select(F.col("id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
+    # written, so that Spark can split the join on the members of a very large group
+    sizes = materialise(members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    wanted = members.join(sizes, "component").select(F.col("node").alias("id"), "component", blocks.alias("blocks"))
+    wanted = members.join(sizes.hint("merge"), "component").select(F.col("node").alias("id"), "component", blocks.alias("blocks"))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, group, blocks = _ids(batch), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             texts = encoded(batch.column(1))
+            out, size = [], 0
             for a, b in slices(texts):
-                out = []
                 for i, s in enumerate(shingle_sets(texts[a:b], n), a):
-                    mine = int(mixed(np.array([ids[i]]).view(np.uint64))[0] % np.uint64(blocks[i]))
-                    out += [(int(group[i]), min(mine, k), max(mine, k), int(mine > k), int(ids[i]), s.tobytes()) for k in range(int(blocks[i]))]
-                c, x, y, side, who, data = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(side, pa.int32()), pa.array(who, pa.int64()), pa.array(data, pa.binary())], names=["component", "x", "y", "side", "id", "grams"]
-                )
+                    mine, data = int(mixed(np.array([ids[i]]).view(np.uint64))[0] % np.uint64(blocks[i])), s.tobytes()
+                    for k in range(int(blocks[i])):  # a set goes to every block pair of its own; a few MB are held at once
+                        out.append((int(group[i]), min(mine, k), max(mine, k), int(mine > k), int(ids[i]), data))
+                        size += len(data) + 64
+                        if size > SHIP_BYTES:
+                            yield shipped_batch(out)
+                            out, size = [], 0
+            if out:
+                yield shipped_batch(out)
+
+    def shipped_batch(out: list[tuple]) -> pa.RecordBatch:
+        c, x, y, side, who, data = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), *(pa.array(v, pa.int32()) for v in (x, y, side)), pa.array(who, pa.int64()), pa.array(data, pa.binary())], names=["component", "x", "y", "side", "id", "grams"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         sides: list[list[tuple[int, np.ndarray]]] = [[], []]
@@ -407,8 +413,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edges = _forest(sides[0], sides[1] if cross else None, percent) if sides[0] and (sides[1] or not cross) else []
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    # the wanted ids grow with the corpus: never a broadcast
+    # as in all joins here, both sides grow with the corpus: never a broadcast
     shipped = known.hint("merge").join(wanted, "id").select("id", "text", "component", "blocks").mapInArrow(ship, "component long, x int, y int, side int, id long, grams binary")
     links = shipped.groupBy("component", "x", "y").applyInPandas(link, "a long, b long")
     fine = connected_components(links.unionByName(placed.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "a", "b")
-    return placed.join(fine.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return placed.hint("merge").join(fine.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
