@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = 2_000  # rows of an Arrow batch: texts are long, and a worker holds a batch whole
 
 
@@ -91,6 +92,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cairn.llm.merkle import build_manifest, fold, leaf_digest, proof_digest, prove
+
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    leaf = leaf_digest(*fields.values())
+    lowered = leaf_digest(*(fields | {"text": F.translate("text", UPPER, UPPER.lower())}).values())
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered).otherwise(leaf)
+    proved = prove(build_manifest(docs.select("doc_id", "source", leaf.alias("leaf"), shown.alias("shown"))))
+    folded = proved.select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), fold(F.col("shown")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -102,12 +118,51 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _merkle_levels(tree: str, levels: int) -> str:
+    """CTEs {tree}1 .. {tree}<levels> over {tree}0 (grp, p, d): a group's runs of sixteen become one node until one is left, which stays."""
+    return ",".join(
+        f"""{tree}{k + 1} AS MATERIALIZED (SELECT grp, p // 16 AS p, CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY p)) END AS d
+        FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {tree}{k}) GROUP BY grp, p // 16)"""
+        for k in range(levels)
+    )
+
+
+def _merkle_steps(tree: str, step: str, levels: int) -> str:
+    """CTEs {step}1 .. {step}<levels> over {step}0 (own, grp, p, f, proof): one level up, with the siblings there."""
+    return ",".join(
+        f"""{step}{k + 1} AS MATERIALIZED (SELECT own, s.grp AS grp, s.p // 16 AS p,
+            CASE WHEN max(l.n) = 1 THEN f ELSE sha256(coalesce(string_agg(d, '' ORDER BY l.p) FILTER (l.p < s.p), '') || f || coalesce(string_agg(d, '' ORDER BY l.p) FILTER (l.p > s.p), '')) END AS f,
+            proof || coalesce(string_agg(d, '' ORDER BY l.p) FILTER (l.p <> s.p), '') AS proof
+        FROM {step}{k} s JOIN (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {tree}{k}) l ON l.grp = s.grp AND l.p // 16 = s.p // 16 GROUP BY own, s.grp, s.p, f, proof)"""
+        for k in range(levels)
+    )
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: crc32 of a string of ASCII characters, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda r, c:
+    list_reduce(list_prepend(xor(r, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        WITH told AS MATERIALIZED (SELECT row_number() OVER () AS own, doc_id, coalesce('s' || source, '') AS grp, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+            CASE WHEN doc_id IS NULL OR ({_CRC32.format("doc_id::VARCHAR")}) % 5 <> 0 THEN leaf
+                ELSE sha256({_HEAD} || {_FIELD.format(f"translate(text, '{UPPER}', '{UPPER.lower()}')")}) END AS shown FROM documents),
+        leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM told),
+        a0 AS (SELECT grp, p, leaf AS d FROM leaves), {_merkle_levels("a", 7)},
+        b0 AS MATERIALIZED (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS p, d, grp AS name FROM a7), {_merkle_levels("b", 4)},
+        s0 AS (SELECT own, grp, p, shown AS f, '' AS proof FROM leaves), {_merkle_steps("a", "s", 7)},
+        t0 AS (SELECT own, '' AS grp, b0.p AS p, f, proof FROM s7 JOIN b0 ON name = s7.grp), {_merkle_steps("b", "t", 4)}
+        SELECT doc_id, leaf, a7.d AS subroot, b4.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b4.d AS verified
+        FROM leaves JOIN t4 USING (own) JOIN a7 ON a7.grp = leaves.grp, b4""",
     "op2_ngram_jaccard_join": rf"""
         WITH RECURSIVE lowered AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         sets AS MATERIALIZED (SELECT DISTINCT doc_id, list_slice(w, i + 1, i + 3) AS s FROM lowered, LATERAL (SELECT unnest(range(greatest(1, len(w) - 2))) AS i) k WHERE len(w) > 0),
