@@ -107,6 +107,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.hosts import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -119,6 +125,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_host_rules": op13_host_rules,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,6 +152,25 @@ def _merkle_steps(tree: str, step: str, levels: int) -> str:
     )
 
 
+def _host_rates() -> str:
+    """CTE rated over hosts (grp, n, f_<rule>): the failure rate of each rule, drawn towards the mean by a beta prior."""
+    from cairn.llm.hosts import RULES
+
+    within = "least(greatest(coalesce(((sum(f * f / n) OVER () - m * sum(f) OVER ()) / nullif(m * (1 - m), 0) - h) / nullif(sum(n) OVER () - sum(n * n) OVER () / sum(n) OVER () - h, 0), 0), 1e-6), 1)"
+    parts = (
+        f"""(SELECT {i} AS i, '{name}' AS rule, grp, (f + m * (1 / w - 1)) / (n + 1 / w - 1) AS rate FROM (SELECT *, {within} AS w FROM
+            (SELECT grp, n::DOUBLE AS n, f_{name}::DOUBLE AS f, sum(f_{name}) OVER () / sum(n) OVER () AS m, count(*) OVER () - 1 AS h FROM hosts)))"""
+        for i, name in enumerate(RULES)
+    )
+    return " UNION ALL ".join(parts)
+
+
+def _host_counts() -> str:
+    from cairn.llm.hosts import RULES
+
+    return ", ".join(f"count(*) FILTER ({rule}) AS f_{name}" for name, rule in RULES.items())
+
+
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
 _HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
 #: crc32 of a string of ASCII characters, bit by bit.
@@ -152,6 +178,19 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tr
     list_reduce(list_prepend(xor(r, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_host_rules": rf"""
+        WITH said AS MATERIALIZED (SELECT row_number() OVER () AS own, doc_id, source AS grp, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+        windows AS (SELECT own, i, list_slice(w, i + 1, i + 8) AS s FROM said, LATERAL (SELECT unnest(range(len(w) - 7)) AS i) k WHERE len(w) >= 8),
+        twice AS (SELECT own, i FROM windows QUALIFY count(*) OVER (PARTITION BY own, s) > 1),
+        inside AS (SELECT own, count(DISTINCT p) AS n FROM twice, LATERAL (SELECT unnest(range(i, i + 8)) AS p) k GROUP BY own),
+        measured AS MATERIALIZED (SELECT own, doc_id, grp, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM said LEFT JOIN inside USING (own)),
+        hosts AS MATERIALIZED (SELECT grp, count(*) AS n, {_host_counts()} FROM measured WHERE grp IS NOT NULL GROUP BY grp),
+        rated AS ({_host_rates()}),
+        bad AS (SELECT grp, string_agg(rule, ',' ORDER BY i) AS host_failed FROM rated WHERE rate > 0.5 GROUP BY grp),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured LEFT JOIN bad USING (grp))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_failed, '') AS host_failed, NOT base_failed AND host_failed IS NULL AS kept FROM judged""",
     "op12_merkle_manifest": f"""
         WITH told AS MATERIALIZED (SELECT row_number() OVER () AS own, doc_id, coalesce('s' || source, '') AS grp, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
             CASE WHEN doc_id IS NULL OR ({_CRC32.format("doc_id::VARCHAR")}) % 5 <> 0 THEN leaf
