@@ -92,6 +92,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from cairn.llm.hardneg import hard_negatives
+
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -124,6 +133,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_host_rules": op13_host_rules,
 }
@@ -178,6 +188,18 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tr
     list_reduce(list_prepend(xor(r, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH whole AS MATERIALIZED (
+            SELECT row_number() OVER () AS own, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+        ), scored AS MATERIALIZED (
+            SELECT q.own AS anchor, q.vec_id AS anchor_id, d.own AS own, d.vec_id AS vec_id, q.label = d.label AS alike, coalesce(list_inner_product(q.v, d.v), 0)::BIGINT AS score
+            FROM whole q JOIN whole d ON q.own <> d.own AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0
+        ), positives AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id AS anchor_id, p.vec_id AS positive_id, row_number() OVER w::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        WINDOW w AS (PARTITION BY p.anchor, p.own ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3""",
     "op13_host_rules": rf"""
         WITH said AS MATERIALIZED (SELECT row_number() OVER () AS own, doc_id, source AS grp, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
