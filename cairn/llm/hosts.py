@@ -20,7 +20,7 @@ from cairn.plans.storage import materialise
 WINDOW = 8  # words
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 HOST_LIMIT = 0.5  # a host goes when more of its documents than this fail one rule
-WEAKEST = 1e-6  # least correlation within a host that the prior takes, so that its strength is finite
+LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6  # documents that the prior counts for: a host's only document never decides alone
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Rules by name: what makes a document fail, over its measures.
@@ -81,7 +81,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host: Column) -> DataF
             columns = np.array([measure(t) for t in encoded(batch.column(2))], np.int64).reshape(-1, len(MEASURES)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["id", "host", *MEASURES])
 
-    slim = docs.select(F.col(id_col), host.cast("string"), F.col(text_col).cast("string"))
+    slim = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"id {kinds[0]}, host string, {', '.join(f'{m} long' for m in MEASURES)}")
 
 
@@ -89,15 +89,16 @@ def beta_prior(hosts: DataFrame, failures: str, n: str = "n") -> tuple[Column, C
     """Aggregates (mean, strength) of the beta prior of a failure rate over hosts with ``failures`` out of ``n`` documents.
 
     By moments: how far the hosts' rates lie apart beyond what chance makes of their sizes gives the correlation within a host,
-    whose odds are the prior's strength in documents. Without any spread to go by, all hosts get the common rate.
+    whose odds are the prior's strength in documents, within bounds. Without any spread to go by, all hosts get about the common rate.
     """
     f, size = F.col(failures).cast("double"), F.col(n).cast("double")
     total, many = F.sum(size), F.count(size) - 1
     mean = F.sum(f) / total
     apart = (F.sum(f * f / size) - mean * F.sum(f)) / F.nullif(mean * (1 - mean), F.lit(0.0))
     room = F.nullif(total - F.sum(size * size) / total - many, F.lit(0.0))
-    within = F.least(F.greatest(F.coalesce((apart - many) / room, F.lit(0.0)), F.lit(WEAKEST)), F.lit(1.0))
-    return mean, 1 / within - 1
+    within = F.coalesce((apart - many) / room, F.lit(0.0))
+    strength = F.when(within <= 0, MOST_STRENGTH).otherwise(1 / within - 1)
+    return mean, F.least(F.greatest(strength, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
 
 
 def host_verdicts(found: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:

@@ -26,6 +26,7 @@ from cairn.plans.storage import materialise
 FAN = 16  # nodes that become one
 STEPS = 3  # levels climbed in one task, so a task holds FAN ** STEPS nodes of a tree
 STRETCH = FAN**STEPS
+OWN = {"tree", "place", "level", "digest", "row", "part", "n", "spot", "top", "subroot", "root", "proof", "_all", "_part", "_at", "_first", "_before"}  # names of columns made here
 TOP = "r"  # the tree over the groups; those of groups are "" (null) or begin with s
 
 
@@ -149,9 +150,10 @@ def build_manifest(rows: DataFrame, group_col: str = "source", order_col: str =
     """Trees over the rows of each group, in the order of ``order_col``, and one tree over the groups, null first and then bytewise.
 
     Rows come with their digests. Those that repeat an ``order_col``, or have none (they come first), follow in the order of their
-    digests; equal rows are leaves of their own. An empty table has no tree. Columns tree, place, level, digest and row are
-    the operator's own; others may have any names.
+    digests; equal rows are leaves of their own. An empty table has no tree. Other columns are carried along, but for those whose
+    names (``OWN``) the operator needs, which are left out. Only digests travel: however long a text, its row is as short as any.
     """
+    rows = rows.select(*{c: None for c in (group_col, order_col, digest_col)}, *(c for c in rows.columns if c not in (group_col, order_col, digest_col) and c.lower() not in OWN))
     tree = F.when(F.col(group_col).isNull(), "").otherwise(F.concat(F.lit("s"), F.col(group_col).cast("string")))
     leaves = materialise(rows.withColumns({"tree": tree, "row": F.monotonically_increasing_id()}))
     leaves = materialise(numbered(leaves, ["tree"], [F.col(order_col).asc_nulls_first(), F.col(digest_col), F.col("row")], "place").drop("row"))

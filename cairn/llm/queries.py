@@ -166,10 +166,10 @@ def _host_rates() -> str:
     """CTE rated over hosts (grp, n, f_<rule>): the failure rate of each rule, drawn towards the mean by a beta prior."""
     from cairn.llm.hosts import RULES
 
-    within = "least(greatest(coalesce(((sum(f * f / n) OVER () - m * sum(f) OVER ()) / nullif(m * (1 - m), 0) - h) / nullif(sum(n) OVER () - sum(n * n) OVER () / sum(n) OVER () - h, 0), 0), 1e-6), 1)"
+    within = "coalesce(((sum(f * f / n) OVER () - m * sum(f) OVER ()) / nullif(m * (1 - m), 0) - h) / nullif(sum(n) OVER () - sum(n * n) OVER () / sum(n) OVER () - h, 0), 0)"
     parts = (
-        f"""(SELECT {i} AS i, '{name}' AS rule, grp, (f + m * (1 / w - 1)) / (n + 1 / w - 1) AS rate FROM (SELECT *, {within} AS w FROM
-            (SELECT grp, n::DOUBLE AS n, f_{name}::DOUBLE AS f, sum(f_{name}) OVER () / sum(n) OVER () AS m, count(*) OVER () - 1 AS h FROM hosts)))"""
+        f"""(SELECT {i} AS i, '{name}' AS rule, grp, (f + m * s) / (n + s) AS rate FROM (SELECT *, least(greatest(CASE WHEN w <= 0 THEN 1e6 ELSE 1 / w - 1 END, 2), 1e6) AS s FROM (SELECT *, {within} AS w FROM
+            (SELECT grp, n::DOUBLE AS n, f_{name}::DOUBLE AS f, sum(f_{name}) OVER () / sum(n) OVER () AS m, count(*) OVER () - 1 AS h FROM hosts))))"""
         for i, name in enumerate(RULES)
     )
     return " UNION ALL ".join(parts)
