@@ -292,17 +292,13 @@ def detect_format(spark, sf):
     return table(spark, sf, "part").select("p_partkey", SR.detect_format(F.concat(F.lit("a.b/"), "p_name", F.lit("."), ending)).alias("kind"))
 
 
-@query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'Raster' WHEN 1 THEN 'Vector' ELSE 'PointCloud' END AS kind, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_partkey < 12) GROUP BY ALL")
+@query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'Raster' WHEN 1 THEN 'Vector' ELSE 'PointCloud' END AS kind, count(DISTINCT p_size) AS n FROM part GROUP BY ALL")
 def list_datasets(spark, sf):
-    """A folder with a small file for each of the first parts, and its listing."""
+    """The listing of a folder with a file for each size of part, under three endings."""
     path = fresh_path(spark)
-    names = table(spark, sf, "part").filter("p_partkey < 12").select(F.element_at(F.array(F.lit("tif"), F.lit("shp"), F.lit("las")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("ending"), "p_partkey")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for row in names.collect():
-        target = hadoop.Path(f"{path}/{row.p_partkey}.{row.ending}")
-        file = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-        file.write(row.p_partkey)
-        file.close()
+    for k, ending in enumerate(("tif", "shp", "las")):
+        some = table(spark, sf, "part").filter(F.col("p_partkey") % 3 == k).select("p_name", F.col("p_size").alias("size"))
+        some.repartition("size").write.partitionBy("size").option("extension", ending).mode("append").csv(path)
     return SR.list_datasets(spark, path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -423,6 +419,23 @@ def utm_roundtrip(spark, sf):
     return out(V.transform_points(V.transform_points(at, "EPSG:4326", "EPSG:32650"), "EPSG:32650", "EPSG:4326"), "event_id", "x y")
 
 
+#: Transverse Mercator on WGS 84 for the zone around 117 degrees, by the power series in the distance from the meridian.
+_UTM = """g AS (SELECT user_id % 24 AS k, radians(114 + user_id % 24 * 0.25) AS lon, radians(hour(ts) * 2.5 + minute(ts) / 60.0) AS lat, 0.0066943799901413165 AS e2 FROM events),
+    t AS (SELECT *, e2 / (1 - e2) AS ep, 6378137.0 / sqrt(1 - e2 * sin(lat) ^ 2) AS n, tan(lat) ^ 2 AS tt, e2 / (1 - e2) * cos(lat) ^ 2 AS c, (lon - radians(117)) * cos(lat) AS a,
+        6378137.0 * ((1 - e2 / 4 - 3 * e2 ^ 2 / 64 - 5 * e2 ^ 3 / 256 - 175 * e2 ^ 4 / 16384) * lat - (3 * e2 / 8 + 3 * e2 ^ 2 / 32 + 45 * e2 ^ 3 / 1024 + 105 * e2 ^ 4 / 4096) * sin(2 * lat)
+        + (15 * e2 ^ 2 / 256 + 45 * e2 ^ 3 / 1024 + 525 * e2 ^ 4 / 16384) * sin(4 * lat) - (35 * e2 ^ 3 / 3072 + 175 * e2 ^ 4 / 12288) * sin(6 * lat)) AS m FROM g),
+    u AS (SELECT k, 500000 + 0.9996 * n * (a + (1 - tt + c) * a ^ 3 / 6 + (5 - 18 * tt + tt ^ 2 + 72 * c - 58 * ep) * a ^ 5 / 120) AS x,
+        0.9996 * (m + n * tan(lat) * (a ^ 2 / 2 + (5 - tt + 9 * c + 4 * c ^ 2) * a ^ 4 / 24 + (61 - 58 * tt + tt ^ 2 + 600 * c - 330 * ep) * a ^ 6 / 720)) AS y FROM t)"""
+
+
+@query(f"WITH {_UTM} SELECT k, count(*) AS n, round(avg(x), 1) AS x, round(avg(y), 1) AS y FROM u GROUP BY k")
+def utm_values(spark, sf):
+    """Mean easting and northing by longitude."""
+    at = table(spark, sf, "events").select((F.col("user_id") % 24).alias("k"), (114 + F.col("user_id") % 24 * 0.25).cast("double").alias("x"), (F.hour("ts") * 2.5 + F.minute("ts") / 60.0).alias("y"))
+    moved = V.transform_points(at, "EPSG:4326", "EPSG:32650").groupBy("k").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return moved.select(F.col("k").cast("long").alias("k"), "n", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+
+
 @query(f"WITH {FX_BOXES} SELECT fid, round(radians(x0) * 6378137.0, 4) + 0.0 AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(y0 / 1000) / 2)), 4) + 0.0 AS y FROM a")
 def transform_boxes(spark, sf):
     shrunk = fx_boxes(spark, sf).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].alias("x"), (p["y"] / 1000).alias("y"), p["z"].alias("z")))))
@@ -549,6 +562,56 @@ def buffer_boxes(spark, sf):
     return fx.select("fid", F.round(polygon_area(F.col("rings")), 4).alias("area"))
 
 
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each two boxes, one without its upper right quarter, and one with a hole of half its width and height in the middle."""
+    p, q = F.col("rings")[0][0], F.col("rings")[0][2]
+    at = lambda i, j: F.struct((p["x"] + (q["x"] - p["x"]) * i / 4).alias("x"), (p["y"] + (q["y"] - p["y"]) * j / 4).alias("y"), F.lit(0.0).alias("z"))
+    ring = lambda *corners: F.array(*(at(i, j) for i, j in corners))
+    bent = F.array(ring((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)))
+    holed = F.array(F.col("rings")[0], ring((1, 1), (1, 3), (3, 3), (3, 1), (1, 1)))
+    return fx_boxes(spark, sf).withColumn("rings", F.when(F.col("fid") % 2 == 0, bent).otherwise(holed))
+
+
+#: At distance d of shapes of w by h: a rounded corner adds a quarter of a polygon of 32 sides, a corner inwards takes d * d off.
+_GROWN = """CASE WHEN fid % 2 = 0 THEN 0.75 * w * h + 2 * (w + h) * d + 5 * corner - d * d
+    ELSE w * h + 2 * (w + h) * d + 4 * corner - greatest(w / 2 - 2 * d, 0) * greatest(h / 2 - 2 * d, 0) END"""
+_SHRUNK = """CASE WHEN fid % 2 = 0 THEN 0.75 * w * h - 2 * (w + h) * d + 5 * d * d - corner
+    ELSE (w - 2 * d) * (h - 2 * d) - (w * h / 4 + (w + h) * d + 4 * corner) END"""
+
+
+@query(f"""WITH {FX_BOXES}, r AS (SELECT fid, x1 - x0 AS w, y1 - y0 AS h, 0.0625::DOUBLE AS d, 4 * 0.0625 * 0.0625 * sin(pi() / 16) AS corner FROM a)
+    SELECT fid, round({_GROWN}, 6) AS grown, round({_SHRUNK}, 6) AS shrunk FROM r""")
+def buffer_shapes(spark, sf):
+    """Shapes with a corner inwards and shapes with a hole, a sixteenth wider and narrower."""
+    fx = shapes(spark, sf)
+    area = lambda distance, name: V.vector_buffer(fx, distance).groupBy("fid").agg(F.sum(polygon_area(F.col("rings"))).alias(name))
+    return out(area(0.0625, "grown").join(area(-0.0625, "shrunk"), "fid"), "fid", "grown shrunk")
+
+
+@query(f"""WITH {FX_BOXES}, parts AS (SELECT fid, x0, y0, (x0 + x1) / 2 AS x1, y1 FROM a WHERE fid % 2 = 0 UNION ALL SELECT fid, (x0 + x1) / 2, y0, x1, (y0 + y1) / 2 FROM a WHERE fid % 2 = 0
+        UNION ALL SELECT fid, x0, y0, x0 + (x1 - x0) / 4, y1 FROM a WHERE fid % 2 = 1 UNION ALL SELECT fid, x1 - (x1 - x0) / 4, y0, x1, y1 FROM a WHERE fid % 2 = 1
+        UNION ALL SELECT fid, x0 + (x1 - x0) / 4, y0, x1 - (x1 - x0) / 4, y0 + (y1 - y0) / 4 FROM a WHERE fid % 2 = 1 UNION ALL SELECT fid, x0 + (x1 - x0) / 4, y1 - (y1 - y0) / 4, x1 - (x1 - x0) / 4, y1 FROM a WHERE fid % 2 = 1)
+    SELECT a.fid AS fid, b.fid AS other_fid, round(sum({_OVERLAP}), 6) AS area FROM parts a JOIN parts b ON a.fid < b.fid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL HAVING sum({_OVERLAP}) > 0""")
+def overlaps_shapes(spark, sf):
+    """Overlaps of shapes with corners inwards and holes."""
+    return out(Y.check_overlaps(shapes(spark, sf)), "fid other_fid", "area")
+
+
+@query(f"""WITH {FX_BOXES} SELECT fid, CASE fid % 7 WHEN 0 THEN 'nested holes' WHEN 1 THEN 'hole equals shell' WHEN 2 THEN 'interior is disconnected' WHEN 3 THEN 'coordinate is not finite'
+    WHEN 4 THEN 'rings share a side' WHEN 5 THEN 'self-intersection' END AS description FROM a WHERE fid % 7 < 6""")
+def validity_rings(spark, sf):
+    """Boxes whose holes lie in one another, equal the shell, cut the inside in two, are nowhere, share a side, cross, and touch in a point."""
+    p, q = F.col("rings")[0][0], F.col("rings")[0][2]
+    at = lambda i, j: F.struct((p["x"] + (q["x"] - p["x"]) * i / 8).alias("x"), (p["y"] + (q["y"] - p["y"]) * j / 8).alias("y"), F.lit(0.0).alias("z"))
+    ring = lambda *corners: F.array(*(at(i, j) for i, j in (*corners, corners[0])))
+    box = lambda a, b, c, d: ring((a, b), (a, d), (c, d), (c, b))
+    nowhere = F.transform(box(1, 1, 3, 3), lambda c: F.struct(F.lit(float("nan")).alias("x"), c["y"].alias("y"), c["z"].alias("z")))
+    diamond = lambda a: ring((a, 4), (a + 2, 2), (a + 4, 4), (a + 2, 6))
+    holes = [[box(1, 1, 7, 7), box(3, 3, 5, 5)], [F.reverse(F.col("rings")[0])], [diamond(0), diamond(4)], [nowhere], [box(1, 1, 4, 3), box(4, 1, 6, 3)], [box(1, 1, 4, 4), box(3, 3, 6, 6)], [diamond(0), box(5, 1, 7, 3)]]
+    rings = F.coalesce(*(F.when(F.col("fid") % 7 == k, F.array(F.col("rings")[0], *some)) for k, some in enumerate(holes)))
+    return out(Y.check_validity(fx_boxes(spark, sf).withColumn("rings", rings)), "fid", "", "description")
+
+
 @query(f"WITH {FX_BOXES} SELECT fid, CASE WHEN fid % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS parts, round((x1 - x0) * (y1 - y0) / CASE WHEN fid % 3 = 0 THEN 2 ELSE 1 END, 6) AS area FROM a")
 def repair(spark, sf):
     """A third of the boxes are bow-ties, which fall into two triangles."""
@@ -579,6 +642,13 @@ def full_check(spark, sf):
     return out(Y.full_check(fx_boxes(spark, sf)).groupBy("issue_type").agg(F.count("*").alias("n")), "n", "", "issue_type")
 
 
+@query(f"""WITH {FX_BOXES}, b AS (SELECT * FROM a), halves AS (SELECT DISTINCT i, j FROM a, LATERAL (SELECT unnest(range((2 * x0)::BIGINT, (2 * x1)::BIGINT)) AS i) u, LATERAL (SELECT unnest(range((2 * y0)::BIGINT, (2 * y1)::BIGINT)) AS j) v)
+    SELECT 'overlap' AS issue_type, a.fid AS fid, b.fid AS other_fid, round({_OVERLAP}, 6) AS area FROM a, b WHERE a.fid < b.fid AND {_OVERLAP} > 0
+    UNION ALL SELECT 'gap', -1, NULL, round((max(x1) - min(x0)) * (max(y1) - min(y0)) - (SELECT count(*) / 4.0 FROM halves)::DOUBLE, 6) FROM a""")
+def full_check_pairs(spark, sf):
+    return out(Y.full_check(fx_boxes(spark, sf)), "fid other_fid", "area", "issue_type")
+
+
 # ---------------------------------------------------------------- tensors, classes, blending
 
 

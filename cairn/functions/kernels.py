@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 
+from cairn.functions.arrangement import arrange, cross, meeting, outline, ring_area
+
 Ring = np.ndarray
 Polygon = list[Ring]
 
 
 def area(ring: Ring) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1])) / 2
+    """Signed area, positive where the inside is on the left; measured from a corner, so that places far from the origin lose nothing."""
+    return ring_area(ring)
 
 
 def polygon_area(polygon: Polygon) -> float:
@@ -39,129 +41,55 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def inside(points: np.ndarray, region: list[Polygon]) -> np.ndarray:
-    """Whether each point lies in some polygon of the region (even-odd over its rings)."""
+def inside(points: np.ndarray, region: list[Polygon], at_once: int = 1 << 21) -> np.ndarray:
+    """Whether each point lies in some polygon of the region (even-odd over its rings); few pairs of a point and a side at a time."""
     found = np.zeros(len(points), bool)
-    x, y = points[:, :1], points[:, 1:]
     for polygon in region:
-        crossings = np.zeros(len(points), int)
-        for ring in polygon:
-            a, b = ring[:-1], ring[1:]
-            rising = (a[:, 1] > y) != (b[:, 1] > y)
+        p, q = (np.concatenate([r[s] for r in polygon]) for s in (slice(None, -1), slice(1, None)))
+        step = max(1, at_once // max(len(p), 1))
+        for i in range(0, len(points), step):
+            x, y = points[i : i + step, :1], points[i : i + step, 1:]
+            rising = (p[:, 1] > y) != (q[:, 1] > y)
             with np.errstate(divide="ignore", invalid="ignore"):
-                at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-            crossings += (rising & (x < at)).sum(1)
-        found |= crossings % 2 == 1
+                at = (q[:, 0] - p[:, 0]) * (y - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
+            found[i : i + step] |= (rising & (x < at)).sum(1) % 2 == 1
     return found
 
 
-def _split(p: np.ndarray, q: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Segments cut wherever they meet one another; segment numbers and cut points come back as parts."""
-    starts, ends = [], []
-    low, high = np.minimum(p, q) - eps, np.maximum(p, q) + eps
-    for i in range(len(p)):
-        near = np.flatnonzero((low[:, 0] <= high[i, 0]) & (high[:, 0] >= low[i, 0]) & (low[:, 1] <= high[i, 1]) & (high[:, 1] >= low[i, 1]))
-        d, e, w = q[i] - p[i], q[near] - p[near], p[near] - p[i]
-        length = np.hypot(*d)
-        cross = d[0] * e[:, 1] - d[1] * e[:, 0]
-        off = w[:, 0] * d[1] - w[:, 1] * d[0]
-        level = np.abs(cross) <= 1e-12 * length * np.maximum(np.hypot(e[:, 0], e[:, 1]), 1e-300)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / cross
-            u = -off / -cross
-        slack = eps / np.maximum(np.hypot(e[:, 0], e[:, 1]), eps)
-        meets = ~level & (t > -eps / length) & (t < 1 + eps / length) & (u > -slack) & (u < 1 + slack)
-        on = level & (np.abs(off) <= eps * length)
-        along = np.concatenate([(w[on] @ d), (w[on] + e[on]) @ d]) / length**2
-        cuts = np.concatenate([[0.0, 1.0], t[meets], along[(along > 0) & (along < 1)]])
-        cuts = np.unique(np.clip(cuts, 0, 1))
-        points = p[i] + cuts[:, None] * d
-        points[0], points[-1] = p[i], q[i]
-        starts.append(points[:-1])
-        ends.append(points[1:])
-    return np.concatenate(starts), np.concatenate(ends)
-
-
-def _edges(region: list[Polygon]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    rings = [r for polygon in region for r in polygon if len(r) > 1]
-    return [r[:-1] for r in rings], [r[1:] for r in rings]
+def _edges(rings: list[Ring]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all sides that have a length."""
+    rings = [r for r in rings if len(r) > 1]
+    if not rings:
+        return np.zeros((0, 2)), np.zeros((0, 2))
+    p, q = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    solid = (p != q).any(1)
+    return p[solid], q[solid]
 
 
-def overlay(a: list[Polygon], b: list[Polygon], wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[Polygon]:
-    """Polygons of the points where ``wanted(in a, in b)`` holds.
+def oriented(polygon: Polygon) -> list[Polygon]:
+    """The polygon with its inside on the left of every ring; an invalid one is rebuilt by the even-odd rule."""
+    if len(polygon) == 1 and convex(polygon[0]) or invalid_reason("Polygon", polygon) is None:
+        return [[r if (area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(polygon)]]
+    return overlay([polygon], [], lambda x, y: x)
 
-    All edges are cut where they meet. A piece is on the outline if the answer differs between its two sides; outline pieces,
-    turned so that the inside is on their left, are chained into rings.
-    """
-    (pa, qa), (pb, qb) = _edges(a), _edges(b)
-    if not pa and not pb:
-        return []
-    p, q = np.concatenate(pa + pb), np.concatenate(qa + qb)
-    solid = (p != q).any(1)
-    p, q = p[solid], q[solid]
+
+def overlay(a: list[Polygon], b: list[Polygon], wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[Polygon]:
+    """Polygons of the points where ``wanted(in a, in b)`` holds. One polygon is taken by the even-odd rule, several as their union."""
+    sides, rules = [], []
+    for region in (a, b):
+        if len(region) > 1:
+            region = [p for polygon in region for p in oriented(polygon)]
+            rules.append(lambda times: times > 0)
+        else:
+            rules.append(lambda times: times % 2 == 1)
+        sides.append(_edges([r for polygon in region for r in polygon]))
+    p, q = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
     if not len(p):
         return []
-    size = float(max(np.ptp(np.concatenate([p, q]), axis=0).max(), 1e-12))
-    eps = 1e-9 * size
-    s, e = _split(p, q, eps)
-    corner = np.concatenate([s, e])
-    _, first, node = np.unique(np.round((corner - corner.min(0)) / (4 * eps)).astype(np.int64), axis=0, return_index=True, return_inverse=True)
-    place = corner[first]
-    node = node.ravel()
-    ends = np.sort(np.column_stack([node[: len(s)], node[len(s) :]]), axis=1)
-    ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
-    if not len(ends):
-        return []
-    u, v = place[ends[:, 0]], place[ends[:, 1]]
-    d = v - u
-    normal = np.column_stack([-d[:, 1], d[:, 0]]) / np.hypot(d[:, 0], d[:, 1])[:, None]
-    middle = (u + v) / 2
-    left, right = (wanted(inside(x, a), inside(x, b)) for x in (middle + 50 * eps * normal, middle - 50 * eps * normal))
-    outline = left != right
-    ends, left = ends[outline], left[outline]
-    ends = np.where(left[:, None], ends, ends[:, ::-1])
-    return _polygons(place, ends)
-
-
-def _polygons(place: np.ndarray, ends: np.ndarray) -> list[Polygon]:
-    leaving: dict[int, list[int]] = {}
-    for k, (x, _) in enumerate(ends.tolist()):
-        leaving.setdefault(x, []).append(k)
-    turn = np.arctan2(*(place[ends[:, 1]] - place[ends[:, 0]]).T[::-1])
-    used = np.zeros(len(ends), bool)
-    rings: list[Ring] = []
-    for k in range(len(ends)):
-        if used[k]:
-            continue
-        path, at = [], k
-        while not used[at]:
-            used[at] = True
-            path.append(ends[at, 0])
-            ways = [x for x in leaving.get(int(ends[at, 1]), []) if not used[x]]
-            if not ways:
-                break
-            back = turn[at] + np.pi
-            at = min(ways, key=lambda x: (back - turn[x]) % (2 * np.pi) or 2 * np.pi)  # the sharpest left: smallest faces
-        ring = _straightened(place[[*path, path[0]]])
-        if len(ring) >= 4:
-            rings.append(ring)
-    shells = [[r] for r in rings if area(r) > 0]
-    for hole in (r for r in rings if area(r) < 0):
-        mid, step = (hole[0] + hole[1]) / 2, hole[1] - hole[0]
-        probe = (mid + 1e-7 * np.array([-step[1], step[0]]))[None, :]  # just outside the hole: in the shell around it
-        around = [s for s in shells if inside(probe, [[s[0]]])[0]]
-        if around:
-            min(around, key=lambda s: area(s[0])).append(hole)
-    return shells
-
-
-def _straightened(ring: Ring) -> Ring:
-    """Without corners on a straight line."""
-    core = ring[:-1]
-    before, after = core - np.roll(core, 1, axis=0), np.roll(core, -1, axis=0) - core
-    bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 1e-9 * np.hypot(*before.T) * np.hypot(*after.T)
-    core = core[bend]
-    return np.concatenate([core, core[:1]]) if len(core) else core
+    layer = np.repeat(np.eye(2, dtype=np.int64), [len(s[0]) for s in sides], axis=0)
+    met = arrange(p, q, layer)
+    left, right = (wanted(rules[0](x[:, 0]), rules[1](x[:, 1])) for x in (met.left, met.right))
+    return outline(met, left, right)
 
 
 def intersection(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
@@ -183,27 +111,26 @@ def union(region: list[Polygon]) -> list[Polygon]:
     return overlay(region, [], lambda x, y: x)
 
 
-def clip_line(line: np.ndarray, region: list[Polygon]) -> list[np.ndarray]:
-    """Stretches of a line inside a region."""
-    p, q = _edges(region)
-    if not p or len(line) < 2:
+def clip_line(line: np.ndarray, region: list[Polygon], closed: bool = False) -> list[np.ndarray]:
+    """Stretches of a line inside a region. Of stretches along its outline, all with ``closed``, else those with it on their right
+    hand in the sweep, so that regions side by side share none."""
+    p, q = _edges([r for polygon in region for r in polygon])
+    s, e = _edges([line])
+    if not len(p) or not len(s):
         return []
-    n = len(line) - 1
-    size = float(max(np.ptp(np.concatenate([line, *p]), axis=0).max(), 1e-12))
-    out: list[list[np.ndarray]] = []
-    for i in range(n):
-        s, e = _split(np.concatenate([line[i : i + 1], *p]), np.concatenate([line[i + 1 : i + 2], *q]), 1e-9 * size) if (line[i] != line[i + 1]).any() else (np.zeros((0, 2)),) * 2
-        d = line[i + 1] - line[i]
-        own = [(a, b) for a, b in zip(s, e, strict=True) if abs(d[0] * (a - line[i])[1] - d[1] * (a - line[i])[0]) <= 1e-9 * size * np.hypot(*d) and abs(d[0] * (b - line[i])[1] - d[1] * (b - line[i])[0]) <= 1e-9 * size * np.hypot(*d)]
-        own = sorted({tuple(np.concatenate(x)) for x in own if 0 <= (x[0] - line[i]) @ d < d @ d and (x[1] - line[i]) @ d > (x[0] - line[i]) @ d}, key=lambda x: (np.array(x[:2]) - line[i]) @ d)
-        for x in own:
-            a, b = np.array(x[:2]), np.array(x[2:])
-            if inside(((a + b) / 2)[None, :], region)[0]:
-                if out and np.allclose(out[-1][-1], a, atol=1e-9 * size):
-                    out[-1].append(b)
-                else:
-                    out.append([a, b])
-    return [np.array(x) for x in out]
+    met = arrange(np.concatenate([s, p]), np.concatenate([e, q]), np.repeat([0, 1], [len(s), len(p)])[:, None])
+    owner, start, stop, piece = met.steps
+    yes = met.right[piece, 0] % 2 == 1
+    if closed:
+        yes |= met.left[piece, 0] % 2 == 1
+    mine = np.flatnonzero(owner < len(s))  # in the order of the line
+    out: list[list[int]] = []
+    for k in mine[yes[mine]].tolist():
+        if out and out[-1][-1] == start[k]:
+            out[-1].append(stop[k])
+        else:
+            out.append([start[k], stop[k]])
+    return [met.place[x] for x in out]
 
 
 def on_outline(point: np.ndarray, rings: list[np.ndarray]) -> bool:
@@ -222,65 +149,48 @@ def on_outline(point: np.ndarray, rings: list[np.ndarray]) -> bool:
 
 def touches(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(stretches, points) that the lines of a and those of b share; points on a shared stretch are not named again."""
-    p, q = np.concatenate([r[:-1] for r in a]), np.concatenate([r[1:] for r in a])
-    u, v = np.concatenate([r[:-1] for r in b]), np.concatenate([r[1:] for r in b])
-    size = float(max(np.ptp(np.concatenate([p, q, u, v]), axis=0).max(), 1e-12))
-    eps = 1e-9 * size
-    stretches, points = [], []
-    for s, e in zip(p, q, strict=True):
-        d = e - s
-        length = float(np.hypot(*d))
-        if not length:
-            continue
-        w, x = u - s, v - s
-        side, far = (d[0] * w[:, 1] - d[1] * w[:, 0]) / length, (d[0] * x[:, 1] - d[1] * x[:, 0]) / length
-        at, to = w @ d / length, x @ d / length
-        level = (np.abs(side) <= eps) & (np.abs(far) <= eps)
-        low, high = np.maximum(np.minimum(at, to), 0), np.minimum(np.maximum(at, to), length)
-        for k in np.flatnonzero(level & (high - low > eps)):
-            stretches.append(np.array([s + d * low[k] / length, s + d * high[k] / length]))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cross = np.where(level, np.clip(low, 0, length), at + (to - at) * side / (side - far))
-        met = np.where(level, np.abs(high - low) <= eps, (np.minimum(side, far) <= eps) & (np.maximum(side, far) >= -eps) & (cross >= -eps) & (cross <= length + eps))
-        points += [s + d * cross[k] / length for k in np.flatnonzero(met)]
-    merged = _joined(stretches, 4 * eps)
-    kept: list[np.ndarray] = []
-    for x in points:
-        if not any(np.abs(x - y).max() <= 4 * eps for y in kept) and not any(_near(x, line, 4 * eps) for line in merged):
-            kept.append(x)
-    return merged, kept
-
-
-def _near(point: np.ndarray, line: np.ndarray, eps: float) -> bool:
-    d, w = np.diff(line, axis=0), point - line[:-1]
-    along = np.clip((w * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-    return bool((np.hypot(*(w - along[:, None] * d).T) <= eps).any())
-
-
-def _joined(stretches: list[np.ndarray], eps: float) -> list[np.ndarray]:
-    """Stretches chained end to end into lines, each stretch once."""
-    left = [x for k, x in enumerate(stretches) if not any(np.abs(x - y).max() <= eps or np.abs(x[::-1] - y).max() <= eps for y in stretches[:k])]
-    lines = []
-    while left:
-        line = list(left.pop(0))
-        grown = True
-        while grown:
-            grown = False
-            for k, x in enumerate(left):
-                for end, other in ((x[0], x[1]), (x[1], x[0])):
-                    if np.abs(line[-1] - end).max() <= eps:
-                        line.append(other)
-                    elif np.abs(line[0] - end).max() <= eps:
-                        line.insert(0, other)
-                    else:
-                        continue
-                    left.pop(k)
-                    grown = True
-                    break
-                if grown:
-                    break
-        lines.append(np.array(line))
-    return lines
+    (p, q), (u, v) = _edges(a), _edges(b)
+    if not len(p) or not len(u):
+        return [], []
+    met = arrange(np.concatenate([p, u]), np.concatenate([q, v]), np.repeat(np.eye(2, dtype=np.int64), [len(p), len(u)], axis=0))
+    owner, start, stop, piece = met.steps
+    of_a, of_b = owner < len(p), owner >= len(p)
+    shared = np.intersect1d(piece[of_a], piece[of_b])
+    on_both = np.intersect1d(np.concatenate([start[of_a], stop[of_a]]), np.concatenate([start[of_b], stop[of_b]]))
+    alone = np.setdiff1d(on_both, np.concatenate([met.low[shared], met.high[shared]]))
+    return [straight(met.place[x]) for x in _chained(met.low[shared], met.high[shared])], list(met.place[alone])
+
+
+def straight(line: np.ndarray) -> np.ndarray:
+    """A line without points that lie straight between their neighbours."""
+    step = np.diff(line, axis=0)
+    bend = np.abs(cross(step[:-1], step[1:])) > 1e-9 * np.hypot(*step[:-1].T) * np.hypot(*step[1:].T)
+    return line[np.concatenate([[True], bend, [True]])]
+
+
+def _chained(low: np.ndarray, high: np.ndarray) -> list[list[int]]:
+    """Pieces chained end to end into lines, each piece once; a line goes on where just two pieces meet."""
+    ways: dict[int, list[int]] = {}
+    ends = list(zip(low.tolist(), high.tolist(), strict=True))
+    for k, pair in enumerate(ends):
+        for x in pair:
+            ways.setdefault(x, []).append(k)
+    used = [False] * len(ends)
+
+    def walk(at: int, k: int) -> list[int]:
+        line = [at]
+        while True:
+            used[k] = True
+            at = ends[k][0] if ends[k][1] == at else ends[k][1]
+            line.append(at)
+            more = [x for x in ways[at] if not used[x]]
+            if len(ways[at]) != 2 or not more:
+                return line
+            k = more[0]
+
+    tips = [x for x, at in ways.items() if len(at) != 2]
+    lines = [walk(x, k) for x in tips for k in ways[x] if not used[k]]
+    return lines + [walk(ends[k][0], k) for k in range(len(ends)) if not used[k]]
 
 
 def clip_convex(ring: Ring, corners: Ring) -> Ring:
@@ -311,17 +221,6 @@ def circle(centre: np.ndarray, radius: float, quad_segs: int = 8) -> Ring:
     return np.concatenate([ring, ring[:1]])
 
 
-def capsule(a: np.ndarray, b: np.ndarray, radius: float, quad_segs: int = 8) -> Ring:
-    """All within ``radius`` of a segment, with round ends."""
-    if (a == b).all():
-        return circle(a, radius, quad_segs)
-    heading = np.arctan2(*(b - a)[::-1])
-    half = np.linspace(-np.pi / 2, np.pi / 2, 2 * quad_segs + 1)
-    cap = lambda c, turn: c + radius * np.column_stack([np.cos(turn), np.sin(turn)])
-    ring = np.concatenate([cap(b, heading + half), cap(a, heading + np.pi + half)])
-    return np.concatenate([ring, ring[:1]])
-
-
 def convex(ring: Ring) -> bool:
     """Whether a closed ring turns one way only, once around."""
     step = np.diff(ring, axis=0)
@@ -347,43 +246,134 @@ def around_convex(ring: Ring, distance: float, quad_segs: int) -> Ring:
     return np.concatenate([outline, outline[:1]])
 
 
+def _around(kind: str, rings: list[np.ndarray], lines: list[Polygon], distance: float) -> list[Polygon]:
+    """A buffer from what is around its lines."""
+    if kind == "LineString":
+        return union(lines)
+    return union([*oriented(rings), *lines]) if distance > 0 else difference(oriented(rings), lines)
+
+
+FLAT = 0.005  # dents less deep than this part of the distance are filled first, about what an arc of sides is short of a circle
+STRETCH = 64  # sides of a stretch
+MEETINGS = 1 << 20  # about as many places where a line beside a ring may meet itself; beyond, stretches go one by one
+
+
+def filled(ring: Ring, depth: float, rounds: int = 8) -> Ring:
+    """The ring without corners that turn right and lie within ``depth`` of their neighbours' chord, in rounds of a part of the depth each."""
+    core = ring[:-1]
+    for turn in range(rounds):
+        if len(core) < 8:
+            break
+        before, after = np.roll(core, 1, axis=0), np.roll(core, -1, axis=0)
+        chord = after - before
+        side = cross(chord, core - before)  # a dent lies to the left of its chord
+        dent = (side > 0) & (side <= depth / rounds * np.hypot(*chord.T))
+        dent &= np.arange(len(core)) % 2 == turn % 2  # never two in a row
+        dent[-1] &= not dent[0]
+        core = core[~dent]
+    return np.concatenate([core, core[:1]])
+
+
+def beside(ring: Ring, distance: float, quad_segs: int = 8) -> Ring:
+    """The closed line at ``distance`` on the right of a closed ring: sides moved out, an arc at each corner that turns left.
+
+    At a corner that turns right, the moved sides end where they cross if both are long enough, else they go by way of
+    the corner itself. Either way, what it goes around more often than the ring does, and never less often, is all within the distance on
+    that side.
+    """
+    core = ring[:-1]
+    core = core[(core != np.roll(core, 1, axis=0)).any(1)]
+    n = len(core)
+    if not n:
+        return circle(ring[0], distance, quad_segs)
+    side = np.roll(core, -1, axis=0) - core  # the side that leaves each corner
+    length = np.hypot(*side.T)
+    normal = np.column_stack([side[:, 1], -side[:, 0]]) / length[:, None]
+    before = np.roll(normal, 1, axis=0)
+    sine, cosine = cross(before, normal), (before * normal).sum(1)
+    swing = np.arctan2(sine, cosine)
+    swing[(np.abs(sine) < 1e-12) & (cosine < 0)] = np.pi  # the tip of a line
+    left = swing > 0
+    trim = np.where(left, 0.0, distance * np.tan(np.where(left, 0.0, -swing) / 2))
+    fits = trim + np.roll(trim, -1) <= length
+    short = ~left & fits & np.roll(fits, 1)
+    arcs = np.maximum(1, np.ceil(swing / (np.pi / (2 * quad_segs)) - 1e-9)).astype(int)
+    many = np.where(left, arcs + 1, np.where(short, 1, 3))
+    corner = np.repeat(np.arange(n), many)
+    k = np.arange(len(corner)) - np.repeat(np.cumsum(many) - many, many)
+    turn = np.arctan2(before[:, 1], before[:, 0])[corner] + swing[corner] * k / arcs[corner]
+    arc = np.column_stack([np.cos(turn), np.sin(turn)])
+    bent = np.where((k == 0)[:, None], before[corner], np.where((k == 2)[:, None], normal[corner], 0.0))
+    meet = ((before + normal) / np.maximum(1 + cosine, 1e-12)[:, None])[corner]
+    out = core[corner] + distance * np.where(left[corner][:, None], arc, np.where(short[corner][:, None], meet, bent))
+    return np.concatenate([out, out[:1]])
+
+
 def buffer(kind: str, rings: list[np.ndarray], distance: float, quad_segs: int = 8) -> list[Polygon]:
-    """All within ``distance`` of a point, line or polygon; a negative distance shrinks a polygon, 0 repairs it."""
+    """All within ``distance`` of a point, line or polygon; a negative distance shrinks a polygon, 0 repairs it.
+
+    One closed line goes around everything at the distance; what it goes around at least once is the result. To shrink, it goes around
+    the outside of the polygon.
+    """
     if kind == "Point":
         return [[circle(rings[0][0], distance, quad_segs)]] if distance > 0 else []
-    if kind == "Polygon" and distance > 0 and len(rings) == 1 and convex(rings[0]):
-        return [[around_convex(rings[0], distance, quad_segs)]]
-    around = [[capsule(a, b, abs(distance), quad_segs)] for r in rings for a, b in zip(r[:-1], r[1:], strict=True)] if distance else []
     if kind == "LineString":
-        return union(around) if distance > 0 else []
-    return union([rings, *around]) if distance >= 0 else difference([rings], around)
+        if distance <= 0:
+            return []
+        lines = [np.concatenate([r, r[-2::-1]]) for r in rings]
+    elif distance > 0 and len(rings) == 1 and convex(rings[0]):
+        return [[around_convex(rings[0], distance, quad_segs)]]
+    elif distance == 0:
+        return overlay([rings], [], lambda x, y: x)
+    elif invalid_reason(kind, rings) is None:
+        lines = [r if distance > 0 else r[::-1] for r in oriented(rings)[0]]
+    else:
+        return _around(kind, rings, buffer("LineString", rings, abs(distance), quad_segs), distance)
+    far = abs(distance)
+    lines = [filled(r, FLAT * far) for r in lines]
+    reach = [len(r) * min(len(r), far * len(r) / max(float(np.hypot(*np.diff(r, axis=0).T).sum()), 1e-300)) for r in lines]
+    if sum(reach) > MEETINGS and max(map(len, lines)) > 4 * STRETCH:
+        stretches = [[r[k : k + STRETCH + 1]] for r in lines for k in range(0, len(r) - 1, STRETCH)]
+        around = [p for s in stretches for p in buffer("LineString", s, far, quad_segs)]
+        return _around(kind, rings, around, distance)
+    p, q = _edges([beside(r, far, quad_segs) for r in lines])
+    met = arrange(p, q, np.ones((len(p), 1), np.int64))
+    left, right = (x[:, 0] > 0 if distance > 0 else x[:, 0] < 0 for x in (met.left, met.right))
+    return outline(met, left, right)
 
 
 def crossing(rings: list[Ring]) -> bool:
-    """Whether edges meet elsewhere than at the corner that neighbours share."""
+    """Whether sides of the rings cross, or a ring touches or folds back on itself."""
     p, q = (np.concatenate([r[s] for r in rings]) for s in (slice(None, -1), slice(1, None)))
     ring = np.concatenate([np.full(len(r) - 1, i) for i, r in enumerate(rings)])
     number = np.concatenate([np.arange(len(r) - 1) for r in rings])
     last = np.array([len(r) - 2 for r in rings])[ring]
-    for i in range(len(p)):
-        j = np.arange(i + 1, len(p))
-        d, e, w = q[i] - p[i], q[j] - p[j], p[j] - p[i]
-        side = lambda v, z: v[..., 0] * z[..., 1] - v[..., 1] * z[..., 0]
-        o1, o2 = side(d, w), side(d, w + e)
-        o3, o4 = side(e, p[i] - p[j]), side(e, q[i] - p[j])
+    within = lambda a, b, z: ((np.minimum(a, b) <= z) & (z <= np.maximum(a, b))).all(-1)
+    for i, j in meeting(np.minimum(p, q), np.maximum(p, q)):
+        d, w = q[i] - p[i], p[j] - p[i]
+        o1, o2 = cross(d, w), cross(d, q[j] - p[i])
+        near = np.flatnonzero(~(((o1 > 0) & (o2 > 0)) | ((o1 < 0) & (o2 < 0))))
+        i, j, d, o1, o2 = i[near], j[near], d[near], o1[near], o2[near]
+        e = q[j] - p[j]
+        o3, o4 = cross(e, p[i] - p[j]), cross(e, q[i] - p[j])
         proper = (o1 * o2 < 0) & (o3 * o4 < 0)
-        next_to = (ring[j] == ring[i]) & ((number[j] - number[i] == 1) | ((number[i] == 0) & (number[j] == last[j])))
-        within = lambda a, b, z: ((np.minimum(a, b) <= z) & (z <= np.maximum(a, b))).all(-1)
+        same = ring[i] == ring[j]
+        next_to = same & ((number[j] - number[i] == 1) | ((number[i] == 0) & (number[j] == last[j])))
         touch = ((o1 == 0) & within(p[i], q[i], p[j])) | ((o2 == 0) & within(p[i], q[i], q[j])) | ((o3 == 0) & within(p[j], q[j], p[i])) | ((o4 == 0) & within(p[j], q[j], q[i]))
-        folds = next_to & (side(d, e) == 0) & ((d * e).sum(-1) < 0)
-        same = ring[j] == ring[i]
+        folds = next_to & (o1 == 0) & (o2 == 0) & ((d * e).sum(-1) < 0)
         if (proper | (touch & ~next_to & same) | folds).any():
             return True
     return False
 
 
 def invalid_reason(kind: str, rings: list[Ring]) -> str | None:
-    """Why a geometry is not valid; None if it is."""
+    """Why a geometry is not valid; None if it is.
+
+    Points and lines need finite coordinates. A polygon's rings are closed, have four points or more and do not cross or touch themselves;
+    rings may touch one another in single points, as long as the inside stays in one piece; holes lie in the shell and outside one another.
+    """
+    if not all(np.isfinite(r).all() for r in rings):
+        return "coordinate is not finite"
     if kind != "Polygon":
         return None
     for ring in rings:
@@ -393,8 +383,46 @@ def invalid_reason(kind: str, rings: list[Ring]) -> str | None:
             return "too few points in a ring"
     if crossing(rings):
         return "self-intersection"
-    for hole in rings[1:]:
-        middle = (hole[:-1] + hole[1:]) / 2
-        if not inside(middle, [[rings[0]]]).any():
-            return "hole lies outside shell"
-    return None
+    return _nesting(rings) if len(rings) > 1 else None
+
+
+def _nesting(rings: list[Ring]) -> str | None:
+    """What is wrong with how rings lie that do not cross: the inside is where they go around once, counted with holes backwards."""
+    turned = [r if (area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(rings)]
+    of = np.repeat(np.arange(len(rings)), [len(r) - 1 for r in rings])
+    p, q = (np.concatenate([r[s] for r in turned]) for s in (slice(None, -1), slice(1, None)))
+    solid = (p != q).any(1)
+    p, q, of = p[solid], q[solid], of[solid]
+    met = arrange(p, q, np.ones((len(p), 1), np.int64))
+    owner, start, _, piece = met.steps
+    if (met.times > 1).any():
+        on = [set(piece[of[owner] == k].tolist()) for k in range(len(rings))]
+        return "hole equals shell" if any(h == on[0] for h in on[1:]) else "rings share a side"
+    low, high = np.minimum(met.left, met.right)[piece, 0], np.maximum(met.left, met.right)[piece, 0]
+    wrong = np.unique(of[owner[(low != 0) | (high != 1)]])
+    if len(wrong):
+        for k in wrong[wrong > 0].tolist():
+            if not inside((rings[k][:1] + rings[k][1:2]) / 2, [[rings[0]]])[0]:
+                return "hole lies outside shell"
+        return "nested holes"
+    spots, sides = np.unique(np.column_stack([start, of[owner]]), axis=0).T
+    _, times = np.unique(spots, return_counts=True)
+    common = np.repeat(times > 1, times)
+    return "interior is disconnected" if _cyclic(sides[common].tolist(), (spots[common] + len(rings)).tolist()) else None
+
+
+def _cyclic(a: list[int], b: list[int]) -> bool:
+    """Whether the graph with these edges has a cycle."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        if top(x) == top(y):
+            return True
+        parent[top(x)] = top(y)
+    return False

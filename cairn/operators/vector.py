@@ -226,7 +226,7 @@ def common(kind: str, rings: list[np.ndarray], other: str, b_rings: list[np.ndar
         found: Parts = [("Polygon", p) for p in K.intersection([rings], [b_rings])]
     elif "Polygon" in (kind, other):
         line, polygon = (rings[0], b_rings) if kind == "LineString" else (b_rings[0], rings)
-        found = [("LineString", [x]) for x in K.clip_line(line, [polygon])]
+        found = [("LineString", [x]) for x in K.clip_line(line, [polygon], closed=True)]
     else:
         found = []
     if found:
