@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -211,6 +211,47 @@ def clip_convex(ring: Ring, corners: Ring) -> Ring:
     return np.concatenate([out, out[:1]]) if len(out) >= 3 else np.zeros((0, 2))
 
 
+def half_plane(polygon: Polygon, axis: int, at: float, below: bool) -> list[Polygon]:
+    """The parts of a polygon on one side of a line along an axis."""
+    if len(polygon) == 1 and convex(polygon[0]):
+        core = polygon[0][:-1]
+        depth = (at - core[:, axis]) * (1 if below else -1)
+        after, deeper = np.roll(core, -1, axis=0), np.roll(depth, -1)
+        cut = (depth > 0) != (deeper > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            met = core + (depth / (depth - deeper))[:, None] * (after - core)
+        met[:, axis] = at
+        both, kept = np.stack([core, met], axis=1), np.stack([depth > 0, cut & (depth != 0) & (deeper != 0)], axis=1)
+        kept[:, 0] |= (depth == 0) & ((deeper > 0) | (np.roll(depth, 1) > 0))
+        ring = both[kept]
+        return [[np.concatenate([ring, ring[:1]])]] if len(ring) >= 3 else []
+    low, high = polygon[0].min(0) - 1, polygon[0].max(0) + 1
+    if below:
+        high[axis] = at
+    else:
+        low[axis] = at
+    return intersection([polygon], [[box(*low, *high)]]) if (low < high).all() else []
+
+
+def into_cells(polygon: Polygon, side: float) -> Iterator[tuple[int, int, Polygon]]:
+    """(cx, cy, part) of a polygon in each square cell it has area in. Halves are cut in half again, so that a cell costs about its own points.
+
+    What reaches less than a millionth of a cell beyond a border, as cuts may by rounding, belongs to the cell it comes from.
+    """
+    todo = [polygon]
+    while todo:
+        part = todo.pop()
+        low, high = part[0].min(0) / side, part[0].max(0) / side
+        first = np.floor(low + 1e-6)
+        last = np.maximum(np.ceil(high - 1e-6) - 1, first)
+        if (first == last).all():
+            yield int(first[0]), int(first[1]), part
+            continue
+        axis = int(last[1] - first[1] > last[0] - first[0])
+        at = (first[axis] + last[axis] + 1) // 2 * side
+        todo += [half for below in (True, False) for half in half_plane(part, axis, at, below)]
+
+
 def box(x0: float, y0: float, x1: float, y1: float) -> Ring:
     return np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
 

@@ -21,6 +21,7 @@ from cairn.plans.ranks import numbered
 from cairn.plans.storage import discard, materialise
 
 Parts = list[tuple[str, list[np.ndarray]]]
+QUARTERINGS = 24  # levels below the first grid that a cell may be quartered
 
 
 def _need(condition: bool, message: str) -> None:
@@ -259,71 +260,93 @@ def intersects_any(a: DataFrame, b: DataFrame) -> bool:
     return not vector_intersect(a, b).isEmpty()
 
 
+CELL = ("level", "cx", "cy")
+PIECES = f"level int, cx long, cy long, rings {RINGS}"
+
+
+def _into_cells(side: Callable[[int], float], deeper: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (level, cx, cy, rings) cut at the borders of the cells ``deeper`` levels down, some thousand pieces at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(held: list[tuple[int, int, int, list[np.ndarray]]]) -> pa.RecordBatch:
+            level, cx, cy, shapes = zip(*held, strict=True) if held else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), write_rings(list(shapes))], names=[*CELL, "rings"])
+
+        for batch in batches:
+            held, points = [], 0
+            for level, rings in zip(batch.column(0).to_pylist(), read_rings(batch.column(3)), strict=True):
+                for cx, cy, piece in K.into_cells(rings, side(level + deeper)):
+                    held.append((level + deeper, cx, cy, piece))
+                    points += sum(map(len, piece))
+                    if points > 1 << 18:
+                        yield batch_of(held)
+                        held, points = [], 0
+            yield batch_of(held)
+
+    return run
+
+
 def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> DataFrame:
-    """cx, cy, part, rings: the union of all polygons in pieces that end at the borders of square cells.
+    """level, cx, cy, part, rings: the union of all polygons in pieces that end at the borders of square cells.
 
-    Polygons are clipped to the cells they cover and each cell is united on its own, so nothing is gathered beyond a cell.
-    Without ``cell`` the side starts at twice the mean extent and is halved while a cell holds more than ``crowd`` different
-    pieces and halving still thins it out; what crowds a cell then is united as a tree of bounded groups. Equal pieces are
-    united before they meet.
+    Polygons are cut at the cells they cover and each cell is united on its own, so nothing is gathered beyond a cell.
+    Without ``cell`` the cells are the leaves of a tree: from a grid of about as many cells as there are groups of ``crowd`` polygons, a
+    cell with more than ``crowd`` different pieces is quartered, on its own, as long as that thins it out. So cells are small where
+    polygons crowd, and a polygon as large as all others together is cut into no more pieces than there are cells. What still crowds
+    a cell is united as a tree of bounded groups. Equal pieces are united before they meet.
     """
     solid = _usable(fx).filter("geom_type = 'Polygon'")
     b = bounds(F.col("rings"))
     boxed = solid.select("rings", b.alias("b"))
-
-    def spread(size: float) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-        return boxed.withColumn("cx", F.explode(span("b.min_x", "b.max_x"))).withColumn("cy", F.explode(span("b.min_y", "b.max_y"))).select("cx", "cy", "rings")
-
     if cell is None:
-        mean = boxed.agg(F.avg(F.greatest(F.col("b.max_x") - F.col("b.min_x"), F.col("b.max_y") - F.col("b.min_y")))).first()[0]
-        cell, most = 2.0 * (mean or 1.0), None
-        for _ in range(6):
-            now = spread(cell).groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-            if now <= crowd or (most and now > 0.7 * most):
-                break
-            cell, most = cell / 2, now
-    side = cell
-    at = {"cx": 0, "cy": 1, "rings": 2}
-
-    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cx, cy = batch.column(at["cx"]).to_pylist(), batch.column(at["cy"]).to_pylist()
-            rows, shapes = [], []
-            for i, rings in enumerate(read_rings(batch.column(at["rings"]))):
-                frame = K.box(cx[i] * side, cy[i] * side, (cx[i] + 1) * side, (cy[i] + 1) * side)
-                if len(rings) == 1 and not len(outer := K.clip_convex(rings[0], frame)):
-                    continue
-                cut = [outer] if len(rings) == 1 else None
-                for polygon in [cut] if cut else K.intersection([rings], [[frame]]):
-                    rows.append(i)
-                    shapes.append(polygon)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), write_rings(shapes)], names=["cx", "cy", "rings"])
-
-    pieces = materialise(spread(side).mapInArrow(clip, f"cx long, cy long, rings {RINGS}").distinct())
+        n, wide = boxed.agg(F.count("*"), F.greatest(F.max("b.max_x") - F.min("b.min_x"), F.max("b.max_y") - F.min("b.min_y"))).first()
+        start = max(0, math.floor(math.log(max(n, 1) / crowd, 4))) if n > crowd else 0
+        largest = 2.0 ** math.ceil(math.log2(wide or 1.0))
+        side = lambda level: largest / 2**level
+    else:
+        start, side = 0, lambda level: float(cell)
+    first = solid.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), "rings")
+    now = materialise(first.mapInArrow(_into_cells(side, start), PIECES).distinct())
+    leaves, deeper = [], 0
+    while cell is None:
+        sizes = materialise(now.groupBy(*CELL).agg(F.count("*").alias("n")))
+        full = sizes.filter(F.col("n") > crowd)
+        if deeper == QUARTERINGS or full.isEmpty():
+            break
+        kids = materialise(now.join(full.drop("n").hint("merge"), [*CELL], "left_semi").select(now.columns).mapInArrow(_into_cells(side, 1), PIECES).distinct())
+        parent = [(F.col("level") - 1).alias("level"), *(F.floor(F.col(c) / 2).cast("long").alias(c) for c in CELL[1:])]
+        made = kids.groupBy(*parent).agg(F.count("*").alias("m"))
+        thin = materialise(full.join(made, [*CELL]).filter(F.col("m") <= 2.5 * F.col("n")).select(*CELL))  # of what lies over a cell, each quarter holds all
+        leaves.append(now.join(thin.hint("merge"), [*CELL], "left_anti"))
+        up = kids.withColumns({"_l": parent[0], "_x": parent[1], "_y": parent[2]})
+        now = up.join(thin.select(*(F.col(c).alias(n) for c, n in zip(CELL, ("_l", "_x", "_y"), strict=True))).hint("merge"), ["_l", "_x", "_y"], "left_semi").select(*CELL, "rings")
+        deeper += 1
+    pieces = now
+    for table in leaves:
+        pieces = pieces.unionByName(table.select(*CELL, "rings"))
 
     def unite(key, table):
         parts = K.union(read_rings(table["rings"].combine_chunks()))
-        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([key[1].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), write_rings(parts)], names=["cx", "cy", "part", "rings"])
+        heads = [pa.array([k.as_py()] * len(parts), t) for k, t in zip(key[:3], (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        return pa.table([*heads, pa.array(range(len(parts)), pa.int32()), write_rings(parts)], names=[*CELL, "part", "rings"])
 
-    united = f"cx long, cy long, part int, rings {RINGS}"
+    united = f"level int, cx long, cy long, part int, rings {RINGS}"
     # what still crowds a cell is united in groups of at most about ``crowd``, round by round, while that leaves fewer pieces
-    last = None
+    last, pieces = None, materialise(pieces)
     while True:
-        sizes = pieces.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
+        sizes = pieces.groupBy(*CELL).agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
         total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         if not most:
             break
-        full = pieces.join(sizes, ["cx", "cy"]).withColumn("salt", F.pmod(F.xxhash64("rings"), F.ceil(F.col("n") / crowd)).cast("int"))
-        joined = full.repartition(shuffle_partitions(fx), "cx", "cy", "salt").groupBy("cx", "cy", "salt").applyInArrow(unite, united).drop("part")
-        rest = pieces.join(sizes.select("cx", "cy"), ["cx", "cy"], "left_anti")
+        full = pieces.join(sizes, [*CELL]).withColumn("salt", F.pmod(F.xxhash64("rings"), F.ceil(F.col("n") / crowd)).cast("int"))
+        joined = full.repartition(shuffle_partitions(fx), *CELL, "salt").groupBy(*CELL, "salt").applyInArrow(unite, united).drop("part")
+        rest = pieces.join(sizes.select(*CELL), [*CELL], "left_anti")
         before, pieces = pieces, materialise(rest.unionByName(joined).distinct())
         discard(before)
         if total > 0.8 * (last or math.inf):  # what lies apart is not thinned out by uniting it
             break
         last = total
-    return pieces.repartition(shuffle_partitions(fx), "cx", "cy").groupBy("cx", "cy").applyInArrow(unite, united)
+    return pieces.repartition(shuffle_partitions(fx), *CELL).groupBy(*CELL).applyInArrow(unite, united)
 
 
 def union_area(fx: DataFrame) -> DataFrame:
@@ -339,7 +362,7 @@ def vector_clip(target: DataFrame, clipper: DataFrame, overlapping: bool = True)
     """
     if overlapping:
         pieces = dissolve(clipper)
-        clipper = pieces.select(F.xxhash64("cx", "cy", "part").alias("fid"), F.lit("Polygon").alias("geom_type"), "rings")
+        clipper = pieces.select(F.xxhash64(*CELL, "part").alias("fid"), F.lit("Polygon").alias("geom_type"), "rings")
     return _inside_of(target, clipper).drop("b_fid")
 
 
