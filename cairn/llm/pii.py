@@ -2,15 +2,18 @@
 
 A surrogate is a keyed permutation of the entity's symbols, each within its own alphabet (digits, lower and upper letters of one
 script, vowels and consonants of a name), so different entities get different surrogates, the same entity the same one
-everywhere, and lengths, separators and case stay; only an e-mail address grows, by a top-level domain that is reserved. A listed
+everywhere, and lengths, separators and case stay; only an e-mail address grows, by a top-level domain that is reserved. Names are
+replaced word by word, so that a full name, a title with the surname, and capitals all lead to the same surname. A listed
 first name becomes another of its gender; one that is not listed keeps its last letter, which tells the gender in many languages. A
-check over all entities of the corpus finds surrogates that are real entities of it, or that coincide; those are drawn again until none
-is left. Where a format has too few values for that, later draws are longer by one keyed symbol a round.
+check over all entities of the corpus, for names over all surnames, finds surrogates that are real entities of it, or that coincide; those are
+drawn again until none is left. Where a format has too few values for that, later draws are longer by one keyed symbol a round.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect_left
@@ -29,14 +32,47 @@ KEY = b"replace this key"  # a real run passes its own, see session_key
 ATTEMPTS = 12  # draws of the same length
 
 #: First names by gender (fixed values); a name is replaced by another of its row.
-FEMALE = "Alice Anna Barbara Carmen Charlotte Clara Elena Emily Emma Eva Greta Helen Irene Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa Ursula".split()
-MALE = "Adam Albert Andrew Anton Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry Jack James John Jorge Karl Louis Lukas Marc Martin Michael Miguel Oscar Paul Peter Robert Thomas William".split()
-_TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra"
+FEMALE = (
+    "Aisha Alice Amina Amy Anita Anna Anne Barbara Beatrice Carla Carmen Charlotte Chiara Clara Claudia Diana Elena Elizabeth Emily Emma Eva Fatima Francesca Giulia Greta Hanna"
+    " Helen Ingrid Irene Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Leila Linda Lisa Lucia Margaret Maria Marie Mary Mei Michelle Monika Nadia Natalia Nina Olga Olivia"
+    " Patricia Paula Priya Rosa Sakura Sandra Sarah Silvia Sofia Susan Svetlana Teresa Ursula Valentina Yuki"
+).split()
+MALE = (
+    "Adam Ahmed Albert Alejandro Alexander Andrew Anton Antonio Boris Carlos Charles Christian Daniel David Diego Dmitri Edward Fabio Felix Francisco Frank George Giovanni Hans"
+    " Hassan Henry Hiroshi Ibrahim Igor Ivan Jack Jacques James Javier Jean Johann John Jorge Jose Joseph Juan Karl Kenji Kevin Klaus Luca Louis Lukas Marc Marco Martin Michael Miguel Mohammed"
+    " Omar Oscar Pablo Paolo Paul Pedro Peter Pierre Rajesh Robert Sergei Stefan Thomas William Wolfgang"
+).split()
+#: Forms of address, without their full stop; any number of them may come before a name (fixed values).
+TITLES = "Mr Mrs Ms Miss Mx Dr Prof Sir Lady Rev Capt Herr Frau Ing Dipl Mag Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña Signor Signora Dott".split()
+#: Small words inside surnames (fixed values).
+PARTICLES = "de del della der den des di da dal do dos das du el la las le los van von vom zu zum zur ten ter bin bint ibn al af av y e".split()
+#: What announces a name of two words or more (fixed values).
+CUES = ("my name is", "My name is", "Name:", "name:", "From:", "To:", "Cc:", "Attn:", "Contact:", "Author:", "signed by", "Sincerely,", "Regards,", "regards,", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo")
+
+_LETTER = r"[^\W\d_]"
+_UPPER = r"[^\W\d_a-z]"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)})\b[ '’])"
+_TITLE = rf"(?:{'|'.join(t for x in TITLES for t in (x, x.upper()))})\b"
+_INITIAL = rf"{_UPPER}\.(?:[ -]?(?={_UPPER}))"
+_NAME_WORD = rf"(?!{_TITLE})(?:{_UPPER}['’])?{_UPPER}{_LETTER}{{1,39}}(?:[-'’](?:{_UPPER}['’])?{_UPPER}{_LETTER}{{1,39}})*(?!\w)"
+_RUN = rf"(?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})*"
+_CAPITAL = re.compile(rf"\b[A-Z]{_LETTER}*")
+_TITLED = re.compile(rf"(?:{_TITLE}\.?(?:[ -]|(?<=\.)))+({_RUN})")
+_FOLLOWED = re.compile(rf"({_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})+)")
+_SHOUTED = re.compile(rf"([A-Z]{{2,40}}(?:-[A-Z]{{2,40}})? (?:[A-Z]\. )*(?:[A-Z]['’])?[A-Z]{{2,40}}(?:-[A-Z]{{2,40}})?)\b")
+_CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})\s{{1,4}}({_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})+)")
+_TURNED = re.compile(rf"(?:^|[;:(\[\n\t\"])[ ]?({_PARTICLE}*{_NAME_WORD}, ([A-Z]{_LETTER}{{1,39}})(?: [A-Z]\.)?)(?= ?(?:[;,.)\]\n\"]|$))", re.MULTILINE)
+_SUFFIXED = re.compile(rf"({_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})+)(?=,? (?:Jr|Sr|Ph\.?D|M\.?D|Esq)\b)")
+_ENDINGS = (" Jr", " Sr", "PhD", "Ph.D", " MD", " M.D", " Esq")
+_TITLE_WORDS = {t for x in TITLES for t in (x, x.upper())}
+_GIVEN = {x: row for row in (FEMALE, MALE) for x in row}
+_SHOUTS = {x.upper() for x in _GIVEN}
 
 _RIGHT = r"(?![A-Za-z0-9])"
 _NUMBERS = re.compile(
     r"(?<![A-Za-z0-9])(?:"
     rf"(?P<iban>[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT})"
+    r"|(?P<ip6>(?<!:)(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![:\w]|\.\d)|(?<!:)[0-9A-Fa-f]{1,4}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![:\w]|\.\d))"
     r"|(?P<ip>(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[A-Za-z0-9]))"
     rf"|(?P<phone>\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_RIGHT}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}{_RIGHT}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}{_RIGHT})"
     rf"|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}}{_RIGHT})"
@@ -46,9 +82,10 @@ _NUMBERS = re.compile(
 # an address is sought from its @, so that long words without one cost nothing
 _MAILBOX = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_NAMED = re.compile(rf"\b(?:(?:{_TITLES})\.? )((?:[^\W\d_a-z][^\W\d_]*[ -])?[^\W\d_a-z][^\W\d_]*[^\W\d_A-Z])\b|\b((?:{'|'.join(FEMALE + MALE)}) [^\W\d_a-z][^\W\d_]*[^\W\d_A-Z])\b")
 _MAYBE_NUMBERS = re.compile(r"\d\d|\d[.)]")
-_MAYBE_NAMED = re.compile(rf"\b(?:{_TITLES}|{'|'.join(FEMALE + MALE)})\b")
+#: Country calling codes of one digit and of two (fixed values); all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_TRUNK = "(0)"  # dialled within the country only
 
 Entity = tuple[int, int, str, str]  # start, end, kind, canonical value
 
@@ -78,12 +115,52 @@ def _canonical(kind: str, said: str) -> str | None:
         value = said.replace(" ", "")
         return value if _iban_valid(value) else None
     if kind == "phone":
-        digits = re.sub(r"\D", "", said)
-        code = re.match(r"\+(\d{1,3})(?=\D)", said)
-        return f"{code[1]}:{digits[len(code[1]) :]}" if code else f":{digits}"
+        digits = re.sub(r"\D", "", said.replace(_TRUNK, "", 1) if said.startswith("+") else said)
+        if not said.startswith("+"):
+            return f":{digits}"
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3])
+        return f"{code}:{digits[len(code) :]}"
+    if kind == "ip6":
+        with contextlib.suppress(ValueError):
+            return ipaddress.IPv6Address(said).exploded
+        return None
+    if kind == "card":
+        value = re.sub(r"\D", "", said)
+        # an unbroken number needs the check digit; groups are a card's by their look
+        return value if not value.isascii() or said != value or _luhn(value[:-1]) == int(value[-1]) else None
     return said if kind == "ip" else re.sub(r"\D", "", said)
 
 
+def full_name(said: str) -> str:
+    """A name with words in capitals written like others."""
+    return re.sub(rf"{_LETTER}+", lambda m: m[0][0] + m[0][1:].lower() if m[0].isupper() and len(m[0]) == len(m[0].lower()) else m[0], said)
+
+
+def names(text: str) -> Iterator[tuple[int, int]]:
+    """Places of names, without their titles: after titles, from a listed first name on, after a word that announces one, before
+    what only follows names, and surname first. A name goes on over words that begin with a capital, initials and particles."""
+    until = 0
+    for m in _CAPITAL.finditer(text):
+        word = m[0]
+        found = None
+        if m.start() >= until:
+            if word in _TITLE_WORDS:
+                found = _TITLED.match(text, m.start())
+            elif word in _GIVEN:
+                found = _FOLLOWED.match(text, m.start())
+            elif word in _SHOUTS:
+                found = _SHOUTED.match(text, m.start())
+        if found:
+            until = found.end()
+            yield found.span(1)
+    if any(cue in text for cue in CUES):
+        yield from (m.span(1) for m in _CUED.finditer(text))
+    if any(x in text for x in _ENDINGS):
+        yield from (m.span(1) for m in _SUFFIXED.finditer(text))
+    if ", " in text:
+        yield from (m.span(1) for m in _TURNED.finditer(text) if m[2] in _GIVEN)
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, not overlapping, in order; where two kinds overlap, addresses go before numbers and those before names."""
     found: list[Entity] = [(a, b, "email", text[a:b].lower()) for a, b in addresses(text)] if "@" in text else []
@@ -97,15 +174,39 @@ def detect(text: str) -> list[Entity]:
         for m in _NUMBERS.finditer(text):
             if free(*m.span(), taken) and (value := _canonical(m.lastgroup, m[0])) is not None:
                 found.append((m.start(), m.end(), m.lastgroup, value))
-    if _MAYBE_NAMED.search(text):
-        taken = sorted(found)
-        for m in _NAMED.finditer(text):
-            a, b = m.span(1 if m[1] else 2)
-            if free(a, b, taken):
-                found.append((a, b, "name", text[a:b]))
+    taken, last = sorted(found), 0
+    for a, b in sorted(names(text), key=lambda x: (x[0], -x[1])):
+        if a >= last and free(a, b, taken):
+            found.append((a, b, "name", full_name(text[a:b])))
+            last = b
     return sorted(found)
 
 
+def parts_of(kind: str, value: str) -> list[str]:
+    """The values of an entity that are looked up in the corpus: of a name its surnames, of others the value."""
+    return [value[a:b] for a, b, role in _words(value) if role == "surname"] if kind == "name" else [value]
+
+
+def _words(name: str) -> list[tuple[int, int, str]]:
+    """Words of a name as (start, end, role): listed, given, surname or initial; particles and what an apostrophe cuts off are none."""
+    whole = [m.span() for m in re.finditer(r"[^ ,]+", name)]
+    full = [(a, b) for a, b in whole if name[a:b] not in PARTICLES]
+    turned = ", " in name
+    out = []
+    for a, b in full:
+        for m in re.finditer(rf"{_LETTER}+", name[a:b]):
+            x, y = a + m.start(), a + m.end()
+            if y - x == 1:
+                role = "" if name[y : y + 1] in ("'", "’") else "initial"
+            elif m[0] in _GIVEN and (len(full) > 1 or b - a > y - x):
+                role = "listed"
+            else:
+                role = "given" if len(full) > 1 and (a, b) == full[-1 if turned else 0] else "surname"
+            if role and not (role == "surname" and m[0] in PARTICLES):
+                out.append((x, y, role))
+    return out
+
+
 # ---------------------------------------------------------------- keyed permutation
 
 
@@ -200,33 +301,69 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         body = value[:2] + "00" + _longer(cipher(value[4:], key, tweak), width, value, key, tweak)
         check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
         return f"{value[:2]}{check:02d}{body[4:]}"
+    if kind == "ip6":
+        drawn = permute([int(x, 16) for x in value.split(":")], [1 << 16] * 8, key, tweak)
+        return ":".join(f"{x:04x}" for x in drawn) if not width else f"{':'.join(f'{x:04x}' for x in drawn)}:{width:x}"
     if kind == "name":
-        first, gap, last = value.rpartition(value[-1 - max(value[::-1].find(" "), value[::-1].find("-"))] if re.search("[ -]", value) else " ")
-        for row in (FEMALE, MALE):
-            if first in row:
-                first = row[permute([row.index(first)], [len(row)], key, tweak)[0]]
-                break
-        else:
-            first = cipher(first[:-1], key, tweak + first[-1:], True) + first[-1] if len(first) > 1 else cipher(first, key, tweak, True)
-        return first + gap + _longer(cipher(last, key, tweak + "last", True), width, value, key, tweak, True)
+        return name_surrogate(value, key, lambda _: attempt)
     return _longer(cipher(value, key, tweak), width, value, key, tweak)
 
 
+def name_surrogate(name: str, key: bytes, attempt_of: Callable[[str], int]) -> str:
+    """A name with every word replaced by its role; ``attempt_of`` a surname says which of its draws stands."""
+    out, last = [], 0
+    for a, b, role in _words(name):
+        word = name[a:b]
+        if role == "listed":
+            row = _GIVEN[word]  # another of its row: turned by a keyed number that is never 0
+            turn = int.from_bytes(hashlib.shake_256(key + f"|listed|{len(row)}".encode()).digest(8), "big") % (len(row) - 1)
+            new = row[(row.index(word) + 1 + turn) % len(row)]
+        elif role == "given":
+            new = word
+            while new == word or new in _GIVEN:  # a listed name is what only a listed one becomes
+                new = cipher(new[:-1], key, "name|given" + new[-1:], True) + new[-1]
+                if new == word:
+                    break
+        elif role == "initial":
+            new = cipher(word, key, "name|initial", True)
+        else:
+            attempt = attempt_of(word)
+            tweak = f"name|{attempt}|last"
+            new = _longer(cipher(word, key, tweak, True), max(0, attempt - ATTEMPTS + 1), word, key, tweak, True)
+        out += [name[last:a], new]
+        last = b
+    return "".join([*out, name[last:]])
+
+
 def render(said: str, kind: str, replacement: str) -> str:
     """The canonical surrogate in the way the mention was written."""
     if kind == "email":
-        return replacement.upper() if said.isupper() else replacement
-    if kind in ("ip", "name"):
+        return replacement.upper() if said.isupper() else "".join(c.upper() if k < len(said) and said[k].isupper() else c for k, c in enumerate(replacement))
+    if kind == "ip6":
+        with contextlib.suppress(ValueError):
+            short = ipaddress.IPv6Address(replacement).compressed
+            return short.upper() if said.upper() == said and said.lower() != said else short
         return replacement
+    if kind == "name":
+        shouted = [len(w) > 1 and w.isupper() and len(w) == len(w.lower()) for w in re.findall(rf"{_LETTER}+", said)]
+        at = iter(shouted)
+        return re.sub(rf"{_LETTER}+", lambda m: m[0].upper() if next(at, False) else m[0], replacement)
+    if kind == "ip":
+        return replacement
+    kept = said.find(_TRUNK) if kind == "phone" and said.startswith("+") else -1
     symbols = iter(replacement.replace(":", ""))
-    return "".join([*(next(symbols) if c.isalnum() else c for c in said), *symbols])
+    return "".join([*(c if not c.isalnum() or kept <= k < kept + len(_TRUNK) and kept >= 0 else next(symbols) for k, c in enumerate(said)), *symbols])
 
 
 def replace(text: str, key: bytes, other: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
-    """Text with surrogates, and the kinds replaced; ``other`` has the attempt of entities whose first draw collided."""
+    """Text with surrogates, and the kinds replaced; ``other`` has the attempt of entities, or surnames, whose first draw collided."""
     out, last, kinds = [], 0, []
     for a, b, kind, value in detect(text):
-        out += [text[last:a], render(text[a:b], kind, surrogate(kind, value, key, other.get((kind, value), 0)))]
+        if kind == "name":
+            new = name_surrogate(value, key, lambda word: other.get(("name", word), 0))
+        else:
+            new = surrogate(kind, value, key, other.get((kind, value), 0))
+        out += [text[last:a], render(text[a:b], kind, new)]
         last = b
         kinds.append(kind)
     return "".join([*out, text[last:]]), kinds
@@ -236,13 +373,13 @@ def replace(text: str, key: bytes, other: dict[tuple[str, str], int]) -> tuple[s
 
 
 def _mentions(docs: DataFrame, id_type: str) -> DataFrame:
-    """(_id, _text) to the different entities of each document."""
+    """(_id, _text) to the different entities, and surnames, of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, kinds, values = [], [], []
             for i, text in enumerate(encoded(batch.column(1))):
-                for kind, value in {(k, v) for _, _, k, v in detect(text.decode())}:
+                for kind, value in {(k, part) for _, _, k, v in detect(text.decode()) for part in parts_of(k, v)}:
                     at.append(i)
                     kinds.append(kind)
                     values.append(value)
