@@ -57,7 +57,8 @@ _INITIAL = rf"{_UPPER}\.(?:[ -]?(?={_UPPER}))"
 _NAME_WORD = rf"(?!{_TITLE})(?:{_UPPER}['’])?{_UPPER}{_LETTER}{{1,39}}(?:[-'’](?:{_UPPER}['’])?{_UPPER}{_LETTER}{{1,39}})*(?!\w)"
 _RUN = rf"(?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})*"
 _CAPITAL = re.compile(rf"\b[A-Z]{_LETTER}*")
-_TITLED = re.compile(rf"(?:{_TITLE}\.?(?:[ -]|(?<=\.)))+({_RUN})")
+_CHAIN = re.compile(rf"(?:{_TITLE}\.?(?:[ -]|(?<=\.)))+")
+_NAMED = re.compile(rf"({_RUN})")
 _FOLLOWED = re.compile(rf"({_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})+)")
 _SHOUTED = re.compile(rf"([A-Z]{{2,40}}(?:-[A-Z]{{2,40}})? (?:[A-Z]\. )*(?:[A-Z]['’])?[A-Z]{{2,40}}(?:-[A-Z]{{2,40}})?)\b")
 _CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})\s{{1,4}}({_NAME_WORD}(?: (?:{_INITIAL})*{_PARTICLE}*{_NAME_WORD})+)")
@@ -145,7 +146,10 @@ def names(text: str) -> Iterator[tuple[int, int]]:
         found = None
         if m.start() >= until:
             if word in _TITLE_WORDS:
-                found = _TITLED.match(text, m.start())
+                chain = _CHAIN.match(text, m.start())
+                if chain:
+                    until = chain.end()
+                    found = _NAMED.match(text, until)
             elif word in _GIVEN:
                 found = _FOLLOWED.match(text, m.start())
             elif word in _SHOUTS:
