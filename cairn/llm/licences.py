@@ -54,7 +54,7 @@ FREEDOM = {
 UNKNOWN_FREEDOM = 0.25
 EXCEPTION_GAIN = 0.2  # a "with" exception lifts some of a licence's conditions
 
-#: First parts of the identifiers that an expression may name (fixed values); what starts with none of them is prose.
+#: First parts of identifiers that are known whatever follows them (fixed values); others are known by a version or their place.
 FAMILIES = frozenset(
     "0bsd aal afl agpl apache apsl artistic beerware blueoak boost bsd bsl bzip2 cal cc cc0 cddl cdla cecill cpl curl dco documentref ecl edl efl epl etalab eudatagrid eupl"
     " fsfap ftl gfdl gpl hpnd icu ijg imagemagick intel ipl isc json lgpl libpng libtiff licenseref lppl mit mpl ms mulanpsl ncsa netcdf nist ntp oclc odbl odc ofl ogl oldap openssl osl"
@@ -67,8 +67,19 @@ _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+\-_]+)")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def is_licence(token: str) -> bool:
-    return re.split(r"[-+.]", token.lower(), maxsplit=1)[0] in FAMILIES
+def is_licence(token: str, follows: str | None, first: bool) -> bool:
+    """Whether a token names a licence: it has a version, or is of a known family, or begins with a capital and ends its part.
+
+    After an operator, a word of a known family in small letters that prose follows is prose too.
+    """
+    if not token[:1].isalnum():
+        return False
+    ends = follows is None or follows in "()" or follows.lower() in _PRECEDENCE
+    listed = re.split(r"[-+.]", token.lower(), maxsplit=1)[0] in FAMILIES
+    if listed:
+        return first or ends or not token.islower() or bool(re.search(r"\d", token))
+    versioned = re.fullmatch(r"(?i)[a-z][a-z0-9.+]*(?:-[a-z0-9.+]+)*-v?\d[a-z0-9.+-]*", token) is not None
+    return versioned or token[0].isupper() and ends
 
 
 def tokens(expression: str) -> Iterator[str]:
@@ -80,22 +91,25 @@ def tokens(expression: str) -> Iterator[str]:
 
 
 def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: the licence expression in postfix order, operators in lower case; None if it is malformed.
+    """Shunting-yard: the licence expression in postfix order, operators in lower case; None if it names no licence.
 
     ``with`` binds closest, then ``and``, then ``or``; all associate to the left. An expression ends before the first token
     that cannot follow. Where an operator is followed by neither a licence (an exception, for ``with``) nor a bracket, it and what
-    follows are prose, and the expression ends before it. The right side of ``with`` is one exception, never a bracket.
+    follows are prose, and the expression ends before it. The right side of ``with`` is one exception, never a bracket. Brackets
+    that are still open at the end are closed there.
     """
     output: list[str] = []
     waiting: list[str] = []
     operand_next = True
-    for token in tokens(expression):
-        low = token.lower()
+    ahead = tokens(expression)
+    token = next(ahead, None)
+    while token is not None:
+        low, follows = token.lower(), next(ahead, None)
         if operand_next:
             after_with = bool(waiting) and waiting[-1] == "with"
             if token == "(" and not after_with:
                 waiting.append(token)
-            elif token not in "()" and low not in _PRECEDENCE and (_EXCEPTION.fullmatch(token) if after_with else is_licence(token)):
+            elif token not in "()" and low not in _PRECEDENCE and (_EXCEPTION.fullmatch(token) if after_with else is_licence(token, follows, not output)):
                 output.append(token)
                 operand_next = False
             else:
@@ -113,12 +127,12 @@ def to_postfix(expression: str) -> list[str] | None:
             operand_next = True
         else:
             break
-    if operand_next and waiting and waiting[-1] in _PRECEDENCE:  # an operator that leads to nothing
-        waiting.pop()
-        operand_next = False
-    if operand_next or "(" in waiting:
+        token = follows
+    if not output:
         return None
-    return output + waiting[::-1]
+    while operand_next and waiting:  # an operator that leads to nothing, with the brackets after it
+        operand_next = waiting.pop() == "("
+    return output + [x for x in reversed(waiting) if x != "("]
 
 
 def label_of(identifier: str) -> str:
@@ -183,6 +197,7 @@ class LicenceMatcher:
         place = np.cumsum(keep) - 1
         starts = place[begin]
         whole = " \0"
+        tags: list[tuple[int, int]] = []  # document and place of the first byte after each tag, in order
         for last, phrase in self.automaton.iter(line):
             at = last - len(phrase.encode()) + 1
             if (at and line[at - 1] not in whole) or (last + 1 < len(line) and line[last + 1] not in whole):
@@ -198,15 +213,17 @@ class LicenceMatcher:
                 hit["labels"].add(self.notices[phrase])
                 hit["freedom"].append(freedom_of(self.notices[phrase]))
             if phrase == self.tag:
-                after = int(stop[k + self.tag.count(" ")])
-                text, begins = texts[doc], after - int(block.at[doc])
-                ends = text.find(b"\n", begins)
-                said = text[begins : ends if ends >= 0 else len(text)].decode("utf-8", "replace")
-                postfix = to_postfix(said[_BEFORE.match(said).end() :])
-                if postfix:
-                    labels, freedom = evaluate(postfix)
-                    hit["labels"] |= labels
-                    hit["freedom"].append(freedom)
+                tags.append((doc, int(stop[k + self.tag.count(" ")]) - int(block.at[doc])))
+        for (doc, begins), (next_doc, limit) in zip(tags, [*tags, (-1, 0)][1:], strict=True):
+            text = texts[doc]
+            limit = limit if next_doc == doc else len(text)  # no expression goes on over the next tag
+            ends = text.find(b"\n", begins, limit)
+            said = text[begins : ends if ends >= 0 else limit].decode("utf-8", "replace")
+            postfix = to_postfix(said[_BEFORE.match(said).end() :])
+            if postfix:
+                labels, freedom = evaluate(postfix)
+                found[doc]["labels"] |= labels
+                found[doc]["freedom"].append(freedom)
         return found
 
 
@@ -224,7 +241,8 @@ def scan_licences(
     ``SPDX-License-Identifier`` tag, which may be as long as its line. ``score`` is the freedom left by the strictest statement, 0 without any.
 
     A null or empty text has no words, no labels and score 0. Repeated rows each give their row. Other columns are ignored,
-    so clashing names do no harm. A narrow job: nothing is shuffled, and a long text is scanned whole.
+    so clashing names do no harm. A narrow job: nothing is shuffled, and a very long text is scanned whole, in time and memory in
+    proportion to it; each tag reads its line up to the next tag.
     """
     base, notices = base or BASE_PHRASES, notices or NOTICE_PHRASES
 
