@@ -4,9 +4,9 @@ Windows of benchmark words are the patterns and words the symbols. A cursor stan
 occurrence. The hash of the block of words that ends there looks up how far the cursor may move without missing one; where
 that is 0, the block hash selects a bucket of windows and the words themselves are compared.
 
-The tables that every task holds have a fixed size: the shifts, and a bit for each block hash that ends a window. The buckets
+The tables that every task holds grow with the number of windows up to a fixed size: the shifts, and a bit for each block hash that ends a window. The buckets
 are rows of a table, as many as the benchmark has windows; what the cursors stop at is joined with them by block hash and
-compared there. So nothing but the fixed tables passes through the driver, however large the benchmark is; one that fills them
+compared there. So nothing but the bounded tables passes through the driver, however large the benchmark is; one that fills them
 makes the cursors stop more often, and changes no result.
 """
 
@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bytetext import LOWER, Block, encoded, slices
@@ -28,7 +28,7 @@ from cairn.plans.storage import materialise
 WINDOW = 13  # words
 BLOCK = 3  # words of a shift block
 STRIDE = 256  # cursor positions scanned by one cursor
-TABLE_BITS = 20  # slots of the shifts of one window length; 2^(TABLE_BITS + 3) bits mark the block hashes that end a window
+TABLE_BITS, MOST_BITS = 20, 22  # least and most slots of the shifts of one window length; 2^(TABLE_BITS + 3) bits mark the block hashes that end a window
 
 
 @cache
@@ -215,18 +215,37 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searched(keyed: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, table_bits: int = TABLE_BITS) -> DataFrame:
+def _digest(c: str) -> list[Column]:
+    """Two hashes of a value that stand for it in joins."""
+    return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
+
+
+def _grouped(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each window once with the number of the set of items that have it, and the items of each number: both written.
+
+    However many items share a text, a place in a document meets one row.
+    """
+    sets = windows.groupBy("size", "key", "said").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets = materialise(sets.withColumn("of", F.sha2(F.concat_ws(",", F.transform("items", lambda i: F.concat(F.octet_length(i).cast("string"), F.lit(":"), i))), 256)))
+    return sets.select("size", "key", "said", "of"), sets.select("of", "items").dropDuplicates(["of"])
+
+
+def _searched(keyed: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, table_bits: int | None = None) -> DataFrame:
     """(id, text) to one row each: id, n_words, n_hit, n_items, items."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     windows = materialise(items.mapInArrow(_windows(window), "size int, key long, said binary, item string").distinct())
-    tables = keyed.sparkSession.sparkContext.broadcast(build_tables(windows, table_bits))
+    grouped, sets = _grouped(windows)
+    if table_bits is None:  # a few slots for each block of a window, so that most of them stay empty
+        table_bits = min(MOST_BITS, max(TABLE_BITS, math.ceil(math.log2(4 * window * max(1, grouped.count())))))
+    tables = keyed.sparkSession.sparkContext.broadcast(build_tables(grouped, table_bits))
     kind = keyed.schema["id"].dataType.simpleString()
     spotted = keyed.mapInArrow(_stops(tables), f"id {kind}, n_words long, spots array<struct<size:int,key:long,said:binary,last:long>>")
     spotted = materialise(spotted.withColumn("row", F.monotonically_increasing_id()))
+    tables.unpersist()
     at = spotted.select("row", F.explode("spots").alias("s")).select("row", "s.*")
-    met = at.join(windows, ["size", "key", "said"])
+    met = at.join(grouped, ["size", "key", "said"])
     run = F.struct((F.col("last") - F.col("size") + 1).alias("a"), (F.col("last") + 1).alias("b"))
-    hits = met.groupBy("row").agg(F.array_sort(F.collect_set(run)).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+    hits = met.groupBy("row").agg(F.array_sort(F.collect_set(run)).alias("runs"), F.array_sort(F.collect_set("of")).alias("sets"))
     # runs are sorted by start: add up what each adds beyond the furthest end so far
     covered = F.aggregate(
         "runs",
@@ -234,18 +253,24 @@ def _searched(keyed: DataFrame, benchmark: DataFrame, item_col: str, text_col: s
         lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["to"]))).alias("n"), F.greatest(s["to"], r["b"]).alias("to")),
         lambda s: s["n"],
     )
-    named = hits.select("row", covered.alias("n_hit"), "items")
-    out = spotted.select("row", "id", "n_words").join(named, "row", "left")
+    h1, h2 = _digest("sets")
+    hits = materialise(hits.select("row", covered.alias("n_hit"), "sets").withColumns({"h1": h1, "h2": h2}))
+    # the items of each different collection of sets, found once for all documents that have it
+    collected = hits.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("sets").alias("of")).join(sets, "of")
+    named = materialise(collected.groupBy("h1", "h2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    hits = hits.drop("sets").join(named.hint("merge"), ["h1", "h2"]).select("row", "n_hit", "items")
+    out = spotted.select("row", "id", "n_words").join(hits.hint("merge"), "row", "left")
     return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, table_bits: int = TABLE_BITS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, table_bits: int | None = None) -> DataFrame:
     """Hit words and occurring items of every text: id, n_words, n_hit, n_items, items (sorted as strings).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. A word inside any occurrence is hit.
 
     A null or empty text has no words and no hits; an empty benchmark and items without words hit nothing; the windows of an
-    item without an id hit, but name nothing. Repeated rows each give their row, and equal item texts count as separate
+    item without an id hit, but name nothing. Very long texts are read a word after the other and take memory in proportion to themselves
+    and to the places where a window may end. Repeated rows each give their row, and equal item texts count as separate
     items. Further columns are ignored.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
