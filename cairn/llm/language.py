@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bytetext import LOWER, Block, encoded, lookup, slices
@@ -157,24 +157,25 @@ def _LETTERS(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def _share(counts: dict[str, int], wanted: int, lang_col: str, salt: int):
-    """Condition that keeps about ``wanted`` rows a language (all, if fewer), by a hash of the id."""
-    hashed = F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col(lang_col) == lang) & (hashed < int((1 << 30) * min(1.0, wanted / n)) + (n <= wanted)))
-    return keep
+def _share(counts: dict[str, int], wanted: int, lang_col: str, salt: int) -> Column:
+    """Condition that keeps about ``wanted`` rows a language (all, if fewer), by a hash of the id and the row's place in the scan.
+
+    The place makes it a share of rows: of many that repeat one id, as few are kept as of others.
+    """
+    shares = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, wanted / n)) + (n <= wanted))))) if counts else F.lit(None).cast("map<string,int>")
+    return F.coalesce(F.pmod(F.xxhash64("_id", "_at", F.lit(salt)), F.lit(1 << 30)) < F.element_at(shares, F.col(lang_col)), F.lit(False))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> KernelClassifier:
     """Learn from rows with a language whose id is not held out (crc32 mod 4 is 2).
 
-    The bounds are per language: about ``rows`` training rows and ``landmarks`` landmarks, chosen by a hash of the id; of
+    The bounds are per language: about ``rows`` training rows and ``landmarks`` landmarks, rows that repeat an id included; of
     them only the landmarks' n-grams and one kernel row each come to the driver.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")).filter(
         F.col("_lang").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id", 4, 2)
     )
+    usable = usable.withColumn("_at", F.monotonically_increasing_id())
     counts = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     rows, landmarks = (max(1, min(n, total // max(1, len(languages)))) for n, total in ((rows, ALL_ROWS), (landmarks, ALL_LANDMARKS)))
@@ -220,7 +221,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """id, held_out, lang_pred and score for every row, from its whole text alone.
 
     ``und`` with score 0 where the text is null, empty or has no letter, or where nothing could be learned.
-    Repeated rows each give their row; an empty table gives none.
+    Repeated rows each give their row; an empty table gives none. A very long text is scored whole, in memory in proportion to it. Other
+    columns are not read, whatever they are called.
     """
     model = train(docs, id_col, text_col, lang_col, rows, landmarks)
     kind = docs.schema[id_col].dataType.simpleString()
