@@ -24,6 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 TRAIN_DOCS = 2_000  # texts of the labelled sample, in expectation
 THRESHOLD = 0.5  # mean log-likelihood ratio a transition
+LONG = 16  # characters of a string that may be a secret
 SMOOTHING = 0.5
 BLOCK_MATCHES = 256
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
@@ -86,9 +87,18 @@ def train_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     values = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))).alias("s"))
     drawn = sample.select(F.explode(F.array(*(F.base64(F.unhex(F.sha2(F.concat_ws("-", F.coalesce("id", F.lit("")), F.lit(i)), 256))) for i in range(4)))).alias("s"))
     plain = sample.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", ASSIGN, " "), F.lit(r"[A-Za-z0-9_-]{4,}"), F.lit(0))).alias("s"))
-    random = values.unionByName(drawn).filter(F.length("s") >= 2)
-    rows = _transitions(random, "random").unionByName(_transitions(plain, "plain")).filter("a < 128 and b < 128").collect()
+    random = _transitions(values.unionByName(drawn).filter(F.length("s") >= 2), "random")
+    # first without the strings that could be unlabelled secrets, which would teach the wrong class; then with those of them that look ordinary
+    mixed = F.col("s").rlike("[0-9]") & F.col("s").rlike("[A-Za-z]") & (F.length("s") >= LONG)
+    first = _log_ratios(random.unionByName(_transitions(plain.filter(~mixed), "plain")))
+    ordinary = ~mixed | (_mean_ratio(F.col("s"), _table(first)) <= 0)
+    ratios = _log_ratios(random.unionByName(_transitions(plain.filter(ordinary), "plain")))
     discard(sample)
+    return ratios
+
+
+def _log_ratios(transitions: DataFrame) -> list[float]:
+    rows = transitions.filter("a < 128 and b < 128").collect()
     counts = {k: {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == k} for k in ("random", "plain")}
     used = sorted({x for c in counts.values() for pair in c for x in pair})
     ratios = [0.0] * (128 * 128)
@@ -100,6 +110,10 @@ def train_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ratios
 
 
+def _table(ratios: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+
+
 def _mean_ratio(string: Column, table: Column) -> Column:
     each = _neighbours(string, lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / (F.length(string) - 1)
@@ -114,11 +128,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of secrets in every text: id, base (spans by pattern) and added (spans by the models that touch none of those).
 
     Spans are structs (start, kind, end) in code points, end exclusive; kind is a place in KINDS. A null or empty text has
-    none. Repeated rows each give their row; an empty table gives none; further columns are ignored. Apart from the small
+    none. Repeated rows each give their row; an empty table gives none; further columns are ignored. A very long text is one value, in
+    memory as long as its row is. Apart from the small
     training sample nothing is shuffled, and no text leaves the JVM.
     """
     text = F.col("_text")
-    table = F.split(F.lit(",".join(map(str, train_ratios(docs, id_col, text_col, sample_docs)))), ",").cast("array<double>")
+    table = _table(train_ratios(docs, id_col, text_col, sample_docs))
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     found = slim.withColumns({
         "_assign": _when((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= MIN_VALUE)),
