@@ -94,6 +94,13 @@ def test_language_held_out(spark, empty):
 # ---------------------------------------------------------------- personal data
 
 
+def test_rows_that_repeat_an_id_do_not_widen_the_language_sample(spark):
+    rows = [(4, f"the stone {i} under the river", "en") for i in range(3000)] + [(i, f"der stein {i} unter dem fluss", "de") for i in range(6, 3000)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows=100, landmarks=20)
+    assert len(model.languages) == 2 and 10 <= len(model.sizes) <= 90
+    assert model.predict([b"under the stone", b"unter dem stein"])[0] == ["en", "de"]
+
+
 def test_permutation_is_one_to_one():
     for radices in ([3], [2, 5], [4, 3, 2]):
         every = [[]]

@@ -48,17 +48,53 @@ def test_shunting_yard():
     assert to_postfix("MIT and prose follows") == to_postfix("MIT OR") == to_postfix("MIT, and ISC") == to_postfix("MIT.") == ["MIT"]
     assert to_postfix("GPL-2.0 WITH (A OR B)") == to_postfix("GPL-2.0 with love") == ["GPL-2.0"]
     assert to_postfix("MIT OR ISC and this file") == ["MIT", "ISC", "or"]
-    for bad in ("", "AND MIT", "(MIT", "this file", "(MIT OR", "WITH x"):
+    for bad in ("", "AND MIT", "(", "this file", "( OR", "WITH x"):
         assert to_postfix(bad) is None
     assert evaluate(to_postfix("GPL-3.0-only OR MIT"))[1] == 1.0
     assert evaluate(to_postfix("GPL-3.0-only AND MIT"))[1] < 0.5
 
 
+#: Published identifiers of all sorts: with and without versions, short, in small letters, with years.
+IDS = (
+    "0BSD AAL ADSL AFL-3.0 AGPL-3.0-only AMDPLPA ANTLR-PD APAFML APL-1.0 Abstyles Adobe-2006 Aladdin Apache-2.0 Artistic-1.0-cl8 BSD-3-Clause-LBNL BSL-1.0 Bahyph Barr Beerware BitTorrent-1.1 BlueOak-1.0.0"
+    " Borceux CATOSL-1.1 CC-BY-NC-SA-4.0 CC0-1.0 CDDL-1.1 CECILL-B CNRI-Python CUA-OPL-1.0 Caldera ClArtistic Condor-1.1 Crossword D-FSL-1.0 DSDP Dotseqn ECL-2.0 EFL-2.0 EPL-2.0 EUDatagrid EUPL-1.2 Entessa"
+    " ErlPL-1.1 Eurosym FSFAP FTL Fair Frameworx-1.0 FreeImage GFDL-1.3-or-later GL2PS GPL-2.0-or-later Giftware Glide Glulxe HPND HaskellReport IBM-pibs ICU IJG IPA IPL-1.0 ISC ImageMagick Imlib2 Info-ZIP"
+    " Intel Interbase-1.0 JSON JasPer-2.0 LAL-1.3 LGPL-3.0+ LPL-1.02 LPPL-1.3c Latex2e Leptonica LiLiQ-R-1.1 Libpng MIT MIT-0 MITNFA MPL-2.0 MS-PL MTLL MakeIndex MirOS Motosoto Multics NASA-1.3 NBPL-1.0 NCSA"
+    " NGPL NLPL NOSL NPL-1.1 NPOSL-3.0 NRL NTP Naumen Newsletr Nokia Noweb OCCT-PL OCLC-2.0 OFL-1.1 OGTSL OLDAP-2.8 OML OPL-1.0 OSET-PL-2.1 OSL-3.0 OpenSSL PHP-3.01 Plexus PostgreSQL Python-2.0 QPL-1.0 Qhull"
+    " RHeCos-1.1 RPL-1.5 RPSL-1.0 RSA-MD RSCPL Rdisc Ruby SAX-PD SCEA SGI-B-2.0 SISSL SMLNJ SNIA SPL-1.0 SWL Saxpath Sendmail SimPL-2.0 Sleepycat SugarCRM-1.1.3 TCL TMate TORQUE-1.1 TOSL UPL-1.0 Unlicense"
+    " VOSTROM VSL-1.0 Vim W3C-19980720 WTFPL Watcom-1.0 Wsuipa X11 XFree86-1.1 XSkat Xerox Xnet YPL-1.1 ZPL-2.1 Zed Zend-2.0 Zimbra-1.4 Zlib iMatix bzip2-1.0.6 curl dvipdfm eGenix gSOAP-1.3b gnuplot mpich2 psutils psfrag xinetd xpp"
+).split()
+
+
+@pytest.mark.parametrize("start", range(0, 200, 25))
+def test_published_identifiers_are_read(start):
+    for name in IDS[start : start + 25]:
+        assert to_postfix(name) == [name] or name[0].islower(), name
+        if to_postfix(name):
+            for said in (f"{name} OR MIT", f"MIT OR {name}", f"(MIT AND {name})", f"({name} OR ISC", f"MIT AND {name} */"):
+                assert name in to_postfix(said), said
+
+
+def test_prose_and_open_brackets():
+    assert to_postfix("MIT or intel drivers") == to_postfix("MIT see the file") == ["MIT"]
+    assert to_postfix("see the file") is to_postfix("See LICENSE") is to_postfix("the MIT") is None
+    assert to_postfix("(MIT AND EUPL-1.2") == to_postfix("((MIT AND (EUPL-1.2 OR") == ["MIT", "EUPL-1.2", "and"]
+
+
+def test_a_line_of_tags_takes_time_in_proportion():
+    from cairn.llm.licences import BASE_PHRASES, IDENTIFIER_TAG, NOTICE_PHRASES, LicenceMatcher
+
+    matcher, said = LicenceMatcher(BASE_PHRASES, NOTICE_PHRASES, IDENTIFIER_TAG), b"SPDX-License-Identifier: MIT OR Zend-2.0 and more. "
+    began = time.time()
+    assert matcher.scan([said * 40_000])[0]["labels"] == {"mit", "zend-2"}
+    assert time.time() - began < 30
+
+
 def test_licence_expressions_in_texts(spark):
     long = " OR ".join(["MIT"] * 40_000 + ["ISC"])
     texts = [f"# SPDX-License-Identifier: {x}\nnext line MPL-2.0" for x in ("MIT and this file", "GPL-2.0-only WITH (A OR B)", long, "(MIT OR " * 3, "ISC\r", "Nothing here", "GPL-3.0-or-later WITH GCC-exception-3.1 OR BSD-3-Clause")]
     got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i].labels for i in range(7)] == ["mit", "gpl-2", "isc,mit", "", "isc", "", "bsd,gpl-3"]
+    assert [got[i].labels for i in range(7)] == ["mit", "gpl-2", "isc,mit", "mit", "isc", "", "bsd,gpl-3"]
     assert got[6].score == 1.0 and got[5].score == 0.0
 
 
@@ -163,3 +199,25 @@ def test_secret_training(spark, docs, empty):
     pair = lambda s: ratios[128 * ord(s[0]) + ord(s[1])]
     assert pair("w1") < 0 < pair("Zq")
     assert scan_secrets(empty).isEmpty()
+
+
+def test_unlabelled_secrets_do_not_teach_the_ordinary_class(spark):
+    """Random strings stand in every text without a label: the models must find them all the same, and nothing else."""
+    rng = random.Random(11)
+    drawn = ["kJ8sd9FJ3kd8sJHd73jdHs", *("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(22)) for _ in range(199))]
+    prose = lambda: " ".join(rng.choice(["river", "stone", "walking", "under_the_bridge", "getUserNameById", "light", "paper-work", "green"]) for _ in range(6))
+    texts = [f"{prose()} {x} {prose()}" for x in drawn]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {texts[r.doc_id][s.start : s.end] for r in got for s in r.added}
+    assert len(found & set(drawn)) >= 180 and drawn[0] in found and found <= set(drawn)
+
+
+def test_items_of_one_text_meet_a_document_once(spark):
+    """Many items of the same text, and many documents of it: each is found everywhere, without a row for each pair on the way."""
+    said = " ".join(f"w{i}" for i in range(40))
+    bench = spark.createDataFrame([(f"i{k}", said) for k in range(1500)] + [("other", "a b c " + said), ("none", "x " * 20)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"start {said} end") for k in range(1500)] + [(9000, "a b c " + said)], "doc_id long, text string").repartition(4)
+    began = time.time()
+    found = find_contamination(docs, bench)
+    assert found.groupBy("n_hit", "n_items").count().collect() and {(r.n_hit, r.n_items) for r in found.select("n_hit", "n_items").distinct().collect()} == {(40, 1501), (43, 1501)}
+    assert time.time() - began < 60
