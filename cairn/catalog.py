@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import polygon_area
+from cairn.operators import blockgrid as BG
 from cairn.operators import chunks as B
 from cairn.operators import points as P
 from cairn.operators import polygonize as G
@@ -315,6 +316,52 @@ def _resample_sql(w: str, h: str, bilinear: bool) -> str:
         FROM q LEFT JOIN px ON px.band = q.band AND px.x = q.ax AND px.y = q.ay GROUP BY ALL"""
 
 
+_SINGLE = PX_ORDERS.replace("o_totalprice", "o_totalprice::FLOAT::DOUBLE")
+
+
+def _single(sql: str, digits: int) -> str:
+    """The same over values in single precision, as blocks hold them."""
+    return f"SELECT * REPLACE (round(v::FLOAT::DOUBLE, {digits}) + 0.0 AS v) FROM ({sql.replace(PX_ORDERS, _SINGLE).replace("END, 4) AS v", "END, 9) AS v")})"
+
+
+def _cells(chunks: DataFrame, digits: int, *more: str) -> DataFrame:
+    """The values of blocks as pixels."""
+    px = SR.to_pixels(chunks)
+    return px.select(*(F.col(c).cast("long").alias(c) for c in ("band", "x", "y")), *more, (F.round("v", digits) + 0.0).alias("v"))
+
+
+for _method, _bilinear in (("nearest", False), ("bilinear", True)):
+    for _w, _h in (("37", "23"), ("137", "43")):
+
+        @query(_single(_resample_sql(_w, _h, _bilinear), 1), f"blocks_resample_{_method}" + ("" if _w == "37" else "_larger"))
+        def _blocks_resample(spark, sf, method=_method, w=int(_w), h=int(_h)):
+            chunks, meta = _blocks(spark, sf)
+            return _cells(BG.resample(chunks, meta, w, h, method)[0], 1)
+
+
+@query(f"WITH {_SINGLE} SELECT band, x - 10 AS x, y - 2 AS y, round(v, 2) AS v FROM px, size WHERE x BETWEEN 10 AND 40 AND y BETWEEN 2 AND least(8, h - 1)")
+def blocks_clip_bbox(spark, sf):
+    return _cells(BG.clip_bbox(*_blocks(spark, sf), (1020.0, 4984.0, 1080.0, 4996.0))[0], 2)
+
+
+@query(f"WITH {_SINGLE} SELECT band, x - 5 AS x, y - 3 AS y, round(v, 2) AS v FROM px WHERE x BETWEEN 5 AND 64 AND y BETWEEN 3 AND 10")
+def blocks_clip_pixels(spark, sf):
+    """A window of a raster stored as blocks; the ranges of blocks reach the scan."""
+    path = fresh_path(spark)
+    chunks, meta = _blocks(spark, sf)
+    chunks.write.parquet(path)
+    return _cells(BG.clip_pixels(spark.read.parquet(path), meta, 5, 3, 60, 8)[0], 2)
+
+
+@query(f"""WITH {_SINGLE}, f AS (SELECT 2 ** k::BIGINT AS level FROM size, generate_series(1, 30) g(k) WHERE floor(greatest(w, h) / 2 ** (k - 1)) > 32)
+    SELECT level::BIGINT AS level, band, x // level::BIGINT AS x, y // level::BIGINT AS y, round(v, 2) AS v FROM px, f WHERE x % level::BIGINT = 0 AND y % level::BIGINT = 0""")
+def blocks_overviews(spark, sf):
+    found = BG.build_overviews(*_blocks(spark, sf), 32)
+    cells = found.select("level", "band", "cx", "cy", "w", "size", F.posexplode("data").alias("i", "v"))
+    at = (F.col("cx") * F.col("size") + F.col("i") % F.col("w")).cast("long").alias("x"), (F.col("cy") * F.col("size") + F.expr("i div w")).cast("long").alias("y")
+    return cells.select(F.col("level").cast("long").alias("level"), F.col("band").cast("long").alias("band"), *at, F.round(F.col("v").cast("double"), 2).alias("v"))
+
+
 @query(_resample_sql("37", "23", False))
 def resample_nearest(spark, sf):
     return out(R.raster_resample(*px_orders(spark, sf), 37, 23, "nearest")[0], "band x y", "v")
@@ -331,13 +378,22 @@ def resample_resolution(spark, sf):
     return out(R.resample_to_resolution(*px_orders(spark, sf), 7.0, "nearest")[0], "band x y", "v")
 
 
-for _name, _sql in {"overwrite": "arg_max(v, seq)", "first": "arg_min(v, seq)", "mean": "avg(v)", "max": "max(v)", "min": "min(v)"}.items():
+_MOSAIC_SQL = {"overwrite": "arg_max(v, seq)", "first": "arg_min(v, seq)", "mean": "avg(v)", "max": "max(v)", "min": "min(v)"}
+for _name, _sql in _MOSAIC_SQL.items():
 
     @query(f"WITH {PX_MULTI} SELECT x::BIGINT AS x, y::BIGINT AS y, round({_sql}, 6) AS v FROM px GROUP BY x, y", f"mosaic_{_name}")
     def _mosaic(spark, sf, strategy=_name):
         return out(R.raster_mosaic(*px_multi(spark, sf), strategy, "seq"), "x y", "v")
 
 
+for _name, _sql in _MOSAIC_SQL.items():
+
+    @query(f"WITH {PX_MULTI} SELECT x::BIGINT AS x, y::BIGINT AS y, round(({_sql})::FLOAT::DOUBLE, 1) + 0.0 AS v FROM (SELECT * REPLACE (v::FLOAT::DOUBLE AS v) FROM px) GROUP BY x, y", f"blocks_mosaic_{_name}")
+    def _blocks_mosaic(spark, sf, strategy=_name):
+        chunks, meta = _blocks(spark, sf, px_multi)
+        return _cells(BG.mosaic(chunks, meta, strategy, "seq"), 1).drop("band").filter("v is not null")
+
+
 @query(f"WITH {PX_MULTI}, n AS (SELECT max(seq) AS m FROM names), s AS (SELECT max(o_orderkey) // 100 + 1 AS h FROM orders) SELECT 0.0::DOUBLE AS min_x, 100.0 + 10.0 * m::DOUBLE AS max_x, 1000.0::DOUBLE AS max_y, (100 + 10 * m)::BIGINT AS width, (h + 7 * m)::BIGINT AS height FROM n, s")
 def mosaic_extent(spark, sf):
     return out(R.mosaic_grid(px_multi(spark, sf)[1], "seq"), "width height", "min_x max_x max_y")
@@ -843,6 +899,27 @@ def components(spark, sf):
     return out(stats.groupBy("pixels").agg(F.count("*").alias("n")), "pixels n")
 
 
+def blocks_mask(spark, sf):
+    """The mask of the parts in blocks of 16."""
+    chunks, meta = _blocks(spark, sf, px_parts)
+    return B.threshold(chunks, meta, 25.0), meta
+
+
+@query(f"{_COMPONENTS} SELECT pixels, min_x, min_y, max_x, max_y, count(*) AS n FROM (SELECT count(*) AS pixels, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM c JOIN s USING (id) GROUP BY root) GROUP BY ALL")
+def blocks_components(spark, sf):
+    stats = G.component_stats(G.label_blocks(blocks_mask(spark, sf)[0]))
+    box = ["pixels", "min_x", "min_y", "max_x", "max_y"]
+    return out(stats.groupBy(*box).agg(F.count("*").alias("n")), " ".join([*box, "n"]))
+
+
+@query(f"{_CENTRE} SELECT round(area, 6)::DOUBLE AS area, count(*) AS n FROM shapes GROUP BY ALL")
+def blocks_polygons(spark, sf):
+    """How often each area occurs among the polygons of components labelled in blocks."""
+    mask, meta = blocks_mask(spark, sf)
+    shapes = G.label_polygons(G.label_blocks(mask), meta, "centre").withColumn("area", F.round(polygon_area(F.col("rings")), 6))
+    return out(shapes.groupBy("area").agg(F.count("*").alias("n")), "n", "area")
+
+
 @query(f"WITH {PX_PARTS} SELECT round(sum(CASE WHEN v >= 25 THEN 1 ELSE 0 END), 6)::DOUBLE AS area FROM px")
 def polygons(spark, sf):
     mask, meta = parts_mask(spark, sf)

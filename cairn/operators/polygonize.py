@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,41 @@ def label_components(mask: DataFrame, target: int = 1) -> DataFrame:
     return runs.join(labels, "run", "left").select("raster_id", F.coalesce("component", "run").alias("component"), "run", "y", "x0", "x1")
 
 
+def label_blocks(chunks: DataFrame, target: int = 1) -> DataFrame:
+    """``label_components`` of a mask in blocks: raster_id, component, run, y, x0, x1, runs ending at the blocks' borders.
+
+    Blocks are labelled on their own; only labels that meet across a seam, or across the corner where blocks meet, are
+    nodes of the graph of components.
+    """
+    names = ["raster_id", "cx", "cy", "size", "k", "y", "x0", "x1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raster, cx, cy, w, h, size = (batch.column(c)[i].as_py() for c in range(6))
+                set_ = batch.column(6)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w) == target
+                step = np.diff(np.pad(set_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                (y, x0), (_, stop) = np.nonzero(step == 1), np.nonzero(step == -1)
+                if len(y):
+                    _, k = np.unique(_parts(y, x0, stop - 1, 1), return_inverse=True)
+                    heads = [pa.array([v] * len(y), t) for v, t in ((raster, pa.string()), (cx, pa.int32()), (cy, pa.int32()), (size, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*heads, pa.array(k.ravel().astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in (y + cy * size, x0 + cx * size, stop - 1 + cx * size))], names=names)
+
+    found = chunks.select("raster_id", "cx", "cy", "w", "h", "size", F.col("data").cast("array<double>")).mapInArrow(run, "raster_id string, cx int, cy int, size int, k long, y long, x0 long, x1 long")
+    runs = materialise(found.withColumn("label", F.xxhash64("raster_id", "cx", "cy", "k")))
+    size, first, last = F.col("size"), F.col("x0") % F.col("size") == 0, F.col("x1") % F.col("size") == F.col("size") - 1
+    beside = F.array_compact(F.array(F.col("cx"), F.when(first, F.col("cx") - 1), F.when(last, F.col("cx") + 1)))
+    low = runs.filter(F.col("y") % size == size - 1).select("raster_id", (F.col("y") + 1).alias("y"), F.explode(beside).alias("cx"), "label", "x0", "x1")
+    high = runs.filter(F.col("y") % size == 0).select("raster_id", "y", "cx", F.col("label").alias("other"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    down = low.join(high, ["raster_id", "y", "cx"]).filter((F.col("x0") <= F.col("a1") + 1) & (F.col("x1") + 1 >= F.col("a0")))
+    near = F.explode(F.array(*(F.struct((F.col("y") + d).alias("y"), F.expr(f"(y + {d}) div size = cy").alias("same")) for d in (-1, 0, 1)))).alias("s")
+    right = runs.filter(last).select("raster_id", (F.col("cx") + 1).alias("cx"), "cy", "label", near).filter("s.same").select("raster_id", "cx", "cy", F.col("s.y").alias("y"), "label")
+    left = runs.filter(first).select("raster_id", "cx", "cy", "y", F.col("label").alias("other"))
+    seams = down.select("label", "other").unionByName(right.join(left, ["raster_id", "cx", "cy", "y"]).select("label", "other")).distinct()
+    labels = connected_components(seams, "label", "other").withColumnRenamed("node", "label")
+    return runs.join(labels, "label", "left").select("raster_id", F.coalesce("component", "label").alias("component"), F.xxhash64("raster_id", "y", "x0").alias("run"), "y", "x0", "x1")
+
+
 def component_stats(labels: DataFrame) -> DataFrame:
     """Pixels and bounds of each component."""
     size = F.sum(F.col("x1") - F.col("x0") + 1)
@@ -162,14 +199,14 @@ def polygons_of(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, mode: str) -> lis
     return list(out.values())
 
 
-def _parts(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """Number of the part (pixels connected by their sides) of each run."""
+def _parts(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int = 0) -> np.ndarray:
+    """Number of the part (pixels connected by their sides, with ``reach`` 1 also by corners) of each run."""
     order = np.lexsort((x0, y))
     low = x0.min() - 1
     wide = int(x1.max() - low) + 2
     first, last = (y * wide + x0 - low)[order], (y * wide + x1 - low)[order]
     # runs of the next row that a run touches: they end at its start or later, and start at its end or before
-    begin, stop = np.searchsorted(last, first + wide), np.searchsorted(first, last + wide, side="right")
+    begin, stop = np.searchsorted(last, first + wide - reach), np.searchsorted(first, last + wide + reach, side="right")
     root = list(range(len(y)))
 
     def find(k: int) -> int:
@@ -207,14 +244,26 @@ def mask_to_polygons(mask: DataFrame, meta: DataFrame, target: int = 1, mode: st
     A task builds the rings of one component, which is one value of the result, from its runs; components of fewer than
     ``min_pixels`` pixels are left out before that.
     """
+    return label_polygons(label_components(mask, target), meta, mode, min_pixels)
+
+
+def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs without the seams where one goes on in the next."""
+    order = np.lexsort((x0, y))
+    y, x0, x1 = y[order], x0[order], x1[order]
+    head = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (x0[1:] != x1[:-1] + 1)))
+    return y[head], x0[head], x1[np.append(head[1:], len(y)) - 1]
+
+
+def label_polygons(labels: DataFrame, meta: DataFrame, mode: str = "centre", min_pixels: int = 0) -> DataFrame:
+    """The polygons of components as ``label_components`` or ``label_blocks`` gives them."""
     if mode not in ("centre", "edge"):
         raise ValueError(f"unknown mode {mode}")
-    labels = label_components(mask, target)
     if min_pixels > 1:
         labels = labels.join(component_stats(labels).filter(F.col("pixels") >= min_pixels).select("raster_id", "component"), ["raster_id", "component"], "left_semi")
 
     def trace(key, table):
-        shapes = polygons_of(*(table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1")), mode)
+        shapes = polygons_of(*joined_runs(*(table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))), mode)
         columns = [pa.array([key[0].as_py()] * len(shapes), pa.string()), pa.array([key[1].as_py()] * len(shapes), pa.int64()), pa.array(range(len(shapes)), pa.int32()), write_rings(shapes)]
         return pa.table(columns, names=["raster_id", "component", "part", "rings"])
 
