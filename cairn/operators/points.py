@@ -57,31 +57,59 @@ def random_downsample(pc: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
 # ---------------------------------------------------------------- nearest neighbours
 
 
+HALVINGS = 6  # tried at once
 CROWD = 16  # times k: points of a cell beyond which the cells of a cloud are made smaller
 
 
 def _cell_sizes(points: DataFrame, k: int) -> DataFrame:
-    """cloud_id, size: the side of each cloud's cells, halved from one that holds about k points while the fullest cell is crowded and thins out."""
+    """cloud_id, size: the side of each cloud's cells, halved from one that holds about k points while the fullest cell is crowded and thins out.
+
+    The first size is tried alone, as it does for even clouds; then some halvings at a time.
+    """
     sides = F.array(*(F.max(c) - F.min(c) for c in "xyz"))
     box = points.groupBy("cloud_id").agg(F.count("*").alias("n"), F.filter(sides, lambda s: s > 0).alias("sides"))
     even = F.pow(F.aggregate("sides", F.lit(1.0), lambda a, s: a * s) * k / F.col("n"), 1.0 / F.size("sides"))
-    sizes = materialise(box.select("cloud_id", F.when(F.size("sides") > 0, even).otherwise(1.0).alias("size"), F.lit(None).cast("long").alias("most"), F.lit(True).alias("going")))
-    while not sizes.filter("going").isEmpty():
-        half = points.join(sizes.filter("going"), "cloud_id")
-        full = half.groupBy("cloud_id", *(F.floor(F.col(c) / F.col("size")) for c in "xyz")).agg(F.count("*").alias("n")).groupBy("cloud_id").agg(F.max("n").alias("now"))
-        going = F.coalesce((F.col("now") > CROWD * k) & (F.col("most").isNull() | (F.col("now") < 0.7 * F.col("most"))), F.lit(False))
-        before, sizes = sizes, materialise(sizes.join(full, "cloud_id", "left").select("cloud_id", F.when(going, F.col("size") / 2).otherwise(F.col("size")).alias("size"), F.coalesce("now", "most").alias("most"), going.alias("going")))
-        discard(before)
-    return sizes.select("cloud_id", "size")
+    first = materialise(box.select("cloud_id", F.when(F.size("sides") > 0, even).otherwise(1.0).alias("size")))
+    left, tried, done, known = first, [0], None, None
+    while True:
+        some = points.join(left, "cloud_id").select("cloud_id", "size", *"xyz", F.explode(F.array(*map(F.lit, tried))).alias("h"))
+        cells = [F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("h")) / F.col("size")) for c in "xyz"]
+        full = some.groupBy("cloud_id", "h", *cells).agg(F.count("*").alias("n")).groupBy("cloud_id", "h").agg(F.max("n").alias("most"))
+        known = materialise(full if known is None else full.unionByName(known))
+        thinner = known.withColumn("prior", F.lag("most").over(Window.partitionBy("cloud_id").orderBy("h")))
+        stop = (F.col("most") <= CROWD * k) | (F.col("most") >= 0.7 * F.col("prior"))
+        found = materialise(thinner.filter(stop).groupBy("cloud_id").agg(F.min("h").alias("h")))
+        sized = left.join(found, "cloud_id").select("cloud_id", (F.col("size") / F.pow(F.lit(2.0), F.col("h"))).alias("size"))
+        done = sized if done is None else done.unionByName(sized)
+        left = materialise(left.join(found, "cloud_id", "left_anti"))
+        if left.isEmpty():
+            return done
+        tried = list(range(tried[-1] + 1, tried[-1] + 1 + HALVINGS))
+
+
+def _steps_to_crowd(targets: DataFrame, pending: DataFrame, k: int, most: int) -> DataFrame:
+    """cloud_id, ord, e: how often a cell must double until the point's own one holds k targets; ``most``, if none does.
+
+    Counts of larger cells are sums over smaller ones; a point asks for one cell of each size.
+    """
+    cells = targets.groupBy("cloud_id", *(F.floor(F.col(c) / F.col("size")).cast("long").alias(f"c{c}") for c in "xyz")).agg(F.count("*").alias("n"))
+    levels = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("e")
+    up = [F.floor(F.col(f"c{c}") / F.pow(F.lit(2.0), F.col("e"))).cast("long").alias(f"c{c}") for c in "xyz"]
+    full = cells.select("*", levels).groupBy("cloud_id", "e", *up).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    own = pending.select("cloud_id", "ord", *(F.floor(F.col(c) / F.col("size")).cast("long").alias(f"c{c}") for c in "xyz"), levels).select("cloud_id", "ord", "e", *up)
+    found = own.join(full, ["cloud_id", "e", "cx", "cy", "cz"]).groupBy("cloud_id", "ord").agg(F.min("e").alias("e"))
+    return pending.select("cloud_id", "ord").join(found, ["cloud_id", "ord"], "left").select("cloud_id", "ord", F.coalesce("e", F.lit(most)).alias("e"))
 
 
 def knn_self_join(pc: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """cloud_id, ord, rank, other, dist: the k nearest points of each, itself among them (fewer, if the cloud has fewer).
 
     Points meet those of the 27 cells around their own. A point is settled when its k-th distance is no more than the distance
-    to the border of that block; the others go on with larger cells, until a block holds their whole cloud. Ties go to the
-    smaller ord, so of points in one place only the k smallest can be anyone's neighbours, and only those are met. Each cloud
-    has cells as large as its densest part wants. Rank limits are applied before the shuffle.
+    to the border of that block. Each cloud has cells as large as its densest part wants; a point that finds too few there goes on with a cell
+    that holds k points, whichever of the doubled sizes that is, and one whose k-th distance reaches over the border with a cell as large as that
+    distance, which settles it. So there are three rounds at most, wherever points lie. Ties go to the
+    smaller ord, so of points in one place only the k smallest can be anyone's neighbours, and only those are met. Rank limits are
+    applied before the shuffle.
     """
     _need(k > 0, "k must be positive")
     if pc.isEmpty():
@@ -92,27 +120,33 @@ def knn_self_join(pc: DataFrame, k: int, cell: float | None = None) -> DataFrame
     counts = targets.groupBy("cloud_id").agg(F.count("*").alias("_n"))
     sizes = points.select("cloud_id").distinct().withColumn("size", F.lit(float(cell))) if cell else _cell_sizes(targets, k)
     targets = materialise(targets.join(sizes, "cloud_id"))
-    pending, done, grown, total = materialise(points.join(sizes, "cloud_id")), None, 1.0, points.count()
+    pending, done = materialise(points.join(sizes, "cloud_id").withColumn("e", F.lit(0))), None
+    extent = F.greatest(*(F.max(c) - F.min(c) for c in "xyz")) / F.first("size")
+    # cells so large that the 27 around any point hold its whole cloud
+    most = max(1, math.ceil(math.log2(max(1.0, targets.groupBy("cloud_id").agg(extent.alias("_w")).agg(F.max("_w")).first()[0] or 1.0))) + 1)
     steps = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(t, "abc", strict=True))) for t in [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
     while True:
-        size = F.col("size") * grown
+        used = pending.select("cloud_id", "e").distinct()
+        size = F.col("size") * F.pow(F.lit(2.0), F.col("e"))
         own = [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in "xyz"]
-        base = targets.select("cloud_id", F.col("ord").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *own)
+        base = targets.join(used, "cloud_id").select("cloud_id", "e", F.col("ord").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *own)
         border = F.least(*(F.least(F.col(c) - (F.floor(F.col(c) / size) - 1) * size, (F.floor(F.col(c) / size) + 2) * size - F.col(c)) for c in "xyz"))
-        asked = pending.select("*", *own, border.alias("border"), F.explode(steps).alias("s")).select("cloud_id", "ord", "x", "y", "z", "border", *((F.col(f"c{c}") + F.col(f"s.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)))
+        asked = pending.select("*", *own, border.alias("border"), F.explode(steps).alias("s")).select("cloud_id", "e", "ord", "x", "y", "z", "border", *((F.col(f"c{c}") + F.col(f"s.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)))
         dist = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
-        met = asked.join(base, ["cloud_id", "cx", "cy", "cz"]).select("cloud_id", "ord", "border", "other", dist.alias("dist"))
+        met = asked.join(base, ["cloud_id", "e", "cx", "cy", "cz"]).select("cloud_id", "ord", "border", "other", dist.alias("dist"))
         ranked = materialise(met.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id", "ord").orderBy("dist", "other"))).filter(F.col("rank") <= k))
-        summary = ranked.groupBy("cloud_id", "ord").agg(F.max("dist").alias("_far"), F.count("*").alias("_found"), F.first("border").alias("_border")).join(counts, "cloud_id")
+        summary = materialise(ranked.groupBy("cloud_id", "ord").agg(F.max("dist").alias("_far"), F.count("*").alias("_found"), F.first("border").alias("_border")).join(counts, "cloud_id"))
         settled = summary.filter(((F.col("_found") == k) & (F.col("_far") <= F.col("_border"))) | (F.col("_found") == F.col("_n"))).select("cloud_id", "ord")
         part = ranked.join(settled, ["cloud_id", "ord"], "left_semi").select("cloud_id", "ord", "rank", "other", "dist")
         done = part if done is None else done.unionByName(part)
-        before, pending = pending, materialise(pending.join(settled, ["cloud_id", "ord"], "left_anti"))
-        discard(before)
-        if pending.isEmpty():
+        left = materialise(pending.join(settled, ["cloud_id", "ord"], "left_anti").join(summary.select("cloud_id", "ord", "_far", "_found"), ["cloud_id", "ord"], "left"))
+        if left.isEmpty():
             return done
-        # few points far from all others are left in the end: larger steps then cost little
-        grown *= 2 if 10 * pending.count() > total else 4
+        far = left.filter(F.col("_found") == k).withColumn("e", F.least(F.lit(most), F.greatest(F.col("e") + 1, F.ceil(F.log2(F.col("_far") / F.col("size"))).cast("int"))))
+        few = left.filter(F.coalesce("_found", F.lit(0)) < k).drop("e")
+        few = few.join(_steps_to_crowd(targets, few, k, most), ["cloud_id", "ord"])
+        before, pending = pending, materialise(far.select(pending.columns).unionByName(few.select(pending.columns)))
+        discard(before)
 
 
 def mean_neighbour_distance(pc: DataFrame, k: int = 50) -> DataFrame:

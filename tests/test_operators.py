@@ -257,3 +257,19 @@ def test_neighbours_in_dense_and_lonely_places(spark):
         for o, p in points:
             want = sorted((round(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) ** 0.5, 9), other) for other, q in points)[:5]
             assert [got[cloud, o][k] for k in sorted(got[cloud, o])] == want
+
+
+def test_neighbours_of_a_dense_spot_and_far_points(spark, monkeypatch):
+    """Thousands of points in one spot and some very far apart: three rounds settle all."""
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.normal(size=(1500, 3)) * 0.001, rng.random((150, 3)) * 10000])
+    rounds = []
+    steps = P._steps_to_crowd
+    monkeypatch.setattr(P, "_steps_to_crowd", lambda *a: (rounds.append(1), steps(*a))[1])
+    got = {}
+    for r in P.knn_self_join(cloud(spark, xyz.tolist()), 8).collect():
+        got.setdefault(r.ord, []).append((r.rank, r.other))
+    for i in range(len(xyz)):
+        far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
+        assert [o for _, o in sorted(got[i])] == np.lexsort((np.arange(len(xyz)), far))[:8].tolist()
+    assert len(rounds) <= 2
