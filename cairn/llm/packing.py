@@ -298,14 +298,16 @@ def places(packing: list[tuple[Filling, int]]) -> dict[int, list[tuple[int, int,
     return out
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", nodes: int = SEARCH_NODES) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a stable (materialised) table of pieces.
+def pack_pieces(
+    pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", nodes: int | None = SEARCH_NODES, limit: int | None = FILLINGS, steps: int | None = FILLING_STEPS
+) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to a stable (materialised) table of pieces. ``nodes``, ``limit`` and ``steps`` bound the search as in ``pack``.
 
     Only the histogram of lengths, at most ``capacity`` rows, comes to the driver. Pieces of one length are ranked within
     hashed buckets of bounded size, so a length that a third of all pieces share is spread over many tasks.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = {s: np.array(rows, dtype=np.int64) for s, rows in places(pack(counts, capacity, nodes)).items()}
+    plan = {s: np.array(rows, dtype=np.int64) for s, rows in places(pack(counts, capacity, nodes, limit, steps)).items()}
     buckets = max(64, math.ceil(max(counts.values(), default=0) / 2000))
     order = [F.col(c) for c in (id_col, "piece", "start", "ids_crc32")]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(buckets)))
@@ -337,11 +339,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+    nodes: int | None = SEARCH_NODES, limit: int | None = FILLINGS, steps: int | None = FILLING_STEPS,
+) -> DataFrame:
     """Tokenise all texts and pack their pieces into sequences of at most ``capacity`` ids.
 
     One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text holds the end id alone;
-    repeated rows are packed each on its own; an empty table gives no rows; further columns are ignored.
+    repeated rows are packed each on its own; an empty table gives no rows; further columns are ignored. A very long text is tokenised
+    whole, in one task. With ``nodes``, ``limit`` and ``steps`` all None the search is exhaustive, and ends with the fewest sequences.
     """
     pieces = materialise(tokenise_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
-    return pack_pieces(pieces, capacity, id_col)
+    return pack_pieces(pieces, capacity, id_col, nodes, limit, steps)

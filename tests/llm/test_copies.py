@@ -304,3 +304,12 @@ def test_packed_documents(spark, docs, rows, empty):
             at += length
         assert at <= 64
     assert pack_documents(empty, path).isEmpty()
+
+
+def test_exhaustive_packing_is_in_reach(spark):
+    """Lengths for which best fit alone wastes a sequence; without bounds the operator proves the fewest."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, " the" * n) for i, n in enumerate((5, 5, 3, 3, 3, 2, 2, 2, 2, 1))], "doc_id long, text string")
+    got = pack_documents(docs, path, 12, nodes=None, limit=None, steps=None).collect()
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // 12)
