@@ -6,7 +6,6 @@ src_h. Scores: raster_id, tile_id, class, px, py, and a value.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -165,23 +164,21 @@ def argmax_of(values: Column) -> Column:
 
 
 def blend_weights(tile: int, overlap: int, mode: str = "linear", sigma: float = 0.5) -> list[float]:
-    """Weights along one side of a tile, from both ends.
+    """Weight of each place along one side of a tile.
 
-    linear: i + 1 of overlap + 1, later ends overwriting earlier ones where they meet. gaussian: 1 - exp(-d^2 / 2s^2) with d the
-    distance to the inner end of the overlap and s = max(1, sigma * overlap). The gaussian ramp therefore falls from the
-    edge of the tile towards the inner end of the overlap and is 1 inside; it is kept this way so that results agree.
+    A place counts by its distance d from an end of the tile, if it lies in that end's overlap; where it lies in both, by the larger
+    one, and where in none its weight is 1. linear: (d + 1) / (overlap + 1). gaussian: 1 - exp(-x^2 / 2s^2), x = overlap - d being
+    what is left to the inner end and s = max(1, sigma * overlap), so it falls from the edge inwards; that is kept so that results agree.
     """
     if mode not in ("none", "linear", "gaussian"):
         raise ValueError(f"unknown mode {mode}")
-    weights = [1.0] * tile
-    spread = max(1.0, sigma * overlap)
-    for i in range(max(0, overlap)):
-        if mode == "linear":
-            weights[i] = weights[tile - 1 - i] = (i + 1) / (overlap + 1)
-        elif mode == "gaussian":
-            w = 1 - math.exp(-((overlap - i) ** 2) / (2 * spread * spread))
-            weights[i], weights[tile - 1 - i] = min(weights[i], w), min(weights[tile - 1 - i], w)
-    return weights
+    at = np.arange(tile)
+    ends = np.stack([at, at[::-1]])
+    d = np.where(ends < overlap, ends, -1).max(0)
+    if mode == "none":
+        return [1.0] * tile
+    rise = (d + 1) / (overlap + 1) if mode == "linear" else -np.expm1(-(((overlap - d) / max(1.0, sigma * overlap)) ** 2) / 2)
+    return np.where(d >= 0, rise, 1.0).tolist()
 
 
 def blend_tiles(probs: DataFrame, tiles: DataFrame, tile: int, stride: int, mode: str = "linear", sigma: float = 0.5, value: str = "p") -> DataFrame:

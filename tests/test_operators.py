@@ -273,3 +273,16 @@ def test_neighbours_of_a_dense_spot_and_far_points(spark, monkeypatch):
         far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
         assert [o for _, o in sorted(got[i])] == np.lexsort((np.arange(len(xyz)), far))[:8].tolist()
     assert len(rounds) <= 2
+
+
+@pytest.mark.parametrize("tile,overlap", [(5, 4), (6, 5), (7, 4), (9, 3), (4, 2), (8, 0), (1, 0)])
+def test_blend_weights_where_both_ends_reach(tile, overlap):
+    """By hand: the deeper of the overlaps that a place lies in decides; most of these are longer than half a tile."""
+    linear, bell = T.blend_weights(tile, overlap), T.blend_weights(tile, overlap, "gaussian", 0.5)
+    spread = max(1.0, 0.5 * overlap)
+    for j in range(tile):
+        depths = [d for d in (j, tile - 1 - j) if d < overlap]
+        assert linear[j] == pytest.approx((max(depths) + 1) / (overlap + 1) if depths else 1.0)
+        assert bell[j] == pytest.approx(min(1 - math.exp(-((overlap - d) ** 2) / (2 * spread**2)) for d in depths) if depths else 1.0)
+    assert T.blend_weights(5, 4) == pytest.approx([0.2, 0.8, 0.6, 0.8, 0.2])
+    assert T.blend_weights(tile, overlap, "none") == [1.0] * tile
