@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import polygon_area
 from cairn.operators import blockgrid as BG
+from cairn.operators import blockseg as BS
 from cairn.operators import chunks as B
 from cairn.operators import points as P
 from cairn.operators import polygonize as G
@@ -838,6 +839,14 @@ def segment_large(spark, sf):
     return out(S.segment_large(*px_parts(spark, sf), linear_scorer, _CONFIG).mask, "x y v")
 
 
+@query(f"WITH {PX_PARTS} SELECT x, y, CASE WHEN v = 1 THEN 255 WHEN v > 25 THEN 1 ELSE 0 END::BIGINT AS v FROM px")
+def blocks_segment_large(spark, sf):
+    """The same over blocks, from tiles to mask."""
+    chunks, meta = _blocks(spark, sf, px_parts)
+    mask = SR.to_pixels(BS.segment_blocks(chunks, meta, linear_scorer, _CONFIG).mask)
+    return out(mask.join(px_parts(spark, sf)[0].select("raster_id", "x", "y"), ["raster_id", "x", "y"], "left_semi"), "x y v")
+
+
 @query(f"""WITH {PX_PARTS}, {_TILES}, live AS (SELECT DISTINCT tile_id FROM tiles JOIN px ON x >= src_x AND x < src_x + 16 AND y >= src_y AND y < src_y + 16 WHERE y % 40 < 4)
     SELECT count(*) AS total_tiles, count(*) - (SELECT count(*) FROM live) AS skipped_tiles, (SELECT count(*) FROM live) AS inferred_tiles FROM tiles""")
 def segmentation_stats(spark, sf):

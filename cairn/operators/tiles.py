@@ -70,6 +70,29 @@ def skip_nodata_tiles(tiles: DataFrame, tile_px: DataFrame, nodata: float = 0.0)
 NORMALIZE = ("none", "imagenet", "minmax", "zscore", "custom")
 
 
+def tensor_of(grids: dict[int, np.ndarray], mode: str, width: int, height: int, channels: int, bytes_in: bool = False, mean=IMAGENET_MEAN, std=IMAGENET_STD) -> np.ndarray:
+    """channels x height x width from the values of each band, missing ones NaN; see ``to_tensors``."""
+    out = np.zeros((channels, height, width), np.float32)
+    for k, grid in grids.items():
+        if not 0 <= k < channels:
+            continue
+        rows, columns = (np.minimum(n - 1, np.floor(np.arange(target, dtype=np.float32) * (np.float32(n) / np.float32(target))).astype(np.int64)) for n, target in zip(grid.shape, (height, width), strict=True))
+        value, there = np.nan_to_num(grid)[rows[:, None], columns[None, :]], grid[~np.isnan(grid)]
+        if mode in ("minmax", "zscore"):
+            if not len(there):
+                continue
+            spread = there.max() - there.min()
+            if mode == "minmax":
+                value = (value - there.min()) / spread if spread > 1e-6 else np.zeros_like(value)
+            else:
+                value = (value - there.mean()) / (there.std() if there.std() > 1e-6 else 1.0)
+        elif mode in ("imagenet", "custom"):
+            value = value / 255.0 if bytes_in else value
+            value = (value - mean[k]) / std[k] if k < 3 else value
+        out[k] = value
+    return out
+
+
 def to_tensors(
     tile_px: DataFrame, tiles: DataFrame, mode: str = "none", width: int = 512, height: int = 512, channels: int = 3, mean=IMAGENET_MEAN, std=IMAGENET_STD, bytes_in: bool = False
 ) -> DataFrame:
@@ -83,36 +106,18 @@ def to_tensors(
         raise ValueError(f"unknown mode {mode}")
     keys = ["raster_id", "tile_id"]
 
-    def nearest(size: int, target: int) -> np.ndarray:
-        step = np.float32(size) / np.float32(target)
-        return np.minimum(size - 1, np.floor(np.arange(target, dtype=np.float32) * step).astype(np.int64))
-
     def build(key, tile, cells):
         if not tile.num_rows:
             return pa.table([pa.nulls(0, pa.string()), pa.nulls(0, pa.int64()), pa.nulls(0, pa.list_(pa.float32()))], names=[*keys, "tensor"])
         w, h = tile["src_w"][0].as_py(), tile["src_h"][0].as_py()
         band, tx, ty = (cells[c].to_numpy().astype(np.int64) for c in ("band", "tx", "ty"))
         v = cells["v"].fill_null(np.nan).to_numpy().astype(float)
-        out = np.zeros((channels, height, width), np.float32)
-        rows, columns = nearest(h, height), nearest(w, width)
-        for k in np.unique(band[(band >= 0) & (band < channels)]).tolist():
-            here = (band == k) & (tx >= 0) & (tx < w) & (ty >= 0) & (ty < h)
-            grid = np.zeros((h, w))
-            grid[ty[here], tx[here]] = np.nan_to_num(v[here])
-            value = grid[rows[:, None], columns[None, :]]
-            there = v[(band == k) & ~np.isnan(v)]
-            if mode in ("minmax", "zscore"):
-                if not len(there):
-                    continue
-                spread = there.max() - there.min()
-                if mode == "minmax":
-                    value = (value - there.min()) / spread if spread > 1e-6 else np.zeros_like(value)
-                else:
-                    value = (value - there.mean()) / (there.std() if there.std() > 1e-6 else 1.0)
-            elif mode in ("imagenet", "custom"):
-                value = value / 255.0 if bytes_in else value
-                value = (value - mean[k]) / std[k] if k < 3 else value
-            out[k] = value
+        inside, grids = (tx >= 0) & (tx < w) & (ty >= 0) & (ty < h), {}
+        for k in np.unique(band).tolist():
+            here = inside & (band == k)
+            grids[k] = np.full((h, w), np.nan)
+            grids[k][ty[here], tx[here]] = v[here]
+        out = tensor_of(grids, mode, width, height, channels, bytes_in, mean, std)
         return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64()), pa.array([out.ravel()], pa.list_(pa.float32()))], names=[*keys, "tensor"])
 
     sides = tiles.select("raster_id", F.col("tile_id").cast("long").alias("tile_id"), "src_w", "src_h")
