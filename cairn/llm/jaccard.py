@@ -362,7 +362,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets. A null or empty text has an empty set
     and links with nothing. Ids are integers; rows that repeat an id are one node of the graph, each with its own set; a row
-    without id stays alone with a null component. An empty table gives none; further columns are ignored.
+    without id stays alone with a null component. An empty table gives none; further columns are ignored, whatever they are called. A
+    very long text is shingled whole, in one task, in memory in proportion to it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("id is not null")

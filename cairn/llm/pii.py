@@ -435,7 +435,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every row with its text's entities replaced and ``kinds_col``, the kinds replaced in order; all other columns as they are.
 
     A text without entities, null included, is unchanged. Repeated rows get the same replacement; an empty table gives
-    none; columns may have any names. The first draw is made where the text is; only entities that had to be drawn again are
+    none; columns may have any names. A very long text is searched whole, in time and memory in proportion to it. The first draw is made where the text is; only entities that had to be drawn again are
     joined in by id.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -186,7 +186,8 @@ def classify_quality(
     """id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold) for every row.
 
     Scores depend on the text alone; null counts as empty, and an empty text is scored like any other.
-    Repeated rows each give their row; an empty table gives none; without labels every score is 0.5.
+    Repeated rows each give their row; an empty table gives none; without labels every score is 0.5. A very long text is measured
+    whole, in one task; further columns are not read, whatever they are called.
     """
     trees = train(docs, labels, id_col, text_col, label_col, rows)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))

@@ -392,7 +392,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed where a string of ``length`` bytes covers it that also starts earlier: in a smaller id, or earlier in
     the same document. Null counts as empty; shorter texts keep everything. Ids are integers and name one text: rows that
     repeat id and text are one document, and what is found for an id is removed from each of its rows. A row without id
-    keeps everything. An empty table gives none; further columns are ignored.
+    keeps everything. An empty table gives none; further columns are ignored. A very long text is cut and checked whole, in memory in
+    proportion to it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = texts.filter("doc is not null")

@@ -99,7 +99,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query itself; ties go to the smaller
     id. Scores are integer inner products (exact below 2^53); vectors of another dimension than the query's are no candidates
     for it, and vectors without components score 0. Rows that ``whole_vectors`` leaves out take no part. Rows that repeat an
-    id are rows of their own: each is a query with a list of its own, and candidates for one another. An empty table gives none.
+    id are rows of their own: each is a query with a list of its own, and candidates for one another. An empty table gives none; columns other than the two named are not read.
 
     Groups of queries meet groups of rows, a stated query set against all rows; only cells travel there. Of more than k + 1
     equal vectors the others could only come after those with smaller ids, so they are left out of the scan, not of the queries. What the scan leaves,
