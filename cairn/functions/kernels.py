@@ -92,7 +92,21 @@ def overlay(a: list[Polygon], b: list[Polygon], wanted: Callable[[np.ndarray, np
     return outline(met, left, right)
 
 
+def as_box(ring: Ring) -> tuple[float, float, float, float] | None:
+    """(x0, y0, x1, y1) of a ring that is a rectangle along the axes; null for others."""
+    if len(ring) != 5:
+        return None
+    (ax, ay), (bx, by), (cx, cy), (dx, dy), (ex, ey) = ring.tolist()
+    flat = ax == dx and bx == cx and ay == by and cy == dy or ax == bx and cx == dx and ay == dy and by == cy
+    return (min(ax, cx), min(ay, cy), max(ax, cx), max(ay, cy)) if flat and (ax, ay) == (ex, ey) and ax != cx and ay != cy else None
+
+
 def intersection(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
+    if len(a) == len(b) == len(a[0]) == len(b[0]) == 1:
+        one, other = as_box(a[0][0]), as_box(b[0][0])
+        if one and other:
+            x0, y0, x1, y1 = max(one[0], other[0]), max(one[1], other[1]), min(one[2], other[2]), min(one[3], other[3])
+            return [[box(x0, y0, x1, y1)]] if x0 < x1 and y0 < y1 else []
     if len(a) == len(b) == len(a[0]) == len(b[0]) == 1 and convex(a[0][0]) and convex(b[0][0]):
         frame = b[0][0] if area(b[0][0]) > 0 else b[0][0][::-1]
         both = clip_convex(a[0][0] if area(a[0][0]) > 0 else a[0][0][::-1], frame)
@@ -213,6 +227,14 @@ def clip_convex(ring: Ring, corners: Ring) -> Ring:
 
 def half_plane(polygon: Polygon, axis: int, at: float, below: bool) -> list[Polygon]:
     """The parts of a polygon on one side of a line along an axis."""
+    frame = as_box(polygon[0]) if len(polygon) == 1 else None
+    if frame:
+        low, high = list(frame[:2]), list(frame[2:])
+        if below:
+            high[axis] = min(high[axis], at)
+        else:
+            low[axis] = max(low[axis], at)
+        return [[box(*low, *high)]] if low[axis] < high[axis] else []
     if len(polygon) == 1 and convex(polygon[0]):
         core = polygon[0][:-1]
         depth = (at - core[:, axis]) * (1 if below else -1)

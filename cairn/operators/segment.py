@@ -153,10 +153,11 @@ def batch_report(tiles: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.select("raster_id").join(errors, "raster_id", "left").select("raster_id", (F.coalesce("error", F.lit("")) == "").alias("success"), F.coalesce("error", F.lit("")).alias("error"), F.concat("raster_id", F.lit("_seg")).alias("output"))
 
 
-def overall_report(report: DataFrame) -> DataFrame:
-    """One row: whether all succeeded, how many did, and the messages."""
-    said = F.array_join(F.array_sort(F.collect_set(F.when(F.col("error") != "", F.concat_ws(": ", "raster_id", "error")))), "; ")
-    return report.agg(F.coalesce(F.bool_and("success"), F.lit(True)).alias("success"), F.count_if("success").alias("succeeded"), F.count("*").alias("total"), said.alias("error"))
+def overall_report(report: DataFrame, messages: int = 1000) -> DataFrame:
+    """One row: whether all succeeded, how many did, and the first ``messages`` messages by raster; all of them are rows of the report."""
+    said = report.filter("error <> ''").select(F.concat_ws(": ", "raster_id", "error").alias("said")).distinct().orderBy("said").limit(messages)
+    first = said.agg(F.array_join(F.array_sort(F.collect_list("said")), "; ").alias("error")).scalar()
+    return report.agg(F.coalesce(F.bool_and("success"), F.lit(True)).alias("success"), F.count_if("success").alias("succeeded"), F.count("*").alias("total")).withColumn("error", first)
 
 
 def batch_segment(px: DataFrame, meta: DataFrame, model: Model, config: SegmentConfig | None = None, polygons: bool = True) -> tuple[Segmentation, DataFrame | None, DataFrame]:
