@@ -929,6 +929,20 @@ def blocks_polygons(spark, sf):
     return out(shapes.groupBy("area").agg(F.count("*").alias("n")), "n", "area")
 
 
+@query(f"{_CENTRE} SELECT round(area, 6)::DOUBLE AS area, count(*) AS n FROM shapes GROUP BY ALL")
+def blocks_traced(spark, sf):
+    """The same from outlines traced block by block."""
+    shapes = G.block_polygons(*blocks_mask(spark, sf), 1, "centre").withColumn("area", F.round(polygon_area(F.col("rings")), 6))
+    return out(shapes.groupBy("area").agg(F.count("*").alias("n")), "n", "area")
+
+
+@query(f"""{_COMPONENTS.replace("abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1", "abs(a.x - b.x) + abs(a.y - b.y) <= 1")} SELECT pixels::DOUBLE AS area, count(*) AS n FROM (SELECT count(*) AS pixels FROM c GROUP BY root) GROUP BY pixels""")
+def blocks_traced_edge(spark, sf):
+    """Areas of polygons along pixel sides: those of the parts that hang together by sides."""
+    shapes = G.block_polygons(*blocks_mask(spark, sf), 1, "edge").withColumn("area", F.round(polygon_area(F.col("rings")), 6))
+    return out(shapes.groupBy("area").agg(F.count("*").alias("n")), "n", "area")
+
+
 @query(f"WITH {PX_PARTS} SELECT round(sum(CASE WHEN v >= 25 THEN 1 ELSE 0 END), 6)::DOUBLE AS area FROM px")
 def polygons(spark, sf):
     mask, meta = parts_mask(spark, sf)

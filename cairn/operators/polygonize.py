@@ -38,39 +38,216 @@ def label_components(mask: DataFrame, target: int = 1) -> DataFrame:
     return runs.join(labels, "run", "left").select("raster_id", F.coalesce("component", "run").alias("component"), "run", "y", "x0", "x1")
 
 
-def label_blocks(chunks: DataFrame, target: int = 1) -> DataFrame:
-    """``label_components`` of a mask in blocks: raster_id, component, run, y, x0, x1, runs ending at the blocks' borders.
+def _set_runs(values: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, first x, last x) of the runs of the class in a block."""
+    step = np.diff(np.pad(values == target, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (y, x0), (_, stop) = np.nonzero(step == 1), np.nonzero(step == -1)
+    return y, x0, stop - 1
 
-    Blocks are labelled on their own; only labels that meet across a seam, or across the corner where blocks meet, are
-    nodes of the graph of components.
-    """
+
+def _own_labels(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool) -> np.ndarray:
+    """Numbers from 0 of what the runs of a block belong to within it."""
+    return np.unique(_parts(y, x0, x1, int(corners)), return_inverse=True)[1].ravel() if len(y) else np.zeros(0, np.int64)
+
+
+def _labelled_runs(chunks: DataFrame, target: int, corners: bool) -> DataFrame:
+    """raster_id, cx, cy, size, y, x0, x1, label of the runs of each block, labelled on its own; written."""
     names = ["raster_id", "cx", "cy", "size", "k", "y", "x0", "x1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raster, cx, cy, w, h, size = (batch.column(c)[i].as_py() for c in range(6))
-                set_ = batch.column(6)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w) == target
-                step = np.diff(np.pad(set_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-                (y, x0), (_, stop) = np.nonzero(step == 1), np.nonzero(step == -1)
+                y, x0, x1 = _set_runs(batch.column(6)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w), target)
                 if len(y):
-                    _, k = np.unique(_parts(y, x0, stop - 1, 1), return_inverse=True)
                     heads = [pa.array([v] * len(y), t) for v, t in ((raster, pa.string()), (cx, pa.int32()), (cy, pa.int32()), (size, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([*heads, pa.array(k.ravel().astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in (y + cy * size, x0 + cx * size, stop - 1 + cx * size))], names=names)
+                    k = _own_labels(y, x0, x1, corners).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([*heads, pa.array(k), *(pa.array(v.astype(np.int64)) for v in (y + cy * size, x0 + cx * size, x1 + cx * size))], names=names)
 
     found = chunks.select("raster_id", "cx", "cy", "w", "h", "size", F.col("data").cast("array<double>")).mapInArrow(run, "raster_id string, cx int, cy int, size int, k long, y long, x0 long, x1 long")
-    runs = materialise(found.withColumn("label", F.xxhash64("raster_id", "cx", "cy", "k")))
+    return materialise(found.withColumn("label", F.xxhash64("raster_id", "cx", "cy", "k")).drop("k"))
+
+
+def _over_seams(runs: DataFrame, corners: bool) -> DataFrame:
+    """label, component of the labels that meet others across a seam, with ``corners`` also across the corner where blocks meet."""
     size, first, last = F.col("size"), F.col("x0") % F.col("size") == 0, F.col("x1") % F.col("size") == F.col("size") - 1
-    beside = F.array_compact(F.array(F.col("cx"), F.when(first, F.col("cx") - 1), F.when(last, F.col("cx") + 1)))
+    reach = int(corners)
+    beside = F.array_compact(F.array(F.col("cx"), *([F.when(first, F.col("cx") - 1), F.when(last, F.col("cx") + 1)] if corners else [])))
     low = runs.filter(F.col("y") % size == size - 1).select("raster_id", (F.col("y") + 1).alias("y"), F.explode(beside).alias("cx"), "label", "x0", "x1")
     high = runs.filter(F.col("y") % size == 0).select("raster_id", "y", "cx", F.col("label").alias("other"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    down = low.join(high, ["raster_id", "y", "cx"]).filter((F.col("x0") <= F.col("a1") + 1) & (F.col("x1") + 1 >= F.col("a0")))
-    near = F.explode(F.array(*(F.struct((F.col("y") + d).alias("y"), F.expr(f"(y + {d}) div size = cy").alias("same")) for d in (-1, 0, 1)))).alias("s")
+    down = low.join(high, ["raster_id", "y", "cx"]).filter((F.col("x0") <= F.col("a1") + reach) & (F.col("x1") + reach >= F.col("a0")))
+    near = F.explode(F.array(*(F.struct((F.col("y") + d).alias("y"), F.expr(f"(y + {d}) div size = cy").alias("same")) for d in range(-reach, reach + 1)))).alias("s")
     right = runs.filter(last).select("raster_id", (F.col("cx") + 1).alias("cx"), "cy", "label", near).filter("s.same").select("raster_id", "cx", "cy", F.col("s.y").alias("y"), "label")
     left = runs.filter(first).select("raster_id", "cx", "cy", "y", F.col("label").alias("other"))
     seams = down.select("label", "other").unionByName(right.join(left, ["raster_id", "cx", "cy", "y"]).select("label", "other")).distinct()
-    labels = connected_components(seams, "label", "other").withColumnRenamed("node", "label")
-    return runs.join(labels, "label", "left").select("raster_id", F.coalesce("component", "label").alias("component"), F.xxhash64("raster_id", "y", "x0").alias("run"), "y", "x0", "x1")
+    return connected_components(seams, "label", "other").withColumnRenamed("node", "label")
+
+
+def label_blocks(chunks: DataFrame, target: int = 1, corners: bool = True) -> DataFrame:
+    """``label_components`` of a mask in blocks: raster_id, component, run, y, x0, x1, runs ending at the blocks' borders.
+
+    Blocks are labelled on their own; only labels that meet across a seam are nodes of the graph of components. Without
+    ``corners`` pixels hang together by their sides only.
+    """
+    runs = _labelled_runs(chunks, target, corners)
+    return runs.join(_over_seams(runs, corners), "label", "left").select("raster_id", F.coalesce("component", "label").alias("component"), F.xxhash64("raster_id", "y", "x0").alias("run"), "y", "x0", "x1")
+
+
+# ---------------------------------------------------------------- rings over many blocks
+
+
+def _with_halo(chunks: DataFrame, target: int) -> DataFrame:
+    """raster_id, cx, cy, size, w, h, data: each block as bytes, a pixel wider on each side: 1 where the class is, also just beyond its borders."""
+    names = ["raster_id", "cx", "cy", "size", "w", "h", "side", "data"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raster, cx, cy, w, h, size = (batch.column(c)[i].as_py() for c in range(6))
+                here = (batch.column(6)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w) == target).astype(np.uint8)
+                rows = [(raster, cx, cy, size, w, h, -1, here.tobytes())]
+                for side, dx, dy, edge in ((WEST, 1, 0, here[:, -1]), (EAST, -1, 0, here[:, 0]), (NORTH, 0, 1, here[-1]), (SOUTH, 0, -1, here[0])):
+                    rows.append((raster, cx + dx, cy + dy, size, w, h, side, edge.tobytes()))  # the border that the neighbour has on that side
+                kinds = (pa.string(), *[pa.int32()] * 6, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def meet(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        sides = dict(zip(held["side"].to_pylist(), range(held.num_rows), strict=True))
+        if -1 not in sides:  # a border without a block beyond it
+            return held.slice(0, 0)
+        at = sides[-1]
+        w, h = held["w"][at].as_py(), held["h"][at].as_py()
+        grid = np.zeros((h + 2, w + 2), np.uint8)
+        grid[1:-1, 1:-1] = np.frombuffer(held["data"][at].as_py(), np.uint8).reshape(h, w)
+        for side, spot in ((WEST, (slice(1, -1), 0)), (EAST, (slice(1, -1), -1)), (NORTH, (0, slice(1, -1))), (SOUTH, (-1, slice(1, -1)))):
+            if side in sides:
+                grid[spot] = np.frombuffer(held["data"][sides[side]].as_py(), np.uint8)
+        return held.slice(at, 1).set_column(7, "data", pa.array([grid.tobytes()], pa.binary()))
+
+    schema = "raster_id string, cx int, cy int, size int, w int, h int, side int, data binary"
+    parts = chunks.select("raster_id", "cx", "cy", "w", "h", "size", F.col("data").cast("array<double>")).mapInArrow(send, schema)
+    return parts.groupBy("raster_id", "cx", "cy").applyInArrow(meet, schema).drop("side")
+
+
+def block_chains(grid: np.ndarray, left: int, top: int, joined: bool) -> Iterator[tuple[tuple[int, int, int], tuple[int, int, int] | None, np.ndarray, np.ndarray]]:
+    """Pieces of the outline within one block: ((x, y, direction) it starts with, (x, y, direction) it ends with, corners, pixels).
+
+    A piece goes on until it reaches the block's border lines, where the next one may be another block's; one that closes
+    before has no end. Corners are where it turns; pixels those along its right side, first and last of each straight part.
+    """
+    here = grid[1:-1, 1:-1] == 1
+    h, w = here.shape
+    # sides of set pixels with nothing beyond, the class on the right as y points down: start, end, pixel, direction
+    beyond = {EAST: grid[:-2, 1:-1], SOUTH: grid[1:-1, 2:], WEST: grid[2:, 1:-1], NORTH: grid[1:-1, :-2]}
+    steps = {EAST: (0, 0, 1, 0), SOUTH: (1, 0, 1, 1), WEST: (1, 1, 0, 1), NORTH: (0, 1, 0, 0)}
+    found = []
+    for kind, other in beyond.items():
+        y, x = np.nonzero(here & (other == 0))
+        ax, ay, bx, by = steps[kind]
+        found.append(np.column_stack([x + ax, y + ay, x + bx, y + by, x, y, np.full(len(x), kind)]))
+    edges = np.concatenate(found)
+    start, end = edges[:, 1] * (w + 1) + edges[:, 0], edges[:, 3] * (w + 1) + edges[:, 2]
+    leaving = np.full(((w + 1) * (h + 1), 4), -1)
+    leaving[start, edges[:, 6]] = np.arange(len(edges))
+    turn = np.array([NORTH, SOUTH, WEST, EAST] if joined else [SOUTH, NORTH, EAST, WEST])[edges[:, 6]]
+    several = (leaving >= 0).sum(1) > 1
+    follow = np.where(several[end], leaving[end, turn], leaving[end].max(1))
+    border = (edges[:, 2] == 0) | (edges[:, 2] == w) | (edges[:, 3] == 0) | (edges[:, 3] == h)
+    follow[border] = -1
+    step, free = follow.tolist(), bytearray(b"\1") * len(edges)
+    headless = np.setdiff1d(np.arange(len(edges)), follow[follow >= 0])
+    for k in [*headless.tolist(), *range(len(edges))]:
+        chain, at = [], k
+        while at >= 0 and free[at]:
+            free[at] = 0
+            chain.append(at)
+            at = step[at]
+        if chain:
+            e = edges[chain]
+            turns = np.flatnonzero(np.append(True, e[1:, 6] != e[:-1, 6]))
+            last = np.append(turns[1:], len(e)) - 1
+            corners = e[turns, :2] + (left, top)
+            pixels = np.stack([e[turns, 4:6], e[last, 4:6]], axis=1).reshape(-1, 2) + (left, top)
+            begin, stop = e[0], e[-1]
+            ends = None if at >= 0 else (int(stop[2]) + left, int(stop[3]) + top, int(stop[6]))
+            yield (int(begin[0]) + left, int(begin[1]) + top, int(begin[6])), ends, corners, pixels
+
+
+def block_polygons(chunks: DataFrame, meta: DataFrame, target: int = 1, mode: str = "centre") -> DataFrame:
+    """The polygons of ``mask_to_polygons`` for a mask in blocks, components of any extent: raster_id, component, part, rings.
+
+    Each block traces the outline inside it. Pieces that end at a seam go on with the one that starts there; the pieces of a ring
+    are ordered by doubling pointers, so that no task follows a ring, and only the corners of a ring, which is one value, come together.
+    """
+    if mode not in ("centre", "edge"):
+        raise ValueError(f"unknown mode {mode}")
+    joined = mode == "centre"
+    runs = _labelled_runs(chunks, target, joined)
+    labels = _over_seams(runs, joined)
+    names = ["raster_id", "cx", "cy", "k", "sx", "sy", "start", "ex", "ey", "end", "points"]
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raster, cx, cy, size, w, h, data = (batch.column(c)[i].as_py() for c in range(7))
+                grid = np.frombuffer(data, np.uint8).reshape(h + 2, w + 2)
+                y, x0, x1 = _set_runs(grid[1:-1, 1:-1], 1)
+                number = np.full((h, w), -1)
+                for a, b, c, k in zip(y.tolist(), x0.tolist(), (x1 + 1).tolist(), _own_labels(y, x0, x1, joined).tolist(), strict=True):
+                    number[a, b:c] = k
+                rows = []
+                for begin, stop, corners, pixels in block_chains(grid, cx * size, cy * size, joined):
+                    px, py = pixels[0]
+                    points = pixels if joined else corners
+                    rows.append((raster, cx, cy, int(number[py - cy * size, px - cx * size]), *begin, *(stop or (None,) * 3), np.ascontiguousarray(points, np.int64).tobytes()))
+                if rows:
+                    kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 7, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    found = _with_halo(chunks, target).mapInArrow(trace, "raster_id string, cx int, cy int, k long, sx long, sy long, start long, ex long, ey long, end long, points binary")
+    chain = F.xxhash64("raster_id", "sx", "sy", "start")  # no two pieces start at one corner in one direction
+    pieces = materialise(found.select(chain.alias("chain"), "raster_id", F.xxhash64("raster_id", "cx", "cy", "k").alias("label"), "sx", "sy", "start", "ex", "ey", "end", "points"))
+    # where two pieces start at the corner, the outline passes on at it or not, as within a block
+    starts = pieces.groupBy("raster_id", F.col("sx").alias("ex"), F.col("sy").alias("ey")).agg(F.map_from_entries(F.collect_list(F.struct("start", "chain"))).alias("ways"))
+    turns = F.array(*(F.lit(int(t)).cast("long") for t in ((NORTH, SOUTH, WEST, EAST) if joined else (SOUTH, NORTH, EAST, WEST))))
+    way = F.when(F.size("ways") > 1, F.element_at("ways", F.element_at(turns, (F.col("end") + 1).cast("int")))).otherwise(F.map_values("ways")[0])
+    links = materialise(pieces.filter("end IS NOT NULL").join(starts, ["raster_id", "ex", "ey"]).select("chain", way.alias("next")))
+    rings = connected_components(links, "chain", "next").select(F.col("node").alias("chain"), F.col("component").alias("ring"))
+    placed = materialise(pieces.select("chain").join(rings, "chain", "left").select("chain", F.coalesce("ring", "chain").alias("ring")))
+    order = _places_in_rings(links.join(placed, "chain"))
+    whole = pieces.join(placed, "chain").join(order, "chain", "left").join(labels, "label", "left")
+    whole = whole.select("raster_id", "ring", F.coalesce("component", "label").alias("component"), F.coalesce("rank", F.lit(0)).alias("rank"), "points")
+
+    def close(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        held = held.sort_by("rank")
+        points = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in held["points"].to_pylist()])
+        ring = _bends(points)
+        hole = signed_area(np.concatenate([points, points[:1]])) < 0
+        good = len(ring) >= 4 and (signed_area(ring) < 0) == hole and signed_area(ring) != 0
+        shape = [[ring.astype(float)]] if good else [[]]
+        return pa.table([held["raster_id"].slice(0, 1), held["component"].slice(0, 1), pa.array([bool(hole)]), write_rings(shape)], names=["raster_id", "component", "hole", "rings"])
+
+    closed = whole.groupBy("ring").applyInArrow(close, f"raster_id string, component long, hole boolean, rings {RINGS}").filter("size(rings) > 0")
+    parts = closed.groupBy("raster_id", "component").agg(F.array_sort(F.collect_list(F.struct("hole", F.col("rings")[0].alias("ring")))).alias("all"))
+    pixel = parts.filter(~F.col("all")[0]["hole"]).select("raster_id", "component", F.lit(0).alias("part"), F.transform("all", lambda x: x["ring"]).alias("rings"))
+    return _grounded(pixel, meta)
+
+
+def _places_in_rings(links: DataFrame) -> DataFrame:
+    """chain, rank of each link (chain, next, ring): its place in its ring, from the smallest chain on, by doubling pointers."""
+    # towards the head: each knows one before it and how far that is
+    now = materialise(links.filter(F.col("next") != F.col("ring")).select(F.col("next").alias("chain"), F.col("chain").alias("back"), F.lit(1).cast("long").alias("far"), "ring"))
+    done = None
+    while True:
+        there = now.filter(F.col("back") == F.col("ring")).select("chain", F.col("far").alias("rank"))
+        done = there if done is None else done.unionByName(there)
+        going = now.filter(F.col("back") != F.col("ring"))
+        if going.isEmpty():
+            return done
+        ahead = now.select(F.col("chain").alias("back"), F.col("back").alias("_b"), F.col("far").alias("_f"))
+        passed = done.select(F.col("chain").alias("back"), F.col("rank").alias("_r"))
+        step = going.join(ahead.hint("merge"), "back", "left").join(passed.hint("merge"), "back", "left")
+        now = materialise(step.select("chain", F.coalesce("_b", "ring").alias("back"), (F.col("far") + F.coalesce("_f", "_r")).alias("far"), "ring"))
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
@@ -269,6 +446,12 @@ def label_polygons(labels: DataFrame, meta: DataFrame, mode: str = "centre", min
 
     pixel = labels.groupBy("raster_id", "component").applyInArrow(trace, f"raster_id string, component long, part int, rings {RINGS}")
 
+    return _grounded(pixel, meta)
+
+
+def _grounded(pixel: DataFrame, meta: DataFrame) -> DataFrame:
+    """Rings in ground coordinates."""
+
     def grounded(c):
         gx, gy = pixel_to_geo(c["x"], c["y"], F.col("gt"))
         return F.struct(gx.alias("x"), gy.alias("y"), c["z"].alias("z"))
