@@ -18,7 +18,7 @@ from cairn.operators import segment as S
 from cairn.operators import tiles as T
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
-from cairn.plans.storage import fresh_path
+from cairn.plans.storage import fresh_path, materialise
 from cairn.sources import raster as SR
 from cairn.sources import vector as SV
 
@@ -636,7 +636,8 @@ def shapes(spark: SparkSession, sf: str) -> DataFrame:
     ring = lambda *corners: F.array(*(at(i, j) for i, j in corners))
     bent = F.array(ring((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)))
     holed = F.array(F.col("rings")[0], ring((1, 1), (1, 3), (3, 3), (3, 1), (1, 1)))
-    return fx_boxes(spark, sf).withColumn("rings", F.when(F.col("fid") % 2 == 0, bent).otherwise(holed))
+    # written, so that what reads the rings in many places does not make them anew in each
+    return materialise(fx_boxes(spark, sf).withColumn("rings", F.when(F.col("fid") % 2 == 0, bent).otherwise(holed)))
 
 
 #: At distance d of shapes of w by h: a rounded corner adds a quarter of a polygon of 32 sides, a corner inwards takes d * d off.
