@@ -18,7 +18,7 @@ from cairn.operators import segment as S
 from cairn.operators import tiles as T
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
-from cairn.plans.storage import fresh_path, materialise
+from cairn.plans.storage import fresh_path, materialise, sized_as_rows
 from cairn.sources import raster as SR
 from cairn.sources import vector as SV
 
@@ -46,6 +46,7 @@ def out(df: DataFrame, longs: str = "", doubles: str = "", strings: str = "") ->
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    sized_as_rows(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
