@@ -111,7 +111,7 @@ PC_EVENTS = "pc AS (SELECT event_id AS ord, user_id * 0.5 AS x, value AS y, hour
 
 
 def fx_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer")
+    c = V.dealt(table(spark, sf, "customer"))  # rings are made in as many tasks as there are, not in those of one small file
     x0, y0 = (F.col("c_custkey") % 40) * 2.0, F.floor(F.col("c_custkey") / 40) * 2.0
     return V.boxes(c, F.col("c_custkey"), x0, y0, x0 + 0.5 + (F.col("c_custkey") % 7) * 0.5, y0 + 0.5 + (F.col("c_custkey") % 5) * 0.5, "boxes", "c_mktsegment", "c_nationkey")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import kernels as K
 from cairn.functions.geometry import bounds, usable
-from cairn.operators.vector import _usable, boxes_of, paired, read_rings, union_area
+from cairn.operators.vector import _usable, boxes_of, dealt, paired, read_rings, union_area
 from cairn.plans.gridjoin import box_pairs
 
 ISSUE = ("fid", "other_fid", "issue_type", "area", "description")
@@ -25,7 +25,7 @@ def check_validity(fx: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["fid", "description"])
 
     kind = fx.schema["fid"].dataType.simpleString()
-    found = fx.select("fid", "geom_type", "rings", usable(F.col("geom_type"), F.col("rings")).alias("ok")).mapInArrow(run, f"fid {kind}, description string")
+    found = dealt(fx.select("fid", "geom_type", "rings", usable(F.col("geom_type"), F.col("rings")).alias("ok"))).mapInArrow(run, f"fid {kind}, description string")
     return found.filter("description is not null").select("fid", F.lit(None).cast("long").alias("other_fid"), F.lit("invalid").alias("issue_type"), F.lit(None).cast("double").alias("area"), "description")
 
 

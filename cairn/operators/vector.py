@@ -77,6 +77,11 @@ def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, dr
     return fx.mapInArrow(run, schema_of(fx.drop(*drop)))
 
 
+def dealt(fx: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over all shuffle partitions, for kernels that take long for few bytes: a small file is one task else."""
+    return fx.repartition(shuffle_partitions(fx))
+
+
 def _usable(fx: DataFrame) -> DataFrame:
     return fx.filter(usable(F.col("geom_type"), F.col("rings"))).withColumn("rings", checked(F.col("rings")))
 
@@ -111,7 +116,7 @@ def vector_simplify(fx: DataFrame, tolerance: float) -> DataFrame:
             out = [out[0], *(r for r in out[1:] if len(r) >= 4)]
         return [(kind, out)] if len(out[0]) >= 2 else []
 
-    return map_geometries(_usable(fx), kernel)
+    return map_geometries(dealt(_usable(fx)), kernel)
 
 
 def point_buffers(fx: DataFrame, distance: float, quad_segs: int = 8) -> DataFrame:
@@ -126,7 +131,7 @@ def point_buffers(fx: DataFrame, distance: float, quad_segs: int = 8) -> DataFra
 def vector_buffer(fx: DataFrame, distance: float = 10.0, quad_segs: int = 8) -> DataFrame:
     """Everything within ``distance`` of each feature, as polygons; several where it falls apart, none where nothing is left."""
     solid = _usable(fx)
-    others = map_geometries(solid.filter("geom_type <> 'Point'"), lambda kind, rings: [("Polygon", p) for p in K.buffer(kind, rings, distance, quad_segs)])
+    others = map_geometries(dealt(solid.filter("geom_type <> 'Point'")), lambda kind, rings: [("Polygon", p) for p in K.buffer(kind, rings, distance, quad_segs)])
     return point_buffers(solid, distance, quad_segs).unionByName(others) if distance > 0 else others
 
 
@@ -141,7 +146,7 @@ def repair_polygons(fx: DataFrame) -> DataFrame:
         good = [p for p in parts if K.invalid_reason("Polygon", p) is None]
         return [("Polygon", p) for p in parts] if parts and len(good) == len(parts) else [(kind, rings)]
 
-    return map_geometries(fx, kernel)
+    return map_geometries(dealt(fx), kernel)
 
 
 def filter_small_polygons(fx: DataFrame, min_area: float = 100.0) -> DataFrame:
@@ -201,7 +206,7 @@ def paired(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFr
     pairs = box_pairs(boxes_of(a), boxes_of(b)) if pairs is None else pairs
     right = b.select(F.col("fid").alias("b_id"), F.col("geom_type").alias("b_type"), F.col("rings").alias("b_rings"))
     met = a.join(pairs, a["fid"] == pairs["a_id"]).drop("a_id").join(right, "b_id").withColumnRenamed("b_id", "b_fid")
-    return met.repartition(shuffle_partitions(a))
+    return dealt(met)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -306,7 +311,7 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
     else:
         start, side = 0, lambda level: float(cell)
     first = solid.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), "rings")
-    now = materialise(first.mapInArrow(_into_cells(side, start), PIECES).distinct())
+    now = materialise(dealt(first).mapInArrow(_into_cells(side, start), PIECES).distinct())
     leaves, deeper = [], 0
     while cell is None:
         sizes = materialise(now.groupBy(*CELL).agg(F.count("*").alias("n")))
@@ -373,7 +378,7 @@ def clip_to_extent(fx: DataFrame, extent: tuple[float, float, float, float]) ->
     b = bounds(F.col("rings"))
     near = _usable(fx).filter((b["min_x"] <= x1) & (b["max_x"] >= x0) & (b["min_y"] <= y1) & (b["max_y"] >= y0))
     frame = [K.box(x0, y0, x1, y1)]
-    return map_geometries(near, lambda kind, rings: cut_by(kind, rings, frame))
+    return map_geometries(dealt(near), lambda kind, rings: cut_by(kind, rings, frame))
 
 
 def boxes(df: DataFrame, fid: Column, x0: Column, y0: Column, x1: Column, y1: Column, layer: str = "boxes", *extra: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """What keeps work off the driver and spreads it over tasks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn import catalog
+from cairn.functions import kernels as K
+from cairn.operators import topology as Y
+from cairn.operators import vector as V
 from cairn.plans.storage import materialise
 
 
@@ -17,3 +21,18 @@ def test_compressed_tables_are_not_taken_for_small_ones(spark, sf_dir):
     joined = many.join(many.select("id", F.col("d").alias("other")), "id")
     assert "BroadcastHashJoin" not in plan(joined)
     assert "BroadcastHashJoin" in plan(many.join(many.agg(F.max("id").alias("id")), "id"))
+
+
+@pytest.mark.parametrize("step", [V.repair_polygons, lambda fx: V.vector_buffer(fx, 0.25), lambda fx: V.vector_simplify(fx, 0.1), Y.check_validity, lambda fx: V.clip_to_extent(fx, (0.0, 0.0, 30.0, 30.0))])
+def test_kernels_are_dealt_over_tasks(spark, sf_dir, step):
+    fx = catalog.fx_boxes(spark, sf_dir).coalesce(1)
+    assert step(fx).rdd.getNumPartitions() >= V.shuffle_partitions(fx) > 1
+
+
+def test_convex_rings_are_valid_without_an_arrangement(monkeypatch):
+    monkeypatch.setattr(K, "crossing", lambda rings: pytest.fail("looked for crossings"))
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 2, 1)]) is None
+    assert K.invalid_reason("Polygon", [K.circle(K.np.array([3.0, 4.0]), 2.0)]) is None
+    monkeypatch.undo()
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 2, 1)[[0, 2, 1, 3, 4]]]) == "self-intersection"
+    assert K.invalid_reason("Polygon", [K.np.array([(0, 0), (2, 0), (1, 0), (2, 2), (0, 0)], float)]) == "self-intersection"
