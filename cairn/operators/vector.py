@@ -70,9 +70,10 @@ def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, dr
                     rows.append(i)
                     kinds.append(k)
                     shapes.append(rings)
-            out = batch.take(pa.array(rows, pa.int64()))
+            of = pa.array(rows, pa.int64())
             new = {at[0]: pa.array(kinds, pa.string()), at[1]: write_rings(shapes)}
-            yield pa.RecordBatch.from_arrays([new.get(i, out.column(i)) for i in kept], names=[batch.schema.names[i] for i in kept])
+            # never the old rings: a geometry that falls into thousands of parts would be copied as often
+            yield pa.RecordBatch.from_arrays([new[i] if i in new else batch.column(i).take(of) for i in kept], names=[batch.schema.names[i] for i in kept])
 
     return fx.mapInArrow(run, schema_of(fx.drop(*drop)))
 
