@@ -33,7 +33,11 @@ def test_convex_rings_are_valid_without_an_arrangement(monkeypatch):
     monkeypatch.setattr(K, "crossing", lambda rings: pytest.fail("looked for crossings"))
     assert K.invalid_reason("Polygon", [K.box(0, 0, 2, 1)]) is None
     assert K.invalid_reason("Polygon", [K.circle(K.np.array([3.0, 4.0]), 2.0)]) is None
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 8, 8), K.box(1, 1, 3, 3), K.box(4, 4, 7, 7)]) is None
     monkeypatch.undo()
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 8, 8), K.box(1, 1, 7, 7), K.box(3, 3, 5, 5)]) == "nested holes"
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 8, 8), K.box(9, 1, 10, 3)]) == "hole lies outside shell"
+    assert K.invalid_reason("Polygon", [K.box(0, 0, 8, 8), K.box(0, 0, 8, 8)]) == "hole equals shell"
     assert K.invalid_reason("Polygon", [K.box(0, 0, 2, 1)[[0, 2, 1, 3, 4]]]) == "self-intersection"
     assert K.invalid_reason("Polygon", [K.np.array([(0, 0), (2, 0), (1, 0), (2, 2), (0, 0)], float)]) == "self-intersection"
 
