@@ -49,3 +49,12 @@ def test_a_geometry_of_many_parts_is_not_copied_for_each(spark):
     there = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z")) for x, y in ((0.0, -1.0), (0.0, 0.0), (float(n), 0.0))))
     fx = spark.range(1).select(F.lit("comb").alias("layer"), F.col("id").alias("fid"), F.lit("Polygon").alias("geom_type"), F.array(F.concat(there, back)).alias("rings"))
     assert V.repair_polygons(fx).count() >= n - 1
+
+
+def test_dissolve_cuts_polygons_in_many_tasks(spark, sf_dir, monkeypatch):
+    """The polygons of one small file are cut into cells by as many tasks as there are shuffle partitions."""
+    seen = []
+    monkeypatch.setattr(V, "materialise", lambda df: seen.append(df) or materialise(df))
+    V.dissolve(catalog.fx_boxes(spark, sf_dir).coalesce(1))
+    first = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in first[first.index("MapInArrow") :]
