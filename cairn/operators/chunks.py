@@ -1,8 +1,8 @@
 """Pixel-wise operators on blocks: a block's values stay one array, and no pixel ever becomes a row.
 
 Blocks: raster_id, band, cx, cy, w, h, data, size (``sources.raster``). Values are single precision, as they are stored; missing
-ones are null. Each operator says the same as the one of its name on pixel rows and gives blocks again. Kernels see the values of a
-whole Arrow batch at once; what differs from raster to raster (nodata values, statistics) is joined to the blocks, one row each.
+ones are null. Each operator says the same as the one of its name on pixel rows and gives blocks again. Kernels see the values of
+many blocks at once; what differs from raster to raster (nodata values, statistics) is joined to the blocks, one row each.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators.raster import RANGES, SAME, _need
 
+AT_ONCE = 1 << 20  # values that a kernel sees at once, beyond a single block
+
 COLUMNS = ("raster_id", "band", "cx", "cy", "w", "h", "data", "size")
 
 
@@ -25,6 +27,16 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.cast(pa.float32()).fill_null(np.nan).to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def bounded(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose arrays in column ``at`` hold about ``AT_ONCE`` values: what a kernel needs beside them stays bounded, whatever the batch."""
+    total = np.append(0, np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def map_values(chunks: DataFrame, kernel: Callable[..., np.ndarray], *parameters: str) -> DataFrame:
     """Blocks with ``data`` replaced by kernel(values, parameter of each value ...); NaN comes back as missing.
 
@@ -34,7 +46,7 @@ def map_values(chunks: DataFrame, kernel: Callable[..., np.ndarray], *parameters
     at = COLUMNS.index("data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, at)):
             values, sizes = _values(batch.column(at))
             held = [np.repeat(batch.column(len(COLUMNS) + k).fill_null(np.nan).to_numpy(zero_copy_only=False), sizes) for k in range(len(parameters))]
             new = np.asarray(kernel(values, *held), np.float32)
@@ -75,7 +87,7 @@ def band_stats(chunks: DataFrame) -> DataFrame:
     """n, min, max, mean and population standard deviation of each band: a row of sums for each block, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, 2)):
             values, sizes = _values(batch.column(2))
             out = []
             for part in np.split(values.astype(float), np.cumsum(sizes)[:-1]) if len(sizes) else []:
@@ -117,7 +129,7 @@ def class_counts(chunks: DataFrame) -> DataFrame:
     """raster_id, class, n of a mask; each block sends one row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, 1)):
             values, sizes = _values(batch.column(1))
             rows, classes, counts = [], [], []
             for k, part in enumerate(np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []):

@@ -1,10 +1,12 @@
 """What keeps work off the driver and spreads it over tasks."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairn import catalog
 from cairn.functions import kernels as K
+from cairn.operators import chunks as B
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
 from cairn.plans.storage import materialise
@@ -58,3 +60,12 @@ def test_dissolve_cuts_polygons_in_many_tasks(spark, sf_dir, monkeypatch):
     V.dissolve(catalog.fx_boxes(spark, sf_dir).coalesce(1))
     first = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4, true" in first[first.index("MapInArrow") :]
+
+
+def test_kernels_on_blocks_see_bounded_parts_of_a_batch():
+    """However many blocks an Arrow batch holds, a kernel sees some of their values at a time, and the result is the same."""
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0] * 256] * 9000 + [[2.0] * 3_000_000, None], pa.list_(pa.float32()))], names=["data"])
+    parts = list(B.bounded(batch, 0))
+    sizes = [len(p.column(0).flatten()) for p in parts]
+    assert sum(p.num_rows for p in parts) == batch.num_rows and sum(sizes) == 9000 * 256 + 3_000_000
+    assert all(n <= B.AT_ONCE or p.num_rows == 1 for n, p in zip(sizes, parts, strict=True))
