@@ -105,9 +105,23 @@ class SegmentConfig:
     tolerance: float = 1.0
 
 
+def nearest_pixels(px: DataFrame, meta: DataFrame, size: int) -> DataFrame:
+    """raster_id, band, x, y, v of size x size places: the pixel that ``to_tensors`` takes for each, so that no task meets a whole raster."""
+
+    def places(at: str, length: str, name: str) -> DataFrame:
+        step = (F.col(length).cast("float") / F.lit(size).cast("float")).cast("float")
+        source = F.least(F.col(length) - 1, F.floor(F.col("i").cast("float") * step)).cast("int")
+        return meta.select("raster_id", length, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i")).select("raster_id", source.alias(at), F.col("i").alias(name))
+
+    met = px.join(places("x", "width", "_x"), ["raster_id", "x"]).join(places("y", "height", "_y"), ["raster_id", "y"])
+    return met.select("raster_id", "band", F.col("_x").alias("x"), F.col("_y").alias("y"), "v")
+
+
 def segment_image(px: DataFrame, meta: DataFrame, model: Model, size: int = 512, channels: int = 3, normalize: str = "none", batch_size: int = 8) -> tuple[DataFrame, DataFrame]:
     """Each raster as one tensor of size x size: mask pixels and meta, whose geotransform is scaled to the mask."""
     whole = meta.select("raster_id", F.lit(0).cast("long").alias("tile_id"), F.lit(0).alias("src_x"), F.lit(0).alias("src_y"), F.col("width").alias("src_w"), F.col("height").alias("src_h"))
+    if normalize not in ("minmax", "zscore"):  # these two need every pixel
+        px, whole = nearest_pixels(px, meta, size), whole.withColumns({"src_w": F.lit(size), "src_h": F.lit(size)})
     cells = px.select("raster_id", F.lit(0).cast("long").alias("tile_id"), "band", F.col("x").alias("tx"), F.col("y").alias("ty"), "v")
     scored = score(to_tensors(cells, whole, normalize, size, size, channels), model, batch_size)
     mask = sigmoid_argmax(explode_scores(scored)).select("raster_id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("class").alias("v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn import catalog
 from cairn.functions import kernels as K
 from cairn.operators import chunks as B
+from cairn.operators import segment as S
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
 from cairn.plans.storage import materialise
@@ -69,3 +70,14 @@ def test_kernels_on_blocks_see_bounded_parts_of_a_batch():
     sizes = [len(p.column(0).flatten()) for p in parts]
     assert sum(p.num_rows for p in parts) == batch.num_rows and sum(sizes) == 9000 * 256 + 3_000_000
     assert all(n <= B.AT_ONCE or p.num_rows == 1 for n, p in zip(sizes, parts, strict=True))
+
+
+def test_an_image_sends_no_more_pixels_than_its_tensor_has(spark):
+    """Of 30,000 pixels, 16 x 16 come to the task that makes the tensor; those of a raster smaller than the tensor come repeatedly."""
+    px = spark.range(30_000).select(F.lit("r").alias("raster_id"), F.lit(0).alias("band"), (F.col("id") % 100).cast("int").alias("x"), F.floor(F.col("id") / 100).cast("int").alias("y"), F.col("id").cast("double").alias("v"))
+    meta = spark.createDataFrame([("r", 100, 300)], "raster_id string, width int, height int")
+    rows = S.nearest_pixels(px, meta, 16).collect()
+    source = lambda i, n: min(n - 1, int(K.np.float32(i) * (K.np.float32(n) / K.np.float32(16))))
+    assert sorted((r.x, r.y, r.v) for r in rows) == sorted((i, j, float(source(j, 300) * 100 + source(i, 100))) for i in range(16) for j in range(16))
+    small = S.nearest_pixels(px.filter("x < 5 and y < 3"), spark.createDataFrame([("r", 5, 3)], meta.schema), 16)
+    assert small.count() == 256
