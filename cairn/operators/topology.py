@@ -32,7 +32,8 @@ def check_validity(fx: DataFrame) -> DataFrame:
 def check_overlaps(fx: DataFrame) -> DataFrame:
     """An issue for each pair of polygons, smaller fid first, that share area."""
     solid = _usable(fx).filter("geom_type = 'Polygon'")
-    pairs = box_pairs(boxes_of(solid), boxes_of(solid)).filter("a_id < b_id")
+    framed = boxes_of(solid)
+    pairs = box_pairs(framed, framed).filter("a_id < b_id")
     met = paired(solid.select("fid", "geom_type", "rings"), solid, pairs).select("fid", "b_fid", "rings", "b_rings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

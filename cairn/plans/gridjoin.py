@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.storage import materialise
+
 _BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
 def _levelled(boxes: DataFrame) -> DataFrame:
+    """The boxes with their levels, written: they are read in six places, and a filter on what is still an expression over rings would be
+    worked out below the shuffle that deals the rows, in the few tasks that scan a small file."""
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
-    return boxes.filter("min_x is not null and min_y is not null").withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    written = materialise(boxes.select("id", *_BOX).withColumn("level", F.ceil(F.log2(side)).cast("int")))
+    return written.filter("min_x is not null and min_y is not null")
 
 
 def _celled(boxes: DataFrame) -> DataFrame:
@@ -29,10 +34,11 @@ def _celled(boxes: DataFrame) -> DataFrame:
 def box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id) of all pairs whose boxes overlap or touch. Inputs: id, min_x, min_y, max_x, max_y; null boxes take no part.
 
-    The levels in use, at most a few dozen numbers, are all that comes to the driver.
+    A table paired with itself is given twice as the same object, and written once. The levels in use, at most a few dozen numbers, are all that comes to the driver.
     """
     named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", *_BOX)), "at", "cx", "cy")
-    a, b = _levelled(a), _levelled(b)
+    left = _levelled(a)
+    a, b = left, left if b is a else _levelled(b)
     levels = [r["level"] for r in a.select("level").union(b.select("level")).distinct().collect()]
 
     def own(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from cairn.operators import chunks as B
 from cairn.operators import segment as S
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
+from cairn.plans.gridjoin import box_pairs
 from cairn.plans.storage import materialise
 
 
@@ -63,6 +64,16 @@ def test_dissolve_cuts_polygons_in_many_tasks(spark, sf_dir, monkeypatch):
     assert "Repartition 4, true" in first[first.index("MapInArrow") :]
 
 
+def test_boxes_of_rings_are_made_once_and_after_the_rows_are_dealt(spark, sf_dir):
+    """The pairs are read from written boxes: no expression over rings is left in their plan, where it ran for each use and in the scan's tasks."""
+    framed = V.boxes_of(catalog.fx_boxes(spark, sf_dir))
+    pairs = box_pairs(framed, framed)
+    optimized = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in optimized and "c_custkey" not in optimized
+    met = {(r.a_id, r.b_id) for r in pairs.collect()}
+    assert {(b, a) for a, b in met} == met and {(a, a) for a, _ in met} <= met
+
+
 def test_kernels_on_blocks_see_bounded_parts_of_a_batch():
     """However many blocks an Arrow batch holds, a kernel sees some of their values at a time, and the result is the same."""
     batch = pa.RecordBatch.from_arrays([pa.array([[1.0] * 256] * 9000 + [[2.0] * 3_000_000, None], pa.list_(pa.float32()))], names=["data"])
