@@ -51,7 +51,7 @@ def check_gaps(fx: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     solid = _usable(fx).filter("geom_type = 'Polygon'")
     b = bounds(F.col("rings"))
     frame = solid.agg(F.count("*").alias("n"), ((F.max(b["max_x"]) - F.min(b["min_x"])) * (F.max(b["max_y"]) - F.min(b["min_y"]))).alias("whole"))
-    gap = frame.withColumn("area", F.col("whole") - union_area(solid).scalar()).filter((F.col("n") >= 2) & (F.col("area") > tolerance))
+    gap = frame.withColumn("area", F.col("whole") - union_area(fx).scalar()).filter((F.col("n") >= 2) & (F.col("area") > tolerance))
     return gap.select(F.lit(-1).cast("long").alias("fid"), F.lit(None).cast("long").alias("other_fid"), F.lit("gap").alias("issue_type"), "area", F.format_string("gaps with a total area of %.6f", "area").alias("description"))
 
 

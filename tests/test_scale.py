@@ -74,6 +74,15 @@ def test_boxes_of_rings_are_made_once_and_after_the_rows_are_dealt(spark, sf_dir
     assert {(b, a) for a, b in met} == met and {(a, a) for a, _ in met} <= met
 
 
+def test_gaps_cut_polygons_after_they_are_dealt(spark, sf_dir, monkeypatch):
+    """What checks rings is not worked out in the tasks of the scan, below the shuffle that deals the rows."""
+    seen = []
+    monkeypatch.setattr(V, "materialise", lambda df: seen.append(df) or materialise(df))
+    Y.check_gaps(catalog.fx_boxes(spark, sf_dir))
+    first = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in first and "lambda" not in first[first.rindex("Repartition 4, true") :]
+
+
 def test_kernels_on_blocks_see_bounded_parts_of_a_batch():
     """However many blocks an Arrow batch holds, a kernel sees some of their values at a time, and the result is the same."""
     batch = pa.RecordBatch.from_arrays([pa.array([[1.0] * 256] * 9000 + [[2.0] * 3_000_000, None], pa.list_(pa.float32()))], names=["data"])
