@@ -367,7 +367,7 @@ def vector_clip(target: DataFrame, clipper: DataFrame, overlapping: bool = True)
     borders. With ``overlapping=False`` the clippers are known to be disjoint and are used as they are.
     """
     if overlapping:
-        pieces = dissolve(clipper)
+        pieces = materialise(dissolve(clipper))  # its boxes and its rings are read apart
         clipper = pieces.select(F.xxhash64(*CELL, "part").alias("fid"), F.lit("Polygon").alias("geom_type"), "rings")
     return _inside_of(target, clipper).drop("b_fid")
 

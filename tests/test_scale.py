@@ -83,6 +83,13 @@ def test_gaps_cut_polygons_after_they_are_dealt(spark, sf_dir, monkeypatch):
     assert "lambda" in first and "lambda" not in first[first.rindex("Repartition 4, true") :]
 
 
+def test_clippers_are_united_once(spark, sf_dir):
+    """The pieces of dissolved clippers are written: no kernel on groups is left in the plan of a clip."""
+    parts = V.vector_clip(catalog.fx_boxes(spark, sf_dir), catalog.fx_clip(spark, sf_dir))
+    optimized = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in optimized and "MapInArrow" in optimized
+
+
 def test_kernels_on_blocks_see_bounded_parts_of_a_batch():
     """However many blocks an Arrow batch holds, a kernel sees some of their values at a time, and the result is the same."""
     batch = pa.RecordBatch.from_arrays([pa.array([[1.0] * 256] * 9000 + [[2.0] * 3_000_000, None], pa.list_(pa.float32()))], names=["data"])
