@@ -292,11 +292,34 @@ def _into_cells(side: Callable[[int], float], deeper: int) -> Callable[[Iterator
     return run
 
 
+def _first_level(boxed: DataFrame, side: Callable[[int], float], least: int, most: float) -> int:
+    """The deepest level, ``least`` or below, whose cells with something in them are at most about ``most`` and on which the boxes that are larger
+    than a cell cover no more cells than that.
+
+    Where polygons lie along a line or in a few places, most cells of a square grid are empty, and the others would be quartered
+    round by round. The numbers of cells are estimates; they only say where a search begins.
+    """
+    levels = range(least + 1, least + 13)  # four to the twelfth empty cells for each in use; what is left is quartered
+
+    def at(c: str, level: int) -> Column:
+        return F.floor(F.col(f"b.{c}") / side(level))
+
+    def spread(level: int) -> Column:
+        across, down = (at(f"max_{c}", level) - at(f"min_{c}", level) + 1 for c in "xy")
+        return F.sum(F.when((across > 2) | (down > 2), across.cast("double") * down).otherwise(0.0))
+
+    found = boxed.select("b").agg(*(f for k in levels for f in (F.approx_count_distinct(F.struct(at("min_x", k), at("min_y", k))), spread(k)))).first()
+    for k, cells, covered in zip(levels, found[::2], found[1::2], strict=True):
+        if cells > most or covered > most:
+            return k - 1
+    return levels[-1]
+
+
 def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> DataFrame:
     """level, cx, cy, part, rings: the union of all polygons in pieces that end at the borders of square cells.
 
     Polygons are cut at the cells they cover and each cell is united on its own, so nothing is gathered beyond a cell.
-    Without ``cell`` the cells are the leaves of a tree: from a grid of about as many cells as there are groups of ``crowd`` polygons, a
+    Without ``cell`` the cells are the leaves of a tree: from a grid with about as many cells in use as there are groups of ``crowd`` polygons, a
     cell with more than ``crowd`` different pieces is quartered, on its own, as long as that thins it out. So cells are small where
     polygons crowd, and a polygon as large as all others together is cut into no more pieces than there are cells. What still crowds
     a cell is united as a tree of bounded groups. Equal pieces are united before they meet.
@@ -309,6 +332,8 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
         start = max(0, math.floor(math.log(max(n, 1) / crowd, 4))) if n > crowd else 0
         largest = 2.0 ** math.ceil(math.log2(wide or 1.0))
         side = lambda level: largest / 2**level
+        if n > crowd:
+            start = _first_level(boxed, side, start, 4 * n / crowd)
     else:
         start, side = 0, lambda level: float(cell)
     first = solid.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), "rings")

@@ -74,6 +74,29 @@ def test_boxes_of_rings_are_made_once_and_after_the_rows_are_dealt(spark, sf_dir
     assert {(b, a) for a, b in met} == met and {(a, a) for a, _ in met} <= met
 
 
+def test_polygons_along_a_line_are_not_quartered_round_by_round(spark, monkeypatch):
+    """4,000 boxes, 4 abreast: the first grid already has small cells, as nearly all cells of the square around them are empty."""
+    at = lambda c, k: (c + F.lit(k)).cast("double")
+    x, y = F.col("id") % 4, F.floor(F.col("id") / 4)
+    fx = V.boxes(spark.range(4000), F.col("id"), at(x, 0), at(y, 0), at(x, 0.5), at(y, 1))
+    seen = []
+    monkeypatch.setattr(V, "materialise", lambda df: seen.append(df) or materialise(df))
+    pieces = V.dissolve(fx, crowd=16)
+    assert len(seen) <= 9 and pieces.select("cx", "cy").distinct().count() > 200
+    assert pieces.agg(F.sum(V.polygon_area(F.col("rings")))).first()[0] == pytest.approx(2000)
+
+
+def test_a_large_polygon_keeps_the_first_grid_coarse(spark):
+    """A box over the whole square beside the line is cut into no more pieces than about four for each group of polygons."""
+    at = lambda c, k: (c + F.lit(k)).cast("double")
+    x, y = F.col("id") % 4, F.floor(F.col("id") / 4)
+    fx = V.boxes(spark.range(4000), F.col("id"), at(x, 0), at(y, 0), at(x, 0.5), at(y, 1))
+    whole = V.boxes(spark.range(1), F.col("id") - 1, F.lit(0), F.lit(0), F.lit(1000), F.lit(1000))
+    boxed = fx.unionByName(whole).select(V.bounds(F.col("rings")).alias("b"))
+    assert V._first_level(boxed, lambda k: 1024 / 2**k, 3, 1000) == 4
+    assert V._first_level(boxed.filter("b.max_x < 100"), lambda k: 1024 / 2**k, 3, 1000) > 6
+
+
 def test_gaps_cut_polygons_after_they_are_dealt(spark, sf_dir, monkeypatch):
     """What checks rings is not worked out in the tasks of the scan, below the shuffle that deals the rows."""
     seen = []
