@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from cairn.operators.chunks import COLUMNS
 from cairn.operators.raster import MOSAIC, _need, clip_window, mosaic_grid, resample_meta, shifted
+from cairn.plans.groups import spread_groups
 from cairn.plans.ranks import numbered
 from cairn.plans.storage import materialise
 
 Part = tuple[int, int, np.ndarray, np.ndarray | None]  # column and row of the target raster, values, weights
 AT_ONCE = 16  # rasters whose parts of a block meet in one task
+HELD = 1 << 20  # values of parts that are sent as one batch, beyond a single part
 _PARTS = "raster_id string, band int, cx int, cy int, x int, y int, w int, h int, width int, height int, seq long, a binary, b binary"
 _NAMES = [p.split()[0] for p in _PARTS.split(", ")]
 _ARROW = [pa.string(), *[pa.int32()] * 9, pa.int64(), pa.binary(), pa.binary()]
@@ -34,20 +36,27 @@ def _parts(blocks: DataFrame, size: int, kernel: Callable[..., Iterator[Part]],
     """
     columns = ("raster_id", "band", "cx", "cy", "w", "h", "width", "height", "seq", "size", "data", *parameters)
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 raster, band, cx, cy, w, h, width, height, seq, own = (batch.column(k)[i].as_py() for k in range(10))
                 values = batch.column(10)[i].values.cast(pa.float32()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w)
-                rows = []
                 for left, top, a, b in kernel(values, cx * own, cy * own, *(batch.column(k)[i].as_py() for k in range(11, len(columns)))):
                     for y in range(top - top % size, top + a.shape[0], size):
                         for x in range(left - left % size, left + a.shape[1], size):
                             box = slice(max(y - top, 0), y + size - top), slice(max(x - left, 0), x + size - left)
                             cut = a[box]
                             rows.append((raster, band, x // size, y // size, max(left - x, 0), max(top - y, 0), cut.shape[1], cut.shape[0], width, height, seq, cut.astype(float).tobytes(), None if b is None else b[box].astype(float).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=_NAMES)
+                            held += cut.size
+                            if held > HELD:
+                                yield batch_of(rows)
+                                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return blocks.select(*(F.col(c) for c in columns)).mapInArrow(run, _PARTS)
 
@@ -87,7 +96,7 @@ def _gathered(parts: DataFrame, size: int, how: str = "overwrite") -> DataFrame:
         heads = [pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), *[pa.int32()] * 3), strict=True)]
         return pa.table([*heads, pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([pa.array(data, mask=np.isnan(data))], pa.list_(pa.float32())), pa.array([size], pa.int32())], names=list(COLUMNS))
 
-    return parts.groupBy("raster_id", "band", "cx", "cy").applyInArrow(run, "raster_id string, band int, cx int, cy int, w int, h int, data array<float>, size int")
+    return spread_groups(parts, "raster_id", "band", "cx", "cy").applyInArrow(run, "raster_id string, band int, cx int, cy int, w int, h int, data array<float>, size int")
 
 
 def _side(chunks: DataFrame, size: int | None) -> int:
@@ -228,7 +237,7 @@ def mosaic(chunks: DataFrame, meta: DataFrame, strategy: str = "first", order: s
         return pa.table([pa.array([v], t) for v, t in zip(row, _ARROW, strict=True)], names=_NAMES)
 
     while many > AT_ONCE:
-        parts = parts.groupBy("raster_id", "band", "cx", "cy", F.floor(F.col("seq") / AT_ONCE).cast("long").alias("seq_")).applyInArrow(unite, _PARTS)
+        parts = spread_groups(parts.withColumn("seq_", F.floor(F.col("seq") / AT_ONCE).cast("long")), "raster_id", "band", "cx", "cy", "seq_").applyInArrow(unite, _PARTS)
         many = -(-many // AT_ONCE)
     return _gathered(parts, side, strategy)
 

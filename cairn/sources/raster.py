@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,26 +36,67 @@ def to_pixels(chunks: DataFrame) -> DataFrame:
     return cells.select("raster_id", "band", x.cast("int").alias("x"), y.cast("int").alias("y"), F.when(~F.isnan("_v"), F.col("_v").cast("double")).alias("v"))
 
 
+BLOCK = ("raster_id", "band", "cx", "cy", "w", "h")
+AT_ONCE = 1 << 20  # places of blocks in one batch, beyond a single block
+
+
+def _heads(rows: pa.Table) -> np.ndarray:
+    """The rows where a block begins."""
+    first = np.zeros(rows.num_rows, bool)
+    first[:1] = True
+    for c in BLOCK:
+        code = rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(first)
+
+
+def _built(rows: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of rows sorted by block, about ``AT_ONCE`` places at a time."""
+    area = rows["w"].to_numpy()[heads].astype(np.int64) * rows["h"].to_numpy()[heads]
+    ends, total = np.append(heads[1:], rows.num_rows), np.append(0, np.cumsum(area))
+    a = 0
+    while a < len(heads):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, side="right")) - 1)
+        part = rows.slice(heads[a], ends[b - 1] - heads[a])
+        at = part["i"].to_numpy() + np.repeat(total[a:b] - total[a], ends[a:b] - heads[a:b])
+        v = part["v"].combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
+        order = np.lexsort((np.where(np.isnan(v), -np.inf, v), at))
+        data = np.full(total[b] - total[a], np.nan, np.float32)
+        data[at[order]] = v[order]
+        made = pa.ListArray.from_arrays(pa.array(total[a : b + 1] - total[a], pa.int32()), pa.array(data, mask=np.isnan(data)))
+        keys = part.select(list(BLOCK)).take(pa.array(heads[a:b] - heads[a])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(keys[c].combine_chunks() for c in BLOCK), made], names=[*BLOCK, "data"])
+        a = b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of pixels sorted by block; the last one of a batch waits for the next, where it may go on."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            heads = _heads(rows)
+            yield from _built(rows.slice(0, heads[-1]), heads[:-1])
+            held = rows.slice(heads[-1])
+    if held is not None:
+        yield from _built(held, np.zeros(1, np.int64))
+
+
 def from_pixels(px: DataFrame, meta: DataFrame, size: int = 256) -> DataFrame:
     """Blocks of ``size`` (256, or 512 for the cloud layout) from pixel rows; missing pixels are null in the array.
 
-    A block is one bounded group of at most size * size values, written into one array. Of pixels given twice the largest
-    value stays.
+    Pixels come sorted by block, so that many blocks are made of each Arrow batch; only the pixels of the last one, at most size * size places,
+    wait for the next batch. Of pixels given twice the largest value stays.
     """
     cell = px.join(meta.select("raster_id", "width", "height"), "raster_id").withColumns({"cx": F.expr(f"x div {size}").cast("int"), "cy": F.expr(f"y div {size}").cast("int")})
     w, h = F.least(F.lit(size), F.col("width") - F.col("cx") * size).cast("int"), F.least(F.lit(size), F.col("height") - F.col("cy") * size).cast("int")
     cell = cell.withColumns({"w": w, "h": h}).select("raster_id", "band", "cx", "cy", "w", "h", ((F.col("y") % size) * F.col("w") + F.col("x") % size).alias("i"), F.col("v").cast("float").alias("v"))
 
-    def block(key, table):
-        at, v = table["i"].to_numpy(), table["v"].to_numpy()
-        order = np.lexsort((np.where(np.isnan(v), -np.inf, v), at))
-        data = np.full(key[4].as_py() * key[5].as_py(), np.nan, np.float32)
-        data[at[order]] = v[order]
-        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), pa.array([pa.array(data, mask=np.isnan(data))], pa.list_(pa.float32()))], names=["raster_id", "band", "cx", "cy", "w", "h", "data"])
-
     band = px.schema["band"].dataType.simpleString()
-    grouped = cell.groupBy("raster_id", "band", "cx", "cy", "w", "h").applyInArrow(block, f"raster_id string, band {band}, cx int, cy int, w int, h int, data array<float>")
-    return grouped.withColumn("size", F.lit(size))
+    parts = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by their bytes, too few tasks would get all pixels
+    sorted_cells = cell.repartition(parts, *BLOCK).sortWithinPartitions(*BLOCK)
+    return sorted_cells.mapInArrow(_blocks, f"raster_id string, band {band}, cx int, cy int, w int, h int, data array<float>").withColumn("size", F.lit(size))
 
 
 def write_raster(px: DataFrame, meta: DataFrame, path: str, layout: str = "tiled") -> None:

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from cairn import catalog
 from cairn.functions import kernels as K
+from cairn.operators import blockgrid as BG
 from cairn.operators import chunks as B
 from cairn.operators import segment as S
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
 from cairn.plans.gridjoin import box_pairs
 from cairn.plans.storage import materialise
+from cairn.sources import raster as SR
 
 
 def plan(df):
@@ -131,3 +133,28 @@ def test_an_image_sends_no_more_pixels_than_its_tensor_has(spark):
     assert sorted((r.x, r.y, r.v) for r in rows) == sorted((i, j, float(source(j, 300) * 100 + source(i, 100))) for i in range(16) for j in range(16))
     small = S.nearest_pixels(px.filter("x < 5 and y < 3"), spark.createDataFrame([("r", 5, 3)], meta.schema), 16)
     assert small.count() == 256
+
+
+def test_many_blocks_are_made_of_each_batch_of_pixels(monkeypatch):
+    """Blocks that go on in the next batch, pixels given twice and missing ones; as many as come in few batches leave in few."""
+    monkeypatch.setattr(SR, "AT_ONCE", 1000)
+    rng = K.np.random.default_rng(5)
+    rows = sorted((f"r{k % 3}", k % 2, k // 6, 0, 4, 4, int(i), None if i == 7 else float(rng.integers(100))) for k in range(300) for i in rng.integers(0, 16, 12))
+    kinds = (pa.string(), *[pa.int32()] * 5, pa.int64(), pa.float32())
+    names = [*SR.BLOCK, "i", "v"]
+    rows.sort(key=lambda r: r[:6])
+    sent = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 700]), kinds, strict=True)], names=names) for k in range(0, len(rows), 700)]
+    made = list(SR._blocks(iter([sent[0].slice(0, 0), *sent])))
+    assert len(made) < 20 and list(SR._blocks(iter([]))) == []
+    want = {}
+    for *key, i, v in rows:
+        at = want.setdefault(tuple(key), [None] * 16)
+        at[i] = v if at[i] is None else at[i] if v is None else max(at[i], v)
+    got = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert {r[:6]: r[6] for r in got} == want and len(got) == len(want) == 300
+
+
+def test_groups_of_kernels_are_spread(spark, sf_dir):
+    """Blocks and rings are put together in all shuffle partitions, however few bytes they have."""
+    chunks, meta = catalog._blocks(spark, sf_dir, catalog.px_multi)
+    assert BG.mosaic(chunks, meta, "first", "seq").rdd.getNumPartitions() == V.shuffle_partitions(chunks) > 1
