@@ -15,10 +15,16 @@ from cairn.functions.geometry import point_in_ring, ring_area
 from cairn.operators.vector import boxes_of, write_rings
 from cairn.plans.components import connected_components
 from cairn.plans.gridjoin import box_pairs
+from cairn.plans.groups import spread_groups
 from cairn.plans.storage import materialise
 
 RINGS = "array<array<struct<x:double,y:double,z:double>>>"
 EAST, WEST, NORTH, SOUTH = range(4)
+HELD = 1 << 20  # pixels or points that are sent as one batch, beyond those of a single block
+
+
+def _batch(rows: list[tuple], kinds: tuple[pa.DataType, ...], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def mask_runs(mask: DataFrame, target: int = 1) -> DataFrame:
@@ -99,17 +105,23 @@ def label_blocks(chunks: DataFrame, target: int = 1, corners: bool = True) -> Da
 def _with_halo(chunks: DataFrame, target: int) -> DataFrame:
     """raster_id, cx, cy, size, w, h, data: each block as bytes, a pixel wider on each side: 1 where the class is, also just beyond its borders."""
     names = ["raster_id", "cx", "cy", "size", "w", "h", "side", "data"]
+    kinds = (pa.string(), *[pa.int32()] * 6, pa.binary())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 raster, cx, cy, w, h, size = (batch.column(c)[i].as_py() for c in range(6))
                 here = (batch.column(6)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w) == target).astype(np.uint8)
-                rows = [(raster, cx, cy, size, w, h, -1, here.tobytes())]
+                rows.append((raster, cx, cy, size, w, h, -1, here.tobytes()))
                 for side, dx, dy, edge in ((WEST, 1, 0, here[:, -1]), (EAST, -1, 0, here[:, 0]), (NORTH, 0, 1, here[-1]), (SOUTH, 0, -1, here[0])):
                     rows.append((raster, cx + dx, cy + dy, size, w, h, side, edge.tobytes()))  # the border that the neighbour has on that side
-                kinds = (pa.string(), *[pa.int32()] * 6, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                held += here.size
+                if held > HELD:
+                    yield _batch(rows, kinds, names)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, kinds, names)
 
     def meet(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
         sides = dict(zip(held["side"].to_pylist(), range(held.num_rows), strict=True))
@@ -126,7 +138,7 @@ def _with_halo(chunks: DataFrame, target: int) -> DataFrame:
 
     schema = "raster_id string, cx int, cy int, size int, w int, h int, side int, data binary"
     parts = chunks.select("raster_id", "cx", "cy", "w", "h", "size", F.col("data").cast("array<double>")).mapInArrow(send, schema)
-    return parts.groupBy("raster_id", "cx", "cy").applyInArrow(meet, schema).drop("side")
+    return spread_groups(parts, "raster_id", "cx", "cy").applyInArrow(meet, schema).drop("side")
 
 
 def block_chains(grid: np.ndarray, left: int, top: int, joined: bool) -> Iterator[tuple[tuple[int, int, int], tuple[int, int, int] | None, np.ndarray, np.ndarray]]:
@@ -185,8 +197,10 @@ def block_polygons(chunks: DataFrame, meta: DataFrame, target: int = 1, mode: st
     runs = _labelled_runs(chunks, target, joined)
     labels = _over_seams(runs, joined)
     names = ["raster_id", "cx", "cy", "k", "sx", "sy", "start", "ex", "ey", "end", "points"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 7, pa.binary())
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 raster, cx, cy, size, w, h, data = (batch.column(c)[i].as_py() for c in range(7))
@@ -195,14 +209,16 @@ def block_polygons(chunks: DataFrame, meta: DataFrame, target: int = 1, mode: st
                 number = np.full((h, w), -1)
                 for a, b, c, k in zip(y.tolist(), x0.tolist(), (x1 + 1).tolist(), _own_labels(y, x0, x1, joined).tolist(), strict=True):
                     number[a, b:c] = k
-                rows = []
                 for begin, stop, corners, pixels in block_chains(grid, cx * size, cy * size, joined):
                     px, py = pixels[0]
                     points = pixels if joined else corners
                     rows.append((raster, cx, cy, int(number[py - cy * size, px - cx * size]), *begin, *(stop or (None,) * 3), np.ascontiguousarray(points, np.int64).tobytes()))
-                if rows:
-                    kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 7, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    held += len(points)
+                if held > HELD:
+                    yield _batch(rows, kinds, names)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, kinds, names)
 
     found = _with_halo(chunks, target).mapInArrow(trace, "raster_id string, cx int, cy int, k long, sx long, sy long, start long, ex long, ey long, end long, points binary")
     chain = F.xxhash64("raster_id", "sx", "sy", "start")  # no two pieces start at one corner in one direction
@@ -227,7 +243,7 @@ def block_polygons(chunks: DataFrame, meta: DataFrame, target: int = 1, mode: st
         shape = [[ring.astype(float)]] if good else [[]]
         return pa.table([held["raster_id"].slice(0, 1), held["component"].slice(0, 1), pa.array([bool(hole)]), write_rings(shape)], names=["raster_id", "component", "hole", "rings"])
 
-    closed = whole.groupBy("ring").applyInArrow(close, f"raster_id string, component long, hole boolean, rings {RINGS}").filter("size(rings) > 0")
+    closed = spread_groups(whole, "ring").applyInArrow(close, f"raster_id string, component long, hole boolean, rings {RINGS}").filter("size(rings) > 0")
     parts = closed.groupBy("raster_id", "component").agg(F.array_sort(F.collect_list(F.struct("hole", F.col("rings")[0].alias("ring")))).alias("all"))
     pixel = parts.filter(~F.col("all")[0]["hole"]).select("raster_id", "component", F.lit(0).alias("part"), F.transform("all", lambda x: x["ring"]).alias("rings"))
     return _grounded(pixel, meta)
@@ -444,7 +460,7 @@ def label_polygons(labels: DataFrame, meta: DataFrame, mode: str = "centre", min
         columns = [pa.array([key[0].as_py()] * len(shapes), pa.string()), pa.array([key[1].as_py()] * len(shapes), pa.int64()), pa.array(range(len(shapes)), pa.int32()), write_rings(shapes)]
         return pa.table(columns, names=["raster_id", "component", "part", "rings"])
 
-    pixel = labels.groupBy("raster_id", "component").applyInArrow(trace, f"raster_id string, component long, part int, rings {RINGS}")
+    pixel = spread_groups(labels, "raster_id", "component").applyInArrow(trace, f"raster_id string, component long, part int, rings {RINGS}")
 
     return _grounded(pixel, meta)
 

@@ -8,6 +8,7 @@ from cairn import catalog
 from cairn.functions import kernels as K
 from cairn.operators import blockgrid as BG
 from cairn.operators import chunks as B
+from cairn.operators import polygonize as G
 from cairn.operators import segment as S
 from cairn.operators import topology as Y
 from cairn.operators import vector as V
@@ -158,3 +159,6 @@ def test_groups_of_kernels_are_spread(spark, sf_dir):
     """Blocks and rings are put together in all shuffle partitions, however few bytes they have."""
     chunks, meta = catalog._blocks(spark, sf_dir, catalog.px_multi)
     assert BG.mosaic(chunks, meta, "first", "seq").rdd.getNumPartitions() == V.shuffle_partitions(chunks) > 1
+    closed = G.block_polygons(*catalog.blocks_mask(spark, sf_dir), 1, "edge")._jdf.queryExecution().optimizedPlan().toString()
+    below = closed[closed.index("FlatMapGroupsInArrow") :]
+    assert "RepartitionByExpression [ring#" in below
