@@ -14,7 +14,7 @@ poor sample costs time and no link.
 2. Documents that agree in a part are chained if their sketches, kept beside the sets' sizes, are near enough for a link; where
    more than CROWD documents agree in one, all are chained to the smallest id that has it. The chains' components are coarse
    groups that hold every link. Parts that many documents of a map batch have are chained at once, so that a very common part sends
-   one row a batch.
+   one row a batch; that row stands for documents that are not near it, so all that have such a part are chained, however few rows it has.
 3. A coarse group is compared block by block: sketches first, then the sets themselves. Only a spanning forest of the links
    leaves a task, and groups of any size are spread over tasks of bounded size.
 4. Components of classes and forests are the result.
@@ -44,7 +44,7 @@ BLOCK_SHINGLES = 200_000
 SHIP_BYTES = 8 << 20
 SAMPLE_DOCS = 20_000
 COMMON_GRAMS = 1_000_000
-CROWD, CROWD_IN_BATCH = 1024, 32
+CROWD, CROWD_IN_BATCH = 1024, 128
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -230,9 +230,10 @@ def first_grams(sets: list[np.ndarray], percent: int, common: Common) -> tuple[n
 
 
 def _sketch_rows(docs: DataFrame, percent: int, n: int, common: Common | None = None) -> DataFrame:
-    """(id, text) to rows (key, id, with): a part of a sketch (with null), or a chain to another id of the batch with the same part.
+    """(id, text) to rows (key, id, other): a part of a sketch (other null), or a chain to another id of the batch with the same part.
 
-    With ``common``, the parts are the first n-grams. Only parts that many documents of the batch have are chained here.
+    With ``common``, the parts are the first n-grams. Only parts that many documents of the batch have are chained here; the one row that
+    is left of such a part has its own id as the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +250,17 @@ def _sketch_rows(docs: DataFrame, percent: int, n: int, common: Common | None =
             order = np.lexsort((doc, key))
             doc, key = doc[order], key[order]
             fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            crowded = np.zeros(len(key), bool)
             if len(key):
                 run_of = np.cumsum(fresh) - 1
-                fresh |= (np.bincount(run_of) <= CROWD_IN_BATCH)[run_of]
+                crowded = (np.bincount(run_of) > CROWD_IN_BATCH)[run_of]
+                fresh |= ~crowded
             lead = doc[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(key) else doc
             chained = np.unique(np.column_stack([doc, lead])[(~fresh) & (doc != lead)], axis=0)
             out_key = np.concatenate([key[fresh].view(np.int64), mixed(chained[:, 0].astype(np.uint64)).view(np.int64)])
             out_id = np.concatenate([doc[fresh], chained[:, 0]])
-            other = pa.array(np.concatenate([np.zeros(int(fresh.sum()), np.int64), chained[:, 1]]), mask=np.arange(len(out_id)) < fresh.sum())
+            alone = np.append(~crowded[fresh], np.zeros(len(chained), bool))
+            other = pa.array(np.concatenate([doc[fresh], chained[:, 1]]), mask=alone)
             for i in range(0, len(out_id), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out_key[i : i + 200_000]), pa.array(out_id[i : i + 200_000]), other.slice(i, 200_000)], names=["key", "id", "other"])
 
@@ -294,7 +298,8 @@ def _near_chains(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     """Rows of parts to chains (id, other): of near documents where a few share a part, to the smallest id where many do.
 
     Groups that share several parts are compared once. A batch sends a part that many of its documents have as one row, so the
-    window over a part, however common, meets a few rows a batch.
+    window over a part, however common, meets at most CROWD_IN_BATCH rows a batch. Whoever shares a part with such a row may be near to one
+    of those it stands for, so it is chained to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +313,12 @@ def _near_chains(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["id", "other"])
 
     whole = Window.partitionBy("key")
-    shared = materialise(rows.select("key", "id", "other", F.count("*").over(whole).alias("docs"), F.min("id").over(whole).alias("lead")).filter("docs > 1 or other is not null"))
-    many = shared.filter(F.col("other").isNotNull() | (F.col("docs") > CROWD)).select("id", F.coalesce("other", "lead").alias("other"))
-    few = shared.filter(F.col("other").isNull() & (F.col("docs") <= CROWD)).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    stands = F.max(F.when(F.col("other") == F.col("id"), 1).otherwise(0)).over(whole) == 1
+    crowd = (F.count("*").over(whole) > CROWD) | stands
+    shared = materialise(rows.select("key", "id", "other", crowd.alias("crowd"), F.count("*").over(whole).alias("docs"), F.min("id").over(whole).alias("lead")).filter("docs > 1 or other is not null"))
+    chained = F.col("other").isNotNull() & (F.col("other") != F.col("id"))
+    many = shared.filter(chained | F.col("crowd")).select("id", F.when(chained, F.col("other")).otherwise(F.col("lead")).alias("other"))
+    few = shared.filter(F.col("other").isNull() & ~F.col("crowd")).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     members = few.select("ids").distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")).join(sketches.hint("merge"), "id")
     groups = members.groupBy("group").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("members")).select("members")
     return many.unionByName(groups.mapInArrow(run, "id long, other long"))

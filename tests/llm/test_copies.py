@@ -100,6 +100,19 @@ def test_stage_on_five_words(spark, crowd, sample, monkeypatch):
     assert {r.doc_id for r in near_duplicates(spark, docs, "").collect()} == {i for i, r in enumerate(root) if i == r}
 
 
+@pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
+def test_links_to_what_a_batch_chained_are_kept(spark, percent, n):
+    """Hundreds of drafts of one text in a batch, which all its parts are common in, and in another batch a draft that is near to the text alone."""
+    words, run = [f"w{i}" for i in range(300)], 13 if percent == 90 else 28
+    draft = lambda at, tag: " ".join([*words[:at], *(f"{tag}x{j}" for j in range(run)), *words[at + run :]])
+    rows = [(i, draft(run + 5 + i * 7 % (295 - 2 * run), f"v{i}")) for i in range(900)] + [(1000, " ".join(words)), (1001, draft(0, "e"))]
+    sets = [{tuple(t.split()[k : k + n]) for k in range(300 - n + 1)} for _, t in rows]
+    near = [i for (i, _), s in zip(rows, sets, strict=True) if 100 * len(s & sets[-1]) >= percent * len(s | sets[-1])]
+    assert near == [1000, 1001]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionById(2, F.when(F.col("doc_id") == 1001, 1).otherwise(0))
+    assert {r.component_id for r in jaccard_components(docs, percent=percent, n=n).collect()} == {0}
+
+
 def test_components_of_odd_rows(spark, empty):
     assert jaccard_components(empty).isEmpty()
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, "A b C d"), (9, None)], "doc_id long, text string")
