@@ -8,6 +8,7 @@ from cairn import catalog
 from cairn.functions import kernels as K
 from cairn.operators import blockgrid as BG
 from cairn.operators import chunks as B
+from cairn.operators import points as P
 from cairn.operators import polygonize as G
 from cairn.operators import segment as S
 from cairn.operators import topology as Y
@@ -162,3 +163,16 @@ def test_groups_of_kernels_are_spread(spark, sf_dir):
     closed = G.block_polygons(*catalog.blocks_mask(spark, sf_dir), 1, "edge")._jdf.queryExecution().optimizedPlan().toString()
     below = closed[closed.index("FlatMapGroupsInArrow") :]
     assert "RepartitionByExpression [ring#" in below
+
+
+def test_neighbours_send_a_point_to_few_places(spark, monkeypatch):
+    """Points go to their block and to those they are near the border of, not to each of 27 cells; lone points meet only the cells within reach."""
+    rng = K.np.random.default_rng(8)
+    at = K.np.concatenate([rng.random((4000, 3)) * 10, rng.random((5, 3)) * 10 + [0, 0, 200]])
+    pc = spark.createDataFrame([("c", i, *map(float, p)) for i, p in enumerate(at)], "cloud_id string, ord long, x double, y double, z double")
+    seen, groups = [], P.spread_groups
+    monkeypatch.setattr(P, "spread_groups", lambda df, *keys: seen.append(df) or groups(df, *keys))
+    got = {r.ord: r.d for r in P.mean_neighbour_distance(pc, 8).collect()}
+    assert len(seen) == 1 and len(at) <= seen[0].count() < 4 * len(at) and seen[0].filter("own").count() == len(at)
+    for i in [*range(0, 4000, 97), *range(4000, 4005)]:
+        assert got[i] == pytest.approx(K.np.sort(K.np.sqrt(((at - at[i]) ** 2).sum(1)))[:8].mean(), rel=1e-12)
