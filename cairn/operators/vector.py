@@ -56,8 +56,11 @@ def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Replace each row by one row for each part that the kernel makes of (geom_type, rings, ``others`` ...): types as strings, rings as arrays."""
+def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, drop: tuple[str, ...] = (), at_once: Callable[..., list[Parts | None]] | None = None) -> DataFrame:
+    """Replace each row by one row for each part that the kernel makes of (geom_type, rings, ``others`` ...): types as strings, rings as arrays.
+
+    ``at_once`` gets these as lists of a batch first, and leaves rows to the kernel by a null.
+    """
     at = [fx.columns.index(c) for c in ("geom_type", "rings", *others)]
     kept = [i for i, c in enumerate(fx.columns) if c not in drop]
 
@@ -65,8 +68,10 @@ def map_geometries(fx: DataFrame, kernel: Callable[..., Parts], *others: str, dr
         for batch in batches:
             rows, kinds, shapes = [], [], []
             read = lambda c: c.to_pylist() if pa.types.is_string(c.type) else read_rings(c)
-            for i, (kind, *values) in enumerate(zip(*(read(batch.column(c)) for c in at), strict=True)):
-                for k, rings in kernel(kind, *values):
+            columns = [read(batch.column(c)) for c in at]
+            made = at_once(*columns) if at_once else [None] * batch.num_rows
+            for i, (known, kind, *values) in enumerate(zip(made, *columns, strict=True)):
+                for k, rings in kernel(kind, *values) if known is None else known:
                     rows.append(i)
                     kinds.append(k)
                     shapes.append(rings)
@@ -132,7 +137,12 @@ def point_buffers(fx: DataFrame, distance: float, quad_segs: int = 8) -> DataFra
 def vector_buffer(fx: DataFrame, distance: float = 10.0, quad_segs: int = 8) -> DataFrame:
     """Everything within ``distance`` of each feature, as polygons; several where it falls apart, none where nothing is left."""
     solid = _usable(fx)
-    others = map_geometries(dealt(solid.filter("geom_type <> 'Point'")), lambda kind, rings: [("Polygon", p) for p in K.buffer(kind, rings, distance, quad_segs)])
+
+    def at_once(kinds: list[str], shapes: list[list[np.ndarray]]) -> list[Parts | None]:
+        found = K.buffers([rings if kind == "Polygon" else [] for kind, rings in zip(kinds, shapes, strict=True)], distance, quad_segs)
+        return [None if p is None else [("Polygon", p)] for p in found]
+
+    others = map_geometries(dealt(solid.filter("geom_type <> 'Point'")), lambda kind, rings: [("Polygon", p) for p in K.buffer(kind, rings, distance, quad_segs)], at_once=at_once)
     return point_buffers(solid, distance, quad_segs).unionByName(others) if distance > 0 else others
 
 

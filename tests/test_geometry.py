@@ -206,3 +206,37 @@ def test_union_of_a_crowded_spot(spark):
     cells = {(i, j) for a, b, c, d in rows for i in range(round(a * 100), round(c * 100)) for j in range(round(b * 100), round(d * 100))}
     parts = V.dissolve(fx, crowd=16)
     assert parts.agg(F.sum(polygon_area(F.col("rings")))).first()[0] == pytest.approx(len(cells) / 10_000, rel=1e-6)
+
+
+@pytest.mark.parametrize("distance", [0.05, -0.05, 0.3, -0.3, 2.0, -2.0])
+def test_buffers_of_many_polygons_at_once(distance):
+    """Stars with and without holes, at places far apart: what is buffered at once is what each is on its own, and simple shapes are."""
+    rng = np.random.default_rng(12)
+
+    def star(centre, low, high, n):
+        turn = np.sort(rng.random(n)) * 2 * np.pi
+        ring = centre + (rng.uniform(low, high, n) * [np.cos(turn), np.sin(turn)]).T
+        return np.concatenate([ring, ring[:1]])
+
+    polygons = []
+    for k in range(60):
+        centre = rng.random(2) * 10.0 ** (k % 5)
+        holes = [star(centre + [dx, 0], 0.2, 0.5, 5)[:: rng.choice([1, -1])] for dx in ((-1, 1) if k % 3 == 1 else (0,) if k % 3 == 2 else ())]
+        polygons.append([star(centre, 3, 4, 9 + k % 7)[:: rng.choice([1, -1])], *holes])
+    bent = np.array([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)], float)
+    polygons += [[bent], [K.box(0, 0, 8, 8), K.box(2, 2, 6, 6)], [K.box(0, 0, 8, 8), K.box(0, 2, 6, 6)], [K.box(0, 0, 2, 2), K.box(3, 3, 4, 4)], [bent[[0, 2, 1, 3, 4, 5, 0]]], []]
+    found = K.buffers(polygons, distance)
+    for polygon, one in zip(polygons, found, strict=True):
+        if one is not None:
+            alone = K.buffer("Polygon", polygon, distance)
+            assert len(alone) == 1 and sorted(map(len, alone[0])) == sorted(map(len, one))
+            assert K.polygon_area(one) == pytest.approx(K.polygon_area(alone[0]), rel=1e-9)
+            assert K.area(one[0]) > 0 and all(K.area(h) < 0 for h in one[1:])
+    assert found[-4:] == [None] * 4
+    if abs(distance) < 0.1:
+        assert sum(p is not None for p in found) > 30 and None not in found[60:62]
+
+
+def test_a_batch_of_simple_shapes_is_buffered_without_an_arrangement(monkeypatch):
+    monkeypatch.setattr(K, "arrange", lambda *a: pytest.fail("made an arrangement"))
+    assert K.polygon_area(K.buffers([[K.box(0, 0, 8, 8), K.box(2, 2, 6, 6)]], -0.5)[0]) == pytest.approx(49 - (16 + 4 * 4 * 0.5 + 4 * 4 * 0.25 * np.sin(np.pi / 16)))
