@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.affine import pixel_to_geo
+from cairn.functions.arrangement import Arrangement, outline, turned
 from cairn.functions.geometry import point_in_ring, ring_area
 from cairn.operators.vector import boxes_of, write_rings
 from cairn.plans.components import connected_components
@@ -476,10 +477,113 @@ def _grounded(pixel: DataFrame, meta: DataFrame) -> DataFrame:
     return pixel.join(meta.select("raster_id", "gt"), "raster_id").select("raster_id", "component", "part", ground.alias("rings"))
 
 
+def _united(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> list[list[np.ndarray]]:
+    """Polygons of the squares between four pixels, or of the half of one with three, that hang together by their sides.
+
+    A side with another square beyond it is none of the outline's; all other sides are. Work on corners follows the outline, not the ground.
+    """
+    wide = int(np.ptp(x)) + 4
+    low = np.array([x.min() - 1, y.min() - 1])
+    own = (y - low[1]) * wide + x - low[0]
+    every, starts, ends = np.sort(own), [], []
+    has = [(bits & b) > 0 for b in (1, 2, 8, 4)]
+    around = (0, 1, wide + 1, wide)  # the corners, one after another
+    for k, beyond in enumerate((-wide, 1, wide, -1)):
+        on = np.flatnonzero(has[k] & has[(k + 1) % 4])
+        place = np.minimum(np.searchsorted(every, own[on] + beyond), len(every) - 1)
+        outer = on[every[place] != own[on] + beyond]
+        across = np.flatnonzero(has[k] & ~has[(k + 1) % 4] & has[(k + 2) % 4])
+        starts += [own[outer] + around[k], own[across] + around[k]]
+        ends += [own[outer] + around[(k + 1) % 4], own[across] + around[(k + 2) % 4]]
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    keys, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+    place = np.column_stack([keys % wide + low[0], keys // wide + low[1]]).astype(float)
+    a, b = np.split(node.ravel(), 2)
+    spots = turned(place - place.min(0))
+    rising = (spots[a, 1] < spots[b, 1]) | ((spots[a, 1] == spots[b, 1]) & (spots[a, 0] < spots[b, 0]))
+    none = np.zeros((len(a), 1), np.int64)
+    met = Arrangement(place, np.where(rising, a, b), np.where(rising, b, a), none, none, np.ones(len(a), np.int64), (none, none, none, none))
+    return outline(met, rising, ~rising)
+
+
+def repaired_polygons(mask: DataFrame, meta: DataFrame, target: int = 1, min_area: float = 0.0) -> DataFrame:
+    """raster_id, component, part, rings: the polygons through pixel centres as ``repair_polygons`` leaves them, of components of at least ``min_area``.
+
+    What such a polygon of a component encloses are the squares between four of its pixels and the halves of those with three. Where only a line or
+    a corner holds them together it is not valid and falls apart. So the parts are put together from squares, and no task
+    meets the ring of a component, which may go through the whole raster.
+    """
+    labels = label_components(mask, target)
+    px = labels.select("raster_id", "component", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    corners = F.array(*(F.struct((F.col("x") - dx).cast("long").alias("x"), (F.col("y") - dy).cast("long").alias("y"), F.lit(bit).alias("bit")) for dx, dy, bit in ((0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8))))
+    found = px.select("raster_id", "component", F.explode(corners).alias("c")).select("raster_id", "component", "c.x", "c.y", "c.bit")
+    squares = found.groupBy("raster_id", "x", "y").agg(F.bit_or("bit").alias("bits"), F.min("component").alias("component")).filter(F.bit_count("bits") >= 3)
+    # along a row, squares go on across a side both of whose pixels are set; a window holds one row of an image
+    row = Window.partitionBy("raster_id", "y").orderBy("x")
+    first = ~F.coalesce((F.lag("x").over(row) == F.col("x") - 1) & (F.col("bits").bitwiseAND(5) == 5), F.lit(False))
+    begun = squares.withColumn("_x", F.when(first, F.col("x"))).withColumn("_x", F.last("_x", ignorenulls=True).over(row))
+    cells = materialise(begun.withColumn("run", F.xxhash64("raster_id", "y", "_x")).drop("_x"))
+    above = cells.filter(F.col("bits").bitwiseAND(12) == 12).select("raster_id", "x", (F.col("y") + 1).alias("y"), F.col("run").alias("other"))
+    seams = cells.join(above, ["raster_id", "x", "y"]).select("run", "other").distinct()
+    pieces = connected_components(seams, "run", "other").withColumnRenamed("node", "run").withColumnRenamed("component", "piece")
+    if min_area > 0:
+        gt = F.col("gt")
+        area = F.sum(F.when(F.col("bits") == 15, 1.0).otherwise(0.5))
+        sizes = cells.groupBy("raster_id", "component").agg(area.alias("_a")).join(meta.select("raster_id", F.abs(gt[1] * gt[5] - gt[2] * gt[4]).alias("_p")), "raster_id")
+        cells = cells.join(sizes.filter(F.col("_a") * F.col("_p") >= min_area).select("raster_id", "component"), ["raster_id", "component"], "left_semi")
+    whole = cells.join(pieces, "run", "left").select("raster_id", "component", F.coalesce("piece", "run").alias("piece"), "x", "y", "bits")
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces come one after another; those of about ``HELD`` squares leave together."""
+        rows: list[tuple] = []
+
+        def made(held: pa.Table) -> pa.RecordBatch:
+            piece = held["piece"].to_numpy()
+            heads = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            x, y, bits = (held[c].to_numpy().astype(np.int64) for c in ("x", "y", "bits"))
+            shapes, of = [], []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(piece)], strict=True):
+                own = _united(x[a:b], y[a:b], bits[a:b])
+                shapes += own
+                of += [a] * len(own)
+            at = pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([held[c].combine_chunks().take(at) for c in ("raster_id", "component", "piece")] + [write_rings(shapes)], names=["raster_id", "component", "piece", "rings"])
+
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece = batch["piece"].to_numpy()
+            last = int(np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))[-1])
+            if last or (held and held[-1]["piece"][-1].as_py() != piece[0]):  # a piece ends in this batch
+                held.append(batch.slice(0, last))
+                n += last
+                if n > HELD // 16:
+                    yield made(pa.Table.from_batches(held))
+                    held, n = [], 0
+                held.append(batch.slice(last))
+            else:
+                held.append(batch)
+            n += batch.num_rows - last
+            held = [b for b in held if b.num_rows]
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    dealt = whole.repartition(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece").sortWithinPartitions("piece")
+    pixel = dealt.mapInArrow(trace, f"raster_id string, component long, piece long, rings {RINGS}")
+    return _grounded(pixel.withColumn("part", F.lit(0)), meta)
+
+
 def segment_to_polygons(mask: DataFrame, meta: DataFrame, target: int = 1, mode: str = "centre", min_area: float = 100.0, tolerance: float = 1.0, source: str = "segmentation") -> DataFrame:
-    """Polygons of a class: small ones dropped, simplified, repaired, with attributes."""
+    """Polygons of a class: small ones dropped, simplified, repaired, with attributes.
+
+    Where nothing is simplified, polygons through pixel centres are put together in their repaired parts at once. A ring to be simplified is met whole.
+    """
     from cairn.operators.vector import add_polygon_attributes, filter_small_polygons, repair_polygons, vector_simplify
 
+    if mode == "centre" and tolerance <= 0:
+        parts = repaired_polygons(mask, meta, target, min_area).withColumns({"layer": F.col("raster_id"), "fid": F.col("component"), "geom_type": F.lit("Polygon")})
+        return add_polygon_attributes(parts, meta, target, source)
     shapes = mask_to_polygons(mask, meta, target, mode).withColumns({"layer": F.col("raster_id"), "fid": F.col("component"), "geom_type": F.lit("Polygon")})
     shapes = filter_small_polygons(shapes, min_area)
     if tolerance > 0:

@@ -176,3 +176,18 @@ def test_neighbours_send_a_point_to_few_places(spark, monkeypatch):
     assert len(seen) == 1 and len(at) <= seen[0].count() < 4 * len(at) and seen[0].filter("own").count() == len(at)
     for i in [*range(0, 4000, 97), *range(4000, 4005)]:
         assert got[i] == pytest.approx(K.np.sort(K.np.sqrt(((at - at[i]) ** 2).sum(1)))[:8].mean(), rel=1e-12)
+
+
+@pytest.mark.parametrize(("share", "min_area"), [(0.55, 0.0), (0.55, 8.0), (0.8, 2.0), (1.0, 0.0)])
+def test_polygons_are_repaired_without_the_ring_of_a_component(spark, monkeypatch, share, min_area):
+    """The parts are those of the repaired rings of whole components, of which no task builds one."""
+    rng = K.np.random.default_rng(4)
+    cells = [(r, int(x), int(y), int(v)) for r in ("a", "b") for (y, x), v in K.np.ndenumerate((rng.random((31, 17)) < share).astype(int))]
+    mask = spark.createDataFrame(cells, "raster_id string, x int, y int, v int").repartition(3)
+    meta = spark.createDataFrame([("a", [10.0, 2.0, 0.0, 50.0, 0.0, -2.0]), ("b", [0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "raster_id string, gt array<double>")
+    rings = V.filter_small_polygons(G.mask_to_polygons(mask, meta).withColumns({"fid": F.col("component"), "geom_type": F.lit("Polygon")}), min_area)
+    corners = lambda df: sorted((r.raster_id, r.component, sorted(sorted({(p.x, p.y) for p in ring}) for ring in r.rings)) for r in df.collect())
+    want = corners(V.repair_polygons(rings))
+    monkeypatch.setattr(G, "polygons_of", lambda *a: pytest.fail("made the ring of a component"))
+    got = G.segment_to_polygons(mask, meta, 1, "centre", min_area, 0.0)
+    assert corners(got) == want and want
