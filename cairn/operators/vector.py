@@ -343,7 +343,7 @@ def dissolve(fx: DataFrame, cell: float | None = None, crowd: int = 256) -> Data
         largest = 2.0 ** math.ceil(math.log2(wide or 1.0))
         side = lambda level: largest / 2**level
         if n > crowd:
-            start = _first_level(boxed, side, start, 4 * n / crowd)
+            start = _first_level(boxed, side, start, 2 * n / crowd)
     else:
         start, side = 0, lambda level: float(cell)
     first = solid.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), "rings")
